@@ -5,10 +5,13 @@ from __future__ import annotations
 import importlib
 
 _NAMES = {
+    "op1_lz_fingerprints": "fingerprints",
     "op2_best_fit_packing": "packing",
+    "op3_token_counts": "token_counts",
     "op4_warc_archive": "warc",
     "op7_source_mixing": "mixing",
     "op8_exact_dedup": "exact_dedup",
+    "op10_simhash_dedup": "simhash",
 }
 _MODULES = {name: importlib.import_module(f"{__package__}.{module}") for name, module in _NAMES.items()}
 
