@@ -9,6 +9,7 @@ _NAMES = {
     "op2_best_fit_packing": "packing",
     "op3_token_counts": "token_counts",
     "op4_warc_archive": "warc",
+    "op5_html_extraction": "html_extraction",
     "op6_quality_classifier": "quality",
     "op7_source_mixing": "mixing",
     "op8_exact_dedup": "exact_dedup",
