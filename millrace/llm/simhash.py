@@ -188,6 +188,103 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: For dropping near copies: words in a shingle, the least Jaccard similarity of a link's shingle sets, and the radius
+#: within which 96 % of such pairs lie; documents of a component that are verified against each other at once.
+COPY_WORDS, SIMILARITY, COPY_RADIUS, CHUNK = 5, 0.8, 12, 512
+
+
+def shingle_set(text: str, words: int = COPY_WORDS) -> np.ndarray:
+    """Sorted different hashes of the shingles."""
+    import xxhash
+
+    parts = text.encode().lower().split()
+    n = max(1, len(parts) - words + 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[k : k + words])) for k in range(n)], dtype=np.uint64))
+
+
+def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links: pairs of places within the radius whose sets are similar enough.
+
+    left: which places are of the first chunk; pairs within the second are left to another call. Near pairs come first,
+    and what is linked already is not verified again.
+    """
+    u = fps.view(np.uint64)
+    found = []
+    for k in np.flatnonzero(left):
+        d = np.bitwise_count(u ^ u[k])
+        ok = (d <= radius) & (~left | (np.arange(len(u)) > k))
+        to = np.flatnonzero(ok)
+        found.append(np.stack([d[to].astype(np.int64), np.full(len(to), k), to], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    parent = list(range(len(u)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for _, a, b in pairs.tolist():
+        p, q = root(a), root(b)
+        if p == q:
+            continue
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+            continue
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        if common >= similarity * (len(x) + len(y) - common):
+            parent[max(p, q)] = min(p, q)
+            out.append((a, b))
+    return out
+
+
+def near_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, radius: int = COPY_RADIUS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(id, root) of every document that is linked to others: root is the least id of its group.
+
+    A link is a pair within the radius whose shingle sets have at least the similarity. Components by fingerprint alone
+    are the candidates; in each, chunks of documents are verified against chunks, so none lands in one task whole.
+    """
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = saved(fingerprints(rows, "id", "text", words), "simhash")
+    distinct = saved(docs.select("fp").distinct(), "distinct")
+    roots = components(forest(distinct, radius))
+    placed = saved(docs.join(roots, docs["fp"] == roots["node"], "left").select("id", "fp", F.coalesce("root", "fp").alias("part")), "placed")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    candidates = saved(placed.join(saved(sizes, "sizes"), "part").select("id", "fp", "part", "chunks"), "candidates")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["shingles"] = [shingle_set(t or "", words).tobytes() for t in b.pop("text")]
+            yield b
+
+    # an id has one text here but for repeated rows, which are linked to each other anyway
+    withtext = candidates.dropDuplicates(["id"]).join(rows, "id").select("id", "fp", "part", "chunks", "text")
+    sets = withtext.mapInPandas(shingled, "id long, fp long, part long, chunks int, shingles binary")
+    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("part", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "id", "fp", "shingles")
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["id", "fp"]).reset_index(drop=True)
+        left = (group["chunk"] == group["p"]).to_numpy()
+        links_ = verified(group["fp"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]], left, radius, similarity)
+        ids = group["id"].to_numpy()
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in links_], columns=["u", "v"]).astype("int64")
+
+    edges = dealt.groupBy("part", "p", "q").applyInPandas(verify, "u long, v long")
+    return components(edges).select(F.col("node").alias("id"), "root")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """df without the documents that a group's least id stands for. Rows with a null id all stay; repeated rows too,
+    unless their group has a lesser id."""
+    drop = near_groups(df, id_col, text_col, **how).where("id <> root").select(F.col("id").alias("__drop"))
+    return df.join(drop, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+
+
 def query(spark, sf_dir):
     """op10: fingerprints and components of all documents."""
     from .common import table
