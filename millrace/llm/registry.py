@@ -13,6 +13,7 @@ _NAMES = {
     "op6_quality_classifier": "quality",
     "op7_source_mixing": "mixing",
     "op8_exact_dedup": "exact_dedup",
+    "op9_suffix_dedup": "suffix_dedup",
     "op10_simhash_dedup": "simhash",
 }
 _MODULES = {name: importlib.import_module(f"{__package__}.{module}") for name, module in _NAMES.items()}
