@@ -24,6 +24,8 @@ SEED = 42
 #: Fingerprints in a block that is sent to a task, at most, and in a tile that is compared at once.
 BLOCK = 16_384
 TILE = 512
+#: Links that a task takes in to contract them.
+PART = 1_000_000
 
 
 def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -135,9 +137,11 @@ def forest(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Dat
     blocks = saved(_blocks(distinct, n, max(1024, min(block, n // 16))), "blocks")
     boxes = blocks.select("block", "lo", "hi")
     other = boxes.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # blocks meet by the counts of their first halves, those of one widened by the radius
+    reach = boxes.withColumn("cell", F.explode(F.expr(f"sequence(lo[0] - {radius}, hi[0] + {radius})")))
+    cells = other.withColumn("cell", F.explode(F.expr("sequence(lo2[0], hi2[0])")))
     gap = F.expr("greatest(0, lo[0] - hi2[0], lo2[0] - hi[0]) + greatest(0, lo[1] - hi2[1], lo2[1] - hi[1])")
-    # blocks against blocks, not rows: a row is 16,384 fingerprints, and the pairs of blocks are the work itself
-    pairs = boxes.join(other, (F.col("other") >= F.col("block")) & (gap <= radius)).select("block", "other")
+    pairs = saved(reach.join(cells, "cell").where((F.col("other") >= F.col("block")) & (gap <= radius)).select("block", "other").distinct(), "pairs")
     sent = pairs.join(blocks.select("block", "fps"), "block").join(blocks.select(F.col("block").alias("other"), F.col("fps").alias("fps2")), "other")
     sent = sent.repartition(max(1, min(20_000, pairs.count())), "block", "other")
 
@@ -151,12 +155,43 @@ def forest(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Dat
     return sent.mapInPandas(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """A forest (u, v), v the least of u's tree, of each of so many parts of the edges."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b[["u", "v"]].to_numpy() for b in batches]
+        nodes, at = np.unique(np.concatenate([np.zeros((0, 2), dtype=np.int64), *got]), return_inverse=True)
+        at = at.reshape(-1, 2)
+        parent = np.arange(len(nodes))
+        _join(parent, at[:, 0], at[:, 1])
+        child = np.flatnonzero(parent != np.arange(len(nodes)))
+        yield pd.DataFrame({"u": nodes[child], "v": nodes[parent[child]]})
+
+    return edges.repartition(tasks).mapInPandas(run, "u long, v long")
+
+
+def components(edges: DataFrame, part: int = PART) -> DataFrame:
     """(node, root) of every node of edges (u, v): root is the least node of its component.
 
-    Large-star and small-star contraction: each round replaces a node's links by links to its least neighbour, so a
-    chain shortens by half or more. A node with many links is aggregated before it is shuffled.
+    Parts of the edges are contracted to forests, in tasks of at most part edges, as long as that leaves fewer; when no
+    more than one part is left, its forest is the answer. A forest too large for that goes on by large-star and
+    small-star contraction: each round replaces a node's links by links to its least neighbour, so a chain shortens by
+    half or more. A node with many links is aggregated before it is shuffled.
     """
+    now = saved(edges.select("u", "v"), "edges")
+    n = now.count()
+    while n > part:
+        left = saved(_contracted(now, -(-n // part)), "edges")
+        now, before, n = left, n, left.count()
+        if n > 0.8 * before:
+            now = _stars(now)
+            break
+    else:
+        now = saved(_contracted(now, 1), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
@@ -169,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = saved(small.where("u <> v").distinct(), "edges")
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
         if new == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return now
         state = new
 
 
