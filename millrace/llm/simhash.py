@@ -24,6 +24,8 @@ SEED = 42
 #: Fingerprints in a block that is sent to a task, at most, and in a tile that is compared at once.
 BLOCK = 16_384
 TILE = 512
+#: Pairs of fingerprints that a task compares, on average.
+TASK = 200_000_000
 #: Links that a task takes in to contract them.
 PART = 1_000_000
 
@@ -135,15 +137,17 @@ def forest(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Dat
     n = distinct.count()
     # more blocks than tasks can run at once, so that a small table isn't compared by one of them
     blocks = saved(_blocks(distinct, n, max(1024, min(block, n // 16))), "blocks")
-    boxes = blocks.select("block", "lo", "hi")
-    other = boxes.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    boxes = blocks.select("block", "lo", "hi", (F.octet_length("fps") / 8).cast("long").alias("size"))
+    other = boxes.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("size").alias("size2"))
     # blocks meet by the counts of their first halves, those of one widened by the radius
     reach = boxes.withColumn("cell", F.explode(F.expr(f"sequence(lo[0] - {radius}, hi[0] + {radius})")))
     cells = other.withColumn("cell", F.explode(F.expr("sequence(lo2[0], hi2[0])")))
     gap = F.expr("greatest(0, lo[0] - hi2[0], lo2[0] - hi[0]) + greatest(0, lo[1] - hi2[1], lo2[1] - hi[1])")
-    pairs = saved(reach.join(cells, "cell").where((F.col("other") >= F.col("block")) & (gap <= radius)).select("block", "other").distinct(), "pairs")
+    pairs = reach.join(cells, "cell").where((F.col("other") >= F.col("block")) & (gap <= radius)).select("block", "other", (F.col("size") * F.col("size2")).alias("work"))
+    pairs = saved(pairs.distinct(), "pairs")
     sent = pairs.join(blocks.select("block", "fps"), "block").join(blocks.select(F.col("block").alias("other"), F.col("fps").alias("fps2")), "other")
-    sent = sent.repartition(max(1, min(20_000, pairs.count())), "block", "other")
+    work = pairs.agg(F.sum("work")).head()[0] or 0
+    sent = sent.select("block", "other", "fps", "fps2").repartition(min(100_000, work // TASK + 1), "block", "other")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
