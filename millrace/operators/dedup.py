@@ -172,7 +172,8 @@ def containment(df: DataFrame, protected: DataFrame, words: int = 8) -> DataFram
     """
     run = lambda t: F.xxhash64(F.concat_ws(" ", t))
     items = protected.select("item_id", F.col("text").alias("item"), X.words(F.col("text")).alias("w")).where("size(w) > 0")
-    short = items.withColumn("inner", F.slice("w", 2, words)).where("size(inner) > 0")
+    # the first and the last word may go on in the document; what is between stands there as it is
+    short = items.where("size(w) > 2").withColumn("inner", F.slice("w", F.lit(2), F.least(F.lit(words), F.size("w") - 2)))
     sizes = [r[0] for r in short.select(F.size("inner").alias("n")).distinct().collect()]  # words of them at most
     docs = df.select("doc_id", X.text().alias("body"), X.words(X.text()).alias("t"))
     found = None
@@ -180,6 +181,7 @@ def containment(df: DataFrame, protected: DataFrame, words: int = 8) -> DataFram
         grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - n, F.lit(0))), lambda i: run(F.slice("t", i + 1, n))))).alias("h"))
         hits = grams.join(short.where(F.size("inner") == n).select("item_id", "item", run(F.col("inner")).alias("h")), "h").select("item_id", "item", "doc_id")
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return df.select(F.lit(None).cast("long").alias("item_id"), "doc_id").limit(0)
+    tiny = items.where("size(w) < 3").select("item_id", "item")  # compared with all: they are few and fixed
+    few = docs.join(F.broadcast(tiny), F.col("body").contains(F.col("item"))).select("item_id", "item", "doc_id")
+    found = few if found is None else found.unionByName(few)
     return found.distinct().join(docs.select("doc_id", "body"), "doc_id").where(F.col("body").contains(F.col("item"))).select("item_id", "doc_id").distinct()
