@@ -194,3 +194,152 @@ def farthest_first(df: DataFrame, rate: float | None) -> DataFrame:
         if step + 1 < k:
             chosen = dist.where("not keep").orderBy(F.desc("d"), "doc_id").limit(1).collect()[0]
     return dist.select("doc_id", "keep", F.when(F.col("d") > 1, 1.0).otherwise(F.col("d")).alias("score"), F.lit("embedding_diversity_proxy").alias("reason"))
+
+
+def soft_sample(scored: DataFrame, k: int, temperature: float = 0.2, seed: int = 0) -> DataFrame:
+    """(doc_id) of k rows drawn without replacement, with weights exp((score - 1) / temperature).
+
+    The draw is by Gumbel's trick: the greatest of log weight plus noise hashed from the id, so a top-k is all it takes.
+    """
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+    return scored.select("doc_id", ((F.col("score") - 1) / max(temperature, 1e-6) - F.log(-F.log(u))).alias("g")).orderBy(F.desc("g"), "doc_id").limit(k).select("doc_id")
+
+
+def length_quota(scored: DataFrame, bin_col: str, k: int) -> DataFrame:
+    """scored with keep: of each bin its share of k, rounded half to even and one at least; filled up or cut by score.
+
+    scored: (doc_id, score, bin). Bins are few; only their sizes come to the driver.
+    """
+    n = scored.count()
+    first = scored.groupBy(bin_col).agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).orderBy("first").collect()
+    quotas, taken = [], 0
+    for r in first:
+        quota = round(r["c"] * k / max(1, n))
+        if quota == 0 and taken < k:
+            quota = 1
+        quotas.append((r[bin_col], quota))
+        taken += min(quota, r["c"])
+    if not quotas:
+        return scored.withColumn("keep", F.lit(False))
+    parts = None
+    for name, quota in quotas:
+        best = scored.where(F.col(bin_col).eqNullSafe(name)).orderBy(F.desc("score"), "doc_id").limit(quota).select("doc_id", "score")
+        parts = best if parts is None else parts.unionByName(best)
+    chosen = saved(parts, "quota")
+    have = chosen.count()
+    if have < k:
+        more = scored.join(chosen.select("doc_id"), "doc_id", "left_anti").orderBy(F.desc("score"), "doc_id").limit(k - have).select("doc_id", "score")
+        chosen = chosen.unionByName(more)
+    elif have > k:
+        chosen = chosen.orderBy(F.desc("score"), "doc_id").limit(k)
+    return scored.join(chosen.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id")
+
+
+def weak_rebalance(scored: DataFrame, bin_col: str, k: int, fraction: float = 0.45) -> DataFrame:
+    """scored (doc_id, score, bin, keep) with keep changed: a bin with less than its floor gets its best rows instead of
+    the lowest chosen ones. The floor is fraction of the bin's share of k.
+
+    Bins are worked off in the order of their first rows. What is evicted are the lowest scores over all bins, so only
+    as many rows as are added come to the driver.
+    """
+    n = scored.count()
+    bins = scored.groupBy(bin_col).agg(F.count("*").alias("c"), F.count_if("keep").alias("have"), F.min("doc_id").alias("first")).orderBy("first").collect()
+    added: list[tuple] = []
+    lowest = None
+    for r in bins:
+        floor = math.floor(r["c"] * k / max(1, n) * fraction)
+        if floor > r["have"]:
+            rows = scored.where(F.col(bin_col).eqNullSafe(r[bin_col]) & ~F.col("keep")).orderBy(F.desc("score"), "doc_id").limit(floor - r["have"]).select("doc_id", "score").collect()
+            added.append((r[bin_col], rows))
+    if not added:
+        return scored
+    total = sum(len(rows) for _, rows in added)
+    lowest = [(r["score"], r["doc_id"]) for r in scored.where("keep").orderBy("score", "doc_id").limit(total).collect()]
+    kept_count = scored.where("keep").count()
+    out: set = set()
+    new: list[tuple] = []
+    for _, rows in added:
+        for r in rows:
+            if kept_count >= k:
+                pool = sorted(lowest + new)
+                score, key = pool[0]
+                out.add(key)
+                (lowest if (score, key) in lowest else new).remove((score, key))
+                kept_count -= 1
+            new.append((r["score"], r["doc_id"]))
+            kept_count += 1
+    into = {key for _, key in new}
+    change = scored.sparkSession.createDataFrame([(key, True) for key in into] + [(key, False) for key in out - into], f"__id {dict(scored.dtypes)['doc_id']}, __keep boolean")
+    return scored.join(F.broadcast(change), F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.coalesce("__keep", "keep")).drop("__id", "__keep")
+
+
+def select_v3(scored: DataFrame, rate: float = 0.85, bin_col: str = "length_bin", top_fraction: float = 0.72, temperature: float = 0.2, seed: int = 0) -> DataFrame:
+    """scored with keep: the best by score, the rest of the quota drawn softly, then the weak rebalance by length."""
+    k = keep_count(scored.count(), rate)
+    top = max(1, min(k, round(k * top_fraction)))
+    best = saved(scored.orderBy(F.desc("score"), "doc_id").limit(top).select("doc_id"), "best")
+    soft = soft_sample(scored.join(best, "doc_id", "left_anti"), k - top, temperature, seed)
+    chosen = best.unionByName(soft).select(F.col("doc_id").alias("__id"))
+    out = saved(scored.join(chosen, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id"), "v3")
+    return weak_rebalance(out, bin_col, k)
+
+
+STRATEGIES = ("random_baseline", "high_quality_first", "low_quality_first", "easy_to_hard", "hard_to_easy", "quality_stratified_sampling", "mixed_quality_curriculum")
+
+
+def curriculum(scored: DataFrame, strategy: str, ratio: float = 0.75, seed: int = 23) -> DataFrame:
+    """(doc_id, score, position) of the first max(1, round(n * ratio)) rows in the strategy's order; an unknown one is an error."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    n = scored.count()
+    keep = max(1, round(n * ratio))
+    rows = scored.select("doc_id", "score")
+    if strategy == "random_baseline":
+        ranked = global_rank(rows.withColumn("__h", sha_rank(seed)), F.col("__h")).drop("__h")
+        place = F.col("rank") - 1
+    else:
+        ranked = global_rank(rows, F.desc("score"), F.col("doc_id"))
+        r = F.col("rank") - 1
+        if strategy in ("high_quality_first", "easy_to_hard"):
+            place = r
+        elif strategy in ("low_quality_first", "hard_to_easy"):
+            place = n - 1 - r
+        else:
+            half = n // 2
+            place = F.when(r < half, 2 * r).otherwise(2 * (n - 1 - r) + 1)
+            place = F.when(place >= n, n - 1).otherwise(place)
+            place = n - 1 - place if strategy == "mixed_quality_curriculum" else place
+    return ranked.select("doc_id", "score", place.cast("long").alias("position")).where(F.col("position") < keep)
+
+
+def truncate_by_budget(df: DataFrame, max_documents: int | None = None, max_tokens: int | None = None, max_bytes: int | None = None, order: str = "doc_id") -> DataFrame:
+    """Rows in order up to the first that goes over a budget. A first row that is too large is cut: to its first tokens,
+    joined by spaces, and then to its first bytes, at a character's end."""
+    x = X.text()
+    first = df.orderBy(order).limit(1).select(F.col(order).alias("__first"))
+    key = first.head()
+    if key is None or max_documents == 0:
+        return df.limit(0)
+    is_first = F.col(order) == F.lit(key[0])
+    text = x
+    if max_tokens is not None:
+        toks = F.regexp_extract_all(x, F.lit(rf"({X.WORD}+|[^\p{{L}}\p{{N}}_\s])"), F.lit(1))
+        text = F.when(is_first & (F.size(toks) > max_tokens), F.array_join(F.slice(toks, 1, max(1, max_tokens)) if max_tokens else F.array().cast("array<string>"), " ")).otherwise(text)
+    if max_bytes is not None:
+        cut = F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, max_bytes), "ISO-8859-1"), "[À-ÿ][\u0080-¿]*$", "")
+        whole = F.decode(F.substring(F.encode(text, "UTF-8"), 1, max_bytes), "ISO-8859-1")
+        last = F.regexp_extract(whole, "([À-ß][\u0080-¿]|[à-ï][\u0080-¿]{2}|[ð-÷][\u0080-¿]{3})$", 1)
+        kept = F.decode(F.encode(F.when(last != "", whole).otherwise(cut), "ISO-8859-1"), "UTF-8")
+        text = F.when(is_first & (F.octet_length(text) > max_bytes), kept).otherwise(text)
+    rows = df.withColumn("text", text)
+    rows = rows.withColumns({"__t": X.count_tokens(X.text()).cast("long"), "__b": F.octet_length(X.text()).cast("long"), "__one": F.lit(1).cast("long")})
+    stops = []
+    for col, most in (("__t", max_tokens), ("__b", max_bytes), ("__one", max_documents)):
+        if most is not None:
+            over = running(rows.select(order, col), col, F.col(order)).where((F.col("total") > most) & (F.col(order) != F.lit(key[0])))
+            stops.append(over.agg(F.min(order)).head()[0])
+    out = rows
+    for s in stops:
+        if s is not None:
+            out = out.where(F.col(order) < F.lit(s))
+    return out.drop("__t", "__b", "__one")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..functions import textexpr as X
 from ..functions.formulas import duckdb
-from ..operators import analysis, dedup, filters, pipeline, scoring, select, urd
+from ..operators import analysis, dedup, filters, ml, pipeline, scoring, select, urd
 from .oracle import ENTROPY, on_profile
 
 _QUERIES: dict = {}
@@ -441,6 +441,53 @@ SELECT c.a, c.b, n, round(greatest(0, log2(n * al / (l.na * r.na))), 6) AS ppmi
 )
 
 
+_scored = lambda df: scoring.hdqs(df).select("doc_id", F.round("score", 9).alias("score"))
+for _name in select.STRATEGIES:
+    if _name == "random_baseline":
+        _order = "sha256('23:' || doc_id)"
+    else:
+        _order = {"high": "s DESC, doc_id", "easy": "s DESC, doc_id", "low_": "s, doc_id DESC", "hard": "s, doc_id DESC"}.get(_name[:4], "")
+    _sql = on_profile(f"SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY {_order}) - 1 AS position, count(*) OVER () AS n FROM (SELECT doc_id, round({_HDQS_SCORE}, 9) AS s FROM q)) WHERE position < round_even(n * 0.75::DOUBLE, 0)", ENTROPY) if _order else None
+    _add(f"curriculum_{_name}", _on_docs(lambda df, n=_name: select.curriculum(_scored(df), n).select("doc_id", "position")), _sql)
+_add("select_hdqs_v2", _on_docs(lambda df: select.length_quota(select.saved(scoring.hdqs_v2(df).select("doc_id", F.round("score", 9).alias("score"), "length_bin"), "v2"), "length_bin", select.keep_count(df.count(), 0.85)).select("doc_id", "keep")))
+_add("select_hdqs_v3", _on_docs(lambda df: select.select_v3(select.saved(scoring.hdqs_v3(df).select("doc_id", "score", "length_bin"), "v3")).select("doc_id", "keep")))
+_add(
+    "truncate_by_budget",
+    _on_docs(lambda df: select.truncate_by_budget(df.select("doc_id", "text"), 100, 50_000, 400_000).select("doc_id", F.sha2("text", 256).alias("text_sha256"))),
+    rf"""SELECT doc_id, sha256(text) AS text_sha256 FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS i, sum(len(regexp_extract_all(text, '{X.WORD}+|[^\p{{L}}\p{{N}}_\s]'))) OVER (ORDER BY doc_id) AS t, sum(strlen(text)) OVER (ORDER BY doc_id) AS b FROM documents)
+WHERE i <= 100 AND t <= 50000 AND b <= 400000""",
+)
+_add(
+    "cloze_examples",
+    _on_docs(lambda df: df.select("doc_id", X.tokens(X.text()).alias("t")).where(F.size("t") >= 64).select("doc_id", F.array_join(F.slice("t", 1, 48), " ").alias("prompt"), F.array_join(F.slice("t", 49, 16), " ").alias("target"))),
+    f"SELECT doc_id, array_to_string(t[1:48], ' ') AS prompt, array_to_string(t[49:64], ' ') AS target FROM (SELECT doc_id, {_TOK} AS t FROM documents) WHERE len(t) >= 64",
+)
+_add(
+    "knn",
+    lambda spark, d: _rounded(ml.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0"), 5).select("query", "neighbour", "rank", "distance"), "distance"),
+    """SELECT query, neighbour, rank::INT AS rank, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query, e.vec_id AS neighbour, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
+)
+_add("kmeans", lambda spark, d: ml.kmeans(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 10).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters")))
+_add("pca", lambda spark, d: ml.pca(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 4).select("vec_id", F.transform("components", lambda c: F.round(F.abs(c), 4)).alias("components")))
+_add(
+    "linear_fit",
+    _on_docs(lambda df: _rounded(ml.linear_fit(X.profile(df), "n_tok", "n_len"), "slope", "intercept", "r2")),
+    on_profile("SELECT round(regr_slope(n_len, n_tok), 6) AS slope, round(regr_intercept(n_len, n_tok), 6) AS intercept, round(regr_r2(n_len, n_tok), 6) AS r2 FROM r"),
+)
+_add(
+    "anomaly_density",
+    lambda spark, d: _rounded(ml.anomaly(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_discount"]).select("l_orderkey", "l_linenumber", "log_density"), "log_density"),
+    """WITH s AS (SELECT avg(l_quantity) AS m, var_pop(l_quantity) AS v, avg(l_discount) AS n, var_pop(l_discount) AS w FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(-pow(l_quantity - m, 2) / (2 * v) - 0.5 * ln(2 * pi() * v) - pow(l_discount - n, 2) / (2 * w) - 0.5 * ln(2 * pi() * w), 6) AS log_density FROM lineitem, s""",
+)
+_add(
+    "conversation_tokens",
+    lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.size(X.tokens(X.text()))).alias("tokens"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")),
+    f"SELECT conv_id, count(*) AS turns, sum(len({_TOK}))::BIGINT AS tokens, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id",
+)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
