@@ -157,17 +157,17 @@ def _anchors(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's keys those that are in several documents, for each shard that has them."""
-    single = [_unpacked(x) for x in group["single"]]
-    several = [_unpacked(x) for x in group["several"]]
-    keys = np.concatenate([*single, *several, *several])  # twice is several
-    keys.sort()
-    twice = np.unique(keys[1:][keys[1:] == keys[:-1]])
+    mine = [np.concatenate([_unpacked(x), _unpacked(y)]) for x, y in zip(group["single"], group["several"])]
+    keys, ends = np.concatenate(mine), np.cumsum([len(m) for m in mine])
+    ordered = np.sort(np.concatenate([keys, *[_unpacked(y) for y in group["several"]]]))  # twice is several
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return pd.DataFrame([], columns=["shard", "bucket", "keys"])
+    use = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
     rows = []
-    for shard, a, b in zip(group["shard"], single, several):
-        mine = np.concatenate([a, b])
-        mine = mine[np.isin(mine, twice)] if len(twice) else mine[:0]
-        if len(mine):
-            rows.append((shard, int(group["bucket"].iloc[0]), _packed(mine)))
+    for shard, end, m in zip(group["shard"], ends, mine):
+        if (part := m[use[end - len(m) : end]]).size:
+            rows.append((shard, int(group["bucket"].iloc[0]), _packed(part)))
     return pd.DataFrame(rows, columns=["shard", "bucket", "keys"])
 
 
