@@ -171,6 +171,19 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shard", "bucket", "keys"])
 
 
+def _z(data: bytes) -> bytes:
+    """Compressed: shuffles only look for repeats, and this has few; it also counts how often bytes come."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unz(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 _SENT = "kind int, bucket int, shard int, ids binary, refs binary, starts binary, sizes binary, anchors binary, text binary"
 
 
@@ -216,12 +229,12 @@ def _sent(group: pd.DataFrame, keys: pd.DataFrame, buckets: int) -> pd.DataFrame
         rows.append(
             (
                 0, b, number,
-                np.array(ids[run], dtype="<i8").tobytes(),
-                np.stack([ref[:, 0] - run.start, ref[:, 1]], axis=1).astype("<i4").tobytes(),
-                ref[:, 2].astype("<i8").tobytes(),
-                np.array([len(t) for t in texts[run]], dtype="<i8").tobytes(),
-                by_key[run].astype("<u8").tobytes(),
-                b"".join(texts[run]),
+                _z(np.array(ids[run], dtype="<i8").tobytes()),
+                _z(np.stack([ref[:, 0] - run.start, ref[:, 1]]).astype("<i4").tobytes()),
+                _z(ref[:, 2].astype("<i8").tobytes()),
+                _z(np.array([len(t) for t in texts[run]], dtype="<i8").tobytes()),
+                _packed(by_key[run]),
+                _z(b"".join(texts[run])),
             )
         )
     if settled:
@@ -237,22 +250,23 @@ def _resolved(group: pd.DataFrame) -> pd.DataFrame:
     entry_text, entry_id, entry_shard, ref_entry, ref_doc, ref_start, keys = ([] for _ in range(7))
     entries = 0
     for row in group.itertuples():
-        sizes = np.frombuffer(row.sizes, dtype="<i8")
+        sizes = np.frombuffer(_unz(row.sizes), dtype="<i8")
         ends = np.cumsum(sizes).tolist()
+        joined = _unz(row.text)
         for a, b in zip([0, *ends], ends):
-            text = row.text[a:b]
+            text = joined[a:b]
             at = place.get(text)
             if at is None:
                 at = place[text] = len(texts)
                 texts.append(text)
             entry_text.append(at)
-        entry_id.append(np.frombuffer(row.ids, dtype="<i8"))
-        keys.append(np.frombuffer(row.anchors, dtype="<u8"))
+        entry_id.append(np.frombuffer(_unz(row.ids), dtype="<i8"))
+        keys.append(_unpacked(row.anchors))
         entry_shard.append(np.full(len(sizes), row.shard))
-        ref = np.frombuffer(row.refs, dtype="<i4").reshape(-1, 2)
-        ref_entry.append(ref[:, 0].astype(np.int64) + entries)
-        ref_doc.append(ref[:, 1])
-        ref_start.append(np.frombuffer(row.starts, dtype="<i8"))
+        ref = np.frombuffer(_unz(row.refs), dtype="<i4").reshape(2, -1)
+        ref_entry.append(ref[0].astype(np.int64) + entries)
+        ref_doc.append(ref[1])
+        ref_start.append(np.frombuffer(_unz(row.starts), dtype="<i8"))
         entries += len(sizes)
     text_of, owner, shard, key = np.array(entry_text), np.concatenate(entry_id), np.concatenate(entry_shard), np.concatenate(keys)
     entry, doc, start = np.concatenate(ref_entry), np.concatenate(ref_doc), np.concatenate(ref_start)
