@@ -92,7 +92,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     less than any other, and is the keep_id of a group only if that has no other. An empty table gives no rows.
     """
     docs = saved(identities(df, id_col, text_col, **how), "identity")
-    groups = docs.groupBy("n", "name").agg(F.max("kid").alias("top"), F.sum("copies").alias("group_size"))
+    # written, so that both sides of the join are exchanged for it and a large group can be split
+    groups = saved(docs.groupBy("n", "name").agg(F.max("kid").alias("top"), F.sum("copies").alias("group_size")), "groups")
     rows = docs.join(groups, ["n", "name"]).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return rows.select(
@@ -107,7 +108,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     docs = identities(df, id_col, text_col, **how)
     docs = saved(docs, "identity")
-    groups = docs.groupBy("n", "name").agg(F.max("kid").alias("top"))
+    groups = saved(docs.groupBy("n", "name").agg(F.max("kid").alias("top")), "groups")
     stay = docs.join(groups, ["n", "name"]).where("kid = top").select(F.col("kid").alias("__kid"), F.col("row").alias("__row"), F.col("copies").alias("__copies"))
     normalise = how.get("normalise", lower_ascii)
     keyed = df.withColumns({"__kid": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__row": F.xxhash64(normalise(F.coalesce(F.col(text_col), F.lit(""))))})
