@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SEED = "mix-1"
 #: Of the default targets: shares are raised to this power, then normalised.
 TEMPERATURE = 0.5
@@ -73,7 +75,8 @@ def mix(
     A null source is a source; a null id hashes as "null". Repeated rows get the same count each. Empty texts are
     replicated like others; a table without any characters gives no rows.
     """
-    per = rates(df, source_col, text_col, targets, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
+    # written: Spark then knows how small it is, and where it isn't can split a large source's rows in the join
+    per = saved(rates(df, source_col, text_col, targets, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf")), "rates")
     u = uniform(seed, F.col(id_col))
     counted = df.join(per, F.col(source_col).eqNullSafe(F.col("__source")), "left").withColumn("__u", u)
     counted = counted.withColumn("copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("long"))
