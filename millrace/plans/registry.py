@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..functions import textexpr as X
 from ..functions.formulas import duckdb
-from ..operators import analysis, dedup, filters, ml, pipeline, scoring, select, urd
+from ..operators import analysis, dedup, evaluation, filters, ml, pipeline, scoring, select, urd
 from .oracle import ENTROPY, on_profile
 
 _QUERIES: dict = {}
@@ -441,6 +441,46 @@ SELECT c.a, c.b, n, round(greatest(0, log2(n * al / (l.na * r.na))), 6) AS ppmi
 )
 
 
+# --- comparisons of methods
+
+_add("lm_metrics", lambda spark, d: _rounded(evaluation.lm_metrics(_events(spark, d).withColumn("nll", F.col("value") / 100), "event_type", "nll"), "mean_nll", "perplexity"), "SELECT event_type, count(value) AS n, round(avg(value / 100), 6) AS mean_nll, round(exp(avg(value / 100)), 6) AS perplexity FROM events GROUP BY event_type")
+_PAIRED = f"WITH p AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL), x AS (SELECT p.event_type, b.v - p.v AS d FROM p JOIN p b ON b.user_id = p.user_id AND b.event_type = 'click' WHERE p.event_type <> 'click'), s AS (SELECT event_type, {_CI_SQL}, mean > 0 AS positive_mean_improvement FROM (SELECT event_type, count(d) AS n, avg(d) AS mean, coalesce(stddev_samp(d), 0) AS std FROM x GROUP BY event_type))"
+_add("registry_significance", lambda spark, d: _rounded(evaluation.significance(_events(spark, d), "event_type", "user_id", "value", "click"), *_CI), _PAIRED + " SELECT *, CASE WHEN n < 3 THEN 'insufficient_pairs' WHEN ci95_low > 0 THEN 'improvement' WHEN ci95_high < 0 THEN 'regression' ELSE 'inconclusive' END AS status FROM s")
+_add("seed_sets", lambda spark, d: evaluation.seed_sets(_events(spark, d), "event_type", "user_id", "click"), "WITH s AS (SELECT event_type, list_sort(list(DISTINCT user_id)) AS l FROM events GROUP BY event_type) SELECT event_type, l = (SELECT l FROM s WHERE event_type = 'click') AS same_seeds FROM s")
+_add(
+    "cross_dataset_audit",
+    lambda spark, d: _rounded(evaluation.audit(_events(spark, d).withColumn("day", F.to_date("ts").cast("string")), "day", "event_type", "value", "click"), "mean", "ratio"),
+    "WITH m AS (SELECT ts::DATE::VARCHAR AS day, event_type, avg(value) AS mean FROM events GROUP BY ALL) SELECT m.day, m.event_type, round(m.mean, 6) AS mean, round(m.mean / b.mean, 6) AS ratio, CASE WHEN b.mean IS NULL THEN 'no_baseline' WHEN m.event_type = 'click' THEN 'baseline' WHEN m.mean / b.mean < 1 THEN 'better' ELSE 'not_better' END AS verdict FROM m LEFT JOIN m b ON b.day = m.day AND b.event_type = 'click'",
+)
+_MECH = ["document_keep_rate", "token_keep_rate", "vocabulary_keep_rate", "source_keep_rate"]
+_add(
+    "overfiltering",
+    _on_docs(lambda df: _rounded(evaluation.mechanism(df, pipeline.kept(df, filters.length_filter(df, 32, 2048))), *_MECH)),
+    f"""WITH d AS (SELECT *, {_W} BETWEEN 32 AND 2048 AS keep, {_TOK} AS toks FROM documents), t AS (SELECT keep, unnest(toks) AS t FROM d)
+SELECT round(count(*) FILTER (keep) / count(*), 6) AS document_keep_rate, round(sum(len(toks)) FILTER (keep) / sum(len(toks)), 6) AS token_keep_rate, round((SELECT count(DISTINCT t) FILTER (keep) / count(DISTINCT t) FROM t), 6) AS vocabulary_keep_rate,
+round(count(DISTINCT source) FILTER (keep) / count(DISTINCT source), 6) AS source_keep_rate, count(*) FILTER (keep) / count(*) < 0.7 AS overfiltered FROM d""",
+)
+_add("calibration_objective", _on_docs(lambda df: _rounded(evaluation.calibration(df, pipeline.kept(df, filters.length_filter(df, 32, 2048))), "token_js", "length_js", "retention", "objective")))
+_add("split_overlap", _on_docs(lambda df: evaluation.split_overlap(df.withColumn("split", _split()), "split")), f"WITH h AS (SELECT DISTINCT {_SPLIT_SQL} AS split, sha256({_NORM}) AS hash FROM documents) SELECT x.split AS a, y.split AS b, count(*) AS shared FROM h x JOIN h y ON x.hash = y.hash AND x.split < y.split GROUP BY ALL")
+_add(
+    "turn_overlap",
+    lambda spark, d: _rounded(_turns(spark, d).select("conv_id", "turn", evaluation.lcs_f1(F.col("text"), F.col("next")).alias("lcs_f1")), "lcs_f1"),
+)
+_add(
+    "component_means",
+    _on_docs(lambda df: _rounded(scoring.components(df).groupBy("source").agg(*[F.avg(f"h_{k}").alias(k) for k in formulas.HDQS]), *formulas.HDQS)),
+    on_profile("SELECT source, " + ", ".join(f"round(avg(h_{k}), 6) AS {k}" for k in formulas.HDQS) + " FROM q GROUP BY source", ENTROPY),
+)
+
+
+def _turns(spark, d) -> DataFrame:
+    """Each turn with the next of its conversation."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"])
+
+
+# --- curricula, selections and numeric methods
+
 _scored = lambda df: scoring.hdqs(df).select("doc_id", F.round("score", 9).alias("score"))
 for _name in select.STRATEGIES:
     if _name == "random_baseline":
