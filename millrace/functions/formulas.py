@@ -22,6 +22,8 @@ def clamp(sql: str) -> str:
     return f"greatest(0.0, least(1.0, {sql}))"
 
 
+# fixed values: the weights, caps, thresholds, names and reasons in the tables below are those that scores are defined by
+
 RATIOS = {
     "symbol_ratio": "n_sym / greatest(1, n_len)",
     "punctuation_ratio": "n_punct / greatest(1, n_len)",
