@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 KEPT = 128
 #: Documents in a range of ids, about; the ranges are what is dealt out.
 RANGE = 500
-MOST_RANGES = 4096
+MOST_RANGES = 32_768
 NO_ID = -(2**63)
 
 
