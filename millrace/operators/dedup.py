@@ -80,13 +80,14 @@ def near_pairs(df: DataFrame, threshold: float = 0.82, size: int = 3, toks: Colu
 def jaccard_pairs(df: DataFrame, threshold: float = 0.82, size: int = 3) -> DataFrame:
     """All pairs (a, b, similarity) of documents, exactly: rows with equal sets are compared once and then expanded."""
     sh = saved(shingles(df, size), "shingles").select("doc_id", F.array_sort("shingles").alias("shingles"))
-    sets = sh.groupBy("shingles").agg(F.min("doc_id").alias("lead"))
-    member = sh.join(sets, "shingles").select("doc_id", "lead")
+    key = [F.xxhash64("shingles").alias("h"), F.size("shingles").alias("k")]  # equal sets meet by hash and size, and are compared
+    sets = saved(sh.groupBy(*key, "shingles").agg(F.min("doc_id").alias("lead")), "sets")
+    member = sh.select("*", *key).join(sets.select("h", "k", F.col("shingles").alias("same"), "lead"), ["h", "k"]).where("shingles = same").select("doc_id", "lead")
     n = sets.select("lead", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
     # prefix filter: two sets of similarity t share one of the rarest n - ceil(t n) + 1 values of each
     df_ = n.groupBy("v").agg(F.count("*").alias("c"))
     ranked = n.join(df_, "v").withColumn("r", F.row_number().over(Window.partitionBy("lead").orderBy("c", "v")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("c > 1").select("lead", "n", "v")
+    prefix = saved(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("c > 1").select("lead", "n", "v"), "prefix")
     other = prefix.select(F.col("lead").alias("other"), F.col("n").alias("m"), "v")
     pairs = prefix.join(other, "v").where((F.col("lead") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)).select("lead", "other").distinct()
     x, y = sets.select("lead", F.col("shingles").alias("x")), sets.select(F.col("lead").alias("other"), F.col("shingles").alias("y"))
