@@ -5,7 +5,9 @@ whose occurrence vectors (how often in which page) are equal form a class. A cla
 host and has several tokens, a tag among them, that every page has equally often; the valid ones, nested by their places in the page,
 are the host's template. What is left between its tokens are slots. A slot belongs to the page's furniture if an element
 around it says so (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), and text that is itself
-a template token is furniture too, unless it is in the article. The text of the other slots is the page's main text.
+a template token is furniture too, in an article as elsewhere. The text of the other slots is the page's main text. An
+article (or else main element) decides only where the template leaves it no text of its own: if it is longer than what
+is left of the page, it is a copied article and stays.
 
 Vectors are compared by a sum of hashes, in one aggregation by (host, token) with partial sums, so a host with a third of
 all pages costs no task more than its tokens. A template is as long as its host's pages are, and hosts' templates are
@@ -140,12 +142,16 @@ def key_of(block: Block) -> str:
 
 
 def extract(page: str, template: frozenset[str] = frozenset()) -> str:
-    """The main text of a page, given its host's template tokens: of its articles, else its main element, else all of it."""
+    """The main text of a page, given its host's template tokens: all that is neither furniture nor template."""
     blocks = [b for b in parse(page)[0] if not b.furniture]
-    for place in ("article", "main"):
-        if found := [b.text for b in blocks if b.place == place]:
-            return "\n".join(found)
-    return "\n".join(b.text for b in blocks if key_of(b) not in template)
+    own = [key_of(b) not in template for b in blocks]
+    place = next((p for p in ("article", "main") if any(b.place == p for b in blocks)), None)
+    inside = [b.place == place for b in blocks]
+    if not any(x and y for x, y in zip(own, inside)):
+        left = sum(len(b.text) for b, x in zip(blocks, own) if x)
+        if sum(len(b.text) for b, y in zip(blocks, inside) if y) > left:
+            own = [x or y for x, y in zip(own, inside)]
+    return "\n".join(b.text for b, x in zip(blocks, own) if x)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -156,8 +162,7 @@ def templates(pages: DataFrame) -> DataFrame:
             rows = []
             for host, key, body in zip(b["host"], b["id"], b["body"]):
                 blocks, tags = parse(body)
-                # text in an article is never furniture, so it needs no vector
-                seen = Counter(tags) + Counter(key_of(x) for x in blocks if not x.place and not x.furniture)
+                seen = Counter(tags) + Counter(key_of(x) for x in blocks)
                 rows.append((host, "", key, 1, 0.0))
                 rows += [(host, token, key, n, k / len(seen)) for k, (token, n) in enumerate(seen.items())]
             yield pd.DataFrame(rows, columns=["host", "token", "id", "n", "at"])

@@ -104,6 +104,19 @@ def test_templates(spark, pages):
     assert all(r["n_chars"] == len(r["text"]) for r in all_)
 
 
+def test_template_decides_in_articles(spark):
+    """Text outside a teaser's article stays, and what a host repeats in its articles or its main element goes."""
+    teaser = "<html><body><article><p>Join us</p></article><div><p>A long story of page {k}</p></div></body></html>"
+    inside = "<html><body><main><article><p>Own text {k}</p><div><p>About the author</p></div></article></main></body></html>"
+    rows = [row(100 + k, f"http://teaser.example/{k}", teaser.format(k=k)) for k in range(8)]
+    rows += [row(200 + k, f"http://inside.example/{k}", inside.format(k=k)) for k in range(8)]
+    rows += [row(300, "http://alone.example/", teaser.format(k=0))]
+    got = {r["page_id"]: r["text"] for r in H.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[100 + k] == f"A long story of page {k}" for k in range(8))
+    assert all(got[200 + k] == f"Own text {k}" for k in range(8))
+    assert got[300] == "Join us\nA long story of page 0"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
