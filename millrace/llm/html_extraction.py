@@ -33,7 +33,8 @@ SHARE = 0.8
 LEAST = 5
 
 # fixed values: element names of HTML, and words of class names, ids and roles
-RAW = "script|style|noscript|template|title|textarea|iframe|object|svg|math|select|option|button|canvas|audio|video"
+RAW = "script|style|title|textarea"
+SKIPPED = "noscript|template|iframe|object|svg|select|datalist|button|canvas|audio|video"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -49,7 +50,7 @@ HINTS = frozenset(
 )
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<skipped>{SKIPPED})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?</(?P=skipped)\s*>|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -74,21 +75,25 @@ def _is_furniture(name: str, rest: str, inside: str) -> bool:
         return False
     if _HIDDEN.search(rest):
         return True
-    for kind, *values in _NAMED.findall(rest):
-        value = next((v for v in values if v), "")
-        if kind.lower() == "role":
-            if value.strip().lower() in ROLES:
-                return True
-        elif any(w.lower() in HINTS for w in _WORDS.findall(value)):
-            return True
-    return False
+    return any(kind.lower() == "role" and "".join(values).strip().lower() in ROLES for kind, *values in _NAMED.findall(rest))
+
+
+def _is_hinted(name: str, rest: str) -> bool:
+    """Whether a class or id says furniture with all its words: cookie-notice does, with-sidebar and no-comments don't."""
+    if name in ("html", "body", "article", "main") or not rest.strip():
+        return False
+    names = (n for kind, *values in _NAMED.findall(rest) if kind.lower() != "role" for n in "".join(values).split())
+    return any(words and all(w.lower() in HINTS for w in words) for words in map(_WORDS.findall, names))
 
 
 def parse(page: str) -> tuple[list[Block], list[str]]:
     """Blocks of text in page order, and the keys of the tags."""
     blocks: list[Block] = []
     tags: list[str] = []
-    stack: list[tuple[str, str, bool, str]] = []  # name, path, furniture, place
+    stack: list[tuple[str, str, bool, str, tuple[int, ...]]] = []  # name, path, furniture, place, hinted elements around
+    hinted: list[tuple[int, ...]] = []  # of each block
+    mains: set[int] = set()  # hinted elements around a main element
+    elements = 0
     parts: list[str] = []
     at = 0
 
@@ -96,8 +101,9 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, path, furniture, place = stack[-1] if stack else ("", "", False, "")
+            _, path, furniture, place, around = stack[-1] if stack else ("", "", False, "", ())
             blocks.append(Block(f"{path}#{text}", text, furniture, place))
+            hinted.append(around)
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -125,14 +131,37 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                     break
                 if stack[k][0] in _WALLS:
                     break
-        _, path, furniture, place = stack[-1] if stack else ("", "", False, "")
+        _, path, furniture, place, around = stack[-1] if stack else ("", "", False, "", ())
         path = f"{path}/{name}"
         tags.append(path)
         if name not in VOID and not m["rest"].endswith("/"):
-            stack.append((name, path, furniture or _is_furniture(name, m["rest"], place), "article" if name == "article" or place == "article" else "main" if name == "main" else place))
+            elements += 1
+            if name == "main":
+                mains.update(around)
+            around = (*around, elements) if _is_hinted(name, m["rest"]) else around
+            stack.append((name, path, furniture or _is_furniture(name, m["rest"], place), "article" if name == "article" or place == "article" else "main" if name == "main" else place, around))
     parts.append(page[at:])
     flush()
-    return blocks, tags
+    return _without(blocks, hinted, mains), tags
+
+
+def _without(blocks: list[Block], hinted: list[tuple[int, ...]], mains: set[int]) -> list[Block]:
+    """The blocks, those in hinted elements being furniture.
+
+    A hint doesn't count on an element that holds the main element, or the page's only articles and over half of its
+    text; no hint does where nothing else is left.
+    """
+    if not any(hinted):
+        return blocks
+    void = set(mains)
+    if not any(b.place == "article" and not b.furniture and not h for b, h in zip(blocks, hinted)):
+        size = Counter[int]()
+        for b, h in zip(blocks, hinted):
+            size.update(dict.fromkeys(h, len(b.text)))
+        held = {k for b, h in zip(blocks, hinted) if b.place == "article" and not b.furniture for k in h}
+        void |= {k for k in held if 2 * size[k] > sum(len(b.text) for b in blocks)}
+    out = [b._replace(furniture=b.furniture or not void.issuperset(h)) for b, h in zip(blocks, hinted)]
+    return blocks if all(b.furniture for b in out) else out
 
 
 def key_of(block: Block) -> str:

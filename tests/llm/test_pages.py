@@ -90,6 +90,18 @@ def test_extract():
     assert H.extract("<article><p>a</p><!-- <p>no</p> --><script>x</script><p>b</article>") == "a\nb"
 
 
+def test_furniture_does_not_swallow_the_page():
+    story = "<article><p>The story that the page is about</p></article>"
+    for name in ("class='layout with-sidebar'", "class='no-comments'", "id='share-root'", "class=widget", "id=modal"):
+        assert H.extract(f"<body><nav>Menu</nav><div {name}>{story}</div></body>") == "The story that the page is about"
+    assert H.extract("<body><div class=overlay><main><p>Text</p></main></div><p>More</p></body>") == "Text\nMore"
+    assert H.extract("<body><div class='sidebar'>Side</div><p>Text</p></body>") == "Text"
+    for raw in ("<svg viewBox='0 0 1 1'/>", "<canvas/>", "<object data=x />", "<video src='x'/>", "<datalist><option>A<option>B</datalist>", "<canvas>", "<svg><text>no</text></svg>"):
+        assert H.extract(f"<article><p>Before</p>{raw}<p>After</p></article>") == "Before\nAfter"
+    assert H.extract("<article><p>Let <math><mi>x</mi></math> be</p></article>") == "Let x be"
+    assert H.extract("<article><p>Before</p><script>never closed <p>no") == "Before"
+
+
 def test_templates(spark, pages):
     """Text that most pages of a host share goes, but not from an article; a small host has no template."""
     rows = [row(100 + k, f"http://big.example/{k}", f"<html><body><div>Same everywhere</div><div><p>Own text {k}</p><p>Other {k}</p></div></body></html>") for k in range(8)]
