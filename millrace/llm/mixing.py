@@ -16,7 +16,8 @@ from .common import saved
 SEED = "mix-1"
 #: Of the default targets: shares are raised to this power, then normalised.
 TEMPERATURE = 0.5
-#: Poisson terms summed at most; rates are kept under a quarter of that, where the rest is under 1e-80.
+#: Poisson terms summed from 0 at most, for rates up to a quarter of that, where the rest is under 1e-80; for higher rates
+#: as many terms around the mode as leave a rest of 1e-30.
 TERMS = 256
 
 
@@ -39,11 +40,30 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(terms, start, add, lambda acc: acc["all"])
 
 
+def poisson_window(rate: Column) -> Column:
+    """(first, cdf): the cumulative probabilities of first, first + 1, ... of a high rate, twelve deviations either way.
+
+    Terms are relative to that of first, which would be 0 as such, and divided by their sum.
+    """
+    reach = F.sqrt(rate) * 12 + 40
+    first = F.greatest(F.lit(0), F.floor(rate - reach)).cast("long")
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("c"), F.array(F.lit(1.0)).alias("all"))
+
+    def add(acc: Column, k: Column) -> Column:
+        p = acc["p"] * rate / k
+        c = acc["c"] + p
+        return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["all"], F.array(c)).alias("all"))
+
+    terms = F.sequence(first + 1, F.ceil(rate + reach).cast("long"))
+    return F.struct(first.alias("first"), F.aggregate(terms, start, add, lambda acc: F.transform(acc["all"], lambda c: c / acc["c"])).alias("cdf"))
+
+
 def rates(df: DataFrame, source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
-    """(source, rate, cdf), a row for each source. total: characters of the output, as a multiple of the input's.
+    """(source, rate, first, cdf), a row for each source. total: characters of the output, as a multiple of the input's.
 
     Without targets a source's weight is its share of the characters to the power of TEMPERATURE. A source that targets
-    lacks gets rate 0. A rate over TERMS / 4 is refused: it would repeat each document that often.
+    lacks gets rate 0. A rate over TERMS / 4 that targets ask for is refused: it would repeat each document that often.
+    Without targets any rate is served.
     """
     chars = df.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.char_length(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("chars"))
     if targets is None:
@@ -57,8 +77,12 @@ def rates(df: DataFrame, source_col: str = "source", text_col: str = "text", tar
     else:
         rate = F.when(F.col("chars") > 0, F.col("weight") / F.lit(whole["weight"]) * F.lit(float(whole["chars"])) * F.lit(float(total)) / F.col("chars")).otherwise(F.lit(0.0))
     out = weighed.select("source", "chars", rate.alias("rate"))
-    too_much = F.raise_error(F.concat(F.lit("repetition rate too high for source "), F.coalesce("source", F.lit("null"))))
-    return out.withColumn("rate", F.when(F.col("rate") > TERMS / 4, too_much.cast("double")).otherwise(F.col("rate"))).withColumn("cdf", poisson_cdf(F.col("rate")))
+    high = F.col("rate") > TERMS / 4
+    if targets is not None:
+        too_much = F.raise_error(F.concat(F.lit("repetition rate too high for source "), F.coalesce("source", F.lit("null"))))
+        out = out.withColumn("rate", F.when(high, too_much.cast("double")).otherwise(F.col("rate")))
+    low = F.struct(F.lit(0).cast("long").alias("first"), poisson_cdf(F.col("rate")).alias("cdf"))
+    return out.withColumn("counts", F.when(high, poisson_window(F.col("rate"))).otherwise(low)).select("source", "chars", "rate", "counts.first", "counts.cdf")
 
 
 def mix(
@@ -76,10 +100,10 @@ def mix(
     replicated like others; a table without any characters gives no rows.
     """
     # written: Spark then knows how small it is, and where it isn't can split a large source's rows in the join
-    per = saved(rates(df, source_col, text_col, targets, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf")), "rates")
+    per = saved(rates(df, source_col, text_col, targets, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf")), "rates")
     u = uniform(seed, F.col(id_col))
     counted = df.join(per, F.col(source_col).eqNullSafe(F.col("__source")), "left").withColumn("__u", u)
-    counted = counted.withColumn("copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("long"))
+    counted = counted.withColumn("copies", F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
     each = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     key = F.substring(F.sha2(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy")), 256), 1, 16)
     each = each.withColumn("shuffle_key", key).select(*[c for c in df.columns if c not in ("copies", "copy", "shuffle_key")], "copies", "copy", "shuffle_key")

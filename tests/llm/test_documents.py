@@ -290,6 +290,21 @@ def test_mixing_meets_targets(spark):
         mixing.mix(df, targets={"c": 1.0}, total=50.0).count()
 
 
+def test_mixing_serves_any_rate(spark):
+    """Rare sources beside a large one: their counts have the mean and the variance of the Poisson distribution."""
+    large = spark.range(40).select((F.col("id") + 10**6).alias("doc_id"), F.lit("large").alias("source"), F.repeat(F.lit("x"), 10**6).alias("text"))
+    rare = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("rare").alias("source"), F.lit("0123456789").alias("text"))
+    few = spark.createDataFrame([(-1, None, "abc")], "doc_id long, source string, text string")
+    df = large.unionByName(rare).unionByName(few)
+    rate = {r["source"]: r["rate"] for r in mixing.rates(df).collect()}
+    assert rate["rare"] > mixing.TERMS / 4 and rate[None] > 2000
+    counts = [r["n"] for r in mixing.mix(df).where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    assert len(counts) == 200
+    assert abs(np.mean(counts) - rate["rare"]) < 5 * (rate["rare"] / 200) ** 0.5
+    assert 0.5 < np.var(counts) / rate["rare"] < 1.7
+    assert abs(mixing.mix(df).where("source is null").count() - rate[None]) < 6 * rate[None] ** 0.5
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(1, 20)] + [(None, 1, 0), (3, None, 0), (1001, 0, 1)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
