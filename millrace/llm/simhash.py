@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -228,8 +228,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 #: For dropping near copies: words in a shingle, the least Jaccard similarity of a link's shingle sets, and the radius
-#: within which 96 % of such pairs lie; documents of a component that are verified against each other at once.
+#: within which most such pairs lie; documents of a component that are verified against each other at once.
 COPY_WORDS, SIMILARITY, COPY_RADIUS, CHUNK = 5, 0.8, 12, 512
+#: For pairs past the radius: shingles that their prefixes have in common at least. Shingles that come last in the order
+#: of prefixes: those that OFTEN or more documents of a sample have, FREQUENT of them at most. The order may be any.
+COMMON, SAMPLE, OFTEN, FREQUENT = 8, 16, 5, 200_000
 
 
 def shingle_set(text: str, words: int = COPY_WORDS) -> np.ndarray:
@@ -241,6 +244,93 @@ def shingle_set(text: str, words: int = COPY_WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[k : k + words])) for k in range(n)], dtype=np.uint64))
 
 
+def prefix(shingles: np.ndarray, similarity: float, last: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of hashes, but those in last (sorted) at the end, by their ranks.
+
+    Of two sets of the similarity, with c shingles in common, the first min(c, COMMON) of these are in both prefixes.
+    """
+    if len(last):
+        at = np.minimum(np.searchsorted(last, shingles), len(last) - 1)
+        hit = last[at] == shingles
+        shingles = np.concatenate([shingles[~hit], shingles[hit][np.argsort(ranks[at[hit]])]])
+    least = int(np.ceil(len(shingles) * similarity - 1e-9))
+    return shingles[: len(shingles) - least + min(COMMON, least)]
+
+
+def sketches(rows: DataFrame, words: int = COPY_WORDS) -> DataFrame:
+    """(id, fp, n): the SimHash of a text's different shingles, and their number. rows: (id, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps, sizes = [], []
+            for t in b["text"]:
+                found = shingle_set(t or "", words)
+                counts = sum(
+                    (np.unpackbits(found[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(found), 4096)), np.zeros(64, dtype=np.int64)
+                )
+                fps.append(int(sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(found)))))
+                sizes.append(len(found))
+            yield pd.DataFrame({"id": b["id"], "fp": np.array(fps, dtype=np.uint64).view(np.int64), "n": sizes})
+
+    return rows.mapInPandas(run, "id long, fp long, n long")
+
+
+def far_pairs(rows: DataFrame, placed: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v): all pairs of documents of different groups whose shingle sets are similar enough, by prefix filtering.
+
+    rows: (id, text); placed: (id, root, n), a row for each id, root being the least id of its group so far. What a
+    group has in common is compared once for each other group, so that a large group doesn't meet itself.
+    """
+
+    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                yield pd.DataFrame({"v": np.concatenate([shingle_set(t or "", words) for t in b["text"][k : k + 256]]).view(np.int64)})
+
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInPandas(sampled, "v long")
+    often = sample.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "v").limit(FREQUENT).collect()
+    last = np.array([r["v"] for r in often], dtype=np.int64).view(np.uint64)
+    by = np.argsort(last)
+    last, ranks = last[by], -by  # the most frequent at the very end
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                found = [prefix(shingle_set(t or "", words), similarity, last, ranks) for t in b["text"][k : k + 256]]
+                yield pd.DataFrame({"v": np.concatenate(found).view(np.int64), "id": np.repeat(b["id"][k : k + 256].to_numpy(), [len(x) for x in found])})
+
+    of_value = Window.partitionBy("v")
+    shared = saved(rows.mapInPandas(prefixes, "v long, id long").withColumn("c", F.count("*").over(of_value)).where("c > 1").select("v", "id").distinct(), "shared")
+    met = shared.join(placed, "id").withColumns({"lo": F.min("root").over(of_value), "hi": F.max("root").over(of_value)})
+    met = saved(met.where("lo <> hi").select("v", "root", "id", "n"), "met")
+    groups = met.select("v", "root").distinct()
+    meet = groups.join(groups.select("v", F.col("root").alias("other")), "v").where("root < other")
+    x = met.select("v", "root", F.col("id").alias("a"), F.col("n").alias("m"))
+    y = met.select("v", F.col("root").alias("other"), F.col("id").alias("b"), "n")
+    both = meet.join(x, ["v", "root"]).join(y, ["v", "other"]).where(F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
+    least = F.least(F.lit(COMMON), F.ceil(F.least("m", "n") * similarity - 1e-9))
+    pairs = saved(both.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("a", "b"), "pairs")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "shingles": [shingle_set(t or "", words).tobytes() for t in b["text"]]})
+
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = saved(rows.join(asked, "id").dropDuplicates(["id"]).select("id", "text").mapInPandas(shingled, "id long, shingles binary"), "sets")
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = []
+            for p, q in zip(b["x"], b["y"]):
+                p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(common >= similarity * (len(p) + len(q) - common))
+            yield b.loc[ok, ["a", "b"]].rename(columns={"a": "u", "b": "v"})
+
+    return full.mapInPandas(verify, "u long, v long")
+
+
 def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links: pairs of places within the radius whose sets are similar enough.
 
@@ -284,11 +374,12 @@ def near_groups(
 ) -> DataFrame:
     """(id, root) of every document that is linked to others: root is the least id of its group.
 
-    A link is a pair within the radius whose shingle sets have at least the similarity. Components by fingerprint alone
-    are the candidates; in each, chunks of documents are verified against chunks, so none lands in one task whole.
+    A link is a pair whose shingle sets have at least the similarity. Components by fingerprint alone, of different
+    shingles, are the first candidates; in each, chunks of documents are verified against chunks, so none lands in one
+    task whole. Links between the groups that this leaves, past the radius, are found exactly by far_pairs.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = saved(fingerprints(rows, "id", "text", words), "simhash")
+    docs = saved(sketches(rows, words), "simhash")
     distinct = saved(docs.select("fp").distinct(), "distinct")
     roots = components(forest(distinct, radius))
     placed = saved(docs.join(roots, docs["fp"] == roots["node"], "left").select("id", "fp", F.coalesce("root", "fp").alias("part")), "placed")
@@ -313,8 +404,11 @@ def near_groups(
         ids = group["id"].to_numpy()
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links_], columns=["u", "v"]).astype("int64")
 
-    edges = dealt.groupBy("part", "p", "q").applyInPandas(verify, "u long, v long")
-    return components(edges).select(F.col("node").alias("id"), "root")
+    edges = saved(dealt.groupBy("part", "p", "q").applyInPandas(verify, "u long, v long"), "edges")
+    near = components(edges)
+    placed = docs.dropDuplicates(["id"]).join(near, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "n")
+    links_ = edges.unionByName(far_pairs(rows, saved(placed, "placed"), words, similarity))
+    return components(links_).select(F.col("node").alias("id"), "root")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

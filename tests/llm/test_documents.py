@@ -256,6 +256,25 @@ def test_keep_one(spark, docs, empty):
     assert kept.where("doc_id is null").count() == sum(i is None for i, _ in ROWS)
 
 
+def test_near_groups_is_exact(spark):
+    """Pairs of a similarity of just 0.8, and repeated lines, whatever the distance of their fingerprints."""
+    rng = np.random.default_rng(5)
+    rows, far = [], 0
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 49)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:40] + [f"w{x}" for x in rng.integers(0, 10**6, 4)]))]
+    line = " ".join(f"line{x}" for x in range(20))
+    text = " ".join(f"v{x}" for x in range(300))
+    rows += [(1000, f"{text} {line}"), (1001, " ".join([text] + [line] * 60)), (1002, line)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    assert all(len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) >= 0.73 for k in range(150))
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.73 * len(sets[a] | sets[b])}
+    far = sum((simhash.simhash(dict(rows)[a], 5) ^ simhash.simhash(dict(rows)[b], 5)).bit_count() > simhash.COPY_RADIUS for a, b in similar)
+    assert far > 10 and len(similar) == 151
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.73).collect()
+    assert {(r["root"], r["id"]) for r in got if r["id"] != r["root"]} == similar
+
+
 def test_links_is_exact():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 700, dtype=np.int64)
