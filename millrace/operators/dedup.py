@@ -149,7 +149,16 @@ def minhash_filter(df: DataFrame, threshold: float = 0.86, size: int = 3) -> Dat
     if not 0 < threshold <= 1 or size < 1:
         raise ValueError("threshold must be in (0, 1] and size 1 or more")
     sh = saved(shingles(df, size, folded_words()), "shingles")
-    dropped = greedy(confirmed(candidates(sh), sh, threshold)).groupBy("member").agg(F.max("similarity").alias("best"))
+    found = saved(confirmed(candidates(sh), sh, threshold), "pairs")
+    # different sets decide among their least ids; the other copies of a set are always dropped, by that or what drops it
+    near, copies = found.where("similarity < 1"), found.where("similarity = 1").select(F.col("a").alias("lead"), F.col("b").alias("member"))
+    gone = saved(greedy(near), "gone")
+    members = gone.select("member").distinct()
+    by_lead = copies.join(members.select(F.col("member").alias("lead")), "lead", "left_anti").select("member", F.lit(1.0).alias("similarity"))
+    both = near.select(F.col("a").alias("lead"), F.col("b").alias("other"), "similarity").unionByName(near.select(F.col("b").alias("lead"), F.col("a").alias("other"), "similarity"))
+    kept = both.join(members.select(F.col("member").alias("other")), "other", "left_anti")
+    by_other = copies.join(kept, "lead").where("other < member").select("member", "similarity")
+    dropped = gone.select("member", "similarity").unionByName(by_lead).unionByName(by_other).groupBy("member").agg(F.max("similarity").alias("best"))
     rows = df.select(F.col("doc_id").cast("string").alias("doc_id")).join(dropped, F.col("doc_id") == F.col("member"), "left")
     return rows.select("doc_id", F.col("best").isNull().alias("keep"), (1 - F.coalesce("best", F.lit(0.0))).alias("score"), F.when(F.col("best").isNull(), "no_near_duplicate").otherwise("near_duplicate").alias("reason"))
 

@@ -155,3 +155,13 @@ def test_containment(spark):
     items = spark.createDataFrame([(1, "the exact passage to protect"), (2, "not there at all")], "item_id long, text string")
     df = frame(spark, [(1, "before the exact passage to protect after"), (2, "the exact passage, to protect"), (3, "xthe exact passage to protecty")])
     assert {(r["item_id"], r["doc_id"]) for r in dedup.containment(df, items).collect()} == {(1, 1), (1, 3)}
+
+
+def test_minhash_drops_copies_of_a_dropped_document(spark):
+    """Copies of a document go with it, where an earlier near copy drops it; their score counts all earlier kept ones."""
+    base = [f"w{k}" for k in range(60)]
+    near, other = " ".join([*base, "end"]), " ".join(f"v{k}" for k in range(40))
+    rows = [(10, " ".join(base))] + [(k, near) for k in range(11, 20)] + [(k, other) for k in (30, 31)] + [(40, "alone here")]
+    got = {r["doc_id"]: r for r in dedup.minhash_filter(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r["keep"]} == {"10", "30", "40"}
+    assert all(abs(got[str(k)]["score"] - 1 / 59) < 1e-12 for k in range(11, 20)) and got["31"]["score"] == 0
