@@ -33,6 +33,20 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id within pandas, where a column of longs with nulls would turn into floats.
+NO_ID = -(2**63)
+
+
+def whole_id(column: Column) -> Column:
+    """An id as a long without nulls. Null comes before all ids."""
+    return F.coalesce(column.cast("long"), F.lit(NO_ID))
+
+
+def shown_id(column: Column) -> Column:
+    """whole_id undone."""
+    return F.when(column != NO_ID, column)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

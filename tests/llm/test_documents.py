@@ -1,6 +1,7 @@
 """Every operator on documents against brute force, on a table with nulls, ties, repeats, long texts and clashing names."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -269,12 +270,43 @@ def test_near_groups_is_exact(spark):
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
     assert all(len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) >= 0.73 for k in range(150))
     similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.73 * len(sets[a] | sets[b])}
-    far = sum((simhash.simhash(dict(rows)[a], 5) ^ simhash.simhash(dict(rows)[b], 5)).bit_count() > simhash.COPY_RADIUS for a, b in similar)
+    far = sum((simhash.simhash(dict(rows)[a], 5) ^ simhash.simhash(dict(rows)[b], 5)).bit_count() > 12 for a, b in similar)
     assert far > 10 and len(similar) == 151
     got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.73).collect()
     assert {(r["root"], r["id"]) for r in got if r["id"] != r["root"]} == similar
 
 
+def test_radius_holds_for_small_sets():
+    """The greatest probability that a bit of two similar sets differs, counted out, is what radii() goes by."""
+    coins = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    p = 1.25 * np.arccos(2 * 0.8 / 1.8) / np.pi
+    for common in range(1, 61):
+        for a in range(0, 16):
+            for b in range(a, 16):
+                if common < 0.8 * (common + a + b) - 1e-9:
+                    continue
+                k = np.arange(common + 1)[:, None]
+                x = ((2 * (k + np.arange(a + 1)) > common + a) * coins(a)).sum(axis=1)
+                y = ((2 * (k + np.arange(b + 1)) > common + b) * coins(b)).sum(axis=1)
+                assert (coins(common) * (x * (1 - y) + y * (1 - x))).sum() <= p
+    assert simhash.radii(0.8) == (73, 41)
+
+
+def test_near_groups_of_many_copies(spark, monkeypatch):
+    """A large group of near copies, over several chunks, and one whose members are alike but not enough."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = np.random.default_rng(9)
+    base, half = [f"w{x}" for x in rng.integers(0, 10**6, 120)], [f"v{x}" for x in rng.integers(0, 10**6, 70)]
+    rows = []
+    for k in range(100):
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"x{k}"
+        rows.append((k, " ".join(words)))
+        rows.append((1000 + k, " ".join(half + [f"y{x}" for x in rng.integers(0, 10**6, 30)])))
+    got = {r["id"]: r["root"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 0 for k in range(100)}
+
+
 def test_links_is_exact():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 700, dtype=np.int64)
