@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shown_id, whole_id
+
 #: Hashes in a signature.
 KEPT = 128
 #: Documents in a range of ids, about; the ranges are what is dealt out.
 RANGE = 500
 MOST_RANGES = 32_768
-NO_ID = -(2**63)
 
 
 class Parser:
@@ -96,10 +97,11 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["fingerprint"] = [shown(signature(t or "", kept)) for t in b.pop("text")]
+            b["fingerprint"] = [shown(signature(t, kept)) for t in b.pop("text")]
             yield b
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {dict(df.dtypes)[id_col]}, fingerprint string").withColumnRenamed("id", id_col)
+    rows = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "id long, fingerprint string").select(shown_id(F.col("id")).alias(id_col), "fingerprint")
 
 
 def _dealt(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,7 +109,7 @@ def _dealt(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Each range begins with an id that the table has, so a row knows by its own id whether the range before needs it.
     """
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, least = rows.agg(F.count("*"), F.min("id")).head()
     ranges = max(1, min(MOST_RANGES, n // RANGE))
     cuts = rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)] or [0.5], ranges * 100)).head()[0] or []
@@ -168,9 +170,9 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
 
         def framed(part: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(
-                [(None if key == NO_ID else key, n, sha, shown(own), shown(edited), likeness(own, edited, kept), near) for key, n, sha, own, edited, near in part],
-                columns=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            ).astype({id_col: "Int64"})
+                [(key, n, sha, shown(own), shown(edited), likeness(own, edited, kept), near) for key, n, sha, own, edited, near in part],
+                columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
 
         part: list[tuple] = []
         for row in rows():
@@ -181,7 +183,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
         if part:
             yield framed(part)
 
-    return _dealt(df, id_col, text_col).mapInPandas(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = _dealt(df, id_col, text_col).mapInPandas(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.select(shown_id(F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def query(spark, sf_dir):

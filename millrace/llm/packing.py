@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shown_id, whole_id
 from .tokens import default_path, encode
 
 CAPACITY = 2048
@@ -152,20 +152,18 @@ def _places(chosen: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of each document's ids and the end id. A null text is empty."""
+    """(id, piece, start, length, ids_crc32) of each document's ids and the end id. A null text is empty, a null id NO_ID."""
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, text in zip(batch["id"].array, batch["text"].array):
-                ids = np.array([*encode(text or "", path), end_id], dtype="<u4")
+                ids = np.array([*encode(text, path), end_id], dtype="<u4")
                 rows += [(key, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-            out["id"] = pd.array(out["id"], dtype="Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return src.mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -192,10 +190,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
             length, rank = b["length"].to_numpy(), b.pop("rank").to_numpy()
             k = np.searchsorted(key, length * 2**44 + rank, side="right") - 1
             nth, slot = np.divmod(rank - first[k], each[k])
-            yield b.assign(sequence_id=base[k] + nth, offset=at[k] + slot * length).rename(columns={"id": id_col})
+            yield b.assign(sequence_id=base[k] + nth, offset=at[k] + slot * length)
 
     cols = ["id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*cols, "rank").mapInPandas(place, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.select(*cols, "rank").mapInPandas(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.select(shown_id(F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def query(spark, sf_dir):

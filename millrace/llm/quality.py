@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shown_id, whole_id
+
 #: Labelled documents to fit on, at most.
 SAMPLE = 6000
 DIM = 2**20
@@ -169,7 +171,11 @@ def _scores(texts: pd.Series, model: Model, known: dict[str, tuple[int, ...]]) -
 
 
 def rate_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """docs' (id, text) rows as (id, expected_grade, p_acceptable, p_good, kept). A null text is empty."""
+    """docs' (id, text) rows as (id, expected_grade, p_acceptable, p_good, kept).
+
+    A null text is empty and rated like one; a null id stays null. Repeated rows are rated each; an empty table gives no
+    rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
@@ -177,12 +183,13 @@ def rate_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             p = tails(_scores(b["text"], model, known), model.thresholds)
             yield pd.DataFrame({"id": b["id"], "expected_grade": p.sum(axis=1), "p_acceptable": p[:, 0], "p_good": p[:, 1], "kept": p[:, 1] >= keep})
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, expected_grade double, p_acceptable double, p_good double, kept boolean").withColumnRenamed("id", id_col)
+    src = docs.select(whole_id(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
+    out = src.mapInPandas(run, "id long, expected_grade double, p_acceptable double, p_good double, kept boolean")
+    return out.select(shown_id(F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def select_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
+    """The rows of docs that are kept, with their own columns: repeated rows and null ids like others, a null text as empty."""
 
     @F.pandas_udf("boolean")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

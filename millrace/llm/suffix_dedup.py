@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeats
-from .common import saved, shared_dir
+from .common import saved, shared_dir, shown_id, whole_id
 
 DEPTH = 50
 ANCHOR = 20
 #: Bytes of documents for each shard, and for each bucket of hashes.
 SHARD = 16 * 2**20
-NO_ID = -(2**63)
 KEY_BITS = 40
 
 
@@ -333,10 +332,8 @@ def _removed(group: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             left.update(raw[done:a])
             done = b
         left.update(raw[done:])
-        rows.append((None if shard.ids[k] == NO_ID else int(shard.ids[k]), len(raw), sum(b - a for a, b in runs), len(runs), left.hexdigest(), [x for r in runs for x in r]))
-    out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-    out["id"] = out["id"].astype("Int64")
-    return out
+        rows.append((int(shard.ids[k]), len(raw), sum(b - a for a, b in runs), len(runs), left.hexdigest(), [x for r in runs for x in r]))
+    return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,7 +344,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table gives no rows.
     """
     spark = df.sparkSession
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = int(total) // SHARD + 1  # of files of the table, and of buckets of hashes
     name = f"millrace_shards_{uuid.uuid4().hex}"
@@ -361,7 +358,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = sent.where("kind = 0").groupBy("bucket").applyInPandas(_resolved, "shard int, docs binary, spans binary")
     spans = found.unionByName(sent.where("kind = 1").select("shard", F.col("refs").alias("docs"), F.col("starts").alias("spans")))
     out = shards.groupBy("shard").cogroup(spans.groupBy("shard")).applyInPandas(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-    return out.withColumnRenamed("id", id_col)
+    return out.select(shown_id(F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def query(spark, sf_dir):

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shown_id, whole_id
 from .tokens import byte_lengths, default_path, encode
 
 
@@ -52,7 +53,6 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             keys, parts = [], []
             for key, text in zip(batch["id"].array, batch["text"].array):
-                text = text or ""
                 chars = np.array(lines(text), dtype=np.int64)
                 starts = np.cumsum(chars) - chars
                 width = chars if text.isascii() else np.array([len(text[s : s + n].encode()) for s, n in zip(starts.tolist(), chars.tolist())], dtype=np.int64)
@@ -60,10 +60,11 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys += [key] * len(chars)
                 parts.append((np.arange(len(chars)), starts, chars, tokens, crossing))
             out = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, dtype=np.int64)] * 5
-            yield pd.DataFrame({"id": pd.array(keys, dtype="Int64")} | dict(zip(["section", "start", "n_chars", "n_tokens", "n_crossing"], out)))
+            yield pd.DataFrame({"id": np.array(keys, dtype=np.int64)} | dict(zip(["section", "start", "n_chars", "n_tokens", "n_crossing"], out)))
 
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, "id long, section int, start long, n_chars long, n_tokens long, n_crossing long").withColumnRenamed("id", id_col)
+    src = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = src.mapInPandas(run, "id long, section int, start long, n_chars long, n_tokens long, n_crossing long")
+    return out.select(shown_id(F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def query(spark, sf_dir):

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, fingerprints, mixing, packing, quality, simhash, suffix_dedup, token_counts
+from millrace.llm.common import NO_ID
 from millrace.llm.tokens import default_path, encode
 
 from .data import documents, frame
@@ -33,6 +34,21 @@ def empty(spark):
     return frame(spark, [])
 
 
+BIG = 2**53 + 1
+
+
+def test_ids_beside_nulls(spark):
+    """A null id in a batch doesn't round the others, which a float can't hold."""
+    labels = spark.createDataFrame([(BIG, 1, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([(BIG, "some words of one document"), (None, "other words of another"), (BIG + 2, None)], "doc_id long, text string").coalesce(1)
+    ids = lambda out: {r["doc_id"] for r in out.select("doc_id").collect()}
+    for out in (
+        fingerprints.with_next(df), fingerprints.fingerprint(df), packing.pack(df), token_counts.token_counts(df), quality.rate_documents(df, quality.train(df, labels)),
+        exact_dedup.exact_dedup(df), suffix_dedup.suffix_dedup(df), simhash.near_dedup(df), simhash.keep_one(df),
+    ):
+        assert ids(out) == {BIG, BIG + 2, None}
+
+
 def exact_expected():
     groups = defaultdict(list)
     for i, t in ROWS:
@@ -182,7 +198,7 @@ def slow_bytes(tokenizer, tok):
 
 def test_suffix_dedup(docs, empty, monkeypatch):
     least = {}
-    key = lambda i: suffix_dedup.NO_ID if i is None else i
+    key = lambda i: NO_ID if i is None else i
     for i, t in ROWS:
         b = t.encode()
         for p in range(len(b) - 49):
