@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# fixed values: line breaks of Unicode
+BREAKS = "\n\v\f\r\x1c\x1d\x1e\x85\u2028\u2029"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -30,8 +32,10 @@ def base32(hex_: Column) -> Column:
 
 
 def _field(name: str, value: Column) -> Column:
-    """A header line; none for a null value. Line breaks in a value are percent-encoded."""
-    safe = F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    """A header line; none for a null value. Line breaks of any kind in a value are percent-encoded."""
+    safe = value
+    for c in BREAKS:
+        safe = F.replace(safe, F.lit(c), F.lit("".join(f"%{b:02X}" for b in c.encode())))
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n"))).otherwise(F.lit(""))
 
 
@@ -83,7 +87,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest")))
     stored = stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(bad.cast("binary")))
     whole = F.lit(b"\r\n\r\n")
-    is_revisit = F.decode("header", "UTF-8").rlike("(?m)^WARC-Type: revisit\\r\\n")
+    is_revisit = F.decode("header", "UTF-8").rlike("(?md)^WARC-Type: revisit\\r\\n")
     full = headers.where(~is_revisit).join(stored, "digest").select("digest", F.concat("header", "payload", whole).alias("record"))
     return full.unionByName(headers.where(is_revisit).select("digest", F.concat("header", whole).alias("record")))
 
@@ -95,7 +99,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     """
     split = records.withColumn("at", F.instr(F.decode(F.col("record"), "ISO-8859-1"), "\r\n\r\n"))
     head = F.decode(F.substring("record", F.lit(1), F.col("at") + 1), "UTF-8")
-    field = lambda name: F.regexp_extract("head", f"(?m)^{name}: ([^\\r]*)\\r\\n", 1)
+    field = lambda name: F.regexp_extract("head", f"(?md)^{name}: ([^\\r]*)\\r\\n", 1)
     cut = split.withColumn("head", head).withColumn("length", field("Content-Length").cast("int"))
     wrong = F.raise_error(F.lit("record length does not match its header"))
     return cut.select(

@@ -21,6 +21,7 @@ def row(i, u, h):
 
 PAGES = [
     (1, "http://a.example/1", "<p>one</p>"), (2, "http://a.example/2", "<p>one</p>"), (3, None, None), (4, "", ""), (5, "not a url", "<p>ünï</p>"), (6, "http://a.example/\r\nX: y", "<p>one</p>"),
+    (10, "http://x/\u2028Content-Length: 3\u2029", "<p>two</p>"), (11, "http://x/\x85WARC-Type: revisit\r\n\r\n", "<p>three</p>"), (2**53 + 1, "http://x/\nWARC-Type: revisit", "<p>three</p>"),
     (6, "http://a.example/6", "<p>one</p>"), (None, "http://b.example", "<p>no id</p>"), (7, "http://c.example", "x" * 100_000), (7, "http://c.example", "x" * 100_000), (8, "u", "a\r\n\r\nb"), (9, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n"),
 ]
 
@@ -45,6 +46,7 @@ def test_archive(pages, spark, tmp_path):
         for k, i in enumerate(sorted(ids, key=lambda x: (x is not None, x), reverse=True)):
             want[(i, len(h.encode()), digest(h), "response" if k == 0 else "revisit", None if k == 0 else best)] += 1
     assert got == want
+    assert (11, 12, digest("<p>three</p>"), "revisit", 2**53 + 1) in got
     path = str(tmp_path / "archive")
     warc.write_archive(pages, path, least=20)
     stored = spark.read.parquet(f"{path}/payloads")
