@@ -58,12 +58,11 @@ def poisson_window(rate: Column) -> Column:
     return F.struct(first.alias("first"), F.aggregate(terms, start, add, lambda acc: F.transform(acc["all"], lambda c: c / acc["c"])).alias("cdf"))
 
 
-def rates(df: DataFrame, source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None, total: float = 1.0) -> DataFrame:
+def rates(df: DataFrame, source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None, total: float = 1.0, most: float | None = None) -> DataFrame:
     """(source, rate, first, cdf), a row for each source. total: characters of the output, as a multiple of the input's.
 
     Without targets a source's weight is its share of the characters to the power of TEMPERATURE. A source that targets
-    lacks gets rate 0. A rate over TERMS / 4 that targets ask for is refused: it would repeat each document that often.
-    Without targets any rate is served.
+    lacks gets rate 0. A rate over most is an error; without it any rate is served.
     """
     chars = df.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.char_length(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("chars"))
     if targets is None:
@@ -77,12 +76,24 @@ def rates(df: DataFrame, source_col: str = "source", text_col: str = "text", tar
     else:
         rate = F.when(F.col("chars") > 0, F.col("weight") / F.lit(whole["weight"]) * F.lit(float(whole["chars"])) * F.lit(float(total)) / F.col("chars")).otherwise(F.lit(0.0))
     out = weighed.select("source", "chars", rate.alias("rate"))
-    high = F.col("rate") > TERMS / 4
-    if targets is not None:
+    if most is not None:
         too_much = F.raise_error(F.concat(F.lit("repetition rate too high for source "), F.coalesce("source", F.lit("null"))))
-        out = out.withColumn("rate", F.when(high, too_much.cast("double")).otherwise(F.col("rate")))
+        out = out.withColumn("rate", F.when(F.col("rate") > most, too_much.cast("double")).otherwise(F.col("rate")))
     low = F.struct(F.lit(0).cast("long").alias("first"), poisson_cdf(F.col("rate")).alias("cdf"))
-    return out.withColumn("counts", F.when(high, poisson_window(F.col("rate"))).otherwise(low)).select("source", "chars", "rate", "counts.first", "counts.cdf")
+    return out.withColumn("counts", F.when(F.col("rate") > TERMS / 4, poisson_window(F.col("rate"))).otherwise(low)).select("source", "chars", "rate", "counts.first", "counts.cdf")
+
+
+def _replicated(df: DataFrame, id_col: str, source_col: str, text_col: str, targets: dict[str, float] | None, total: float, seed: str, most: float | None) -> DataFrame:
+    """df with __copies, __copy and __key, a row for each copy."""
+    per = rates(df, source_col, text_col, targets, total, most).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf"))
+    # written: Spark then knows how small it is, and where it isn't can split a large source's rows in the join
+    per = saved(per, "rates")
+    u = uniform(seed, F.col(id_col))
+    counted = df.join(per, F.col(source_col).eqNullSafe(F.col("__source")), "left").withColumn("__u", u)
+    counted = counted.withColumn("__copies", F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
+    each = counted.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    key = F.substring(F.sha2(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy")), 256), 1, 16)
+    return each.select(*df.columns, "__copies", "__copy", key.alias("__key"))
 
 
 def mix(
@@ -93,23 +104,34 @@ def mix(
     targets: dict[str, float] | None = None,
     total: float = 1.0,
     seed: str = SEED,
+    most: float | None = None,
 ) -> DataFrame:
     """df's rows, each as often as its Poisson count says, with copy (from 0), copies and shuffle_key, in global order.
 
     A null source is a source; a null id hashes as "null". Repeated rows get the same count each. Empty texts are
-    replicated like others; a table without any characters gives no rows.
+    replicated like others; a table without any characters gives no rows. Columns of df with one of the three names give
+    way to them; mixed() keeps them.
     """
-    # written: Spark then knows how small it is, and where it isn't can split a large source's rows in the join
-    per = saved(rates(df, source_col, text_col, targets, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf")), "rates")
-    u = uniform(seed, F.col(id_col))
-    counted = df.join(per, F.col(source_col).eqNullSafe(F.col("__source")), "left").withColumn("__u", u)
-    counted = counted.withColumn("copies", F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-    each = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    key = F.substring(F.sha2(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy")), 256), 1, 16)
-    each = each.withColumn("shuffle_key", key).select(*[c for c in df.columns if c not in ("copies", "copy", "shuffle_key")], "copies", "copy", "shuffle_key")
+    new = {"copies": "__copies", "copy": "__copy", "shuffle_key": "__key"}
+    each = _replicated(df, id_col, source_col, text_col, targets, total, seed, most)
+    each = each.select(*[c for c in df.columns if c.lower() not in new], *[F.col(own).alias(name) for name, own in new.items()])
     return each.orderBy("shuffle_key")
 
 
+def mixed(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    targets: dict[str, float] | None = None,
+    total: float = 1.0,
+    seed: str = SEED,
+    most: float | None = None,
+) -> DataFrame:
+    """The rows of mix() with df's own columns and values only, whatever their names."""
+    return _replicated(df, id_col, source_col, text_col, targets, total, seed, most).orderBy("__key").select(*df.columns)
+
+
 def query(spark, sf_dir):
     """op7: all documents, mixed to tempered source weights at the input's size."""
     from .common import table

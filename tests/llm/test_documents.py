@@ -354,7 +354,11 @@ def test_mixing_meets_targets(spark):
     for source, share in (("hot", 0.2), ("b", 0.5), ("c", 0.3)):
         assert abs(got[source] / 40_000 - share) < 0.01
     with pytest.raises(Exception, match="repetition rate too high"):
-        mixing.mix(df, targets={"c": 1.0}, total=50.0).count()
+        mixing.mix(df, targets={"c": 1.0}, total=50.0, most=64).count()
+    assert abs(mixing.mix(df, targets={"c": 1.0}, total=50.0).count() - 2_000_000) < 10_000
+    kept = mixing.mixed(df.withColumns({"copies": F.lit(-7), "Copy": F.lit("x")}))
+    assert kept.columns == ["doc_id", "source", "text", "copies", "Copy"]
+    assert [tuple(r) for r in kept.select("copies", "Copy").distinct().collect()] == [(-7, "x")]
 
 
 def test_mixing_serves_any_rate(spark):
