@@ -137,18 +137,21 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS, rate:
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
     """Slots and grades of at most limit labelled documents of docs: those with the least hashed ids.
 
-    Rows of labels with a null are left out; of several labels of a document the worst grade counts.
+    Rows of labels with a null are left out; of several labels of a document the worst grade counts. Of several texts of an
+    id one is used, that of the least hash, so no more than limit rows leave the executors. An empty table of either kind
+    gives no rows.
     """
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
     graded = labels.where("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     graded = graded.join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # limit rows
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # limit rows
+    texts = texts.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "grade", "t.text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            slots = [np.array(sorted(features(t or "", known)), dtype="<i4").tobytes() for t in b["text"]]
+            slots = [np.array(sorted(features(t, known)), dtype="<i4").tobytes() for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "slots": slots})
 
     got = texts.mapInPandas(run, "doc_id long, grade int, slots binary").collect()

@@ -391,6 +391,42 @@ def test_quality(spark, docs, empty):
     assert quality.rate_documents(docs, none).count() == len(ROWS)
 
 
+def test_quality_sample_is_bounded_by_rows(spark):
+    df = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.createDataFrame([(2, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows, grades = quality.sample(df, labels)
+    assert len(rows) == 2 and grades.tolist() == [1, 2]
+    assert [r.tolist() for r in quality.sample(df.repartition(5), labels)[0]] == [r.tolist() for r in rows]
+
+
+def test_gradients_are_of_the_likelihood():
+    """The fit of two thresholds and a few weights is where no small step makes the penalised likelihood better."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 6, 3)) for _ in range(600)]
+    truth = np.array([1.5, -1.0, 0.5, 0.0, 2.0, -2.0])
+    score = np.array([truth[r].sum() for r in rows]) + rng.logistic(size=600)
+    grades = np.digitize(score, [-0.5, 1.0])
+    model = quality.fit(rows, grades, rounds=4000)
+    w = np.array([model.weights.get(k, 0.0) for k in range(6)])
+
+    def loss(w, t):
+        s = np.array([w[r].sum() for r in rows])
+        over = 1 / (1 + np.exp(-(s[:, None] - t[None, :])))
+        p = np.choose(grades, [1 - over[:, 0], over[:, 0] - over[:, 1], over[:, 1]])
+        return -np.log(p).mean() + quality.PENALTY * np.abs(w).sum()
+
+    best = loss(w, model.thresholds)
+    for k in range(8):
+        for step in (-0.02, 0.02):
+            v, t = w.copy(), model.thresholds.copy()
+            if k < 6:
+                v[k] += step
+            else:
+                t[k - 6] += step
+            assert loss(v, t) > best - 1e-6
+    assert np.sign(w[[0, 1, 4, 5]]).tolist() == [1, -1, 1, -1]
+
+
 def test_quality_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
