@@ -16,9 +16,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder all executors share: spark.checkpoint.dir, or the folder that setCheckpointDir has made.
+
+    Where neither is set a local session (tests) gets a folder of our own; a cluster, which could not read back what its
+    executors write to their own disks, gets an error.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
