@@ -1,23 +1,28 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page is read as tokens: tags by their path of open elements, and blocks of text by path and content. Tokens of a host
-whose occurrence vectors (how often in which page) are equal form a class. A class is valid if it is in most pages of the
-host and has several tokens, a tag among them, that every page has equally often; the valid ones, nested by their places in the page,
-are the host's template. What is left between its tokens are slots. A slot belongs to the page's furniture if an element
-around it says so (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), and text that is itself
-a template token is furniture too, in an article as elsewhere. The text of the other slots is the page's main text. An
-article (or else main element) decides only where the template leaves it no text of its own: if it is longer than what
-is left of the page, it is a copied article and stays.
+A page is read as tokens: elements by their path, and blocks of text by path and content. Tokens of a host whose
+occurrence vectors (how often in which page) are equal form a class. A class is valid if it is in most pages of the host
+and has several tokens, an element among them, that every page has equally often. The elements of valid classes that a
+page has once are the host's template; they nest by their paths, and what they hold differs from page to page: slots.
+
+Slots are judged by what the whole host has in them. Text that is a template token itself, the same on most pages, is
+furniture wherever it stands. The core is the innermost slot with most of the host's other text outside links. Slots
+beside it are furniture if most of their text is in links, and at page level also if they are small next to the core;
+headings and slots in one wrapper with the core belong to it. Names of elements, roles and classes only break ties: within
+the core, in heavy slots beside it, in parts that are not in the template, and on pages of hosts with too few pages for
+classes. An article decides only where the template leaves it no text of its own: if it is longer than what is left of the
+page, it is a copied article and stays.
 
 Vectors are compared by a sum of hashes, in one aggregation by (host, token) with partial sums, so a host with a third of
 all pages costs no task more than its tokens. A template is as long as its host's pages are, and hosts' templates are
-broadcast only while Spark finds them small.
+broadcast only while Spark finds them small. The time to read a page is in proportion to its length, whatever is in it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,20 +31,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shown_id, whole_id
 
 #: Share of a host's pages, and pages at least, that have a template's tokens.
 SHARE = 0.8
 LEAST = 5
+#: Share of a host's own text that the core has; of text in links that makes a slot furniture; of the core's text that a slot
+#: at page level needs to be content.
+CORE, LINKED, HEAVY = 0.6, 0.5, 0.25
+#: Open elements, and steps of a path, that are told apart; deeper ones count as their parents.
+DEEP, STEPS = 256, 40
 
 # fixed values: element names of HTML, and words of class names, ids and roles
-RAW = "script|style|title|textarea"
-SKIPPED = "noscript|template|iframe|object|svg|select|datalist|button|canvas|audio|video"
+RAW = frozenset("script style title textarea".split())
+SKIPPED = frozenset("noscript template iframe object svg select datalist button canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3".split())
+#: Elements that come in numbers, so that their places among each other say nothing.
+SERIAL = frozenset("p li tr td th dt dd hr".split())
+#: Elements whose classes and ids often name the page.
+WHOLE = frozenset("html body article main".split())
 FURNITURE = frozenset("head nav footer aside form menu dialog fieldset label input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 HINTS = frozenset(
@@ -49,12 +64,14 @@ HINTS = frozenset(
     "pagination pager skip skiplink hidden".split()
 )
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<skipped>{SKIPPED})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?</(?P=skipped)\s*>|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+# an attribute's value ends at its quote; a quote without a second one is part of a name, as one before a name is. Nothing
+# is given back, so a tag is read once; one without an end takes the rest of the page
+_ATTRIBUTE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+"
+_TOKEN = re.compile(rf"<!--(?:-?>)?+|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[\s/]++|{_ATTRIBUTE})*+)(?P<close>>|\Z)|<[!?][^>]*+(?:>|\Z)", re.I)
+_SIMPLE = re.compile(r"<!--(?:-?>)?+|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>[^>]*+)(?P<close>>)|<[!?][^>]*+>", re.I)
+_ATTRIBUTES = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?+")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_PLAIN = re.compile(r"[a-z_-]+", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A start tag of the first closes an open one of the second, if nothing of the third is between.
 _CLOSES = {name: frozenset(["p"]) for name in BLOCK} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
@@ -62,87 +79,199 @@ _WALLS = frozenset("ul ol dl table tbody thead tfoot div section article main bo
 
 
 class Block(NamedTuple):
-    key: str
+    key: str  # path and content
     text: str
     furniture: bool
     place: str  # "article", "main" or ""
 
 
-def _is_furniture(name: str, rest: str, inside: str) -> bool:
-    if name in FURNITURE or name == "header" and not inside:
-        return True
-    if name in ("html", "body", "article", "main") or not rest.strip():
-        return False
-    if _HIDDEN.search(rest):
-        return True
-    return any(kind.lower() == "role" and "".join(values).strip().lower() in ROLES for kind, *values in _NAMED.findall(rest))
+class Element(NamedTuple):
+    path: str
+    chars: int
+    linked: int  # of these, in links
+    hinted: bool
+
+
+class Template(NamedTuple):
+    """Of a host: texts that most pages have, elements that are furniture, and the core with what is around it."""
 
+    texts: frozenset[str] = frozenset()
+    furniture: frozenset[str] = frozenset()
+    core: frozenset[str] = frozenset()
 
-def _is_hinted(name: str, rest: str) -> bool:
-    """Whether a class or id says furniture with all its words: cookie-notice does, with-sidebar and no-comments don't."""
-    if name in ("html", "body", "article", "main") or not rest.strip():
-        return False
-    names = (n for kind, *values in _NAMED.findall(rest) if kind.lower() != "role" for n in "".join(values).split())
-    return any(words and all(w.lower() in HINTS for w in words) for words in map(_WORDS.findall, names))
+
+class _Open(NamedTuple):
+    name: str
+    path: str
+    furniture: bool
+    place: str
+    hints: tuple[int, ...]  # hinted elements around
+    hinted: bool
+    element: bool  # a token of its own
+    quiet: bool  # part of a block, and furniture
+    chars: int  # before it
+    linked: int
+    labels: Counter
 
 
-def parse(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks of text in page order, and the keys of the tags."""
+class _Said(NamedTuple):
+    """What the attributes of an element say."""
+
+    furniture: bool
+    hinted: bool
+    label: str
+
+
+def _said(name: str, rest: str, known: dict[tuple[str, str], _Said]) -> _Said:
+    if (found := known.get((name, rest))) is not None:
+        return found
+    given: dict[str, str] = {}
+    for m in _ATTRIBUTES.finditer(rest):
+        given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    whole = name in WHOLE
+    hidden = "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or bool(_NONE.search(given.get("style", "")))
+    names = entities.unescape(f"{given.get('class', '')} {given.get('id', '')}").split()
+    # a hint says furniture with all its words: cookie-notice does, with-sidebar and no-comments don't
+    hinted = any(words and all(w.lower() in HINTS for w in words) for words in map(_WORDS.findall, names))
+    label = ".".join([name, *sorted({n for n in given.get("class", "").split() if _PLAIN.fullmatch(n)})[:4]])
+    found = _Said(not whole and (hidden or given.get("role", "").strip().lower() in ROLES), not whole and hinted, name if whole else label[:80])
+    if len(known) < 10_000:
+        known[name, rest] = found
+    return found
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is an end tag, attributes) of each tag; without a name what is not to be shown."""
+    token, at, limit = _TOKEN, 0, len(page)
+    ends: dict[str, list[int]] = {}
+    while m := token.search(page, at, limit):
+        start, at = m.span()
+        name = m["name"]
+        if name is None:
+            if page.startswith("<!--", start) and m[0] == "<!--":
+                at = page.find("-->", at)
+                at = limit if at < 0 else at + 3
+            yield start, at, "", False, ""
+            continue
+        if not m["close"]:
+            # never closed: from here on a tag ends at the next >, and what has none is text
+            token, at, limit = _SIMPLE, start, page.rfind(">") + 1
+            if at >= limit:
+                return
+            continue
+        name, end = name.lower(), bool(m["end"])
+        if not end and (name in RAW or name in SKIPPED and not m["rest"].endswith("/")):
+            if name not in ends:
+                ends[name] = [e.start() for e in re.finditer(rf"</{name}(?=[\s/>])", page, re.I)]
+            k = bisect_left(ends[name], at)
+            if k < len(ends[name]):
+                at = page.find(">", ends[name][k])
+                at = limit if at < 0 else at + 1
+            elif name in RAW:
+                at = limit
+            yield start, at, "", False, ""
+            continue
+        yield start, at, name, end, m["rest"]
+
+
+def parse(page: str, template: Template = Template(), known: dict | None = None) -> tuple[list[Block], list[Element]]:
+    """Blocks of text in page order, and the elements of the page."""
+    known = {} if known is None else known
     blocks: list[Block] = []
-    tags: list[str] = []
-    stack: list[tuple[str, str, bool, str, tuple[int, ...]]] = []  # name, path, furniture, place, hinted elements around
+    found: list[Element] = []
+    stack = [_Open("", "", False, "", (), False, False, False, 0, 0, Counter())]
+    open_: Counter[str] = Counter()
     hinted: list[tuple[int, ...]] = []  # of each block
     mains: set[int] = set()  # hinted elements around a main element
-    elements = 0
+    numbers = chars = linked = 0
     parts: list[str] = []
-    at = 0
+    links: list[str] = []  # of the parts, those in links
 
     def flush() -> None:
+        nonlocal chars, linked
+        if not parts:
+            return
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, path, furniture, place, around = stack[-1] if stack else ("", "", False, "", ())
-            blocks.append(Block(f"{path}#{text}", text, furniture, place))
-            hinted.append(around)
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+            top = stack[-1]
+            blocks.append(Block(f"{top.path}#{text}", text, top.furniture, top.place))
+            hinted.append(top.hints)
+            chars += len(text)
+            linked += min(len(text), len("".join("".join(links).split())))
+        links.clear()
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.name] -= 1
+            if e.element:
+                found.append(Element(e.path, chars - e.chars, linked - e.linked, e.hinted))
+        del stack[k:]
+
+    def show(text: str) -> None:
+        if stack[-1].quiet:
+            return
+        parts.append(text)
+        if open_["a"]:
+            links.append(text)
+
+    done = 0
+    for start, at, name, end, rest in _tags(page):
+        if start > done:
+            show(page[done:start])
+        done = at
         if not name:
-            continue  # comments, declarations and raw elements
-        name = name.lower()
-        if name in BLOCK:
+            continue
+        block = name in BLOCK
+        if block:
             flush()
         elif name == "br":
             parts.append(" ")
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    tags.append(f"{stack[k][1]}/")
-                    del stack[k:]
-                    break
+        if end:
+            if open_[name]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
-        if closes := _CLOSES.get(name):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
+        if (closes := _CLOSES.get(name)) and any(open_[c] for c in closes):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in closes:
+                    close(k)
                     break
-                if stack[k][0] in _WALLS:
+                if stack[k].name in _WALLS:
                     break
-        _, path, furniture, place, around = stack[-1] if stack else ("", "", False, "", ())
-        path = f"{path}/{name}"
-        tags.append(path)
-        if name not in VOID and not m["rest"].endswith("/"):
-            elements += 1
+        if name in VOID or rest.endswith("/") and not block:
+            continue
+        top = stack[-1]
+        said = _said(name, rest, known) if rest else _Said(False, False, name)
+        # other elements matter only for what they say of what is in them, and where one like them is open
+        plain = name in FURNITURE or name == "header" and not top.place or said.furniture
+        if len(stack) > DEEP or not (block or name == "a" or plain or said.hinted or open_[name]):
+            continue
+        element = block and top.path.count("/") < STEPS
+        path = top.path
+        if element:
+            label = said.label
+            if name not in SERIAL:
+                top.labels[label] += 1
+                if top.labels[label] > 1:
+                    label = f"{label}~{top.labels[label]}"
+            path = f"{path}/{label}"
+        hints = top.hints
+        if element and path in template.core:
+            inside = top.furniture
+        else:
+            inside = top.furniture or plain or element and path in template.furniture
             if name == "main":
-                mains.update(around)
-            around = (*around, elements) if _is_hinted(name, m["rest"]) else around
-            stack.append((name, path, furniture or _is_furniture(name, m["rest"], place), "article" if name == "article" or place == "article" else "main" if name == "main" else place, around))
-    parts.append(page[at:])
+                mains.update(hints)
+            if said.hinted:
+                numbers += 1
+                hints = (*hints, numbers)
+        place = "article" if name == "article" or top.place == "article" else "main" if name == "main" else top.place
+        stack.append(_Open(name, path, inside, place, hints, plain or said.hinted, element, not block and (top.quiet or plain or said.hinted), chars, linked, Counter()))
+        open_[name] += 1
+    show(page[done:])
     flush()
-    return _without(blocks, hinted, mains), tags
+    close(1)
+    return _without(blocks, hinted, mains), found
 
 
 def _without(blocks: list[Block], hinted: list[tuple[int, ...]], mains: set[int]) -> list[Block]:
@@ -165,49 +294,106 @@ def _without(blocks: list[Block], hinted: list[tuple[int, ...]], mains: set[int]
 
 
 def key_of(block: Block) -> str:
+    """The token of a block: its path, and a hash of path and content."""
     import xxhash
 
-    return "#" + xxhash.xxh64_hexdigest(block.key.encode("utf-8", "surrogatepass"))
+    return block.key[: len(block.key) - len(block.text)] + xxhash.xxh64_hexdigest(block.key.encode("utf-8", "surrogatepass"))
 
 
-def extract(page: str, template: frozenset[str] = frozenset()) -> str:
-    """The main text of a page, given its host's template tokens: all that is neither furniture nor template."""
-    blocks = [b for b in parse(page)[0] if not b.furniture]
-    own = [key_of(b) not in template for b in blocks]
-    place = next((p for p in ("article", "main") if any(b.place == p for b in blocks)), None)
-    inside = [b.place == place for b in blocks]
-    if not any(x and y for x, y in zip(own, inside)):
-        left = sum(len(b.text) for b, x in zip(blocks, own) if x)
-        if sum(len(b.text) for b, y in zip(blocks, inside) if y) > left:
-            own = [x or y for x, y in zip(own, inside)]
-    return "\n".join(b.text for b, x in zip(blocks, own) if x)
+def extract(page: str, template: Template = Template(), known: dict | None = None) -> str:
+    """The main text of a page, given its host's template: all that is neither furniture nor template."""
+    blocks = [b for b in parse(page, template, known)[0] if not b.furniture]
+    if template.texts:
+        own = [key_of(b) not in template.texts for b in blocks]
+        place = next((p for p in ("article", "main") if any(b.place == p for b in blocks)), None)
+        inside = [b.place == place for b in blocks]
+        if not any(x and y for x, y in zip(own, inside)):
+            left = sum(len(b.text) for b, x in zip(blocks, own) if x)
+            if sum(len(b.text) for b, y in zip(blocks, inside) if y) > left:
+                own = [x or y for x, y in zip(own, inside)]
+        blocks = [b for b, x in zip(blocks, own) if x]
+    return "\n".join(b.text for b in blocks)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of each host's template in their order. pages: (host, id, body)."""
+def _within(path: str, around: str) -> bool:
+    return path.startswith(around) and path[len(around) : len(around) + 1] in ("/", "#")
+
+
+def judged(tokens: pd.DataFrame) -> Template:
+    """The template of a host from the tokens of its valid classes: (token, pages, n, chars, linked, hinted), sums of pages.
+
+    n: how often; hinted: of these, where names say furniture.
+    """
+    is_text = tokens["token"].str.contains("#", regex=False)
+    texts = tokens[is_text]
+    once = tokens[~is_text & (tokens["n"] == tokens["pages"])].set_index("token")
+    own = {}
+    for path, e in once.iterrows():
+        repeated = sum(c for t, c in zip(texts["token"], texts["chars"]) if _within(t, path))
+        own[path] = max(0, e["chars"] - e["linked"] - repeated)
+    most = max(own.values(), default=0)
+    if not most:
+        return Template(frozenset(texts["token"]))
+    core = max((p for p in own if own[p] >= CORE * most), key=lambda p: (p.count("/"), own[p], p))
+    chain = [p for p in own if p == core or _within(core, p)]
+    furniture = []
+    for path, e in once.iterrows():
+        beside = path != core and path not in chain and not any(p not in chain and _within(path, p) for p in own)
+        if not beside or not e["chars"]:
+            continue
+        around, name = path.rpartition("/")[0], path.rpartition("/")[2].split("~")[0].split(".")[0]
+        if e["linked"] >= LINKED * e["chars"]:
+            furniture.append(path)
+        elif name in HEADINGS or _within(path, core):
+            continue
+        elif own[path] < HEAVY * own[core] and around.rpartition("/")[2] in ("", "html", "body") or 2 * e["hinted"] >= e["n"]:
+            furniture.append(path)
+    return Template(frozenset(texts["token"]), frozenset(furniture), frozenset(chain))
+
+
+def valid_tokens(pages: DataFrame) -> DataFrame:
+    """(host, token, pages, n, chars, linked, hinted) of the tokens of each host's valid classes. pages: (host, id, body)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for b in batches:
             rows = []
             for host, key, body in zip(b["host"], b["id"], b["body"]):
-                blocks, tags = parse(body)
-                seen = Counter(tags) + Counter(key_of(x) for x in blocks)
-                rows.append((host, "", key, 1, 0.0))
-                rows += [(host, token, key, n, k / len(seen)) for k, (token, n) in enumerate(seen.items())]
-            yield pd.DataFrame(rows, columns=["host", "token", "id", "n", "at"])
-
-    seen = pages.mapInPandas(run, "host string, token string, id long, n int, at double")
+                blocks, elements = parse(body, known=known)
+                seen: dict[str, list[int]] = {}
+                for e in elements:
+                    s = seen.setdefault(e.path, [0, 0, 0, 0])
+                    s[0], s[1], s[2], s[3] = s[0] + 1, s[1] + e.chars, s[2] + e.linked, s[3] + e.hinted
+                for x in blocks:
+                    s = seen.setdefault(key_of(x), [0, 0, 0, 0])
+                    s[0], s[1] = s[0] + 1, s[1] + len(x.text)
+                rows.append((host, "", key, 1, 0, 0, 0))
+                rows += [(host, token, key, *s) for token, s in seen.items()]
+            yield pd.DataFrame(rows, columns=["host", "token", "id", "n", "chars", "linked", "hinted"])
+
+    seen = pages.mapInPandas(run, "host string, token string, id long, n long, chars long, linked long, hinted long")
     h = F.xxhash64("id", "n")
-    vectors = seen.groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), F.sum("n").alias("n"), F.avg("at").alias("at")
-    )
+    sums = [F.sum(c).alias(c) for c in ("n", "chars", "linked", "hinted")]
+    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), *sums)
+    # written, as it is used twice; rare tokens are most of all and needed by nobody
+    vectors = saved(vectors.where((F.col("pages") >= LEAST) | (F.col("token") == "")), "vectors")
     of_host = vectors.where("token = ''").select(F.col("host").alias("of"), F.col("pages").alias("all"))
     often = vectors.where("token <> ''").join(of_host, F.col("host") == F.col("of")).where((F.col("pages") >= LEAST) & (F.col("pages") >= SHARE * F.col("all")))
+    cols = ["token", "n", "chars", "linked", "hinted"]
     classes = often.groupBy("host", "pages", "low", "high").agg(
-        F.count("*").alias("size"), F.max(~F.col("token").startswith("#")).alias("tagged"), F.collect_list(F.struct("at", "token")).alias("tokens")
+        F.count("*").alias("size"), F.max(~F.col("token").contains("#")).alias("tagged"), F.collect_list(F.struct(*cols)).alias("tokens")
     )  # no more tokens than SHARE allows a page to have
-    valid = classes.where("size >= 2 and tagged").select("host", F.explode("tokens").alias("t"))
-    return valid.groupBy("host").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["token"]).alias("template"))
+    return classes.where("size >= 2 and tagged").select("host", "pages", F.explode("tokens").alias("t")).select("host", "pages", "t.*")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, texts, furniture, core): each host's template. pages: (host, id, body)."""
+
+    def run(tokens: pd.DataFrame) -> pd.DataFrame:
+        t = judged(tokens)
+        return pd.DataFrame([(tokens["host"].iloc[0], *(sorted(x) for x in t))], columns=["host", "texts", "furniture", "core"])
+
+    return valid_tokens(pages).groupBy("host").applyInPandas(run, "host string, texts array<string>, furniture array<string>, core array<string>")
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -217,24 +403,21 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", b
     others; an empty table gives no rows.
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
-    pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
+    pages = df.select(whole_id(F.col(id_col)).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
     # written: Spark then knows how small it is, and where it isn't can split a large host's pages in the join
-    found = saved(templates(pages.select("host", "id", "body")).select(F.col("host").alias("of"), "template"), "templates")
-    joined = pages.join(found, F.col("host") == F.col("of"), "left").select("id", "url", "body", "template")
+    found = saved(templates(pages.select("host", "id", "body")).withColumnRenamed("host", "of"), "templates")
+    joined = pages.join(found, F.col("host") == F.col("of"), "left").select("id", "url", "body", "texts", "furniture", "core")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, frozenset[str]] = {}
+        known: dict = {}
         for b in batches:
             texts = []
-            for body, template in zip(b["body"], b["template"]):
-                tokens = () if template is None else tuple(template)
-                if tokens not in known:
-                    known[tokens] = frozenset(tokens)
-                texts.append(extract(body, known[tokens]))
+            for body, *template in zip(b["body"], b["texts"], b["furniture"], b["core"]):
+                texts.append(extract(body, Template() if template[2] is None else Template(*map(frozenset, template)), known))
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     out = joined.mapInPandas(run, "id long, url string, text string, n_chars long")
-    return out.withColumnsRenamed({"id": id_col, "url": url_col})
+    return out.select(shown_id(F.col("id")).alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 
 def query(spark, sf_dir):

@@ -146,3 +146,89 @@ def test_pipeline(spark, tmp_path):
         assert got.count() == 0, name
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == docs.columns, name
+
+
+def test_tokens_follow_html():
+    article = "<article>{}</article>"
+    for raw, want in (
+        ("<p>a</p><svg-icon></svg-icon><p>b</p>", "a\nb"), ("<p>a</p><video-js><p>b</p>", "a\nb"), ("<p title='the hidden valley'>b</p>", "b"), ("<p hidden>a</p><p aria-hidden=true>c</p><p>b</p>", "b"),
+        ("<a title=it's href=x>link</a><p>b don't go</p>", "link\nb don't go"), ("<svg class='i'/><p>b</p>", "b"), ("<datalist><option>x<option>y</datalist><p>b</p>", "b"),
+        ("<p data-x='a > b'>c</p>", "c"), ('<p title="a>c</p><p>d', "c\nd"), ("<span class=hidden>x<span>y</span>z</span><p>b", "b"), ("<script-x>a</script-x><p>b", "a\nb"), ("<!--><p>a<!-- b --!> c -->", "a"),
+    ):
+        assert H.extract(article.format(raw)) == want, raw
+    assert H.extract("<main>text</main><article>teaser</article>") == "text\nteaser"
+    assert H.extract("<body><div class='layout has-sidebar'><article>text</article></div>") == "text"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 2**20
+    for part in ('<a "', "<a x='>'", "<!", "<div>", "<div></p>", "<canvas>", "<svg>", "<!--", "<a", "<a =", "<p a=b ", "<td><span hidden>", "</div>", "<a b=\""):
+        began = time.time()
+        H.extract(part * (n // len(part)))
+        assert time.time() - began < 5, part
+
+
+def host_rows(first, n, page):
+    return [row(first + k, f"http://h{first}.example/{k}", page(k)) for k in range(n)]
+
+
+def test_slots_decide_without_names(spark):
+    """Of pages of nothing but div elements, what the host has in its slots tells menu, advert, article and footer apart."""
+    def page(k):
+        menu = "".join(f"<div><a href=/{k}{j}>item {k} {j}</a></div>" for j in range(5))
+        text = "".join(f"<div>Sentence {k} {j} of a story that is long enough to be one.</div>" for j in range(4))
+        return f"<html><body><div>{menu}</div><div>Buy now {k}</div><div><h1>Title {k}</h1>{text}</div><div>Written by {k}</div></body></html>"
+
+    got = {r["page_id"]: r["text"] for r in H.extract_text(spark.createDataFrame(host_rows(100, 9, page), SCHEMA)).collect()}
+    for k in range(9):
+        assert got[100 + k] == "\n".join([f"Title {k}", *[f"Sentence {k} {j} of a story that is long enough to be one." for j in range(4)]])
+
+
+def test_slots_decide_on_the_given_pages(spark):
+    """All names of elements and classes taken away, the pages of the table give the same text, by their templates."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(nav|article|footer)>", "<div>"), "</(nav|article|footer)>", "</div>"))
+    bare = bare.withColumn("html", F.replace("html", F.lit('<div class="ad">'), F.lit("<div>")))
+    want = {r["page_id"]: r["text"] for r in H.extract_text(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in H.extract_text(bare).collect()}
+    assert got == want
+    alone = sum(H.extract(r["html"]) == want[r["page_id"]] for r in bare.limit(100).collect())
+    assert alone == 0  # the elements alone don't tell
+
+
+def test_classes_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["<div class=a>{}</div>", "<section><p>{}</p></section>", "<ul><li>{}<li>x</ul>", "<aside>same</aside>", "<div><div>{}</div></div>"]
+    rows = []
+    for host in range(4):
+        for k in range(rng.randint(3, 12)):
+            body = "".join(p.format(rng.randint(0, 3)) for p in parts if rng.random() < 0.9)
+            rows.append((f"h{host}", 100 * host + k, f"<html><body>{body}</body></html>"))
+    got = {(r["host"], r["token"], r["pages"], r["n"], r["chars"]) for r in H.valid_tokens(spark.createDataFrame(rows, "host string, id long, body string")).collect()}
+    want = set()
+    for host in {r[0] for r in rows}:
+        of_page = {}
+        chars = Counter()
+        for _, key, body in (r for r in rows if r[0] == host):
+            blocks, elements = H.parse(body)
+            of_page[key] = Counter([e.path for e in elements] + [H.key_of(b) for b in blocks])
+            for token, n in [(e.path, e.chars) for e in elements] + [(H.key_of(b), len(b.text)) for b in blocks]:
+                chars[token] += n
+        tokens = {t for c in of_page.values() for t in c}
+        vector = {t: tuple(of_page[k][t] for k in sorted(of_page)) for t in tokens}
+        for t, v in vector.items():
+            mates = [u for u in tokens if vector[u] == v]
+            pages = sum(map(bool, v))
+            if pages >= max(H.LEAST, H.SHARE * len(of_page)) and len(mates) > 1 and any("#" not in u for u in mates):
+                want.add((host, t, pages, sum(v), chars[t]))
+    assert got == want and want
+
+
+def test_ids_beside_nulls(spark):
+    rows = [row(2**53 + 1, "u", "<p>a"), row(None, "u", "<p>b"), row(5, "u", None)]
+    got = H.extract_text(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert {(r["page_id"], r["text"]) for r in got} == {(2**53 + 1, "a"), (None, "b"), (5, "")}
