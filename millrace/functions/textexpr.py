@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import formulas
+from . import counts, formulas
 
 # fixed values: patterns and word lists that scores depend on
 WORD = r"[\p{L}\p{N}_]"
@@ -70,22 +70,9 @@ def count_tokens(x: Column) -> Column:
     return count(x, rf"{WORD}+|[^\p{{L}}\p{{N}}_\s]")
 
 
-def distinct_ngrams(toks: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(0), F.size(toks) - n), lambda i: F.concat_ws(" ", *[F.get(toks, i + k) for k in range(n)]))
-    return F.when(F.size(toks) < n, 0).otherwise(F.size(F.array_distinct(grams)))
-
-
-def run_sum(items: str) -> Column:
-    """Sum of c * log2(c) over the counts of equal items of an array column: sorted, then folded, so no row is exploded."""
-    add = "a.s + if(a.c > 0, a.c * log2(a.c), 0D)"
-    return F.expr(
-        f"aggregate(sort_array({items}), named_struct('p', cast(null as string), 'c', 0L, 's', 0D), "
-        f"(a, x) -> if(a.p <=> x, named_struct('p', x, 'c', a.c + 1L, 's', a.s), named_struct('p', x, 'c', 1L, 's', {add})), a -> {add})"
-    )
-
-
-def entropy_bits(items: str, size: str) -> Column:
-    return F.when(F.col(size) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.log2(F.col(size)) - run_sum(items) / F.col(size)))
+def guarded(x: Column, pattern: str, needs: Column) -> Column:
+    """count(), where the text has what every match needs; most texts don't, and looking for it is far cheaper."""
+    return F.when(needs, count(x, pattern)).otherwise(F.lit(0))
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -93,12 +80,15 @@ def profile(df: DataFrame) -> DataFrame:
     x = text()
     t = F.col("toks")
     w = F.col("folded_words")
-    df = df.withColumns({"toks": tokens(x), "folded_words": words(fold(x)), "line_list": lines(x)})
+    # in one step, or the optimiser would run the worker once for each field
+    df = df.withColumns({"toks": tokens(x), "folded_words": words(fold(x)), "line_list": lines(x), "__c": counts.characters(x)})
+    has = lambda *what: F.greatest(*[x.contains(w) for w in what], F.lit(False))
+    digit, link = x.rlike("[0-9]"), F.greatest(fold(x).contains("http"), fold(x).contains("www."))
     padded = F.concat(F.lit(" "), fold(x), F.lit(" "))
     risk = sum(((F.char_length(padded) - F.char_length(F.replace(padded, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("int") for term in RISK_TERMS)
     return df.withColumns(
         {
-            "n_len": F.char_length(x),
+            **{name: F.col(f"__c.{name}") for name in counts.CHARACTERS},
             "n_tok": F.size(t),
             "n_uniq": F.size(F.array_distinct(t)),
             "n_stop": F.size(F.filter(t, lambda v: v.isin(STOPWORDS))),
@@ -106,28 +96,19 @@ def profile(df: DataFrame) -> DataFrame:
             "n_uniq_words": F.size(F.array_distinct(w)),
             "n_lines": F.size("line_list"),
             "n_dup_lines": F.size("line_list") - F.size(F.array_distinct("line_list")),
-            "n_sym": without(x, r"[\p{L}\p{N}\s\p{Z}]"),
             "n_punct": F.char_length(x) - F.char_length(F.translate(x, PUNCTUATION, "")),
-            "n_ascii_punct": F.char_length(x) - without(x, ASCII_PUNCTUATION),
-            "n_alpha": only(x, r"\p{L}"),
-            "n_ascii_alpha": only(x, "A-Za-z"),
-            "n_letspace": only(x, r"\p{L}\s\p{Z}"),
-            "n_digit": only(x, r"\p{Nd}"),
-            "n_latin": only(F.lower(x), "a-z"),
-            "n_cjk": only(x, r"\x{4e00}-\x{9fff}"),
-            "n_control": only(x, r"\x00-\x08\x0b\x0c\x0e-\x1f"),
-            "n_url": count(x, URL),
-            "n_html": count(x, HTML),
-            "n_email": count(x, RISK_EMAIL),
-            "n_phone": count(x, RISK_PHONE),
-            "q_email": count(x, EMAIL),
-            "q_phone": count(x, PHONE),
-            "q_id": count(x, ID),
-            "q_url_html": count(x, URL_HTML),
+            "n_url": guarded(x, URL, link),
+            "n_html": guarded(x, HTML, has("<")),
+            "n_email": guarded(x, RISK_EMAIL, has("@")),
+            "n_phone": guarded(x, RISK_PHONE, digit),
+            "q_email": guarded(x, EMAIL, has("@")),
+            "q_phone": guarded(x, PHONE, digit),
+            "q_id": guarded(x, ID, has("ID-")),
+            "q_url_html": guarded(x, URL_HTML, has("http", "<")),
             "n_risk_terms": risk,
-            "n_http": count(fold(x), "https?://"),
+            "n_http": guarded(fold(x), "https?://", link),
         }
-    ).drop("line_list", "folded_words")
+    ).drop("line_list", "folded_words", "__c")
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
@@ -136,17 +117,9 @@ def with_ratios(df: DataFrame) -> DataFrame:
 
 
 def with_entropies(df: DataFrame) -> DataFrame:
-    """A profile with entropies of tokens and characters in bits, and counts of different n-grams."""
-    df = df.withColumn("chars", F.split(text(), ""))
-    return df.withColumns(
-        {
-            "token_entropy_bits": entropy_bits("toks", "n_tok"),
-            "char_entropy_bits": entropy_bits("chars", "n_len"),
-            "n_char_kinds": F.when(F.col("n_len") == 0, 0).otherwise(F.size(F.array_distinct("chars"))),
-            "n_bigrams": distinct_ngrams(F.col("toks"), 2),
-            "n_trigrams": distinct_ngrams(F.col("toks"), 3),
-        }
-    ).drop("chars")
+    """A profile with the entropy of its tokens in bits, and counts of different n-grams."""
+    df = df.withColumn("__t", counts.runs(F.concat_ws(" ", "toks")))
+    return df.withColumns({name: F.col(f"__t.{name}") for name in counts.RUNS}).drop("__t")
 
 
 def with_formulas(df: DataFrame, named: dict[str, str]) -> DataFrame:

@@ -21,8 +21,16 @@ def _add(name: str, query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def _table(spark, d, name: str) -> DataFrame:
+    """A table of the folder, spread over the cores if it is smaller than one partition: its files may be one row group."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    one = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= one else df
+
+
 def _docs(spark, d) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return _table(spark, d, "documents")
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -86,7 +94,7 @@ _add(
 )
 _add(
     "clean_pages",
-    lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(pipeline.clean(F.col("html")), 256).alias("clean_sha256"), X.count(F.col("html"), X.HTML).alias("tags"), X.count(F.col("html"), X.URL).alias("urls")),
+    lambda spark, d: _table(spark, d, "pages").select("page_id", F.sha2(pipeline.clean(F.col("html")), 256).alias("clean_sha256"), X.count(F.col("html"), X.HTML).alias("tags"), X.count(F.col("html"), X.URL).alias("urls")),
     rf"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), 'https?://\S+', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))) AS clean_sha256,
     len(regexp_extract_all(html, '<[^>]+>'))::INT AS tags, len(regexp_extract_all(html, '{X.URL}'))::INT AS urls FROM pages""",
 )
@@ -106,7 +114,7 @@ _METRICS = ["length_chars", "token_count", "token_diversity", "repetition_rate",
 _add(
     "document_metrics",
     # 1e-9: sums in another order must not tip a figure that lies between two roundings
-    lambda spark, d: _rounded(scoring.document_metrics(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")).withColumn("information_density", F.col("information_density") + 1e-9), *_METRICS),
+    lambda spark, d: _rounded(scoring.document_metrics(_docs(spark, d), _table(spark, d, "benchmark")).withColumn("information_density", F.col("information_density") + 1e-9), *_METRICS),
     on_profile(
         """, b AS (SELECT t AS token, count(*) AS c FROM (SELECT unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')) AS t FROM benchmark) GROUP BY t),
 s AS (SELECT sum(c) AS total, count(*) AS vocab FROM b), k AS (SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest(toks) AS t FROM p) GROUP BY ALL),
@@ -190,7 +198,7 @@ def _split():
 
 _SPLIT_SQL = "CASE WHEN substr(sha256('split:' || doc_id), 1, 1) < 'd' THEN 'train' ELSE 'valid' END"
 _add("split_audit_exact", _on_docs(lambda df: dedup.split_audit(df.withColumn("split", _split())).select("hash", F.array_join("splits", ",").alias("splits"))), f"SELECT hash, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM (SELECT sha256({_NORM}) AS hash, {_SPLIT_SQL} AS split FROM documents) GROUP BY hash HAVING count(DISTINCT split) > 1")
-_add("benchmark_overlap", lambda spark, d: dedup.containment(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")), "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+_add("benchmark_overlap", lambda spark, d: dedup.containment(_docs(spark, d), _table(spark, d, "benchmark")), "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 _add("removed_documents", _on_docs(lambda df: df.join(dedup.exact_dedup(df).where("not keep"), "doc_id", "left_semi").select("doc_id", "source")), f"SELECT doc_id, source FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY {_NORM}) AS m FROM documents) WHERE doc_id <> m")
 
 # --- selection
@@ -275,7 +283,7 @@ def _pareto_cols(df: DataFrame) -> list:
     return [(F.size(F.array_distinct(t)) / F.greatest(F.lit(1), F.size(t))).alias("a"), F.char_length(x).cast("double").alias("b"), (X.without(x, r"[\p{L}\p{N}\s\p{Z}]") / F.char_length(x)).alias("c")]
 
 
-_add("embedding_diversity_proxy", lambda spark, d: _rounded(select.farthest_first(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"), 0.25), "score"))
+_add("embedding_diversity_proxy", lambda spark, d: _rounded(select.farthest_first(_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 0.25), "score"))
 _add(
     "perplexity_proxy",
     _on_docs(lambda df: _rounded(scoring.unigram_surprisal(df), "score")),
@@ -371,7 +379,7 @@ SELECT lang, round(0.5 * (sum(p * log2(p / ((p + q) / 2))) + sum(q * log2(q / ((
 )
 _add(
     "divergence_documents_benchmark",
-    lambda spark, d: _rounded(analysis.divergence(scoring.token_counts(_docs(spark, d)), scoring.token_counts(spark.read.parquet(f"{d}/benchmark.parquet"))), "kl", "js"),
+    lambda spark, d: _rounded(analysis.divergence(scoring.token_counts(_docs(spark, d)), scoring.token_counts(_table(spark, d, "benchmark"))), "kl", "js"),
     f"""WITH l AS (SELECT t, count(*) AS x FROM (SELECT unnest({_TOK}) AS t FROM documents) GROUP BY t), r AS (SELECT t, count(*) AS y FROM (SELECT unnest({_TOK}) AS t FROM benchmark) GROUP BY t),
 b AS (SELECT coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM l FULL JOIN r USING (t)), s AS (SELECT count(*) AS v, sum(x) AS nx, sum(y) AS ny FROM b), f AS (SELECT (x + 1e-9) / (nx + 1e-9 * v) AS p, (y + 1e-9) / (ny + 1e-9 * v) AS q FROM b CROSS JOIN s)
 SELECT round(sum(p * log2(p / q)), 6) AS kl, round(0.5 * (sum(p * log2(p / ((p + q) / 2))) + sum(q * log2(q / ((p + q) / 2)))), 6) AS js FROM f""",
@@ -389,7 +397,7 @@ _add(
 
 # --- statistics: events stand in for runs of methods (event_type) over seeds (user_id)
 
-_events = lambda spark, d: spark.read.parquet(f"{d}/events.parquet")
+_events = lambda spark, d: _table(spark, d, "events")
 _CI = ["mean", "std", "ci95_low", "ci95_high"]
 _CI_SQL = "n, round(mean, 6) AS mean, round(std, 6) AS std, round(CASE WHEN n > 1 THEN mean - 1.96::DOUBLE * std / sqrt(n) END, 6) AS ci95_low, round(CASE WHEN n > 1 THEN mean + 1.96::DOUBLE * std / sqrt(n) END, 6) AS ci95_high"
 _add("metric_summary_ci", lambda spark, d: _rounded(analysis.summarize(_events(spark, d), "event_type", "value"), *_CI), f"SELECT event_type, {_CI_SQL} FROM (SELECT event_type, count(value) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std FROM events GROUP BY event_type)")
@@ -434,7 +442,7 @@ _add(
 )
 _add(
     "cooccurrence_ppmi",
-    lambda spark, d: _rounded(pipeline.cooccurrence(spark.read.parquet(f"{d}/benchmark.parquet")), "ppmi"),
+    lambda spark, d: _rounded(pipeline.cooccurrence(_table(spark, d, "benchmark")), "ppmi"),
     f"""WITH t AS (SELECT {_TOK} AS k FROM benchmark), o AS (SELECT k[i] AS a, k[i + w] AS b FROM (SELECT k, w, unnest(range(1, len(k) - w + 1)) AS i FROM t CROSS JOIN (SELECT unnest([1, 2]) AS w))),
 c AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM o UNION ALL SELECT b, a FROM o) GROUP BY ALL), l AS (SELECT a, sum(n) AS na FROM c GROUP BY a), s AS (SELECT sum(n)::DOUBLE AS al FROM c)
 SELECT c.a, c.b, n, round(greatest(0, log2(n * al / (l.na * r.na))), 6) AS ppmi FROM c JOIN l ON l.a = c.a JOIN l r ON r.a = c.b CROSS JOIN s""",
@@ -475,7 +483,7 @@ _add(
 
 def _turns(spark, d) -> DataFrame:
     """Each turn with the next of its conversation."""
-    c = spark.read.parquet(f"{d}/conversations.parquet")
+    c = _table(spark, d, "conversations")
     return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"])
 
 
@@ -504,12 +512,12 @@ _add(
 )
 _add(
     "knn",
-    lambda spark, d: _rounded(ml.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0"), 5).select("query", "neighbour", "rank", "distance"), "distance"),
+    lambda spark, d: _rounded(ml.nearest(_table(spark, d, "embeddings"), _table(spark, d, "embeddings").where("vec_id % 50 = 0"), 5).select("query", "neighbour", "rank", "distance"), "distance"),
     """SELECT query, neighbour, rank::INT AS rank, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query, e.vec_id AS neighbour, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
 )
-_add("kmeans", lambda spark, d: ml.kmeans(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 10).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters")))
-_add("pca", lambda spark, d: ml.pca(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 4).select("vec_id", F.transform("components", lambda c: F.round(F.abs(c), 4)).alias("components")))
+_add("kmeans", lambda spark, d: ml.kmeans(_table(spark, d, "embeddings"), "embedding", 10).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters")))
+_add("pca", lambda spark, d: ml.pca(_table(spark, d, "embeddings"), "embedding", 4).select("vec_id", F.transform("components", lambda c: F.round(F.abs(c), 4)).alias("components")))
 _add(
     "linear_fit",
     _on_docs(lambda df: _rounded(ml.linear_fit(X.profile(df), "n_tok", "n_len"), "slope", "intercept", "r2")),
@@ -517,13 +525,13 @@ _add(
 )
 _add(
     "anomaly_density",
-    lambda spark, d: _rounded(ml.anomaly(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_discount"]).select("l_orderkey", "l_linenumber", "log_density"), "log_density"),
+    lambda spark, d: _rounded(ml.anomaly(_table(spark, d, "lineitem"), ["l_quantity", "l_discount"]).select("l_orderkey", "l_linenumber", "log_density"), "log_density"),
     """WITH s AS (SELECT avg(l_quantity) AS m, var_pop(l_quantity) AS v, avg(l_discount) AS n, var_pop(l_discount) AS w FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(-pow(l_quantity - m, 2) / (2 * v) - 0.5 * ln(2 * pi() * v) - pow(l_discount - n, 2) / (2 * w) - 0.5 * ln(2 * pi() * w), 6) AS log_density FROM lineitem, s""",
 )
 _add(
     "conversation_tokens",
-    lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.size(X.tokens(X.text()))).alias("tokens"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")),
+    lambda spark, d: _table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.size(X.tokens(X.text()))).alias("tokens"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")),
     f"SELECT conv_id, count(*) AS turns, sum(len({_TOK}))::BIGINT AS tokens, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id",
 )
 
