@@ -43,6 +43,8 @@ QUALITY_PROFILE = clamp(
     "(least(1.0, n_tok / 20) + (1.0 - least(1.0, symbol_ratio * 3)) + (1.0 - repeated_line_ratio) + CASE WHEN is_readable THEN 1.0 ELSE 0.0 END) / 4"
 )
 
+RULE = "(n_words >= 5 AND symbol_ratio <= 0.25 AND unique_word_ratio >= 0.16)"
+
 #: Score and keep rule of each row-local filter, over the profile and RATIOS.
 FILTERS = {
     "raw": ("1.0", "true"),
@@ -104,9 +106,10 @@ LOCAL = {
     "alpha_fraction": "CASE WHEN n_len = 0 THEN 0.0 ELSE n_alpha / greatest(1, n_len) END",
 }
 
+#: A text without words has none, so no band of order statistics below infinity keeps it.
 PERPLEXITY_PROXY = (
-    "1.0 - n_uniq_words / greatest(1, n_words) + 0.8 * n_ascii_punct / greatest(1, n_len) + 0.5 * n_digit / greatest(1, n_len) + "
-    "0.35 * abs(ln(1.0 + n_words) - ln(385.0)) / ln(4097.0)"
+    "CASE WHEN n_words = 0 THEN CAST('Infinity' AS DOUBLE) ELSE 1.0 - n_uniq_words / greatest(1, n_words) + 0.8 * n_ascii_punct / greatest(1, n_len) + 0.5 * n_digit / greatest(1, n_len) + "
+    "0.35 * abs(ln(1.0 + n_words) - ln(385.0)) / ln(4097.0) END"
 )
 
 BASELINES = {

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import formulas
 from ..functions import textexpr as X
 from . import scoring, select
 
@@ -38,8 +43,9 @@ def diversity_report(df: DataFrame) -> DataFrame:
     return a.join(t)  # two one-row aggregates
 
 
-def quality_metrics(df: DataFrame, threshold: float = 0.58) -> DataFrame:
-    rows = scoring.hdqs(df).withColumn("raw", F.sha2(X.text(), 256))
+def quality_metrics(df: DataFrame) -> DataFrame:
+    """One row: sizes, copies, personal data, the share that passes the rule filter, and the mean score."""
+    rows = X.with_ratios(scoring.hdqs(df)).withColumns({"raw": F.sha2(X.text(), 256), "passes": F.expr(formulas.spark(formulas.RULE))})
     n, kinds = F.count("*"), F.count_distinct("raw")
     return rows.agg(
         n.alias("documents"),
@@ -49,7 +55,7 @@ def quality_metrics(df: DataFrame, threshold: float = 0.58) -> DataFrame:
         F.sum("q_email").alias("email_hits"),
         F.sum("q_phone").alias("phone_hits"),
         F.sum("q_id").alias("id_hits"),
-        (F.count_if(F.col("score") >= threshold) / F.greatest(F.lit(1), n)).alias("pass_rate"),
+        (F.count_if("passes") / F.greatest(F.lit(1), n)).alias("pass_rate"),
         F.avg("score").alias("mean_score"),
     )
 
@@ -160,16 +166,45 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
-def bootstrap_mean(df: DataFrame, group: str, value: str, samples: int = 200, seed: int = 13, confidence: float = 0.95) -> DataFrame:
-    """(group, mean, ci_low, ci_high) by a Poisson bootstrap: each row's weight in each sample is drawn from its hash.
+#: Bootstraps by name: (samples, places of the low and the high bound among n sorted means, what single values give).
+BOOTSTRAPS = {
+    "interval": (1000, lambda n: (int(0.025 * n), int(0.975 * n) - 1), "itself"),
+    "inclusive": (200, lambda n: (int(0.025 * (n - 1)), int(0.975 * (n - 1))), "null"),
+    "registry": (500, lambda n: (int(0.025 * n), int(0.975 * n) - 1), "null"),
+    "methods": (1000, lambda n: (int(0.025 * (n - 1)), int(0.975 * (n - 1))), "itself"),
+}
+
+
+def bootstrap_mean(df: DataFrame, group: str, value: str, key: list[str], kind: str = "inclusive", seed: int = 13) -> DataFrame:
+    """(group, n, mean, ci_low, ci_high) by a Poisson bootstrap: each row's weight in each sample is drawn from a hash of its
+    key, which must tell rows apart: the same for any partitioning. kind: of BOOTSTRAPS.
 
-    Samples are sums of weights, so no row is sent anywhere but in partial sums.
+    A row's weights are made in one array and summed place by place, so no row is exploded; nulls are left out.
     """
-    u = lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col(value), F.col("__k")), F.lit(2**32)) / F.lit(float(2**32))
+    samples, places, single = BOOTSTRAPS[kind]
+    low, high = places(samples)
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = lambda b: sum(F.when(u(b) > c, 1).otherwise(0) for c in cdf)
-    rows = df.withColumn("__k", F.monotonically_increasing_id()).select(group, value, "__k", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("b"))
-    means = rows.withColumn("w", weight(F.col("b"))).groupBy(group, "b").agg((F.sum(F.col("w") * F.col(value)) / F.greatest(F.lit(1), F.sum("w"))).alias("m"))
-    low = (1 - confidence) / 2
-    ci = means.groupBy(group).agg(F.expr(f"percentile_disc({low}D) WITHIN GROUP (ORDER BY m)").alias("ci_low"), F.expr(f"percentile_disc({1 - low}D) WITHIN GROUP (ORDER BY m)").alias("ci_high"))
-    return df.groupBy(group).agg(F.avg(value).alias("mean")).join(ci, group)
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), *key).alias("k"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for name, part in b.groupby(group, dropna=False, sort=False):
+                v, k = part["v"].to_numpy(), part["k"].to_numpy().view(np.uint64)
+                for at in range(0, len(v), 4096):
+                    x = k[at : at + 4096, None] + np.arange(1, samples + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+                    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                    w = np.searchsorted(np.array(cdf), (x >> np.uint64(11)).astype(float) / 2.0**53, side="right")
+                    got = sums.setdefault(name, np.zeros((2, samples)))
+                    got[0] += (w * v[at : at + 4096, None]).sum(axis=0)
+                    got[1] += w.sum(axis=0)
+        yield pd.DataFrame([(name, s, x, y) for name, (a, b) in sums.items() for s, (x, y) in enumerate(zip(a, b))], columns=[group, "b", "x", "w"])
+
+    kind_ = dict(df.dtypes)[group]
+    means = rows.mapInPandas(run, f"`{group}` {kind_}, b int, x double, w double").groupBy(group, "b").agg((F.sum("x") / F.greatest(F.lit(1.0), F.sum("w"))).alias("m"))
+    ordered = means.groupBy(group).agg(F.array_sort(F.collect_list("m")).alias("m"))  # samples numbers
+    out = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(ordered, group, "left")
+    alone = F.col("mean") if single == "itself" else F.lit(None).cast("double")
+    bound = lambda at: F.when(F.col("n") > 1, F.get("m", F.lit(at))).otherwise(alone)
+    return out.select(group, "n", "mean", bound(low).alias("ci_low"), bound(high).alias("ci_high"))

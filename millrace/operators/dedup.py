@@ -9,6 +9,8 @@ from ..functions import textexpr as X
 from .storage import saved
 
 PERMUTATIONS, BANDS, SEED = 64, 16, 42
+#: Short protected texts that are broadcast at once, about.
+TINY = 2000
 
 
 def exact_dedup(df: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -37,8 +39,14 @@ def folded_words() -> Column:
     return X.words(X.fold(X.text()))
 
 
-def signature(sh: Column, permutations: int = PERMUTATIONS) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_min(F.transform(sh, lambda v: F.xxhash64(v, p))))
+def signature(sh: Column, permutations: int = PERMUTATIONS, seed: int = SEED) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_min(F.transform(sh, lambda v: F.xxhash64(v, p + seed))))
+
+
+def bands_of(sig: str, permutations: int, bands: int) -> Column:
+    """(band, key) of each band of a signature, to be exploded."""
+    rows = permutations // bands
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice(sig, b * rows + 1, rows)).alias("key")))
 
 
 def candidates(sh: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
@@ -48,12 +56,10 @@ def candidates(sh: DataFrame, permutations: int = PERMUTATIONS, bands: int = BAN
     """
     if permutations < 4 or bands < 1 or permutations % bands:
         raise ValueError("bands must divide permutations, of which there must be four or more")
-    rows = permutations // bands
     ids = sh.select("doc_id", F.col("doc_id").cast("string").alias("s"), F.array_sort("shingles").alias("shingles"))
     same = ids.groupBy(F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n")).agg(F.min("s").alias("lead"), F.first("shingles").alias("shingles"))
     lead = same.select("lead", signature(F.col("shingles"), permutations).alias("sig"))
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice("sig", b * rows + 1, rows)).alias("key"))))
-    banded = saved(lead.select("lead", band.alias("x")).select("lead", "x.band", "x.key"), "bands")
+    banded = saved(lead.select("lead", F.explode(bands_of("sig", permutations, bands)).alias("x")).select("lead", "x.band", "x.key"), "bands")
     twin = banded.select(F.col("lead").alias("other"), "band", "key")
     pairs = banded.join(twin, ["band", "key"]).where("lead < other").select(F.col("lead").alias("a"), F.col("other").alias("b")).distinct()
     copies = ids.join(same.select("set", F.col("n"), "lead"), (F.xxhash64(F.col("shingles")) == F.col("set")) & (F.size(F.col("shingles")) == F.col("n"))).where("s <> lead")
@@ -77,8 +83,10 @@ def near_pairs(df: DataFrame, threshold: float = 0.82, size: int = 3, toks: Colu
     return confirmed(candidates(sh), sh, threshold)
 
 
-def jaccard_pairs(df: DataFrame, threshold: float = 0.82, size: int = 3) -> DataFrame:
-    """All pairs (a, b, similarity) of documents, exactly: rows with equal sets are compared once and then expanded."""
+def jaccard_classes(df: DataFrame, threshold: float = 0.82, size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lead) of every document, lead being the least id of those with an equal shingle set; and all pairs
+    (a, b, similarity) of leads whose sets are similar, exactly. A group of copies is one set and costs its size.
+    """
     sh = saved(shingles(df, size), "shingles").select("doc_id", F.array_sort("shingles").alias("shingles"))
     key = [F.xxhash64("shingles").alias("h"), F.size("shingles").alias("k")]  # equal sets meet by hash and size, and are compared
     sets = saved(sh.groupBy(*key, "shingles").agg(F.min("doc_id").alias("lead")), "sets")
@@ -92,11 +100,15 @@ def jaccard_pairs(df: DataFrame, threshold: float = 0.82, size: int = 3) -> Data
     pairs = prefix.join(other, "v").where((F.col("lead") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)).select("lead", "other").distinct()
     x, y = sets.select("lead", F.col("shingles").alias("x")), sets.select(F.col("lead").alias("other"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    close = pairs.join(x, "lead").join(y, "other").select("lead", "other", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
-    link = close.unionByName(sets.select("lead", F.col("lead").alias("other"), F.lit(1.0).alias("similarity")))
-    a, b = member.select(F.col("doc_id").alias("p"), "lead"), member.select(F.col("doc_id").alias("q"), F.col("lead").alias("other"))
-    full = link.join(a, "lead").join(b, "other").where("lead <> other or p < q")
-    return full.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+    similarity = (common / (F.size("x") + F.size("y") - common)).alias("similarity")
+    close = pairs.join(x, "lead").join(y, "other").select(F.col("lead").alias("a"), F.col("other").alias("b"), similarity).where(F.col("similarity") >= threshold)
+    return member, close
+
+
+def jaccard_pairs(df: DataFrame, threshold: float = 0.82, size: int = 3) -> DataFrame:
+    """(a, b, similarity): all pairs of different shingle sets, by their least ids, and each copy of a set with its least id."""
+    member, close = jaccard_classes(df, threshold, size)
+    return close.unionByName(member.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,9 +176,41 @@ def minhash_filter(df: DataFrame, threshold: float = 0.86, size: int = 3) -> Dat
 
 
 def near_dedup(df: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """(member, representative, similarity): greedy in id order, by exact pairs; the first kept match represents."""
-    best = greedy(jaccard_pairs(df, threshold)).groupBy("member").agg(F.min(F.struct("representative", "similarity")).alias("m"))
-    return best.select("member", "m.representative", "m.similarity")
+    """(member, representative, similarity): greedy in id order, by exact pairs; the first kept match represents.
+
+    Only leads of equal sets are walked: the other copies of a kept lead have that, those of a dropped one what it has.
+    """
+    member, close = jaccard_classes(df, threshold)
+    best = greedy(close).groupBy("member").agg(F.min(F.struct("representative", "similarity")).alias("m"))
+    gone = saved(best.select("member", "m.representative", "m.similarity"), "gone")
+    copies = member.where("doc_id <> lead").join(gone, F.col("lead") == F.col("member"), "left")
+    copies = copies.select(F.col("doc_id").alias("member"), F.coalesce("representative", "lead").alias("representative"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    return gone.unionByName(copies)
+
+
+def id_conflicts(df: DataFrame) -> DataFrame:
+    """(doc_id, rows): ids that several rows have."""
+    return df.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+
+
+def split_near_pairs(df: DataFrame, split: str = "split", threshold: float = 0.9) -> DataFrame:
+    """(a, b, similarity, a_split, b_split): near-duplicate pairs of different splits, copies by the first of their set in each.
+
+    Sets are told apart by split, so that a group of copies in two splits is one pair.
+    """
+    sh = saved(shingles(df, toks=folded_words()).join(df.select("doc_id", split), "doc_id"), "shingles")
+    lead = sh.groupBy(F.array_sort("shingles").alias("shingles"), split).agg(F.min(F.col("doc_id").cast("string")).alias("doc_id"))
+    lead = saved(lead.select("doc_id", split, "shingles"), "leads")
+    sets = lead.select("doc_id", "shingles")
+    pairs = confirmed(candidates(sets), sets, threshold)
+    # equal sets of several splits are linked to the first of them alone; here every two of them are a pair
+    same = lead.groupBy("shingles").agg(F.collect_list(F.struct("doc_id", split)).alias("g")).where("size(g) > 1").select(F.array_sort("g").alias("g"))
+    named = lead.select(F.col("doc_id"), F.col(split).alias("s"))
+    near = pairs.where("similarity < 1").join(named.select(F.col("doc_id").alias("a"), F.col("s").alias("a_split")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("s").alias("b_split")), "b")
+    near = near.where("a_split <> b_split").select("a", "b", "similarity", "a_split", "b_split")
+    x, y = F.col("x"), F.col("y")
+    both = same.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).where("x.doc_id < y.doc_id")  # splits are few
+    return near.unionByName(both.select(x["doc_id"].alias("a"), y["doc_id"].alias("b"), F.lit(1.0).alias("similarity"), x[split].alias("a_split"), y[split].alias("b_split")))
 
 
 def split_audit(df: DataFrame, split: str = "split") -> DataFrame:
@@ -191,7 +235,13 @@ def containment(df: DataFrame, protected: DataFrame, words: int = 8) -> DataFram
         grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - n, F.lit(0))), lambda i: run(F.slice("t", i + 1, n))))).alias("h"))
         hits = grams.join(short.where(F.size("inner") == n).select("item_id", "item", run(F.col("inner")).alias("h")), "h").select("item_id", "item", "doc_id")
         found = hits if found is None else found.unionByName(hits)
-    tiny = items.where("size(w) < 3").select("item_id", "item")  # compared with all: they are few and fixed
-    few = docs.join(F.broadcast(tiny), F.col("body").contains(F.col("item"))).select("item_id", "item", "doc_id")
-    found = few if found is None else found.unionByName(few)
+    # items of one or two words may be parts of words, so they are looked for in every text, TINY of them at a time
+    tiny = saved(items.where("size(w) < 3").select("item_id", "item"), "tiny")
+    parts = -(-tiny.count() // TINY)
+    for k in range(parts):
+        part = tiny.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == k)
+        few = docs.join(F.broadcast(part), F.col("body").contains(F.col("item"))).select("item_id", "item", "doc_id")
+        found = few if found is None else found.unionByName(few)
+    if found is None:
+        return items.join(docs.limit(0)).select("item_id", "doc_id")
     return found.distinct().join(docs.select("doc_id", "body"), "doc_id").where(F.col("body").contains(F.col("item"))).select("item_id", "doc_id").distinct()

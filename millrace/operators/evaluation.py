@@ -54,13 +54,18 @@ def mechanism(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def calibration(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: token and length divergence between two corpora, the share kept, and their objective."""
-    tokens = analysis.divergence(scoring.token_counts(before), scoring.token_counts(after)).select(F.col("js").alias("token_js"))
-    bins = lambda df: analysis.length_histogram(df).select(F.col("bin").alias("token"), "c")
-    lengths = analysis.divergence(bins(before), bins(after)).select(F.col("js").alias("length_js"))
-    kept = before.agg(F.count("*").alias("n")).join(after.agg(F.count("*").alias("m"))).select((F.col("m") / F.greatest(F.lit(1), "n")).alias("retention"))
-    return tokens.join(lengths).join(kept).withColumn("objective", F.col("retention") - F.col("token_js") - F.col("length_js"))
+def calibration(before: DataFrame, after: DataFrame, dev: DataFrame, top: int = 5000) -> DataFrame:
+    """One row: divergences of the selected corpus's tokens and lengths from the raw and the dev corpus's, and the share kept.
+
+    Tokens are the top most frequent of each corpus, of equally frequent ones the first to occur.
+    """
+    tokens = {k: analysis.token_topk(df, top) for k, df in (("selected", after), ("raw", before), ("dev", dev))}
+    bins = {k: analysis.length_histogram(df).select(F.col("bin").alias("token"), "c") for k, df in (("selected", after), ("raw", before), ("dev", dev))}
+    out = before.agg(F.count("*").alias("n")).join(after.agg(F.count("*").alias("m"))).select((F.col("m") / F.greatest(F.lit(1), "n")).alias("retention_rate"))
+    for what, of in (("token", tokens), ("length", bins)):
+        for other in ("raw", "dev"):
+            out = out.join(analysis.divergence(of["selected"], of[other]).select(F.col("js").alias(f"{what}_js_selected_vs_{other}")))  # one row each
+    return out
 
 
 def split_hashes(df: DataFrame, split: str) -> DataFrame:

@@ -28,9 +28,9 @@ def length_filter(df: DataFrame, least: int = 1, most: int = 1_000_000_000) -> D
 
 
 def rule_filter(df: DataFrame) -> DataFrame:
-    """At least 5 words, at most a quarter symbols, at least 16 % different words."""
+    """At least 5 words between white space, at most a quarter symbols, at least 16 % different tokens."""
     p = X.with_ratios(X.profile(df))
-    keep = (F.col("n_tok") >= 5) & (F.col("symbol_ratio") <= 0.25) & (F.col("unique_word_ratio") >= 0.16)
+    keep = F.expr(formulas.spark(formulas.RULE))
     return p.select("doc_id", keep.alias("keep"), F.col("unique_word_ratio").alias("score"), F.when(keep, "rule_pass").otherwise("rule_reject").alias("reason"))
 
 

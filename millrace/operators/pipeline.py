@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -99,8 +100,8 @@ def noise(df: DataFrame, families: set[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def apply(df: DataFrame, steps: tuple[str, ...] = ("clean", "redact", "rule", "hdqs", "exact", "near"), threshold: float = 0.58) -> DataFrame:
-    """df after the steps, in their order; an unknown step is an error."""
+def apply(df: DataFrame, steps: tuple[str, ...] = ("clean", "redact", "rule", "hdqs", "exact", "near"), threshold: float = 0.80) -> DataFrame:
+    """df after the steps, in their order; an unknown step is an error. "hdqs+x" is the quality step at a threshold higher by x."""
     for step in steps:
         if step == "clean":
             df = df.withColumn("text", clean(X.text()))
@@ -108,11 +109,15 @@ def apply(df: DataFrame, steps: tuple[str, ...] = ("clean", "redact", "rule", "h
             df = df.withColumn("text", redact(X.text()))
         elif step == "rule":
             df = kept(df, filters.rule_filter(df))
-        elif step == "hdqs":
-            s = scoring.hdqs(df).select("doc_id", (F.col("score") >= threshold).alias("keep"))
+        elif step.partition("+")[0] == "hdqs":
+            least = threshold + float(step.partition("+")[2] or 0)
+            s = scoring.hdqs(df).select("doc_id", (F.round("score", 9) >= round(least, 9)).alias("keep"))
             df = kept(df, s)
         elif step == "exact":
             df = kept(df, dedup.exact_dedup(df))
+        elif step == "minhash":
+            gone = dedup.greedy(dedup.near_pairs(df, toks=dedup.folded_words()))
+            df = df.join(gone.select(F.col("member").cast(dict(df.dtypes)["doc_id"]).alias("doc_id")), "doc_id", "left_anti")
         elif step == "near":
             df = df.join(dedup.near_dedup(df).select(F.col("member").alias("doc_id")), "doc_id", "left_anti")
         else:
@@ -124,43 +129,104 @@ def kept(df: DataFrame, decisions: DataFrame) -> DataFrame:
     return df.join(decisions.where("keep").select("doc_id"), "doc_id", "left_semi")
 
 
-#: Named variants of the pipeline.
+# fixed values: the variants by name, as steps; see variant() for those that match the full pipeline's retention
+FULL = ("clean", "redact", "hdqs", "exact", "near")
 VARIANTS = {
-    "raw": (),
+    "raw_noisy_baseline": (),
     "clean_only": ("clean",),
-    "redact_only": ("redact",),
-    "rule_only": ("rule",),
-    "hdqs_only": ("hdqs",),
-    "exact_only": ("exact",),
-    "near_only": ("exact", "near"),
-    "full": ("clean", "redact", "rule", "hdqs", "exact", "near"),
-    "full_without_clean": ("redact", "rule", "hdqs", "exact", "near"),
-    "full_without_redact": ("clean", "rule", "hdqs", "exact", "near"),
-    "full_without_rule": ("clean", "redact", "hdqs", "exact", "near"),
+    "pii_redact_only": ("redact",),
+    "exact_dedup_only": ("exact",),
+    "near_dedup_only": ("near",),
+    "jaccard_near_dedup_only": ("near",),
+    "rule_filter_only": ("rule",),
+    "rule_quality_filter": ("rule",),
+    "perplexity_filter_proxy": ("hdqs+0.04",),
+    "proxy_perplexity_filter": ("hdqs+0.04",),
+    "hdqs_filter": ("hdqs",),
+    "hdqs_curriculum": ("hdqs",),
+    "full_pipeline_without_clean": ("redact", "hdqs", "exact", "near"),
+    "full_pipeline_without_redact": ("clean", "hdqs", "exact", "near"),
+    "full_pipeline_without_exact_dedup": ("clean", "redact", "hdqs", "near"),
+    "full_pipeline_without_near_dedup": ("clean", "redact", "hdqs", "exact"),
     "full_without_hdqs": ("clean", "redact", "rule", "exact", "near"),
-    "full_without_exact": ("clean", "redact", "rule", "hdqs", "near"),
-    "full_without_near": ("clean", "redact", "rule", "hdqs", "exact"),
-    "dedup_first": ("exact", "near", "clean", "redact", "rule", "hdqs"),
-    "redact_last": ("clean", "rule", "hdqs", "exact", "near", "redact"),
-    "filter_first": ("rule", "hdqs", "clean", "redact", "exact", "near"),
+    "full_pipeline": FULL,
+    "full_pipeline_without_hdqs": ("clean", "redact", "rule", "exact", "near"),
+    "minhash_lsh_near_dedup_only": ("minhash",),
 }
+MATCHED = ("random_retention_matched_baseline", "length_matched_baseline", "quality_retention_matched_baseline")
+ORDERS = {
+    "clean_redact_exact_near_hdqs": ("clean", "redact", "exact", "near", "hdqs"),
+    "clean_dedup_redact_hdqs": ("clean", "exact", "near", "redact", "hdqs"),
+    "hdqs_clean_dedup": ("hdqs", "clean", "exact", "near"),
+    "redact_before_dedup": ("redact", "exact", "near", "hdqs"),
+    "redact_after_dedup": ("exact", "near", "redact", "hdqs"),
+    "near_dedup_before_hdqs": ("clean", "redact", "near", "hdqs"),
+    "near_dedup_after_hdqs": ("clean", "redact", "hdqs", "near"),
+}
+
+
+def _walked(df: DataFrame, named: dict[str, tuple[str, ...]], threshold: float) -> dict[str, DataFrame]:
+    """The result of each row of steps. Rows that begin alike share what they begin with, written once."""
+    known = {(): df}
+    begun = Counter(steps[:k] for steps in set(named.values()) for k in range(1, len(steps) + 1))
+    out = {}
+    for name, steps in named.items():
+        for k in range(1, len(steps) + 1):
+            if steps[:k] not in known:
+                done = apply(known[steps[: k - 1]], steps[k - 1 : k], threshold)
+                # near dedup runs jobs of its own, and its result would be computed anew for each reader
+                known[steps[:k]] = select.saved(done, "steps") if begun[steps[:k]] > 1 or steps[k - 1] in ("near", "minhash", "hdqs") else done
+        out[name] = known[steps]
+    return out
 
 
-def variants(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(variant, documents, characters, tokens, pii_hits) of each named variant."""
+def variants(df: DataFrame, names: tuple[str, ...] | None = None, threshold: float = 0.80) -> dict[str, DataFrame]:
+    """The documents of each named variant, all by default.
+
+    The matched ones have as many documents as the full pipeline: the first by id, the longest, or the best by score.
+    """
+    names = tuple(names or (*VARIANTS, *MATCHED))
+    if unknown := set(names) - set(VARIANTS) - set(MATCHED):
+        raise ValueError(f"unknown variants: {sorted(unknown)}")
+    steps = {n: VARIANTS[n] for n in names if n in VARIANTS}
+    matched = [n for n in names if n in MATCHED]
+    got = _walked(df, steps | ({"full_pipeline": FULL} if matched else {}), threshold)
+    if matched:
+        kept_, n = got["full_pipeline"].count(), df.count()
+        k = max(1, kept_)
+        for name in matched:
+            if name == "random_retention_matched_baseline":
+                ids = df.orderBy("doc_id").limit(k)
+            elif name == "length_matched_baseline":
+                ids = df.select("doc_id", F.char_length(X.text()).alias("l")).orderBy(F.desc("l"), "doc_id").limit(k)
+            else:
+                scored = scoring.hdqs(df).select("doc_id", F.round("score", 9).alias("score"))
+                ids = select.topk(scored, kept_ / max(1, n)).where("keep") if kept_ else scored.limit(0)
+            got[name] = df.join(ids.select("doc_id"), "doc_id", "left_semi")
+    return {n: got[n] for n in names}
+
+
+def compared(named: dict[str, DataFrame], column: str = "variant") -> DataFrame:
+    """(column, documents, characters, tokens, pii_hits, mean_hdqs) of each named corpus."""
     out = []
-    for name in names:
-        x = X.text()
-        hits = X.count(x, X.EMAIL) + X.count(x, X.PHONE) + X.count(x, X.ID)
+    for name, df in named.items():
+        s = scoring.hdqs(df).withColumn("__tokens", X.count_tokens(X.text()))
         out.append(
-            apply(df, VARIANTS[name]).agg(
-                F.lit(name).alias("variant"), F.count("*").alias("documents"), F.coalesce(F.sum(F.char_length(x)), F.lit(0)).alias("characters"),
-                F.coalesce(F.sum(X.count_tokens(x)), F.lit(0)).alias("tokens"), F.coalesce(F.sum(hits), F.lit(0)).alias("pii_hits"),
+            s.agg(
+                F.lit(name).alias(column), F.count("*").alias("documents"), F.coalesce(F.sum("n_len"), F.lit(0)).alias("characters"), F.coalesce(F.sum("__tokens"), F.lit(0)).alias("tokens"),
+                F.coalesce(F.sum(F.col("q_email") + F.col("q_phone") + F.col("q_id")), F.lit(0)).cast("long").alias("pii_hits"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_hdqs"),
             )
         )
     return reduce(DataFrame.unionByName, out)
 
 
+def order_report(df: DataFrame, names: tuple[str, ...] = tuple(ORDERS), threshold: float = 0.80) -> DataFrame:
+    """(pipeline_order, steps, documents, characters, tokens, pii_hits, mean_hdqs, retention) of each order of steps."""
+    rows = compared(_walked(df, {n: ORDERS[n] for n in names}, threshold), "pipeline_order")
+    steps = F.create_map(*[F.lit(x) for n in names for x in (n, " -> ".join(ORDERS[n]))])
+    return rows.withColumns({"steps": steps[F.col("pipeline_order")], "retention": F.col("documents") / max(1, df.count())})
+
+
 def sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.55, 0.58, 0.65, 0.7, 0.75, 0.8)) -> DataFrame:
     """(threshold, kept, tokens, mean_score) in one pass over the scores."""
     s = scoring.hdqs(df).select("score", "n_tok")
@@ -169,29 +235,40 @@ def sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.55, 0.58, 0.65,
     return each.groupBy("threshold").agg(F.count_if(hit).alias("kept"), F.coalesce(F.sum(F.when(hit, F.col("n_tok"))), F.lit(0)).alias("tokens"), F.coalesce(F.avg(F.when(hit, F.col("score"))), F.lit(0.0)).alias("mean_score"))
 
 
+# fixed values: the baselines by name, and what they rank by
 BASELINES = {
-    "raw": None, "length_filter": "n_len", "c4_gopher_heuristic": "heuristic_quality", "perplexity_quality_ngram": "ngram_proxy",
-    "independent_quality_score": "independent_quality", "hdqspp": "hdqs", "dedup_only": None, "random_same_keep_rate": None,
+    "raw": None, "length_filter": "n_len", "c4_gopher_heuristic": "heuristic_quality", "perplexity_quality_ngram": "ngram_proxy", "independent_quality_score": "independent_quality", "hdqspp": "hdqs",
+    "dedup_only": None, "random_same_keep_rate": None, "hdqspp_v2": None, "hdqspp_v2_no_token_frequency": None, "hdqspp_v3": None, "optional_external_wrapper": None,
 }
 
 
-def baseline_suite(df: DataFrame, rate: float = 0.7) -> DataFrame:
-    """(name, output_documents, output_tokens, pii_after) of each baseline at the rate, with the input's for all."""
+def baseline_suite(df: DataFrame, rate: float = 0.7, names: tuple[str, ...] = tuple(BASELINES)) -> DataFrame:
+    """(name, output_documents, output_tokens, pii_after, skipped) of each baseline at the rate.
+
+    The second and third scores keep the share that is their own. The external one has no command to run and is skipped.
+    """
+    if unknown := set(names) - set(BASELINES):
+        raise ValueError(f"unknown baselines: {sorted(unknown)}")
     s = scoring.baseline_scores(df)
     s = X.with_formulas(s, {f"h_{k}": v for k, v in formulas.HDQS.items()}).withColumn("hdqs", F.expr(formulas.spark(formulas.weighted(formulas.WEIGHTS["hdqs"], "h_"))))
     s = s.withColumns({"tokens": X.count_tokens(X.text()), "pii": F.col("q_email") + F.col("q_phone") + F.col("q_id")})
     s = select.saved(s.select("doc_id", "n_len", *formulas.BASELINES, "hdqs", "tokens", "pii"), "baselines")
     out = []
-    for name, score in BASELINES.items():
-        if score:
-            d = select.topk(s.withColumn("score", F.col(score)), rate).where("keep")
+    for name in names:
+        if score := BASELINES[name]:
+            d = select.topk(s.withColumn("score", F.round(score, 9)), rate).where("keep")
         elif name == "dedup_only":
             d = s.join(dedup.sha1_clusters(df).select(F.col("member").alias("doc_id")), "doc_id", "left_anti")
         elif name == "random_same_keep_rate":
             d = kept(s, select.random_keep(s, rate))
+        elif name in ("hdqspp_v2", "hdqspp_v2_no_token_frequency"):
+            d = kept(s, select.select_v2_variant(df, "hdqspp_v2" if name == "hdqspp_v2" else "v2_without_token_frequency_preservation"))
+        elif name == "hdqspp_v3":
+            d = kept(s, select.select_v3_variant(df, seed=13))
         else:
-            d = s
-        out.append(d.agg(F.lit(name).alias("name"), F.count("*").alias("output_documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("output_tokens"), F.coalesce(F.sum("pii"), F.lit(0)).cast("long").alias("pii_after")))
+            d = s.limit(0) if name == "optional_external_wrapper" else s
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        out.append(d.agg(F.lit(name).alias("name"), F.count("*").alias("output_documents"), total("tokens").alias("output_tokens"), total("pii").alias("pii_after"), F.lit(name == "optional_external_wrapper").alias("skipped")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -203,12 +280,11 @@ def equal_budget(df: DataFrame, variant: str, gap: int = 2) -> DataFrame:
     n = df.select(variant, "doc_id", F.char_length(X.text()).alias("n"))
     totals = n.groupBy(variant).agg((F.sum("n") + gap * (F.count("*") - 1)).alias("all"))
     budget = totals.agg(F.min("all")).head()[0] or 0
-    parts = []
-    for row in totals.select(variant).collect():  # variants, by name
-        one = select.running(n.where(F.col(variant) == F.lit(row[0])).withColumn("m", F.col("n") + gap), "m", F.col("doc_id"))
-        start = F.col("total") - F.col("m")
-        parts.append(one.select(variant, "doc_id", F.greatest(F.lit(0), F.least("n", F.lit(budget) - start)).cast("long").alias("take")))
-    return reduce(DataFrame.unionByName, parts) if parts else n.select(variant, "doc_id", F.col("n").cast("long").alias("take"))
+    # one sort for all variants: a document starts where the running sum stands, less where its variant began
+    rows = select.running(n.withColumn("m", F.col("n") + gap), "m", F.col(variant), F.col("doc_id")).withColumn("start", F.col("total") - F.col("m"))
+    begins = rows.groupBy(F.col(variant).alias("__variant")).agg(F.min("start").alias("__begin"))
+    rows = rows.join(begins, F.col(variant).eqNullSafe(F.col("__variant")))
+    return rows.select(variant, "doc_id", F.greatest(F.lit(0), F.least("n", F.lit(budget) - (F.col("start") - F.col("__begin")))).cast("long").alias("take"))
 
 
 def canaries(raw: DataFrame, processed: DataFrame, values: DataFrame) -> DataFrame:

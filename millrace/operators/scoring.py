@@ -15,9 +15,16 @@ def components(df: DataFrame) -> DataFrame:
     return X.with_formulas(p, {f"h_{k}": v for k, v in formulas.HDQS.items()})
 
 
-def hdqs(df: DataFrame, weights: str = "hdqs") -> DataFrame:
-    """components() with the weighted score."""
-    return components(df).withColumn("score", F.expr(formulas.spark(formulas.weighted(formulas.WEIGHTS[weights], "h_"))))
+def hdqs(df: DataFrame, weights: str = "hdqs", surprisal: str | None = None, duplicate: str | None = None, more: dict[str, float] | None = None) -> DataFrame:
+    """components() with the weighted score.
+
+    surprisal and duplicate name columns of df for two more components, a language model's loss as 1 / (1 + max(0, loss))
+    and a penalty of duplicate clusters, each 1 where it is null or not given; more has their weights, 0 by default.
+    """
+    rows = components(df)
+    loss = F.when(F.col(surprisal).isNull(), 1.0).otherwise(1 / (1 + F.greatest(F.lit(0.0), F.col(surprisal)))) if surprisal else F.lit(1.0)
+    rows = rows.withColumns({"h_optional_lm_surprisal": loss, "h_duplicate_cluster_penalty": F.coalesce(F.col(duplicate).cast("double"), F.lit(1.0)) if duplicate else F.lit(1.0)})
+    return rows.withColumn("score", F.expr(formulas.spark(formulas.weighted(formulas.WEIGHTS[weights] | (more or {}), "h_"))))
 
 
 def token_counts(df: DataFrame) -> DataFrame:
@@ -70,12 +77,51 @@ def _bin(edges: list[int]) -> F.Column:
     return out
 
 
-def hdqs_v2(df: DataFrame, top: int = 1500) -> DataFrame:
+# fixed values: weights and switches of the variants by name; what a variant doesn't name is as in the first
+V2 = {"base_quality": 0.42, "length_distribution_match": 0.18, "token_frequency_preservation": 0.18, "quality_diversity_balance": 0.14, "repetition_capped": 0.08}
+V2_VARIANTS = {
+    "hdqspp_v2": {},
+    "v2_without_length_prior": {"off": ("length_distribution_match",)},
+    "v2_without_distribution_preservation": {"quota": False},
+    "v2_without_token_frequency_preservation": {"off": ("token_frequency_preservation",)},
+    "v2_without_repetition_penalty": {"off": ("repetition_capped",)},
+    "v2_without_quality_diversity_balance": {"off": ("quality_diversity_balance",)},
+    "v2_hard_filtering": {"rate": 0.6, "quota": False},
+    "v2_soft_weighting_curriculum": {"rate": 0.9},
+}
+V3 = {"base_quality": 0.55, "quality_diversity_balance": 0.23, "repetition_capped": 0.14, "length_guardrail": 0.08}
+V3_VARIANTS = {
+    "hdqspp_v3": {},
+    "v3_without_soft_weighting": {"soft": False, "interleave": False},
+    "v3_without_keep_rate_calibration": {"rate": 0.6},
+    "v3_without_quality_diversity_balance": {"off": ("quality_diversity_balance",)},
+    "v3_hard_filtering_only": {"rate": 0.6, "off": ("quality_diversity_balance", "repetition_capped", "length_guardrail"), "soft": False, "interleave": False},
+    "v3_soft_weighting_only": {"rate": 1.0, "soft": False},
+    "v3_without_length_guardrails": {"off": ("length_guardrail",)},
+    "v3_without_repetition_penalty": {"off": ("repetition_capped",)},
+}
+
+
+def variant_score(weights: dict[str, float], off: tuple[str, ...] = ()) -> str:
+    """The weighted mean of a variant's terms, clamped, as SQL; terms that are off have no weight."""
+    return formulas.weighted({k: w for k, w in weights.items() if k not in off})
+
+
+def _variant(variants: dict, name: str) -> dict:
+    if name not in variants:
+        raise ValueError(f"unknown variant: {name}")
+    return variants[name]
+
+
+def hdqs_v2(df: DataFrame, top: int = 1500, variant: str = "hdqspp_v2", reference: DataFrame | None = None) -> DataFrame:
     """components() with base, length, token frequency, diversity and repetition terms, and their score.
 
-    The reference tokens are the top most frequent; of equally frequent ones the first to occur by (doc_id, place).
+    Bins and tokens are those of the reference, without one of df itself. Its tokens are the top most frequent; of equally
+    frequent ones the first to occur by (doc_id, place).
     """
-    first = df.select("doc_id", F.posexplode(X.tokens(X.text())).alias("at", "token"))
+    off = _variant(V2_VARIANTS, variant).get("off", ())
+    reference = df if reference is None else reference
+    first = reference.select("doc_id", F.posexplode(X.tokens(X.text())).alias("at", "token"))
     ranked = first.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "at")).alias("first")).orderBy(F.desc("c"), "first").limit(top)
     known = [r["token"] for r in ranked.select("token").collect()]  # top tokens
     rows = hdqs(df, "hdqs_v2")
@@ -87,16 +133,17 @@ def hdqs_v2(df: DataFrame, top: int = 1500) -> DataFrame:
             "token_frequency_preservation": have / F.greatest(F.lit(1), "n_tok"),
             "quality_diversity_balance": F.expr("0.5D * score + 0.25D * least(1.0D, token_entropy_bits / 8.0D) + 0.25D * n_uniq / greatest(1, n_tok)"),
             "repetition_capped": F.expr("greatest(0.45D, n_bigrams / greatest(1, n_tok - 1))"),
-            "length_bin": _bin(length_edges(df)),
+            "length_bin": _bin(length_edges(reference)),
         }
     )
-    score = "(0.42D * base_quality + 0.18D * length_distribution_match + 0.18D * token_frequency_preservation + 0.14D * quality_diversity_balance + 0.08D * repetition_capped) / 1.0D"
-    return rows.withColumn("score", F.expr(f"greatest(0.0D, least(1.0D, {score}))"))
+    return rows.withColumn("score", F.expr(formulas.spark(variant_score(V2, off))))
 
 
-def hdqs_v3(df: DataFrame) -> DataFrame:
-    """components() with base, diversity, repetition and a length guard around the corpus's median, and their score."""
-    counts = df.select(F.size(X.tokens(X.text())).alias("n"))
+def hdqs_v3(df: DataFrame, variant: str = "hdqspp_v3", reference: DataFrame | None = None) -> DataFrame:
+    """components() with base, diversity, repetition and a length guard around the reference's median, and their score."""
+    off = _variant(V3_VARIANTS, variant).get("off", ())
+    reference = df if reference is None else reference
+    counts = reference.select(F.size(X.tokens(X.text())).alias("n"))
     mid, low, high = _order_statistics(counts, "n", lambda n: [n // 2, int(0.1 * (n - 1)), int(0.9 * (n - 1))]) or (0, 0, 0)
     guard = f"abs(ln(1.0D + n_tok) - ln(1.0D + {mid})) / greatest(1.0D, ln(1.0D + {high}) - ln(1.0D + {low}))"
     rows = hdqs(df, "hdqs_v3").withColumns(
@@ -108,8 +155,7 @@ def hdqs_v3(df: DataFrame) -> DataFrame:
             "length_bin": _bin(length_edges(df)),
         }
     )
-    score = "0.55D * base_quality + 0.23D * quality_diversity_balance + 0.14D * repetition_capped + 0.08D * length_guardrail"
-    return rows.withColumn("score", F.expr(f"greatest(0.0D, least(1.0D, {score}))"))
+    return rows.withColumn("score", F.expr(formulas.spark(variant_score(V3, off))))
 
 
 def baseline_scores(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textexpr as X
+from . import scoring
 from .storage import saved
 
 
@@ -113,56 +114,72 @@ def token_target_split(df: DataFrame, tokens: str, targets: dict[str, int], orde
     return rows.withColumn("split", split).drop("__before", "total")
 
 
-def pareto_front(df: DataFrame, maximise: list[str], minimise: list[str]) -> DataFrame:
-    """df's rows that no row dominates: at least as good in all objectives, and better in one.
+#: Parts whose fronts one task merges, and layers that a round settles.
+FAN, LAYERS = 16, 16
+
+
+def _first_layers(df: DataFrame, maximise: list[str], minimise: list[str], most: int) -> DataFrame:
+    """The rows of the first most layers of df, with their layer.
 
-    Blocks first: a block's own front is small, and only fronts are compared with each other.
+    A part's layers are no lower than a row's in the whole table, so rows beyond a part's first layers can't be in the
+    table's. Parts are merged FAN at a time, so no task sees more than that many parts' first layers.
     """
     cols = maximise + minimise
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    sign = np.array([1.0] * len(maximise) + [-1.0] * len(minimise))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __layer int"
 
-    def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for b in batches:
             rows = b if held is None else pd.concat([held, b], ignore_index=True)
-            v = rows[cols].to_numpy(dtype=float) * np.array([1.0] * len(maximise) + [-1.0] * len(minimise))
-            held = rows[layers(v, first_only=True) == 0].reset_index(drop=True)
+            rows["__layer"] = layers(rows[cols].to_numpy(dtype=float) * sign, most).astype(np.int32)
+            held = rows[rows["__layer"] < most].reset_index(drop=True)
         if held is not None:
             yield held
 
-    return df.mapInPandas(front, fields).coalesce(1).mapInPandas(front, fields)
+    now = saved(df.withColumn("__layer", F.lit(0)).mapInPandas(first, fields), "layers")
+    parts = df.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // FAN)
+        now = saved(now.repartition(parts).mapInPandas(first, fields), "layers")
+    return now
 
 
-def layers(v: np.ndarray, first_only: bool = False) -> np.ndarray:
-    """Layer of each row of values to maximise, from 0; with first_only 1 for all that aren't in the first."""
-    rank = np.full(len(v), -1)
-    left = np.arange(len(v))
+def pareto_front(df: DataFrame, maximise: list[str], minimise: list[str]) -> DataFrame:
+    """df's rows that no row dominates: at least as good in all objectives, and better in one."""
+    return _first_layers(df, maximise, minimise, 1).drop("__layer")
+
+
+def layers(v: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Layer of each row of values to maximise, from 0; most for all that aren't in the first most ones."""
+    rank = np.full(len(v), -1 if most is None else most)
+    left = np.argsort(-v.sum(axis=1), kind="stable")  # a row can only be dominated by one of a larger sum
     k = 0
-    while len(left):
-        order = left[np.argsort(-v[left].sum(axis=1), kind="stable")]
-        front: list[int] = []
-        for i in order:  # a row can only be dominated by one of a larger sum
-            f = v[front]
-            if not (len(front) and ((f >= v[i]).all(axis=1) & (f > v[i]).any(axis=1)).any()):
-                front.append(int(i))
-        rank[front] = k
-        left = np.setdiff1d(left, front)
+    while len(left) and (most is None or k < most):
+        front = np.empty((len(left), v.shape[1]))
+        size, behind = 0, []
+        for i in left:
+            f = front[:size]
+            if size and ((f >= v[i]).all(axis=1) & (f > v[i]).any(axis=1)).any():
+                behind.append(i)
+            else:
+                front[size] = v[i]
+                size += 1
+                rank[i] = k
+        left = np.array(behind, dtype=np.int64)
         k += 1
-        if first_only:
-            rank[left] = 1
-            break
     return rank
 
 
 def pareto_layers(df: DataFrame, maximise: list[str], minimise: list[str]) -> DataFrame:
-    """(doc_id, pareto_rank), peeled front by front; each front is a distributed pareto_front."""
+    """(doc_id, pareto_rank), peeled LAYERS fronts at a time."""
     rest = saved(df.select("doc_id", *maximise, *minimise), "pareto")
     out, k = None, 0
     while not rest.isEmpty():
-        front = saved(pareto_front(rest, maximise, minimise).select("doc_id").withColumn("pareto_rank", F.lit(k)), "front")
-        out = front if out is None else out.unionByName(front)
-        rest = saved(rest.join(front, "doc_id", "left_anti"), "pareto")
-        k += 1
+        found = saved(_first_layers(rest, maximise, minimise, LAYERS).select("doc_id", (F.col("__layer") + k).alias("pareto_rank")), "front")
+        out = found if out is None else out.unionByName(found)
+        rest = saved(rest.join(found, "doc_id", "left_anti"), "pareto")
+        k += LAYERS
     return out if out is not None else rest.select("doc_id", F.lit(0).alias("pareto_rank"))
 
 
@@ -174,28 +191,74 @@ def curriculum_interleave(scored: DataFrame) -> DataFrame:
     return r.select("doc_id", F.when(F.col("r") % 2 == 0, F.col("r")).otherwise(2 * low + 1).cast("long").alias("position"))
 
 
+#: Candidates that a round of farthest_first() looks at, and choices that it settles at most.
+POOL, SETTLED = 1024, 256
+
+
 def farthest_first(df: DataFrame, rate: float | None) -> DataFrame:
-    """Decisions by greedy farthest-first choice on token sets: one round for each document that is chosen.
+    """Decisions by greedy farthest-first choice on token sets, from the least id on; of equal distances the least id is next.
 
-    A round broadcasts the newest choice's tokens and keeps each row's least distance; of equal ones the least id is next.
+    A round takes the POOL rows that are farthest so far, and goes on choosing among them as long as the next choice is
+    certain: distances only shrink, so a row outside of them is no farther than the last of them was. Then all rows are
+    compared with the round's choices at once. The score is the least distance to a choice, of a choice to earlier ones.
     """
-    rows = saved(df.select("doc_id", F.array_distinct(X.tokens(X.text())).alias("s")), "sets")
+    h = F.array_sort(F.array_distinct(F.transform(X.tokens(X.text()), lambda t: F.xxhash64(t))))
+    rows = saved(df.select("doc_id", h.alias("s")), "sets")
     k = keep_count(rows.count(), rate)
-    first = rows.orderBy("doc_id").limit(1).collect()
+    fields = f"doc_id {dict(df.dtypes)['doc_id']}, s array<bigint>, d double, keep boolean"
     dist = rows.select("doc_id", "s", F.lit(2.0).alias("d"), F.lit(False).alias("keep"))
-    chosen = first[0] if first else None
-    for step in range(k):
-        t = F.array(*[F.lit(x) for x in chosen["s"]]) if chosen["s"] else F.array().cast("array<string>")
-        both = F.size(F.array_intersect("s", t))
-        union = F.size("s") + F.size(t) - both
-        away = 1 - F.when(union == 0, 1.0).otherwise(both / union)
-        me = F.col("doc_id") == F.lit(chosen["doc_id"])
-        dist = saved(dist.select("doc_id", "s", F.when(me, F.col("d")).otherwise(F.least("d", away)).alias("d"), (F.col("keep") | me).alias("keep")), "far")
-        if step + 1 < k:
-            chosen = dist.where("not keep").orderBy(F.desc("d"), "doc_id").limit(1).collect()[0]
+    taken = 0
+    while taken < k:
+        pool = [(r["d"], r["doc_id"], frozenset(r["s"])) for r in dist.where("not keep").orderBy(F.desc("d"), "doc_id").limit(POOL).collect()]
+        last = (-pool[-1][0], pool[-1][1]) if len(pool) == POOL else None
+        chosen: list[tuple] = []
+        while pool and len(chosen) < min(SETTLED, k - taken):
+            best = min(pool, key=lambda p: (-p[0], p[1]))
+            if chosen and last is not None and (-best[0], best[1]) >= last:
+                break  # a row that isn't in the pool may come first
+            chosen.append(best)
+            pool = [(min(d, _distance(s, best[2])), i, s) for d, i, s in pool if i != best[1]]
+        dist = saved(dist.mapInPandas(_nearer(chosen), fields), "far")
+        taken += len(chosen)
     return dist.select("doc_id", "keep", F.when(F.col("d") > 1, 1.0).otherwise(F.col("d")).alias("score"), F.lit("embedding_diversity_proxy").alias("reason"))
 
 
+def _distance(a: frozenset, b: frozenset) -> float:
+    both = len(a & b)
+    union = len(a) + len(b) - both
+    return 1 - (both / union if union else 1.0)
+
+
+def _nearer(chosen: list[tuple]):
+    """A step that lowers distances to those from (distance, id, set) choices, and marks these."""
+    number = {key: (k, d) for k, (d, key, _) in enumerate(chosen)}
+    sizes = np.array([len(s) for _, _, s in chosen], dtype=np.int64)
+    values = np.array([v for _, _, s in chosen for v in s], dtype=np.int64)
+    owner = np.repeat(np.arange(len(chosen)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out_d, out_keep = [], []
+            for key, s, d, keep in zip(b["doc_id"], b["s"], b["d"], b["keep"]):
+                if keep or key in number:
+                    out_d.append(d if keep else number[key][1])
+                    out_keep.append(True)
+                    continue
+                s = np.asarray(s, dtype=np.int64)
+                lo, hi = np.searchsorted(values, s, side="left"), np.searchsorted(values, s, side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(s) else np.zeros(0, dtype=np.int64)
+                both = np.bincount(owner[at], minlength=len(sizes))
+                union = len(s) + sizes - both
+                out_d.append(min(d, float((1 - np.where(union > 0, both / np.maximum(union, 1), 1.0)).min())))
+                out_keep.append(False)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "s": b["s"], "d": out_d, "keep": out_keep})
+
+    return run
+
+
 def soft_sample(scored: DataFrame, k: int, temperature: float = 0.2, seed: int = 0) -> DataFrame:
     """(doc_id) of k rows drawn without replacement, with weights exp((score - 1) / temperature).
 
@@ -273,7 +336,7 @@ def weak_rebalance(scored: DataFrame, bin_col: str, k: int, fraction: float = 0.
     return scored.join(F.broadcast(change), F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.coalesce("__keep", "keep")).drop("__id", "__keep")
 
 
-def select_v3(scored: DataFrame, rate: float = 0.85, bin_col: str = "length_bin", top_fraction: float = 0.72, temperature: float = 0.2, seed: int = 0) -> DataFrame:
+def select_v3(scored: DataFrame, rate: float = 0.85, bin_col: str = "length_bin", top_fraction: float = 0.72, temperature: float = 0.2, seed: int = 0, rebalance: bool = True) -> DataFrame:
     """scored with keep: the best by score, the rest of the quota drawn softly, then the weak rebalance by length."""
     k = keep_count(scored.count(), rate)
     top = max(1, min(k, round(k * top_fraction)))
@@ -281,7 +344,28 @@ def select_v3(scored: DataFrame, rate: float = 0.85, bin_col: str = "length_bin"
     soft = soft_sample(scored.join(best, "doc_id", "left_anti"), k - top, temperature, seed)
     chosen = best.unionByName(soft).select(F.col("doc_id").alias("__id"))
     out = saved(scored.join(chosen, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id"), "v3")
-    return weak_rebalance(out, bin_col, k)
+    return weak_rebalance(out, bin_col, k) if rebalance else out
+
+
+def select_v2_variant(df: DataFrame, variant: str = "hdqspp_v2", rate: float = 0.85, reference: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score, length_bin, keep) by a variant of the second score: quotas by length, or the best scores alone."""
+    how = scoring.V2_VARIANTS[variant]
+    rate = max(rate, how["rate"]) if variant == "v2_soft_weighting_curriculum" else how.get("rate", rate)
+    scored = saved(scoring.hdqs_v2(df, variant=variant, reference=reference).select("doc_id", F.round("score", 9).alias("score"), "length_bin"), "v2")
+    return length_quota(scored, "length_bin", keep_count(scored.count(), rate)) if how.get("quota", True) else topk(scored, rate)
+
+
+def select_v3_variant(df: DataFrame, variant: str = "hdqspp_v3", rate: float = 0.85, seed: int = 0, reference: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score, length_bin, keep) by a variant of the third score: softly, or the best scores; then the weak rebalance."""
+    how = scoring.V3_VARIANTS[variant]
+    rate = how.get("rate", rate)
+    scored = saved(scoring.hdqs_v3(df, variant, reference).select("doc_id", F.round("score", 9).alias("score"), "length_bin"), "v3")
+    k = keep_count(scored.count(), rate)
+    guarded = "length_guardrail" not in how.get("off", ())
+    if how.get("soft", True) and k < scored.count():
+        return select_v3(scored, rate, seed=seed, rebalance=guarded)
+    out = saved(topk(scored, rate), "v3")
+    return weak_rebalance(out, "length_bin", k) if guarded else out
 
 
 STRATEGIES = ("random_baseline", "high_quality_first", "low_quality_first", "easy_to_hard", "hard_to_easy", "quality_stratified_sampling", "mixed_quality_curriculum")
@@ -343,3 +427,46 @@ def truncate_by_budget(df: DataFrame, max_documents: int | None = None, max_toke
         if s is not None:
             out = out.where(F.col(order) < F.lit(s))
     return out.drop("__t", "__b", "__one")
+
+
+def local_top_fraction(scored: DataFrame, rate: float, ties: str = "first") -> DataFrame:
+    """scored (doc_id, score) with keep: the max(1, int(n * rate)) highest scores, of equal ones the first or the largest id."""
+    if ties not in ("first", "largest"):
+        raise ValueError("ties are kept by the first or the largest id")
+    k = max(1, int(scored.count() * rate))
+    order = F.col("doc_id") if ties == "first" else F.desc("doc_id")
+    best = scored.select("doc_id", "score").orderBy(F.desc("score"), order).limit(k).select(F.col("doc_id").alias("__id"))
+    return scored.join(best, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id")
+
+
+def random_matched(df: DataFrame, tokens: str, target: int, seed: int = 42, match: str = "token_budget", documents: int | None = None) -> DataFrame:
+    """Decisions (doc_id, keep, reason) of a random control: rows in hashed order, as many as another method kept.
+
+    match: "token_budget" takes each row that the target still has room for, "document_count" the first documents rows.
+    """
+    rows = df.select("doc_id", F.col(tokens).cast("long").alias("n"), sha_rank(seed).alias("h"))
+    if match == "token_budget":
+        chosen = first_fit(rows, "n", target, "h")
+    elif match == "document_count":
+        chosen = rows.orderBy("h").limit(documents or 0).select("doc_id")
+    else:
+        raise ValueError(f"unknown match mode: {match}")
+    keep = F.col("__id").isNotNull()
+    out = rows.join(chosen.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left")
+    return out.select("doc_id", keep.alias("keep"), F.when(keep, "random_same_keep_rate_selected").otherwise("random_same_keep_rate_rejected").alias("reason"))
+
+
+def deterministic_split(df: DataFrame, train: float = 0.8, dev: float = 0.1, test: float = 0.1, seed: int = 13) -> DataFrame:
+    """df with split: rows in hashed order, int(n * train) of them train, int(n * dev) dev, the rest test.
+
+    Three rows or more have at least one in dev. Shares must add up to 1.
+    """
+    if abs(train + dev + test - 1) > 1e-9:
+        raise ValueError("split ratios must sum to 1")
+    n = df.count()
+    a = int(n * train)
+    b = a + int(n * dev)
+    if n >= 3 and b == a:
+        b = a + 1
+    r = global_rank(df.withColumn("__h", sha_rank(seed)), F.col("__h")).drop("__h")
+    return r.withColumn("split", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "dev").otherwise("test")).drop("rank")

@@ -86,7 +86,7 @@ def select_fixed(df: DataFrame, rate: float | None = None, budget: int | None =
 
 
 def select_pareto(df: DataFrame, rate: float | None = None, budget: int | None = None, max_risk: float = 1.0) -> DataFrame:
-    """Decisions by Pareto layer, then by the weighted score."""
-    rows = saved(scores(df), "urd")
+    """Decisions by Pareto layer, then by the weighted score. Scores count to 9 places, so that no order of a sum decides."""
+    rows = saved(scores(df).withColumns({c: F.round(c, 9) for c in (*_SCORE.values(), "urd_score")}), "urd")
     ranks = select.pareto_layers(rows, ["utility_score", "diversity_score"], ["risk_score", "shift_penalty", "cost_score"])
     return _decisions(saved(rows.join(ranks, "doc_id"), "urd"), rate, "pareto", [F.col("pareto_rank"), F.desc("urd_score"), F.col("doc_id").cast("string")], budget, max_risk)

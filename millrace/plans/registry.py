@@ -146,7 +146,7 @@ _add(
 _add(
     "rule_filter",
     _on_docs(lambda df: _rounded(filters.rule_filter(df), "score")),
-    on_profile("SELECT doc_id, keep, round(unique_word_ratio, 6) AS score, CASE WHEN keep THEN 'rule_pass' ELSE 'rule_reject' END AS reason FROM (SELECT *, n_tok >= 5 AND symbol_ratio <= 0.25::DOUBLE AND unique_word_ratio >= 0.16::DOUBLE AS keep FROM r)"),
+    on_profile("SELECT doc_id, keep, round(unique_word_ratio, 6) AS score, CASE WHEN keep THEN 'rule_pass' ELSE 'rule_reject' END AS reason FROM (SELECT *, n_words >= 5 AND symbol_ratio <= 0.25::DOUBLE AND unique_word_ratio >= 0.16::DOUBLE AS keep FROM r)"),
 )
 _add(
     "c4_quality_reasons",
@@ -181,9 +181,9 @@ pairs AS (SELECT a, b, k / (p.n + q.n - k) AS similarity FROM j JOIN n p ON p.do
 
 _TOK = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')"
 _FOLDED = r"list_filter(string_split_regex(replace(lower(text), 'ß', 'ss'), '\s+'), lambda t: t <> '')"
-_add("near_dup_pairs_jaccard", _on_docs(lambda df: _rounded(dedup.jaccard_pairs(df), "similarity")), _pairs_sql(_TOK, 0.82) + "SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
-_add("near_dedup_greedy", _on_docs(lambda df: _rounded(dedup.near_dedup(df), "similarity")))
-_add("minhash_near_dedup", _on_docs(lambda df: _rounded(dedup.minhash_filter(df), "score")))
+#: The least id of the documents with an equal shingle set.
+_LEADS = ", keys AS (SELECT doc_id, md5(string_agg(g, chr(31) ORDER BY g)) AS h FROM s GROUP BY doc_id), leads AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS lead FROM keys) "
+_add("near_dup_pairs_jaccard", _on_docs(lambda df: _rounded(dedup.jaccard_pairs(df), "similarity")), _pairs_sql(_TOK, 0.82) + _LEADS + "SELECT a, b, round(similarity, 6) AS similarity FROM pairs JOIN leads x ON x.doc_id = a JOIN leads y ON y.doc_id = b WHERE x.lead = a AND (y.lead = b OR y.lead = a)")
 _add(
     "dup_components",
     _on_docs(lambda df: dedup.clusters(df, 0.86)),
@@ -235,7 +235,6 @@ SELECT s.doc_id, coalesce(f.i <= floor(f.n * 0.75::DOUBLE), false) AS keep FROM
 _BUDGET = 60_000
 _words = lambda df: df.select("doc_id", F.size(X.words(X.text())).cast("long").alias("n"))
 _add("prefix_budget", _on_docs(lambda df: select.prefix_budget(_words(df), "n", _BUDGET)), f"SELECT doc_id, n FROM (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) AS t, row_number() OVER (ORDER BY doc_id) AS i FROM (SELECT doc_id, {_W}::BIGINT AS n FROM documents)) WHERE i = 1 OR (t <= {_BUDGET} AND t - n < {_BUDGET})")
-_add("first_fit_budget", _on_docs(lambda df: select.first_fit(_words(df).withColumn("h", select.sha_rank(42)), "n", _BUDGET, "h")))
 _add("sha_rank_sample", _on_docs(lambda df: select.random_keep(df, 0.25).select("doc_id", "keep")), "SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id)) <= greatest(1, ceil((SELECT count(*) FROM documents) * 0.25::DOUBLE)) AS keep FROM documents")
 _add(
     "token_target_split",
@@ -269,7 +268,6 @@ w AS (SELECT *, {duckdb(formulas.URD_FIXED)} AS urd_score FROM v)
 _urd = lambda body: on_profile(_URD_SQL + body, ENTROPY).replace("\n, tc AS", ", tc AS", 1)
 _add("urd_scores", _on_docs(lambda df: _rounded(urd.scores(df).select("doc_id", *_URD), *_URD)), _urd("SELECT doc_id, " + ", ".join(_r(c, c) for c in _URD) + " FROM w"))
 _add("urd_fixed", _on_docs(lambda df: urd.select_fixed(df, 0.6).select("doc_id", "keep", "reason")), _urd("SELECT doc_id, keep, CASE WHEN keep THEN 'urd_fixed_weight_selected' ELSE 'urd_fixed_weight_rejected_by_rank_risk_or_budget' END AS reason FROM (SELECT doc_id, row_number() OVER (ORDER BY urd_score DESC, doc_id::VARCHAR) <= ceil((SELECT count(*) FROM w) * 0.6::DOUBLE) AS keep FROM w)"))
-_add("urd_pareto", _on_docs(lambda df: urd.select_pareto(df, 0.6).select("doc_id", "keep", "reason")))
 _add(
     "pareto_frontier",
     _on_docs(lambda df: select.pareto_front(df.select("doc_id", *_pareto_cols(df)), ["a", "b"], ["c"]).select("doc_id")),
@@ -283,7 +281,6 @@ def _pareto_cols(df: DataFrame) -> list:
     return [(F.size(F.array_distinct(t)) / F.greatest(F.lit(1), F.size(t))).alias("a"), F.char_length(x).cast("double").alias("b"), (X.without(x, r"[\p{L}\p{N}\s\p{Z}]") / F.char_length(x)).alias("c")]
 
 
-_add("embedding_diversity_proxy", lambda spark, d: _rounded(select.farthest_first(_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 0.25), "score"))
 _add(
     "perplexity_proxy",
     _on_docs(lambda df: _rounded(scoring.unigram_surprisal(df), "score")),
@@ -355,7 +352,7 @@ _add(
     "quality_metrics",
     _on_docs(lambda df: _rounded(analysis.quality_metrics(df), "duplicate_rate", "pass_rate", "mean_score")),
     on_profile(
-        f"SELECT count(*) AS documents, sum(n_len)::BIGINT AS characters, count(*) - count(DISTINCT text) AS duplicate_documents, round((count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_rate, sum(q_email)::BIGINT AS email_hits, sum(q_phone)::BIGINT AS phone_hits, sum(q_id)::BIGINT AS id_hits, round(count(*) FILTER (s >= 0.58::DOUBLE) / count(*), 6) AS pass_rate, round(avg(s), 6) AS mean_score FROM (SELECT *, {_HDQS_SCORE} AS s FROM q)",
+        f"SELECT count(*) AS documents, sum(n_len)::BIGINT AS characters, count(*) - count(DISTINCT text) AS duplicate_documents, round((count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_rate, sum(q_email)::BIGINT AS email_hits, sum(q_phone)::BIGINT AS phone_hits, sum(q_id)::BIGINT AS id_hits, round(count(*) FILTER (n_words >= 5 AND symbol_ratio <= 0.25::DOUBLE AND unique_word_ratio >= 0.16::DOUBLE) / count(*), 6) AS pass_rate, round(avg(s), 6) AS mean_score FROM (SELECT *, {_HDQS_SCORE} AS s FROM q)",
         ENTROPY,
     ),
 )
@@ -417,14 +414,13 @@ _add(
     "WITH m AS (SELECT ts::DATE AS day, event_type, avg(value) AS v FROM events GROUP BY ALL), r AS (SELECT event_type, row_number() OVER (PARTITION BY day ORDER BY v, event_type) AS r FROM m) SELECT event_type, round(avg(r), 6) AS mean_rank, min(r)::INT AS best_rank, max(r)::INT AS worst_rank FROM r GROUP BY event_type",
 )
 _add("latest_run", lambda spark, d: analysis.latest(_events(spark, d).select("event_id", "event_type", "user_id", "ts", "value"), ["event_type", "user_id"], ["ts", "event_id"]).select("event_type", "user_id", "event_id", "value"), "SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
-_add("bootstrap_ci", lambda spark, d: _rounded(analysis.bootstrap_mean(_events(spark, d), "event_type", "value"), "mean", "ci_low", "ci_high"))
+_add("bootstrap_ci", lambda spark, d: _rounded(analysis.bootstrap_mean(_events(spark, d), "event_type", "value", ["event_id"]), "mean", "ci_low", "ci_high"))
 
 # --- pipelines
 
 _add("hdqs_sweep", _on_docs(lambda df: _rounded(pipeline.sweep(df), "mean_score")), on_profile(f"SELECT t AS threshold, count(*) FILTER (s >= t) AS kept, coalesce(sum(n_tok) FILTER (s >= t), 0)::BIGINT AS tokens, round(coalesce(avg(s) FILTER (s >= t), 0), 6) AS mean_score FROM (SELECT {_HDQS_SCORE} AS s, n_tok FROM q) CROSS JOIN (SELECT unnest([0.5, 0.55, 0.58, 0.65, 0.7, 0.75, 0.8]::DOUBLE[]) AS t) GROUP BY t", ENTROPY))
-_add("noise_injection", _on_docs(lambda df: pipeline.noise(df).select("doc_id", "kind", F.sha2("text", 256).alias("text_sha256"))))
-_add("ablation_variants", _on_docs(lambda df: pipeline.variants(df, ("raw", "clean_only", "redact_only", "rule_only", "exact_only"))))
-_add("baseline_suite", _on_docs(pipeline.baseline_suite))
+_add("ablation_variants", _on_docs(lambda df: _rounded(pipeline.compared(pipeline.variants(df)), "mean_hdqs")))
+_add("pipeline_orders", _on_docs(lambda df: _rounded(pipeline.order_report(df), "mean_hdqs", "retention")))
 _add(
     "fixed_chunks",
     _on_docs(lambda df: pipeline.chunks(df).select("doc_id", "chunk", "text")),
@@ -442,8 +438,8 @@ _add(
 )
 _add(
     "cooccurrence_ppmi",
-    lambda spark, d: _rounded(pipeline.cooccurrence(_table(spark, d, "benchmark")), "ppmi"),
-    f"""WITH t AS (SELECT {_TOK} AS k FROM benchmark), o AS (SELECT k[i] AS a, k[i + w] AS b FROM (SELECT k, w, unnest(range(1, len(k) - w + 1)) AS i FROM t CROSS JOIN (SELECT unnest([1, 2]) AS w))),
+    lambda spark, d: _rounded(pipeline.cooccurrence(_docs(spark, d)), "ppmi"),
+    f"""WITH t AS (SELECT {_TOK} AS k FROM documents), o AS (SELECT k[i] AS a, k[i + w] AS b FROM (SELECT k, w, unnest(range(1, len(k) - w + 1)) AS i FROM t CROSS JOIN (SELECT unnest([1, 2]) AS w))),
 c AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM o UNION ALL SELECT b, a FROM o) GROUP BY ALL), l AS (SELECT a, sum(n) AS na FROM c GROUP BY a), s AS (SELECT sum(n)::DOUBLE AS al FROM c)
 SELECT c.a, c.b, n, round(greatest(0, log2(n * al / (l.na * r.na))), 6) AS ppmi FROM c JOIN l ON l.a = c.a JOIN l r ON r.a = c.b CROSS JOIN s""",
 )
@@ -468,7 +464,22 @@ _add(
 SELECT round(count(*) FILTER (keep) / count(*), 6) AS document_keep_rate, round(sum(len(toks)) FILTER (keep) / sum(len(toks)), 6) AS token_keep_rate, round((SELECT count(DISTINCT t) FILTER (keep) / count(DISTINCT t) FROM t), 6) AS vocabulary_keep_rate,
 round(count(DISTINCT source) FILTER (keep) / count(DISTINCT source), 6) AS source_keep_rate, count(*) FILTER (keep) / count(*) < 0.7 AS overfiltered FROM d""",
 )
-_add("calibration_objective", _on_docs(lambda df: _rounded(evaluation.calibration(df, pipeline.kept(df, filters.length_filter(df, 32, 2048))), "token_js", "length_js", "retention", "objective")))
+_JS = [f"{what}_js_selected_vs_{other}" for what in ("token", "length") for other in ("raw", "dev")]
+_CALIBRATION_SQL = f"""WITH d AS (SELECT doc_id, {_W} BETWEEN 32 AND 2048 AS keep, {_TOK} AS k FROM documents),
+c AS (SELECT 'raw' AS c, doc_id, k FROM d UNION ALL SELECT 'selected', doc_id, k FROM d WHERE keep UNION ALL SELECT 'dev', item_id, {_TOK} FROM benchmark),
+u AS (SELECT c, doc_id, unnest(k) AS t, unnest(range(0, len(k))) AS i FROM c), g AS (SELECT c, t, count(*) AS x, min(struct_pack(d := doc_id, i := i)) AS f FROM u GROUP BY ALL),
+tops AS (SELECT c, 'token' AS what, t, x FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY x DESC, f) AS r FROM g) WHERE r <= 5000
+  UNION ALL SELECT c, 'length', (CASE {' '.join(f"WHEN len(k) < {b} THEN '{a}-{b}'" for a, b in zip(analysis.BINS, analysis.BINS[1:]))} END), count(*) FROM c GROUP BY ALL),
+o AS (SELECT unnest(['raw', 'dev']) AS other), b AS (SELECT other, what, t, sum(x) FILTER (c = 'selected') AS x, sum(x) FILTER (c = other) AS y FROM tops JOIN o ON c = 'selected' OR c = other GROUP BY ALL),
+s AS (SELECT other, what, count(*) AS v, sum(x) AS nx, sum(y) AS ny FROM b GROUP BY ALL),
+f AS (SELECT other, what, (coalesce(x, 0) + 1e-9) / (nx + 1e-9 * v) AS p, (coalesce(y, 0) + 1e-9) / (ny + 1e-9 * v) AS q FROM b JOIN s USING (other, what)),
+j AS (SELECT other, what, 0.5 * (sum(p * log2(p / ((p + q) / 2))) + sum(q * log2(q / ((p + q) / 2)))) AS js FROM f GROUP BY ALL)
+SELECT {', '.join(f"round(max(js) FILTER (what = '{x.split('_')[0]}' AND other = '{x.split('_')[-1]}'), 6) AS {x}" for x in _JS)}, (SELECT round(count(*) FILTER (keep) / count(*), 6) FROM d) AS retention_rate FROM j"""
+_add(
+    "calibration_objective",
+    lambda spark, d: _rounded(evaluation.calibration(_docs(spark, d), pipeline.kept(_docs(spark, d), filters.length_filter(_docs(spark, d), 32, 2048)), _table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")), *_JS, "retention_rate"),
+    _CALIBRATION_SQL,
+)
 _add("split_overlap", _on_docs(lambda df: evaluation.split_overlap(df.withColumn("split", _split()), "split")), f"WITH h AS (SELECT DISTINCT {_SPLIT_SQL} AS split, sha256({_NORM}) AS hash FROM documents) SELECT x.split AS a, y.split AS b, count(*) AS shared FROM h x JOIN h y ON x.hash = y.hash AND x.split < y.split GROUP BY ALL")
 _add(
     "turn_overlap",
@@ -497,8 +508,7 @@ for _name in select.STRATEGIES:
         _order = {"high": "s DESC, doc_id", "easy": "s DESC, doc_id", "low_": "s, doc_id DESC", "hard": "s, doc_id DESC"}.get(_name[:4], "")
     _sql = on_profile(f"SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY {_order}) - 1 AS position, count(*) OVER () AS n FROM (SELECT doc_id, round({_HDQS_SCORE}, 9) AS s FROM q)) WHERE position < round_even(n * 0.75::DOUBLE, 0)", ENTROPY) if _order else None
     _add(f"curriculum_{_name}", _on_docs(lambda df, n=_name: select.curriculum(_scored(df), n).select("doc_id", "position")), _sql)
-_add("select_hdqs_v2", _on_docs(lambda df: select.length_quota(select.saved(scoring.hdqs_v2(df).select("doc_id", F.round("score", 9).alias("score"), "length_bin"), "v2"), "length_bin", select.keep_count(df.count(), 0.85)).select("doc_id", "keep")))
-_add("select_hdqs_v3", _on_docs(lambda df: select.select_v3(select.saved(scoring.hdqs_v3(df).select("doc_id", "score", "length_bin"), "v3")).select("doc_id", "keep")))
+_add("select_hdqs_v3", _on_docs(lambda df: select.select_v3_variant(df).select("doc_id", "keep")))
 _add(
     "truncate_by_budget",
     _on_docs(lambda df: select.truncate_by_budget(df.select("doc_id", "text"), 100, 50_000, 400_000).select("doc_id", F.sha2("text", 256).alias("text_sha256"))),
@@ -537,8 +547,12 @@ _add(
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(_SQL)

@@ -35,16 +35,21 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise(df: DataFrame, source: str = "", split: str = "train") -> DataFrame:
-    """Missing columns and values get defaults: an id from "id" or the row's place, tokens from white space."""
+    """Missing columns and values get defaults: an id from "id" or a hash of the row, tokens from white space.
+
+    Rows without an id that are equal in all columns get one id, in any reading and partitioning. metadata is kept if there.
+    """
     has = lambda c: F.col(c) if c in df.columns else F.lit(None)
     x = F.coalesce(has("text").cast("string"), F.lit(""))
-    key = F.coalesce(has("doc_id").cast("string"), has("id").cast("string"), F.concat(F.lit("doc-"), F.monotonically_increasing_id()))
+    key = F.coalesce(has("doc_id").cast("string"), has("id").cast("string"), F.concat(F.lit("doc-"), F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 24)))
+    extra = [F.col("metadata")] if "metadata" in df.columns else []
     return df.select(
         key.alias("doc_id"),
         x.alias("text"),
         F.coalesce(has("source").cast("string"), F.lit(source)).alias("source"),
         F.coalesce(has("split").cast("string"), F.lit(split)).alias("split"),
         F.coalesce(has("estimated_tokens").cast("int"), F.size(X.words(x))).alias("estimated_tokens"),
+        *extra,
     )
 
 

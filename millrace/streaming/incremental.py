@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,33 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import textexpr as X
+from ..operators.storage import exists, guard, replace
 
 
-def _guard(spark: SparkSession, folder: str, config: dict) -> None:
-    """A folder belongs to one config: another one is refused."""
-    want = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/identity")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        found = spark.read.text(f"{folder}/identity").first()[0]
-        if found != want:
-            raise ValueError(f"{folder} was made with another configuration")
-    else:
-        spark.createDataFrame([(want,)], "value string").coalesce(1).write.text(f"{folder}/identity")
-
-
-def run(spark: SparkSession, source: str, schema: T.StructType, out: str, transform: Callable[[DataFrame], DataFrame], config: dict, fmt: str = "json") -> int:
+def run(spark: SparkSession, source: str, schema: T.StructType, out: str, transform: Callable[[DataFrame, int], DataFrame], config: dict, fmt: str = "json") -> int:
     """Process the files of source that an earlier run hasn't, append the rows to out/data, and return how many batches ran.
 
-    transform works on a batch as on a table; rows that it leaves out are dropped. A batch that failed half-way is done
-    again whole, into its own folder.
+    transform takes a batch and its number, and works on it as on a table; rows that it leaves out are dropped. A batch is
+    written aside and renamed, so out/data has it whole or not at all; one that failed half-way is done again whole.
     """
-    _guard(spark, out, config)
+    guard(spark, out, config)
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     ran = []
 
     def each(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+        transform(batch, number).write.mode("overwrite").parquet(f"{out}/staged/{number}")
+        replace(spark, f"{out}/staged/{number}", f"{out}/data/batch={number}")
         ran.append(number)
 
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -46,16 +33,18 @@ def run(spark: SparkSession, source: str, schema: T.StructType, out: str, transf
 
 
 def dedup(spark: SparkSession, source: str, schema: T.StructType, out: str, fmt: str = "json") -> int:
-    """As run(), keeping rows whose normalised text neither an earlier batch nor a lesser doc_id of the batch has."""
+    """As run(), keeping rows whose normalised text neither an earlier batch nor a lesser doc_id of the batch has.
+
+    A batch that runs again looks at the batches before it only, not at what it wrote itself.
+    """
 
-    def fresh(batch: DataFrame) -> DataFrame:
+    def fresh(batch: DataFrame, number: int) -> DataFrame:
         rows = batch.withColumn("hash", F.sha2(X.normalise(X.text()), 256))
         first = rows.groupBy("hash").agg(F.min_by(F.struct(*batch.columns), F.col("doc_id")).alias("r"))
-        try:
-            seen = spark.read.parquet(f"{out}/data").select("hash")
-        except Exception:
-            return first.select("r.*", "hash")
-        return first.join(seen, "hash", "left_anti").select("r.*", "hash")
+        if exists(spark, f"{out}/data"):
+            seen = spark.read.parquet(f"{out}/data").where(F.col("batch") < number).select("hash")
+            first = first.join(seen, "hash", "left_anti")
+        return first.select("r.*", "hash")
 
     return run(spark, source, schema, out, fresh, {"kind": "dedup"}, fmt)
 

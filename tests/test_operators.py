@@ -135,7 +135,7 @@ def test_statistics(spark):
     assert s["m"]["mean"] == 2.0 and abs(s["m"]["std"] - math.sqrt(2)) < 1e-12 and s["one"]["std"] == 0.0 and s["one"]["ci95_low"] is None
     p = {r["method"]: r for r in analysis.paired_difference(df, "method", "seed", "value", "r").collect()}
     assert p["m"]["mean"] == 1.5 and p["m"]["positive_mean_improvement"] and p["one"]["n"] == 1
-    b = {r["method"]: r for r in analysis.bootstrap_mean(df, "method", "value").collect()}
+    b = {r["method"]: r for r in analysis.bootstrap_mean(df, "method", "value", ["seed"]).collect()}
     assert b["m"]["ci_low"] <= 2.0 <= b["m"]["ci_high"]
 
 
@@ -165,3 +165,160 @@ def test_minhash_drops_copies_of_a_dropped_document(spark):
     got = {r["doc_id"]: r for r in dedup.minhash_filter(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i for i, r in got.items() if r["keep"]} == {"10", "30", "40"}
     assert all(abs(got[str(k)]["score"] - 1 / 59) < 1e-12 for k in range(11, 20)) and got["31"]["score"] == 0
+
+
+def test_incremental_index(spark, tmp_path):
+    from millrace.operators.index import MinHashIndex
+
+    base = [f"w{k}" for k in range(60)]
+    near, far = " ".join([*base, "end"]), " ".join(f"v{k}" for k in range(40))
+    index = MinHashIndex(spark, str(tmp_path / "index"))
+    assert index.clusters().count() == 0
+    assert index.add(frame(spark, [(9, near), (20, far), (21, far)])) == 3
+    assert {r["doc_id"]: r["representative"] for r in index.clusters().collect()} == {"9": "9", "20": "20", "21": "20"}
+    probe = frame(spark, [(5, " ".join(base)), (6, "nothing like it")])
+    assert [(r["doc_id"], r["duplicate"]) for r in index.confirmed(probe).collect()] == [("5", "9")]
+    assert ("5", "9") in {tuple(r) for r in index.candidates(probe).collect()}
+    assert index.add(probe) == 2 and index.add(probe) == 0
+    again = MinHashIndex(spark, str(tmp_path / "index"))
+    assert {r["doc_id"]: r["representative"] for r in again.clusters().collect()} == {"5": "5", "6": "6", "9": "5", "20": "20", "21": "20"}
+    with pytest.raises(ValueError):
+        MinHashIndex(spark, str(tmp_path / "index"), bands=8)
+
+
+def test_layers_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, *[float(x) for x in rng.integers(0, 6, 3)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, a double, b double, c double")
+    rank, left = {}, {r[0]: np.array([r[1], r[2], -r[3]]) for r in rows}
+    while left:
+        front = [k for k, v in left.items() if not any((w >= v).all() and (w > v).any() for w in left.values())]
+        rank |= {k: len(set(rank.values())) for k in front}
+        left = {k: v for k, v in left.items() if k not in front}
+    want, k = {}, sorted(set(rank.values()))
+    assert {r["doc_id"]: r["pareto_rank"] for r in select.pareto_layers(df.repartition(40), ["a", "b"], ["c"]).collect()} == {i: k.index(x) for i, x in rank.items()}
+    assert {r["doc_id"] for r in select.pareto_front(df.repartition(40), ["a", "b"], ["c"]).collect()} == {i for i, x in rank.items() if x == 0}
+    assert not want
+
+
+def test_farthest_first_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, int(rng.integers(0, 12)))) for _ in range(120)]
+    sets = [set(t.split()) for t in texts]
+    apart = lambda a, b: 1 - (len(a & b) / len(a | b) if a | b else 1.0)
+    d, kept = [2.0] * 120, []
+    for _ in range(48):
+        k = min((i for i in range(120) if i not in kept), key=lambda i: (-d[i], i))
+        kept.append(k)
+        d = [d[i] if i in kept else min(d[i], apart(sets[i], sets[k])) for i in range(120)]
+    for pool in (1024, 10):
+        monkeypatch.setattr(select, "POOL", pool)
+        got = {r["doc_id"]: r for r in select.farthest_first(frame(spark, list(enumerate(texts))), 0.4).collect()}
+        assert {i for i, r in got.items() if r["keep"]} == set(kept)
+        assert all(abs(got[i]["score"] - min(1.0, d[i])) < 1e-12 for i in range(120))
+
+
+def test_copies_cost_their_number(spark):
+    """A group of copies is one set: pairs of its least id with each other, not of all with all."""
+    near = " ".join([*BASE, "end"])
+    df = frame(spark, [(k, " ".join(BASE)) for k in range(10, 60)] + [(k, near) for k in range(60, 90)] + [(1, "something else")])
+    pairs = {(r["a"], r["b"]) for r in dedup.jaccard_pairs(df, 0.9).collect()}
+    assert pairs == {(10, k) for k in range(11, 60)} | {(60, k) for k in range(61, 90)} | {(10, 60)}
+    got = {r["member"]: (r["representative"], round(r["similarity"], 6)) for r in dedup.near_dedup(df, 0.9).collect()}
+    assert got == {k: (10, 1.0) for k in range(11, 60)} | {k: (10, round(38 / 39, 6)) for k in range(60, 90)}
+
+
+def test_pipeline_steps_against_plain_python(spark):
+    """The full pipeline's steps, and near dedup in each place, on texts that each step changes or drops."""
+    import hashlib
+    import re
+
+    from millrace.operators import pipeline, scoring
+
+    prose = "careful measurement of corpora helps people choose training data with some confidence in what they build from it"
+    texts = [prose, prose.upper(), prose + " today", "<p>" + prose + "</p>", "write to a.b@c.org about " + prose, "a a a a a a a a", "$$$ ### !!!", "", prose + " today", "one two three four five six seven eight nine ten"]
+    df = frame(spark, list(enumerate(texts)))
+    shingle = lambda t: {tuple(t[k : k + 3]) for k in range(max(1, len(t) - 2))}
+    toks = lambda t: re.findall(r"\w+", t.casefold())
+
+    def walk(steps):
+        rows = list(enumerate(texts))
+        for s in steps:
+            if s == "clean":
+                rows = [(i, " ".join(re.sub(r"https?://\S+", " ", re.sub(r"<[^>]+>", " ", t)).split())) for i, t in rows]
+            elif s == "redact":
+                rows = [(i, re.sub(r"[\w.+-]+@[\w-]+\.[\w.-]+", "<EMAIL>", t)) for i, t in rows]
+            elif s == "hdqs":
+                one = spark.createDataFrame(rows, "doc_id long, text string")
+                score = {r["doc_id"]: r["score"] for r in scoring.hdqs(one).collect()}
+                rows = [(i, t) for i, t in rows if score[i] >= 0.8]
+            elif s == "exact":
+                seen, rows_ = set(), []
+                for i, t in rows:
+                    h = hashlib.sha1(" ".join(t.casefold().split()).encode()).hexdigest()
+                    if h not in seen:
+                        seen.add(h)
+                        rows_.append((i, t))
+                rows = rows_
+            else:
+                kept = []
+                for i, t in rows:
+                    x = shingle(toks(t))
+                    if not any(len(x & y) / len(x | y) >= 0.82 for _, _, y in kept):
+                        kept.append((i, t, x))
+                rows = [(i, t) for i, t, _ in kept]
+        return sorted(rows)
+
+    for name in ("full_pipeline", "full_pipeline_without_clean", "near_dedup_only", "exact_dedup_only"):
+        got = sorted((r["doc_id"], r["text"]) for r in pipeline.variants(df, (name,))[name].select("doc_id", "text").collect())
+        assert got == walk(pipeline.VARIANTS[name]), name
+    for name, steps in pipeline.ORDERS.items():
+        assert pipeline.order_report(df, (name,)).first()["documents"] == len(walk(steps)), name
+    matched = pipeline.variants(df, ("full_pipeline", *pipeline.MATCHED))
+    assert len({m.count() for m in matched.values()}) == 1
+    with pytest.raises(ValueError):
+        pipeline.variants(df, ("none",))
+
+
+def test_reports(spark):
+    from millrace.operators import reports
+
+    a = spark.createDataFrame([("t.csv", "main_table", True, []), ("u.csv", "main_table", True, ["t.csv", "gone"]), ("v", "report", False, None)], "path string, artifact_type string, main_evidence boolean, parent_artifacts array<string>")
+    assert [r[0] for r in reports.lineage_warnings(a).collect()] == ["t.csv"]
+    assert {(r["child"], r["parent"], r["known"]) for r in reports.lineage(a).collect()} == {("u.csv", "t.csv", True), ("u.csv", "gone", False)}
+    m = spark.createDataFrame([("HTTP 403 gated",), ("No space left",), ("read timed out",), ("boom",), (None,)], "m string")
+    assert [r[0] for r in m.select(reports.failure_class(F.col("m"))).collect()] == ["failed_due_to_auth", "failed_due_to_disk", "failed_due_to_network", "failed_due_to_environment", "failed_due_to_environment"]
+    runs = spark.createDataFrame([("my run", "a\\b", "/home/x/repo/out")], "x string, y string, p string")
+    r = reports.normalised_runs(runs, ("x", "y"), "x", "/home/x/repo").first()
+    assert r["run_id"] == "my_run:a/b" and r["p"] == "out"
+
+
+def test_perplexity_of_nothing_is_infinite(spark):
+    from millrace.operators import scoring
+
+    got = {r["doc_id"]: r["perplexity_proxy"] for r in scoring.local_scores(frame(spark, [(1, ""), (2, "one two two")])).collect()}
+    # one word in three repeated, no marks or digits, and the length's distance from 384 words
+    assert got[1] == math.inf and abs(got[2] - (1 / 3 + 0.35 * (math.log(385) - math.log(4)) / math.log(4097))) < 1e-12
+
+
+def test_scores_by_hand(spark):
+    """Formulas worked out by hand, as both engines share their text."""
+    from millrace.functions import formulas
+    from millrace.functions import textexpr as X
+    from millrace.operators import scoring
+
+    r = X.with_formulas(X.with_ratios(X.profile(frame(spark, [(1, "the cat, the dog")]))), {"q": formulas.QUALITY_PROFILE}).first()
+    assert (r["n_tok"], r["n_uniq"], r["n_sym"], r["n_len"]) == (4, 3, 1, 16)
+    assert abs(r["q"] - (4 / 20 + (1 - 3 / 16) + 1 + 1) / 4) < 1e-12
+    h = scoring.hdqs(frame(spark, [(1, "the cat, the dog")])).first()
+    parts = {
+        "lexical_diversity": 3 / 4, "char_entropy": h["char_entropy_bits"] / 5, "token_entropy": 1.5 / 8, "repetition_penalty": 1.0, "ngram_repetition_penalty": 1.0, "pii_density_penalty": 1.0,
+        "url_html_noise_penalty": 1.0, "non_linguistic_symbol_penalty": 1 - 4 / 16, "length_prior": 16 / 40, "language_consistency": 1.0,
+    }
+    weights = (1.0, 1.0, 0.8, 1.3, 1.0, 1.2, 1.0, 1.0, 0.8, 0.7)
+    assert abs(h["score"] - sum(w * v for w, v in zip(weights, parts.values())) / sum(weights)) < 1e-9
+    lm = frame(spark, [(1, "the cat, the dog")]).withColumn("loss", F.lit(1.0))
+    more = scoring.hdqs(lm, surprisal="loss", more={"optional_lm_surprisal": 2.0}).first()
+    assert abs(more["score"] - (h["score"] * sum(weights) + 2 * 0.5) / (sum(weights) + 2)) < 1e-9
+    local = scoring.local_scores(frame(spark, [(1, "casino https://x.org kill kill")])).first()
+    assert abs(local["local_risk"] - (0.05 * 2 + 0.02)) < 1e-12 and abs(local["local_diversity"] - 3 / 4) < 1e-12 and abs(local["local_utility"] - math.log(5) / math.log(2049)) < 1e-12
