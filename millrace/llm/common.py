@@ -39,6 +39,12 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete what is written under path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Stands for a null id within pandas, where a column of longs with nulls would turn into floats.
 NO_ID = -(2**63)
 

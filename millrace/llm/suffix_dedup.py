@@ -12,8 +12,12 @@ strings have equal anchors. Strings in a row with the same anchor make a fragmen
    their text: an interval whose suffixes agree in 50 bytes is a repeat, and all but its least document lose it.
 5. Each shard removes the spans from its documents.
 
-So neither the text of a shard, nor a bucket, nor anything sent grows with the corpus but in number. Hashes only choose
-candidates: what is removed agrees byte for byte.
+An anchor that very many shards have is hot: its strings are dealt out by the next two least hashes in them as well, as
+equal strings share those too. So neither the text of a shard, nor a bucket, nor anything sent grows with the corpus but in
+number. Hashes only choose candidates: what is removed agrees byte for byte.
+
+A shard sends a row to each bucket that it has an anchor for, so the rows of steps 2 and 3 grow with the square of the corpus
+up to where buckets are as many as a shard's anchors, some 270,000 or 4 TB, and in proportion from there on.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeats
-from .common import saved, shared_dir, shown_id, whole_id
+from .common import dropped, saved, shared_dir, shown_id, whole_id
 
 DEPTH = 50
 ANCHOR = 20
 #: Bytes of documents for each shard, and for each bucket of hashes.
 SHARD = 16 * 2**20
 KEY_BITS = 40
+#: Shards with an anchor from which on it is hot: its strings are dealt out by the next two least hashes in them as well.
+HOT = 1024
 
 
 def _hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -116,6 +122,29 @@ def _keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (anchor >> np.uint64(KEY_BITS)) % np.uint64(buckets) << np.uint64(KEY_BITS) | anchor & np.uint64(2**KEY_BITS - 1)
 
 
+def _next_least(h: np.ndarray, least: np.uint64) -> np.ndarray:
+    """A number for each string, made of the two least hashes in it but for least; h: hashes of all ANCHOR bytes of its run."""
+    top = np.uint64(2**64 - 1)
+    one = np.where(h == least, top, h)
+    rows = np.lib.stride_tricks.sliding_window_view(one, DEPTH - ANCHOR + 1)
+    first = rows.min(axis=1)
+    second = np.where(rows == first[:, None], top, rows).min(axis=1)
+    out = (first * np.uint64(0x9E3779B97F4A7C15) ^ second) * np.uint64(0xD6E8FEB86659FD93) + least
+    return out ^ (out >> np.uint64(32))
+
+
+def _split(shard: Shard, fragments: tuple[np.ndarray, ...], hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The fragments, those that are hot cut where their strings' next least hashes change, which become their anchors."""
+    doc, first, end, anchor = fragments
+    parts = [tuple(x[~hot] for x in fragments)]
+    for d, a, b, least in zip(doc[hot].tolist(), first[hot].tolist(), end[hot].tolist(), anchor[hot]):
+        h = _hashes(np.frombuffer(shard.raw[d][a : b + DEPTH - 1], dtype=np.uint8), ANCHOR)
+        own = _next_least(h, least)
+        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        parts.append((np.full(len(cut), d), a + cut, a + np.concatenate([cut[1:], [len(own)]]), own[cut]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _packed(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
 
@@ -154,20 +183,22 @@ def _anchors(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "shard", "single", "several"])
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's keys those that are in several documents, for each shard that has them."""
+def _shared(group: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Of a bucket's keys those that are in several documents, for each shard that has them, and which of these at least so many shards have."""
     mine = [np.concatenate([_unpacked(x), _unpacked(y)]) for x, y in zip(group["single"], group["several"])]
     keys, ends = np.concatenate(mine), np.cumsum([len(m) for m in mine])
     ordered = np.sort(np.concatenate([keys, *[_unpacked(y) for y in group["several"]]]))  # twice is several
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
-        return pd.DataFrame([], columns=["shard", "bucket", "keys"])
+        return pd.DataFrame([], columns=["shard", "bucket", "keys", "hot"])
+    found, shards = np.unique(keys, return_counts=True)  # a shard has a key once
+    hot = found[shards >= least]
     use = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
     rows = []
     for shard, end, m in zip(group["shard"], ends, mine):
         if (part := m[use[end - len(m) : end]]).size:
-            rows.append((shard, int(group["bucket"].iloc[0]), _packed(part)))
-    return pd.DataFrame(rows, columns=["shard", "bucket", "keys"])
+            rows.append((shard, int(group["bucket"].iloc[0]), _packed(part), _packed(np.intersect1d(part, hot))))
+    return pd.DataFrame(rows, columns=["shard", "bucket", "keys", "hot"])
 
 
 def _z(data: bytes) -> bytes:
@@ -193,12 +224,15 @@ def _sent(group: pd.DataFrame, keys: pd.DataFrame, buckets: int) -> pd.DataFrame
     if not len(group) or not len(keys):
         return pd.DataFrame(rows, columns=cols)
     shard, number = _shard(group), int(group["shard"].iloc[0])
-    doc, first, end, anchor = shard.fragments()
-    known = np.concatenate([_unpacked(x) | np.uint64(b << KEY_BITS) for b, x in zip(keys["bucket"], keys["keys"])])
-    known.sort()
+    fragments = shard.fragments()
+    whole = lambda col: np.sort(np.concatenate([_unpacked(x) | np.uint64(b << KEY_BITS) for b, x in zip(keys["bucket"], keys[col])]))
+    key = _keys(fragments[3], buckets)
+    use = np.isin(key, whole("keys"))
+    fragments = tuple(x[use] for x in fragments)
+    if len(hot := whole("hot")):
+        fragments = _split(shard, fragments, np.isin(key[use], hot))
+    doc, first, end, anchor = fragments
     key = _keys(anchor, buckets)
-    use = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-    doc, first, end, key = doc[use], first[use], end[use], key[use]
     order = np.lexsort((first, doc, key))
     # documents come in the order of ids within a key, so the first one to bring a fragment has the least id
     place: dict[bytes, int] = {}
@@ -337,27 +371,32 @@ def _removed(group: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row of df.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row of df, written.
 
     spans are the removed runs in bytes of UTF-8: first, end, first, end, ... A null text is empty. A null id is less
     than any other; rows with equal ids don't remove each other's bytes. Repeated rows get the same result each. An empty
     table gives no rows.
     """
-    spark = df.sparkSession
+    spark, hot = df.sparkSession, HOT
     rows = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = int(total) // SHARD + 1  # of files of the table, and of buckets of hashes
     name = f"millrace_shards_{uuid.uuid4().hex}"
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(4 * n)).cast("int"))
+    # by text too, as any number of rows may share an id, or have none
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(4 * n)).cast("int"))
     dealt.repartition(n, "shard").write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "shard").sortBy("shard").saveAsTable(name)
     shards = spark.table(name)
 
     anchors = shards.groupBy("shard").applyInPandas(lambda g: _anchors(g, n), "bucket int, shard int, single binary, several binary")
-    shared = anchors.groupBy("bucket").applyInPandas(_shared, "shard int, bucket int, keys binary")
+    # as many partitions as buckets, so that a task's share doesn't grow with the corpus
+    shared = anchors.repartition(n, "bucket").groupBy("bucket").applyInPandas(lambda g: _shared(g, hot), "shard int, bucket int, keys binary, hot binary").repartition(n, "shard")
     sent = saved(shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(lambda g, k: _sent(g, k, n), _SENT), "fragments")
-    found = sent.where("kind = 0").groupBy("bucket").applyInPandas(_resolved, "shard int, docs binary, spans binary")
+    found = sent.where("kind = 0").repartition(n, "bucket").groupBy("bucket").applyInPandas(_resolved, "shard int, docs binary, spans binary")
     spans = found.unionByName(sent.where("kind = 1").select("shard", F.col("refs").alias("docs"), F.col("starts").alias("spans")))
-    out = shards.groupBy("shard").cogroup(spans.groupBy("shard")).applyInPandas(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    out = shards.groupBy("shard").cogroup(spans.repartition(n, "shard").groupBy("shard")).applyInPandas(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    out = saved(out, "removed")
+    spark.sql(f"DROP TABLE {name}")
+    dropped(spark, f"{shared_dir(spark)}/{name}")
     return out.select(shown_id(F.col("id")).alias(id_col), *out.columns[1:])
 
 

@@ -214,11 +214,35 @@ def test_suffix_dedup(docs, empty, monkeypatch):
         gone[-1] = False
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         want[(i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())] += 1
-    for shard in (suffix_dedup.SHARD, 20_000):
+    tables = len(docs.sparkSession.catalog.listTables())
+    for shard, hot in ((suffix_dedup.SHARD, suffix_dedup.HOT), (20_000, suffix_dedup.HOT), (20_000, 2)):
         monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
         got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(docs).collect())
         assert got == want
     assert suffix_dedup.suffix_dedup(empty).count() == 0
+    assert len(docs.sparkSession.catalog.listTables()) == tables
+
+
+def test_merge_of_several_transforms():
+    """Repeats by merged transforms against a dictionary of all substrings, whatever shards the texts come in."""
+    from millrace.llm import bwt
+
+    rng = np.random.default_rng(8)
+    for trial in range(30):
+        kinds = int(rng.integers(1, 5))
+        texts = [bytes(rng.integers(97, 97 + kinds, int(rng.integers(0, 60)), dtype=np.uint8)) for _ in range(int(rng.integers(1, 30)))]
+        depth = int(rng.choice([2, 4, 10]))
+        want = defaultdict(set)
+        for k, t in enumerate(texts):
+            for p in range(len(t) - depth + 1):
+                want[t[p : p + depth]].add((k, p))
+        for size in (20, 60, 150, 10**6):
+            text, start, interval = bwt.repeats(texts, depth, shard_bytes=size)
+            got = defaultdict(set)
+            for k, p, i in zip(text.tolist(), start.tolist(), interval.tolist()):
+                got[i].add((k, p))
+            assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())), (trial, size)
 
 
 def test_simhash(docs, empty):
