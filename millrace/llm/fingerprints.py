@@ -19,9 +19,9 @@ from .common import shown_id, whole_id
 
 #: Hashes in a signature.
 KEPT = 128
-#: Documents in a range of ids, about; the ranges are what is dealt out.
+#: Documents in a range, on average; the ranges are what is dealt out. Ranges, and tasks, at most.
 RANGE = 500
-MOST_RANGES = 32_768
+MOST_RANGES, MOST_TASKS = 2**20, 32_768
 
 
 class Parser:
@@ -104,30 +104,54 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     return rows.mapInPandas(run, "id long, fingerprint string").select(shown_id(F.col("id")).alias(id_col), "fingerprint")
 
 
+def _places(cut_ids: np.ndarray, cut_hashes: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many cuts are not above each key, whether it is a cut). Cuts and keys are (id, hash), cuts in order."""
+    lo, hi = np.searchsorted(cut_ids, ids, side="left"), np.searchsorted(cut_ids, ids, side="right")
+    k, first = lo.copy(), np.zeros(len(ids), dtype=bool)
+    for at in np.unique(lo[hi > lo]):  # ids that cuts have, each once
+        rows = np.flatnonzero((lo == at) & (hi > lo))
+        own = cut_hashes[at : hi[rows[0]]]
+        n = np.searchsorted(own, hashes[rows], side="right")
+        k[rows] = at + n
+        first[rows] = (n > 0) & (own[np.maximum(n - 1, 0)] == hashes[rows])
+    return k, first
+
+
 def _dealt(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(range, extra, id, text): the rows dealt out by ranges of ids; each range also has, as extra, the first document after it.
+    """(range, extra, id, text): the rows dealt out by ranges of (id, hash of the text); each also has, as extra, the first row after it.
 
-    Each range begins with an id that the table has, so a row knows by its own id whether the range before needs it.
+    Ranges begin with keys of the table that a hash picks, one in RANGE, so a row knows by its own key whether the range
+    before needs it. Only those keys come to the driver, MOST_RANGES at most; a larger table has longer ranges, which are
+    sorted and streamed, never held.
     """
-    rows = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, least = rows.agg(F.count("*"), F.min("id")).head()
-    ranges = max(1, min(MOST_RANGES, n // RANGE))
-    cuts = rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)] or [0.5], ranges * 100)).head()[0] or []
-    cuts = sorted({c for c in cuts if c > least}) if ranges > 1 else []
-    starts = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    k = F.size(F.filter(starts, lambda c: c <= F.col("id")))
-    last = len(cuts)
-    first_of = F.when(F.col("id") == F.lit(least), F.lit(last)).when((F.col("k") > 0) & (F.get(starts, F.greatest(F.col("k") - 1, F.lit(0))) == F.col("id")), F.col("k") - 1)
-    to = F.array(F.struct(F.col("k").alias("range"), F.lit(0).alias("extra")), F.struct(first_of.alias("range"), F.lit(1).alias("extra")))
-    each = rows.withColumn("k", k).select(F.explode(F.filter(to, lambda x: x["range"].isNotNull())).alias("to"), "id", "text")
-    dealt = each.select("to.range", "to.extra", "id", "text")
-    return dealt.repartition(ranges, "range").sortWithinPartitions("range", "extra", "id", "text")
+    rows = df.select(whole_id(F.col(id_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n = df.count()
+    every = max(RANGE, -(-n // MOST_RANGES))
+    key = F.struct("id", "h")
+    found = rows.agg(F.min(key).alias("least"), F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("id", "h"), F.lit(every)) == 0, key))).alias("cuts"))
+    got = found.select("least", F.col("cuts.id").alias("ids"), F.col("cuts.h").alias("hashes")).head()
+    least = (got["least"]["id"], got["least"]["h"]) if got["least"] else None
+    cuts = [(i, h) for i, h in zip(got["ids"] or [], got["hashes"] or []) if (i, h) != least]
+    cut_ids, cut_hashes = np.array([i for i, _ in cuts], dtype=np.int64), np.array([h for _, h in cuts], dtype=np.int64)
+
+    @F.pandas_udf("k int, first boolean")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ids, hashes in batches:
+            k, first = _places(cut_ids, cut_hashes, ids.to_numpy(), hashes.to_numpy())
+            yield pd.DataFrame({"k": k, "first": first})
+
+    is_least = (F.col("id") == least[0]) & (F.col("h") == least[1]) if least else F.lit(False)
+    before = F.when(is_least, F.lit(len(cuts))).when(F.col("at.first"), F.col("at.k") - 1)
+    to = F.array(F.struct(F.col("at.k").alias("range"), F.lit(0).alias("extra")), F.struct(before.alias("range"), F.lit(1).alias("extra")))
+    each = rows.withColumn("at", place("id", "h")).select(F.explode(F.filter(to, lambda x: x["range"].isNotNull())).alias("to"), "id", "h", "text")
+    dealt = each.select("to.range", "to.extra", "id", "h", "text").repartition(min(len(cuts) + 1, MOST_TASKS), "range")
+    return dealt.sortWithinPartitions("range", "extra", "id", "h", "text").drop("h")
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 4, kept: int = KEPT) -> DataFrame:
     """Each document compared with an edit of itself and with its successor.
 
-    The successor is the next in order of (id, text), of the last the first; the edit replaces the last 1/share of the
+    The successor is the next in order of (id, XXH64 of the text, text), of the last the first; the edit replaces the last 1/share of the
     code points by the successor's first. Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The unchanged part is parsed once for both texts. A null text is empty and a null id comes
     first; repeated rows follow each other; a single document is its own successor; an empty table gives no rows.

@@ -81,8 +81,8 @@ def test_exact_dedup_keeps_rows(docs, empty):
 
 
 def test_fingerprints(docs, empty):
-    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    rows.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1].encode()))
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)
+    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, signed(r[1]), r[1].encode()))
     want = Counter()
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -90,7 +90,7 @@ def test_fingerprints(docs, empty):
         edited = t[: len(t) - cut] + after[:cut]
         a, b, c = (fingerprints.signature(x) for x in (t, edited, after))
         want[(i, len(t), sha(edited), fingerprints.shown(a), fingerprints.shown(b), fingerprints.likeness(a, b), fingerprints.likeness(a, c))] += 1
-    for ranges in (500, 4):
+    for ranges in (500, 4, 1):
         old, fingerprints.RANGE = fingerprints.RANGE, ranges
         try:
             got = Counter(tuple(r) for r in fingerprints.with_next(docs).collect())
@@ -101,6 +101,42 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint(docs).count() == len(ROWS)
 
 
+def test_phrases_against_a_plain_parse():
+    """Dictionary phrases as strings, hashed one by one, instead of the walk over numbered nodes."""
+
+    def hashed(phrase):
+        h = 0x9E3779B97F4A7C15
+        for b in phrase:
+            h = (h * 0x100000001B3 + b + 1) % 2**64
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            h = (h ^ h >> shift) * factor % 2**64
+        return h >> 32
+
+    def phrases(data):
+        out, now = set(), b""
+        for b in data:
+            now += bytes([b])
+            if now not in out:
+                out.add(now)
+                now = b""
+        return out
+
+    for text in ["", "a", "aaaaaaaaaa", "abababab", "the cat and the dog and the cat", "é" * 40, *(t for _, t in ROWS if len(t) < 3000)]:
+        want = sorted({hashed(p) for p in phrases(text.encode())})
+        assert fingerprints.signature(text, 50).tolist() == want[:50], text[:40]
+        for cut in (0, len(text) // 2):
+            p = fingerprints.Parser()
+            p.feed(text[:cut].encode())
+            mark = p.mark()
+            p.feed(b"something else, gone again")
+            p.back(mark)
+            p.feed(text[cut:].encode())
+            assert p.signature(50).tolist() == want[:50]
+    a, b = phrases(b"the cat sat"), phrases(b"the cat ran")
+    x, y = (np.array(sorted({hashed(p) for p in s}), dtype=np.uint32) for s in (a, b))
+    assert fingerprints.likeness(x, y) == len(a & b) / len(a | b)
+
+
 def test_fingerprint_of_similar_texts():
     a = "the quick brown fox jumps over the lazy dog " * 20
     near, far = fingerprints.signature(a + "and more"), fingerprints.signature("0123456789" * 80)
