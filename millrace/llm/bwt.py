@@ -31,12 +31,17 @@ def suffix_array(data: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | np.where(inside, padded[k : n + k], 0).astype(np.uint64)
     have = 8
     while True:
-        order = np.argsort(key, kind="stable" if have >= depth else None)
-        if have >= depth:
-            return order
+        order = np.argsort(key)
         sorted_ = key[order]
+        rank_ = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]), dtype=np.uint64)
+        if have >= depth:
+            # ties by place: numbers that are all different need no stable sort, which takes longer
+            rank_ <<= np.uint64(32)
+            rank_ |= order.astype(np.uint64)
+            rank_.sort()
+            return (rank_ & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])).astype(np.uint64)
+        rank[order] = rank_
         later = np.where(at + have <= end, rank[np.minimum(at + have, n - 1)], np.uint64(0))
         key = rank * np.uint64(n + 1) + later
         have *= 2
@@ -44,12 +49,13 @@ def suffix_array(data: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
 
 def transform(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each place of the order the two symbols before it, as one number; before a text's start comes its end."""
-    start = np.concatenate([[0], np.unique(end)[:-1] + 1])
-    text = np.searchsorted(start, order, side="right") - 1
-    size = end[order] + 1 - start[text]
-    one = start[text] + (order - start[text] - 1) % size
-    two = start[text] + (order - start[text] - 2) % size
-    return data[two].astype(np.uint16) << np.uint16(8) | data[one]
+    ends = np.flatnonzero(data == 0)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    before = np.concatenate([data[:1], data[:-1]])
+    before[starts] = 0  # before a text's first symbol comes its end
+    two = np.concatenate([before[:1], before[:-1]])
+    two[starts] = data[np.maximum(ends - 1, starts)]  # and before that its last; of an empty text its end again
+    return (two.astype(np.uint16) << np.uint16(8) | before)[order]
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +65,25 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     """
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     interval = np.zeros(len(shard), dtype=np.int32)
-    symbols = np.empty(len(shard), dtype=np.uint16)
+    # kept for all rounds: fresh memory for each would take longer than what is done with it
+    symbols, seen = np.empty(len(shard), dtype=np.uint16), np.empty(len(shard), dtype=np.uint16)
+    other, before = np.empty_like(shard), np.empty_like(interval)
+    new, differ = np.empty(len(shard), dtype=bool), np.empty(len(shard), dtype=bool)
     for _ in range(0, depth, 2):
-        for s, t in enumerate(transforms):
-            symbols[shard == s] = t
+        if len(transforms) == 1:
+            symbols = transforms[0]
+        else:
+            for s, t in enumerate(transforms):
+                symbols[np.flatnonzero(np.equal(shard, s, out=differ))] = t
         order = np.argsort(symbols, kind="stable")
-        shard, before, seen = shard[order], interval[order], symbols[order]
-        new = np.empty(len(shard), dtype=bool)
+        np.take(shard, order, out=other, mode="clip")
+        shard, other = other, shard
+        np.take(interval, order, out=before, mode="clip")
+        np.take(symbols, order, out=seen, mode="clip")
         new[:1] = True
-        new[1:] = (seen[1:] != seen[:-1]) | (before[1:] != before[:-1])
+        np.not_equal(seen[1:], seen[:-1], out=new[1:])
+        np.not_equal(before[1:], before[:-1], out=differ[1:])
+        new[1:] |= differ[1:]
         # suffixes with an end in their first two symbols stand in the order of texts, each in an interval of its own
         ended = np.flatnonzero((seen & np.uint16(255)) == 0) if seen.size else seen
         first = int(np.searchsorted(seen, 256))
@@ -78,7 +94,7 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
             new[ended] = True
             new[np.minimum(ended + 1, len(new) - 1)] = True
             shard[ended] = shard[ended][np.lexsort((shard[ended], seen[ended]))]
-        interval = np.cumsum(new, dtype=np.int32)
+        np.cumsum(new, dtype=np.int32, out=interval)
     return shard, interval
 
 
@@ -98,8 +114,8 @@ def repeats(texts: list[bytes], depth: int, shard_bytes: int = 2**21) -> tuple[n
         order = suffix_array(data, end, depth)
         orders.append(order)
         transforms.append(transform(data, end, order))
-        ends = np.unique(end)
-        which = np.searchsorted(ends, order)
+        ends = np.flatnonzero(data == 0)
+        which = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))[order]
         owners.append(np.array(members, dtype=np.int64)[which])
         starts.append(np.where(end[order] - order >= depth, order - np.concatenate([[0], ends[:-1] + 1])[which], -1))
     shard, interval = merge(transforms, depth)

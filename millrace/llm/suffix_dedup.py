@@ -388,10 +388,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shards = spark.table(name)
 
     anchors = shards.groupBy("shard").applyInPandas(lambda g: _anchors(g, n), "bucket int, shard int, single binary, several binary")
-    # as many partitions as buckets, so that a task's share doesn't grow with the corpus
-    shared = anchors.repartition(n, "bucket").groupBy("bucket").applyInPandas(lambda g: _shared(g, hot), "shard int, bucket int, keys binary, hot binary").repartition(n, "shard")
+    # a partition for each bucket, so that a task's share doesn't grow with the corpus
+    shared = anchors.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInPandas(lambda g: _shared(g, hot), "shard int, bucket int, keys binary, hot binary").repartition(n, "shard")
     sent = saved(shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(lambda g, k: _sent(g, k, n), _SENT), "fragments")
-    found = sent.where("kind = 0").repartition(n, "bucket").groupBy("bucket").applyInPandas(_resolved, "shard int, docs binary, spans binary")
+    found = sent.where("kind = 0").repartitionById(n, F.col("bucket")).groupBy("bucket").applyInPandas(_resolved, "shard int, docs binary, spans binary")
     spans = found.unionByName(sent.where("kind = 1").select("shard", F.col("refs").alias("docs"), F.col("starts").alias("spans")))
     out = shards.groupBy("shard").cogroup(spans.repartition(n, "shard").groupBy("shard")).applyInPandas(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     out = saved(out, "removed")
