@@ -218,7 +218,7 @@ _SENT = "kind int, bucket int, shard int, ids binary, refs binary, starts binary
 
 
 def _sent(group: pd.DataFrame, keys: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Fragments with shared anchors for each bucket (kind 0), and spans that the shard settles itself (kind 1)."""
+    """Fragments with shared anchors for each bucket (kind 0), and spans that the shard settles itself (kind 1), by any bucket."""
     rows: list[tuple] = []
     cols = [c.split()[0] for c in _SENT.split(", ")]
     if not len(group) or not len(keys):
@@ -272,12 +272,16 @@ def _sent(group: pd.DataFrame, keys: pd.DataFrame, buckets: int) -> pd.DataFrame
         )
     if settled:
         spans = np.array(settled, dtype="<i8")
-        rows.append((1, -1, number, None, spans[:, 0].astype("<i4").tobytes(), spans[:, 1:].tobytes(), None, None, None))
+        rows.append((1, number % buckets, number, None, spans[:, 0].astype("<i4").tobytes(), spans[:, 1:].tobytes(), None, None, None))
     return pd.DataFrame(rows, columns=cols)
 
 
 def _resolved(group: pd.DataFrame) -> pd.DataFrame:
-    """Spans, for each shard, that a bucket's fragments lose."""
+    """Spans, for each shard, that a bucket's fragments lose, and those that shards have settled, as they are."""
+    settled = group[group["kind"] == 1][["shard", "refs", "starts"]].set_axis(["shard", "docs", "spans"], axis=1)
+    group = group[group["kind"] == 0]
+    if not len(group):
+        return settled
     place: dict[bytes, int] = {}
     texts: list[bytes] = []
     entry_text, entry_id, entry_shard, ref_entry, ref_doc, ref_start, keys = ([] for _ in range(7))
@@ -339,7 +343,7 @@ def _resolved(group: pd.DataFrame) -> pd.DataFrame:
     shard, doc, a, b = shard[order], doc[order], a[order], b[order]
     cut = np.flatnonzero(np.diff(shard, prepend=-1))
     rows = [(int(shard[i]), doc[i:j].astype("<i4").tobytes(), np.stack([a[i:j], b[i:j]], axis=1).astype("<i8").tobytes()) for i, j in zip(cut, [*cut[1:], len(shard)])]
-    return pd.DataFrame(rows, columns=["shard", "docs", "spans"])
+    return pd.concat([settled, pd.DataFrame(rows, columns=["shard", "docs", "spans"])], ignore_index=True)
 
 
 def _removed(group: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
@@ -390,9 +394,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     anchors = shards.groupBy("shard").applyInPandas(lambda g: _anchors(g, n), "bucket int, shard int, single binary, several binary")
     # a partition for each bucket, so that a task's share doesn't grow with the corpus
     shared = anchors.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInPandas(lambda g: _shared(g, hot), "shard int, bucket int, keys binary, hot binary").repartition(n, "shard")
-    sent = saved(shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(lambda g, k: _sent(g, k, n), _SENT), "fragments")
-    found = sent.where("kind = 0").repartitionById(n, F.col("bucket")).groupBy("bucket").applyInPandas(_resolved, "shard int, docs binary, spans binary")
-    spans = found.unionByName(sent.where("kind = 1").select("shard", F.col("refs").alias("docs"), F.col("starts").alias("spans")))
+    sent = shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(lambda g, k: _sent(g, k, n), _SENT)
+    spans = sent.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInPandas(_resolved, "shard int, docs binary, spans binary")
     out = shards.groupBy("shard").cogroup(spans.repartition(n, "shard").groupBy("shard")).applyInPandas(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     out = saved(out, "removed")
     spark.sql(f"DROP TABLE {name}")
