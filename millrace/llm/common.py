@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,36 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are saved within are deleted at its end, but for those that what it gives, (df, kind), has saved.
+
+    What is used after it must depend on none of the others.
+    """
+    _scratch.append([])
+
+    def keep(df: DataFrame, kind: str = "table") -> DataFrame:
+        out = saved(df, kind)
+        path = _scratch[-1].pop()
+        if len(_scratch) > 1:
+            _scratch[-2].append(path)  # the next one around may drop it
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            dropped(spark, path)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete what is written under path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shown_id, whole_id
+from .common import saved, scratch, shown_id, whole_id
 
 WORDS = 4
 RADIUS = 4
@@ -288,11 +288,12 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     the least only of a component without other ids. Repeated rows come as often as before. An empty table gives no rows.
     """
     docs = saved(fingerprints(df, id_col, text_col, words), "simhash")
-    distinct = saved(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(forest(distinct.select(F.col("fp").alias("key"), "fp"), radius))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = saved(named.join(groups, "root").select("fp", "component_id"), "components")
+    with scratch(df.sparkSession) as keep:
+        distinct = saved(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+        roots = components(forest(distinct.select(F.col("fp").alias("key"), "fp"), radius))
+        named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_fp = keep(named.join(groups, "root").select("fp", "component_id"), "components")
     return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -383,7 +384,7 @@ def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radius:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of every document that is linked to others: root is the least id of its group. A null text is empty.
+    """(id, root) of every document that is linked to others, written: root is the least id of its group. A null text is empty.
 
     A link is a pair whose sets of shingles have at least the similarity. Candidates are components by fingerprints of the
     different shingles, wide enough that hardly a link is past the radius and hardly an unrelated pair within it (radii()
@@ -392,6 +393,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     verified against chunks, so none lands in one task whole. Where k documents are all candidates of each other but not
     similar enough, that copies each set k / CHUNK times.
     """
+    with scratch(df.sparkSession) as keep:
+        return keep(_near_groups(df, id_col, text_col, words, similarity), "groups")
+
+
+def _near_groups(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     radius, first = radii(similarity)
     docs = saved(sketches(rows, words), "simhash")

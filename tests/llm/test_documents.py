@@ -368,6 +368,20 @@ def test_radius_holds_for_small_sets():
     assert simhash.radii(0.8) == (73, 41)
 
 
+def test_scratch_tables_go(docs, spark):
+    import os
+
+    from millrace.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    groups = simhash.near_groups(docs)
+    before = set(os.listdir(folder))
+    got = sorted(map(tuple, groups.collect()))
+    again = simhash.near_groups(docs)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"groups"}
+    assert sorted(map(tuple, again.collect())) == got
+
+
 def test_near_groups_of_many_copies(spark, monkeypatch):
     """A large group of near copies, over several chunks, and one whose members are alike but not enough."""
     monkeypatch.setattr(simhash, "CHUNK", 16)
