@@ -1,7 +1,8 @@
 """Corpus pipeline: from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and returns a DataFrame. run() writes each
-stage's result to the shared folder and reads it again, so a lost executor costs no more than a stage.
+stage's result to the shared folder and reads it again, so a lost executor costs no more than a stage; what a stage wrote on
+its way is deleted then.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import exact_dedup, mixing, packing, quality, simhash
-from millrace.llm.common import saved, table
+from millrace.llm.common import scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
