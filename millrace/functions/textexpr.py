@@ -48,6 +48,16 @@ def words(x: Column) -> Column:
     return F.filter(F.split(x, r"\s+"), lambda t: t != "")
 
 
+def risk_terms(x: Column, kind: str = "padded") -> Column:
+    """Occurrences of the risk terms: as words between spaces, as words without the last two terms, or anywhere in the text."""
+    if kind not in ("padded", "short", "anywhere"):
+        raise ValueError(f"unknown kind of risk: {kind}")
+    low = fold(x) if kind == "anywhere" else F.concat(F.lit(" "), fold(x), F.lit(" "))
+    terms = RISK_TERMS if kind == "padded" else RISK_TERMS[:5]
+    shown = [t if kind == "anywhere" else f" {t} " for t in terms]
+    return sum((((F.char_length(low) - F.char_length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in shown), F.lit(0))
+
+
 def lines(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"\r\n|[\n\r\x0B\f\x85  ]"), strip), lambda t: t != "")
 

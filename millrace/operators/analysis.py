@@ -107,12 +107,13 @@ def divergence(left: DataFrame, right: DataFrame) -> DataFrame:
 def divergence_by(df: DataFrame, group: str) -> DataFrame:
     """(group, js) of each group's token distribution against the whole corpus's, in one pass over the tokens."""
     counts = df.select(F.col(group).alias("g"), F.explode(X.tokens(X.text())).alias("token")).groupBy("g", "token").agg(F.count("*").alias("x"))
+    counts = select.saved(counts, "counts")
     whole = counts.groupBy("token").agg(F.sum("x").alias("y"))
     vocab, total = whole.agg(F.count("*"), F.sum("y")).head()
     vocab, total = vocab or 0, total or 0
     sums = counts.groupBy("g").agg(F.sum("x").alias("all"), F.count("*").alias("kinds"))
     q = (F.col("y") + SMOOTHING) / F.lit(total + SMOOTHING * vocab)
-    rows = counts.join(whole, "token").join(F.broadcast(sums), "g").select("g", "x", q.alias("q"), ((F.col("x") + SMOOTHING) / (F.col("all") + SMOOTHING * vocab)).alias("p"), ((F.lit(0) + SMOOTHING) / (F.col("all") + SMOOTHING * vocab)).alias("p0"))
+    rows = counts.join(whole, "token").join(sums, "g").select("g", "x", q.alias("q"), ((F.col("x") + SMOOTHING) / (F.col("all") + SMOOTHING * vocab)).alias("p"), ((F.lit(0) + SMOOTHING) / (F.col("all") + SMOOTHING * vocab)).alias("p0"))
     m = (F.col("p") + F.col("q")) / 2
     m0 = (F.col("p0") + F.col("q")) / 2
     term = lambda p, mid: p * F.log2(p / mid) + F.col("q") * F.log2(F.col("q") / mid)
@@ -138,6 +139,11 @@ def summarize(df: DataFrame, group: str, value: str) -> DataFrame:
     return a.withColumns({"ci95_low": F.col("mean") - margin, "ci95_high": F.col("mean") + margin})
 
 
+def method_summary(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, mean, std) with the deviation of a whole population, 0 for a single value."""
+    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std"))
+
+
 def paired_difference(df: DataFrame, method: str, seed: str, value: str, baseline: str, lower_is_better: bool = True) -> DataFrame:
     """Improvement of each method over the baseline, matched by seed."""
     per = df.groupBy(method, seed).agg(F.avg(value).alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ def local_filter(df: DataFrame, kind: str) -> DataFrame:
     return rows.select("doc_id", F.expr(formulas.spark(keep)).alias("keep"), "score", reason.alias("reason"))
 
 
-def length_filter(df: DataFrame, least: int = 1, most: int = 1_000_000_000) -> DataFrame:
-    n = F.size(X.words(X.text()))
+def length_filter(df: DataFrame, least: int = 1, most: int = 1_000_000_000, tokens: str | None = None) -> DataFrame:
+    """Bounds on the words between white space, or on a column of token counts (null: none)."""
+    n = F.size(X.words(X.text())) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))
     keep = n.between(least, most)
     reason = F.when(keep, "length_in_range").when(n < least, "length_below_min").otherwise("length_above_max")
     return df.select("doc_id", keep.alias("keep"), F.when(keep, 1.0).otherwise(0.0).alias("score"), reason.alias("reason"))
@@ -84,6 +87,15 @@ ALIASES = {
 }
 
 
+def register(name: str, decide_: Callable[[DataFrame, float | None], DataFrame], *aliases: str) -> None:
+    """Add a filter: decide_(df, keep rate) returns (doc_id, keep, score, reason) for every row. A name that is taken is an error."""
+    for n in (name, *aliases):
+        if n in REGISTRY or n in ALIASES:
+            raise ValueError(f"the filter {n} is there already")
+    REGISTRY[name] = decide_
+    ALIASES.update(dict.fromkeys(aliases, name))
+
+
 def decide(df: DataFrame, name: str, rate: float | None = None) -> DataFrame:
     """(doc_id, keep, score, reason) by the filter of that name; an unknown name is an error."""
     name = ALIASES.get(name, name)

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import formulas
+from ..functions import counters, formulas
 from ..functions import textexpr as X
 from ..functions.formulas import duckdb
-from ..operators import dedup, evaluation, filters, index, ml, pipeline, reports, scoring, select, urd
+from ..operators import analysis, dedup, evaluation, filters, index, ml, pipeline, reports, scoring, select, urd
 from ..operators.storage import shared_dir
 from .oracle import ENTROPY, on_profile
 from .registry import _BIN_SQL, _BINS_SQL, _BUDGET, _CI_SQL, _FOLDED, _HDQS_SCORE, _LOCAL_SQL, _NORM, _PAIRED, _SPLIT_SQL, _TOK, _URD_SQL, _W, _add, _docs, _events, _on_docs, _pairs_sql, _r, _rounded, _split, _table, _words
@@ -399,3 +399,16 @@ _add(
     lambda spark, d: _rounded(ml.classifier_accuracy(_table(spark, d, "embeddings").withColumn("label", (F.col("label") % 2).cast("double")), "embedding", "label"), "accuracy"),
 )
 _add("multivariate_fit", _on_docs(lambda df: _rounded(ml.linear_model(X.profile(df), ["n_tok", "n_lines"], "n_len"), "value")))
+_add("method_summary", lambda spark, d: _rounded(analysis.method_summary(_events(spark, d), "event_type", "value"), "mean", "std"), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
+_add(
+    "token_counters",
+    _on_docs(lambda df: df.select("doc_id", *[counters.count(F.col("text"), n).cast("long").alias(n) for n in ("whitespace", "word", "word_mark", "characters", "bytes")])),
+    rf"SELECT doc_id, {_W}::BIGINT AS whitespace, len({_TOK})::BIGINT AS word, len(regexp_extract_all(text, '{X.WORD}+|[^\p{{L}}\p{{N}}_\s]'))::BIGINT AS word_mark, length(text)::BIGINT AS characters, strlen(text)::BIGINT AS bytes FROM documents",
+)
+_risk_sql = lambda terms, pad: " + ".join(f"(length({pad}) - length(replace({pad}, '{t}', ''))) // {len(t)}" for t in terms)
+_LOW = "replace(lower(text), 'ß', 'ss')"
+_add(
+    "risk_term_variants",
+    _on_docs(lambda df: df.select("doc_id", *[X.risk_terms(X.text(), k).cast("long").alias(k) for k in ("padded", "short", "anywhere")])),
+    f"SELECT doc_id, ({_risk_sql([f' {t} ' for t in X.RISK_TERMS], f"' ' || {_LOW} || ' '")})::BIGINT AS padded, ({_risk_sql([f' {t} ' for t in X.RISK_TERMS[:5]], f"' ' || {_LOW} || ' '")})::BIGINT AS short, ({_risk_sql(X.RISK_TERMS[:5], _LOW)})::BIGINT AS anywhere FROM documents",
+)

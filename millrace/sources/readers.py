@@ -150,3 +150,24 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
         F.count_if("invalid").alias("invalid"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("fields")))).alias("fields"),
     )
+
+
+def lookup(spark: SparkSession, path: str, column: str, values: list | None = None, low=None, high=None) -> DataFrame:
+    """Rows of a Parquet table whose column is one of the values, or from low to high; the scan skips other row groups."""
+    df = spark.read.parquet(path)
+    if values is not None:
+        df = df.where(F.col(column).isin(list(values)))
+    if low is not None:
+        df = df.where(F.col(column) >= F.lit(low))
+    return df.where(F.col(column) <= F.lit(high)) if high is not None else df
+
+
+def preview(spark: SparkSession, path: str, rows: int = 20) -> DataFrame:
+    """The first rows of a file of JSON lines, as they are."""
+    return spark.read.json(path).limit(rows)
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """Run records, lines of JSON or a CSV file with a header, all columns as strings; blank values are null."""
+    df = csv(spark, path) if path.endswith(".csv") else spark.read.option("mode", "FAILFAST").option("primitivesAsString", True).json(path)
+    return df.select(*[F.when(F.trim(c) != "", F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])

@@ -109,3 +109,62 @@ def test_ids_are_the_same_in_each_reading(spark, tmp_path):
     b = readers.normalise(readers.jsonl(spark, str(tmp_path)).repartition(7))
     assert {tuple(r) for r in a.select("doc_id", "text").collect()} == {tuple(r) for r in b.select("doc_id", "text").collect()}
     assert a.select("doc_id").distinct().count() == 50 and "metadata" in a.columns
+
+
+def test_data_source(spark, tmp_path):
+    from millrace.sources import datasource
+
+    lines(tmp_path / "a.jsonl", [{"doc_id": 1, "text": "one"}, {"text": "two", "split": "test"}])
+    lines(tmp_path / "b.jsonl.gz", [{"id": "x", "text": None}], zipped=True)
+    datasource.register(spark, shout=lambda rows, options: ((k, (None, r.strip().upper(), "", "")) for k, r in enumerate(rows)))
+    got = {(r["doc_id"], r["text"], r["split"]) for r in spark.read.format("corpus_shards").load(str(tmp_path)).collect()}
+    assert got == {("1", "one", "train"), ("a.jsonl:2", "two", "test"), ("x", "", "train")}
+    assert spark.read.format("corpus_shards").option("kind", "text").load(str(tmp_path / "a*")).count() == 2
+    with pytest.raises(Exception, match="no field"):
+        spark.read.format("corpus_shards").option("text_field", "body").load(str(tmp_path)).collect()
+
+
+def test_plug_ins(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import counters
+
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    counters.register("letters a", lambda x: F.regexp_count(x, F.lit("a")))
+    assert [r[0] for r in df.orderBy("doc_id").select(counters.count(F.col("text"), "letters a")).collect()] == [1, 0]
+    filters.register("first only", lambda d, rate: d.select("doc_id", (F.col("doc_id") == 1).alias("keep"), F.lit(1.0).alias("score"), F.lit("x").alias("reason")))
+    try:
+        assert filters.decide(df, "first only").where("keep").count() == 1
+        with pytest.raises(ValueError):
+            filters.register("raw", None)
+    finally:
+        del filters.REGISTRY["first only"], counters.COUNTERS["letters a"]
+
+
+def test_urd_bundle_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"word{k} some text number {k} " + "x " * k, "s" if k % 2 else "t") for k in range(12)], "doc_id long, text string, source string")
+    out = writers.urd_bundle(df, str(tmp_path / "urd"), 0.5)
+    assert out["summary"]["kept_documents"] == 6 and out["summary"]["target_keep_rate_check"]["status"] == "passed" and out["cost"]["input_docs"] == 12
+    frontier = spark.read.option("header", True).csv(str(tmp_path / "urd/pareto_frontier"))
+    assert frontier.count() == 12 and frontier.where("selected = 'true'").count() == 6
+    small = spark.createDataFrame([("a_b", 0.5), (None, 1.0)], "name string, v double")
+    assert writers.table_text(small) == "| name | v |\n| --- | --- |\n| a_b | 0.5 |\n|  | 1 |\n"
+    assert r"a\_b & 0.5 \\" in writers.table_text(small, "latex")
+    with pytest.raises(ValueError):
+        writers.table_text(df, most=3)
+    assert writers.canonical("a\r\nb\rc") == "a\nb\nc\n" and writers.canonical("") == ""
+    df.write.parquet(str(tmp_path / "t"))
+    assert readers.lookup(spark, str(tmp_path / "t"), "doc_id", values=[1, 3, 99]).count() == 2
+    assert readers.lookup(spark, str(tmp_path / "t"), "doc_id", low=4, high=6).count() == 3
+
+
+def test_merges_of_many_words(spark):
+    """Merges counted in a table are those counted on the driver."""
+    from millrace.functions import tokenizers
+
+    df = spark.createDataFrame([(1, "low low low lower lowest newer newest widest é été"), (2, "low newest newest")], "doc_id long, text string")
+    assert tokenizers.bpe_merges(df, 12) == tokenizers.bpe_merges(df, 12, at_once=0, every=5)
+    merges = tokenizers.bpe_merges(df, 12)
+    got = tokenizers.bpe_encode(df, merges).where("doc_id = 2").select(tokenizers.bpe_decode("pieces")).first()[0]
+    assert got == "lownewestnewest"
+    assert tokenizers.bpe_merges_by_first(df, 1) == [("l", "o")]
