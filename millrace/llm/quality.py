@@ -28,8 +28,9 @@ from .common import shown_id, whole_id
 SAMPLE = 6000
 DIM = 2**20
 GRADES = 3
-ROUNDS = 250
-RATE = 0.5
+ROUNDS = 500
+#: Higher rates don't settle: at 0.5 the loss swings, and where it ends hangs on the order of sums.
+RATE = 0.2
 PENALTY = 1e-3
 #: Fewest sample documents with a feature.
 LEAST = 12
@@ -113,15 +114,22 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS, rate:
     doc = np.repeat(np.arange(len(rows)), lengths)[use]
     column = place[column[use]]
     slots = slots[often]
+    # entries by document and by column: sums of runs take a third of the time of sums by number
+    by_column = np.argsort(column, kind="stable")
+    of_document, of_column = column.astype(np.int32), doc[by_column].astype(np.int32)
+    has, first = np.unique(doc, return_index=True)
+    starts = np.searchsorted(column[by_column], np.arange(len(slots)))
+    sums = lambda values, at: np.add.reduceat(values, at) if len(at) else np.zeros(0)
     n, w, sq, sq_t = len(rows), np.zeros(len(slots)), np.full(len(slots), 1e-8), np.full(2, 1e-8)
     for _ in range(rounds):
-        s = np.bincount(doc, weights=w[column], minlength=n)
+        s = np.zeros(n)
+        s[has] = sums(w[of_document], first)
         low, high = (1 / (1 + np.exp(-np.clip(x - s, -30, 30))) for x in t)
         mid = np.maximum(high - low, 1e-9)
         by_s = np.choose(grades, [-(1 - low), low + high - 1, high])
         by_low = np.choose(grades, [1 - low, -low * (1 - low) / mid, 0 * s])
         by_high = np.choose(grades, [0 * s, high * (1 - high) / mid, -high])
-        g = -np.bincount(column, weights=by_s[doc], minlength=len(w)) / n
+        g = -sums(by_s[of_column], starts) / n
         g_t = -np.array([by_low.sum(), by_high.sum()]) / n
         sq += g * g
         sq_t += g_t * g_t

@@ -501,6 +501,19 @@ def test_gradients_are_of_the_likelihood():
     assert np.sign(w[[0, 1, 4, 5]]).tolist() == [1, -1, 1, -1]
 
 
+def test_the_fit_settles():
+    """More rounds change little, and neither does the order of documents, in which sums are made."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique((rng.zipf(1.3, 300) % 5000).astype("<i4")) for _ in range(800)]
+    grades = np.array([0 if 77 in r else 2 if 90 in r or 55 in r else 1 for r in rows])
+    order = rng.permutation(800)
+    a, b, c = quality.fit(rows, grades), quality.fit([rows[k] for k in order], grades[order]), quality.fit(rows, grades, rounds=2 * quality.ROUNDS)
+    score = lambda m: np.array([sum(m.weights.get(int(k), 0.0) for k in r) for r in rows])
+    assert np.abs(score(a) - score(b)).max() < 1e-6
+    good = lambda m: quality.tails(score(m), m.thresholds)[:, 1] >= quality.KEEP
+    assert (good(a) != good(c)).mean() < 0.02
+
+
 def test_quality_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -508,7 +521,7 @@ def test_quality_held_out(spark):
     model = quality.train(d, labels.where("doc_id % 2 = 1"))
     got = quality.rate_documents(d, model).join(test, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     share = {(r["quality"], r["toxic"]): r["kept"] for r in got}
-    assert share[(1, 0)] > 0.97 and share[(1, 1)] < 0.15 and share[(0, 0)] < 0.2
+    assert share[(1, 0)] > 0.975 and share[(1, 1)] < 0.1 and share[(0, 0)] < 0.1
 
 
 def test_gradient():
