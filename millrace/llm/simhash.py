@@ -309,7 +309,7 @@ def radii(similarity: float, numbers: int = NUMBERS) -> tuple[int, int]:
     differs with probability arccos(overlap) / pi for large sets. For sets of few shingles, whose sums are ties at times, it
     is up to a quarter more (counted out for all sets of up to 60 shingles, see the tests). The bounds lie four standard
     deviations over that higher mean. At 0.8 these are 73 of 256 bits and 41 of 128: a link of two large sets is missed once
-    in 10^7, the worst of small ones once in 10,000; two unrelated texts pass for candidates once in 10^12.
+    in 2 million, the worst of small ones once in 6,000; two unrelated texts pass for candidates once in 4 * 10^11 at most.
     """
     p = 1.25 * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
     bound = lambda n: int(n * p + 4 * (n * p * (1 - p)) ** 0.5)
