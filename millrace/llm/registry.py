@@ -15,6 +15,7 @@ _NAMES = {
     "op8_exact_dedup": "exact_dedup",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_simhash_dedup": "simhash",
+    "op13_hot_key_join": "hot_join",
 }
 _MODULES = {name: importlib.import_module(f"{__package__}.{module}") for name, module in _NAMES.items()}
 
