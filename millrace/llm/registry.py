@@ -15,6 +15,8 @@ _NAMES = {
     "op8_exact_dedup": "exact_dedup",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_simhash_dedup": "simhash",
+    "op11_secret_scan": "secret_scan",
+    "op12_turn_repair": "turn_repair",
     "op13_hot_key_join": "hot_join",
 }
 _MODULES = {name: importlib.import_module(f"{__package__}.{module}") for name, module in _NAMES.items()}
