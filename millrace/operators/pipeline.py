@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas
 from ..functions import textexpr as X
-from . import dedup, filters, scoring, select
+from . import dedup, filters, ranking, scoring, select
 
 MOJIBAKE = " Encoding sample: cafÃ© â€™ â€œ."
 
@@ -196,9 +196,9 @@ def variants(df: DataFrame, names: tuple[str, ...] | None = None, threshold: flo
         k = max(1, kept_)
         for name in matched:
             if name == "random_retention_matched_baseline":
-                ids = df.orderBy("doc_id").limit(k)
+                ids = ranking.first_rows(df, k, [("doc_id", False)])
             elif name == "length_matched_baseline":
-                ids = df.select("doc_id", F.char_length(X.text()).alias("l")).orderBy(F.desc("l"), "doc_id").limit(k)
+                ids = ranking.first_rows(df.select("doc_id", F.char_length(X.text()).alias("l")), k, [("l", True), ("doc_id", False)])
             else:
                 scored = scoring.hdqs(df).select("doc_id", F.round("score", 9).alias("score"))
                 ids = select.topk(scored, kept_ / max(1, n)).where("keep") if kept_ else scored.limit(0)

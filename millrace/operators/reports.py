@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textexpr as X
-from . import analysis, dedup, scoring, select
+from . import analysis, dedup, ranking, scoring, select
 
 # fixed values: scopes that only describe a protocol
 PROTOCOL = ("main_protocol", "level2_protocol", "level3_heavy_protocol")
@@ -77,7 +77,8 @@ def score_failures(df: DataFrame, dev: DataFrame, rate: float) -> tuple[DataFram
 
     first = scoring.hdqs(df).select("doc_id", F.round("score", 9).alias("score"))
     kept = max(1, round(first.count() * rate))
-    best = first.orderBy(F.desc("score"), "doc_id").limit(kept).select("doc_id").withColumn("kept_by_hdqs", F.lit(True))
+    first = saved(first, "scored")
+    best = ranking.first_rows(first, kept, [("score", True), ("doc_id", False)]).select("doc_id").distinct().withColumn("kept_by_hdqs", F.lit(True))
     second = select.select_v2_variant(df, rate=rate, reference=dev).select("doc_id", F.col("score").alias("hdqs_v2_score"), F.col("keep").alias("kept_by_hdqs_v2"))
     rows = first.withColumnRenamed("score", "hdqs_score").join(best, "doc_id", "left").withColumn("kept_by_hdqs", F.coalesce("kept_by_hdqs", F.lit(False)))
     rows = rows.join(second, "doc_id").join(df.select("doc_id", pipeline.excerpt(X.text()).alias("excerpt")), "doc_id").join(scoring.document_metrics(df, dev), "doc_id")

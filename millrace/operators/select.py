@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textexpr as X
-from . import scoring
+from . import ranking, scoring
 from .storage import saved
 
 
@@ -35,9 +35,8 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 
 def topk(scored: DataFrame, rate: float | None, order: str = "doc_id") -> DataFrame:
     """scored with keep: the highest scores, of equal ones the first in order."""
-    k = keep_count(scored.count(), rate)
-    best = scored.select("doc_id", "score", order).orderBy(F.desc("score"), order).limit(k).select(F.col("doc_id").alias("__id")).distinct()
-    return scored.join(best, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id")
+    scored = saved(scored, "scored")
+    return scored.withColumn("keep", ranking.within(scored, keep_count(scored.count(), rate), [("score", True), (order, False)]))
 
 
 def sha_rank(seed: int, id_col: str = "doc_id") -> Column:
@@ -46,11 +45,9 @@ def sha_rank(seed: int, id_col: str = "doc_id") -> Column:
 
 def random_keep(df: DataFrame, rate: float | None, seed: int = 42) -> DataFrame:
     """Decisions: the least hashed ids, whatever the order of rows."""
-    scored = df.select("doc_id", sha_rank(seed).alias("h"))
-    k = keep_count(scored.count(), rate)
-    best = scored.orderBy("h").limit(k).select(F.col("doc_id").alias("__id"))
-    keep = F.col("__id").isNotNull()
-    return scored.join(best, F.col("doc_id") == F.col("__id"), "left").select("doc_id", keep.alias("keep"), F.when(keep, 1.0).otherwise(0.0).alias("score"), F.when(keep, "random_selected").otherwise("random_rejected").alias("reason"))
+    scored = saved(df.select("doc_id", sha_rank(seed).alias("h")), "hashed")
+    keep = ranking.within(scored, keep_count(scored.count(), rate), [("h", False)])
+    return scored.select("doc_id", keep.alias("keep"), F.when(keep, 1.0).otherwise(0.0).alias("score"), F.when(keep, "random_selected").otherwise("random_rejected").alias("reason"))
 
 
 def running(df: DataFrame, value: str, *order: Column) -> DataFrame:
@@ -78,29 +75,58 @@ def prefix_budget(df: DataFrame, tokens: str, budget: int, order: str = "doc_id"
     return rows.where(keep | (F.col(order) == F.lit(stop["first"]))).drop("total") if stop["first"] is not None else rows.drop("total")
 
 
-def first_fit(df: DataFrame, tokens: str, budget: int, *order: str) -> DataFrame:
+def first_fit(df: DataFrame, tokens: str, budget: int, *order: str, parts: int | None = None) -> DataFrame:
     """The ids that a walk in the order takes, skipping each row that would go over the budget.
 
-    The walk is sequential by nature, but only rows that may still fit matter: the driver's part is one task over
-    (place, id, tokens), streamed in batches and ended once no row can fit.
+    Rows are sorted by ranges, and of each range the driver gets the sum and least of each size class (powers of two). A
+    range whose rows of classes that may fit add up to no more than what is left is taken with them, one in which none
+    fits is skipped: neither is read again. Only a range that straddles what is left is walked row by row, in one task that
+    reads nothing else. That needs rows that nearly fill what is left, so few ranges are.
     """
-    least = df.agg(F.min(tokens)).head()[0]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = budget
+    rows = df.select("doc_id", F.col(tokens).cast("long").alias("n"), *[F.col(c) for c in order if c not in ("doc_id", "n")]).where(F.col("n") <= budget)
+    if parts:
+        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    else:
+        rows = rows.orderBy(*order)
+    size = F.when(F.col("n") <= 0, 0).otherwise(F.floor(F.log2(F.col("n").cast("double"))) + 1).cast("int")
+    rows = saved(rows.withColumns({"__part": F.spark_partition_id(), "__class": size}), "ranges", "__part")
+    sums: dict[int, list[tuple[int, int, int]]] = {}
+    for r in rows.groupBy("__part", "__class").agg(F.min("n").alias("least"), F.sum("n").alias("sum")).collect():
+        sums.setdefault(r["__part"], []).append((r["__class"], r["least"], r["sum"]))
+    left, whole, walked = budget, [], []
+    for part in sorted(sums):
+        fit = [x for x in sums[part] if x[1] <= left]
+        if not fit:
+            continue
+        total = sum(max(0, x[2]) for x in fit)
+        if total <= left:
+            # each of them fits at its turn; rows of other classes are larger than what is left
+            whole.append((part, max(x[0] for x in fit)))
+            left -= sum(x[2] for x in fit)
+            continue
+        found = saved(rows.where(F.col("__part") == part).repartition(1).sortWithinPartitions(*order).select("doc_id", "n").mapInPandas(_walk(left), f"doc_id {dict(df.dtypes)['doc_id']}, n long"), "walked")
+        left -= found.agg(F.sum("n")).head()[0] or 0
+        walked.append(found.select("doc_id"))
+    taken = df.sparkSession.createDataFrame(whole, "__taken int, __most int")
+    out = rows.join(F.broadcast(taken), F.col("__part") == F.col("__taken")).where("__class <= __most").select("doc_id")
+    for found in walked:
+        out = out.unionByName(found)
+    return out
+
+
+def _walk(left: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = left
         for b in batches:
             n = b["n"].to_numpy()
             take = np.zeros(len(n), dtype=bool)
-            if left >= (least or 0):
-                for k in np.flatnonzero(n <= left):
-                    if n[k] <= left:
-                        left -= int(n[k])
-                        take[k] = True
-            yield b.loc[take, ["doc_id"]]
+            for k in np.flatnonzero(n <= room):
+                if n[k] <= room:
+                    room -= int(n[k])
+                    take[k] = True
+            yield b[take]
 
-    rows = df.select("doc_id", F.col(tokens).cast("long").alias("n"), *[F.col(c) for c in order if c not in ("doc_id", "n")])
-    ordered = rows.where(F.col("n") <= budget).orderBy(*order).select("doc_id", "n").coalesce(1)
-    return ordered.mapInPandas(walk, f"doc_id {dict(df.dtypes)['doc_id']}")
+    return run
 
 
 def token_target_split(df: DataFrame, tokens: str, targets: dict[str, int], order: str = "doc_id") -> DataFrame:
@@ -265,7 +291,8 @@ def soft_sample(scored: DataFrame, k: int, temperature: float = 0.2, seed: int =
     The draw is by Gumbel's trick: the greatest of log weight plus noise hashed from the id, so a top-k is all it takes.
     """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
-    return scored.select("doc_id", ((F.col("score") - 1) / max(temperature, 1e-6) - F.log(-F.log(u))).alias("g")).orderBy(F.desc("g"), "doc_id").limit(k).select("doc_id")
+    drawn = saved(scored.select("doc_id", ((F.col("score") - 1) / max(temperature, 1e-6) - F.log(-F.log(u))).alias("g")), "drawn")
+    return ranking.first_rows(drawn, k, [("g", True), ("doc_id", False)]).select("doc_id").distinct()
 
 
 def length_quota(scored: DataFrame, bin_col: str, k: int) -> DataFrame:
@@ -284,63 +311,72 @@ def length_quota(scored: DataFrame, bin_col: str, k: int) -> DataFrame:
         taken += min(quota, r["c"])
     if not quotas:
         return scored.withColumn("keep", F.lit(False))
-    parts = None
-    for name, quota in quotas:
-        best = scored.where(F.col(bin_col).eqNullSafe(name)).orderBy(F.desc("score"), "doc_id").limit(quota).select("doc_id", "score")
-        parts = best if parts is None else parts.unionByName(best)
-    chosen = saved(parts, "quota")
-    have = chosen.count()
+    # one sort by (bin, score): a row's place in its bin is its rank less the rows of the bins before
+    ranked = global_rank(scored.select("doc_id", "score", bin_col), F.asc_nulls_first(bin_col), F.desc("score"), F.col("doc_id"))
+    sizes, before = {r[bin_col]: r["c"] for r in first}, 0
+    room = F.lit(0)
+    for name, quota in sorted(quotas, key=lambda q: (q[0] is not None, q[0])):
+        room = F.when(F.col(bin_col).eqNullSafe(name), before + min(quota, sizes[name])).otherwise(room)
+        before += sizes[name]
+    ranked = saved(ranked.withColumn("chosen", F.col("rank") <= room), "quota")
+    have, best = ranked.where("chosen").count(), [("score", True), ("doc_id", False)]
     if have < k:
-        more = scored.join(chosen.select("doc_id"), "doc_id", "left_anti").orderBy(F.desc("score"), "doc_id").limit(k - have).select("doc_id", "score")
-        chosen = chosen.unionByName(more)
+        rest = ranked.where("NOT chosen")
+        chosen = F.col("chosen") | ranking.within(rest, k - have, best)
     elif have > k:
-        chosen = chosen.orderBy(F.desc("score"), "doc_id").limit(k)
-    return scored.join(chosen.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id")
+        chosen = F.col("chosen") & ranking.within(ranked.where("chosen"), k, best)
+    else:
+        chosen = F.col("chosen")
+    ids = ranked.where(chosen).select(F.col("doc_id").alias("__id")).distinct()
+    return scored.join(ids, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id")
 
 
 def weak_rebalance(scored: DataFrame, bin_col: str, k: int, fraction: float = 0.45) -> DataFrame:
     """scored (doc_id, score, bin, keep) with keep changed: a bin with less than its floor gets its best rows instead of
     the lowest chosen ones. The floor is fraction of the bin's share of k.
 
-    Bins are worked off in the order of their first rows. What is evicted are the lowest scores over all bins, so only
-    as many rows as are added come to the driver.
+    Bins are worked off in the order of their first rows. Each row of a bin that comes in, the best ones first, sends the
+    lowest of all rows that are in at that time out, once k are in. Within a bin the rows that come in fall and those that
+    go rise, so there is one place where they cross: up to it the t-th to come sends the t-th lowest out, from there on
+    each sends out the one that came in before it. The place is found by a join of both on their ranks. Of equal scores
+    those go first that were in before, by id, then what came in last. Ids must be unique.
     """
     n = scored.count()
     bins = scored.groupBy(bin_col).agg(F.count("*").alias("c"), F.count_if("keep").alias("have"), F.min("doc_id").alias("first")).orderBy("first").collect()
-    added: list[tuple] = []
-    lowest = None
+    kept, inside = sum(r["have"] for r in bins), None
+    low = [F.col("score"), F.col("doc_id")]
     for r in bins:
-        floor = math.floor(r["c"] * k / max(1, n) * fraction)
-        if floor > r["have"]:
-            rows = scored.where(F.col(bin_col).eqNullSafe(r[bin_col]) & ~F.col("keep")).orderBy(F.desc("score"), "doc_id").limit(floor - r["have"]).select("doc_id", "score").collect()
-            added.append((r[bin_col], rows))
-    if not added:
+        more = math.floor(r["c"] * k / max(1, n) * fraction) - r["have"]
+        if more <= 0:
+            continue
+        if inside is None:
+            inside = saved(scored.where("keep").select("doc_id", "score"), "kept")
+        rows = scored.where(F.col(bin_col).eqNullSafe(r[bin_col])).join(inside, "doc_id", "left_anti").select("doc_id", "score")
+        come = global_rank(ranking.first_rows(saved(rows, "bin"), more, [("score", True), ("doc_id", False)]), F.desc("score"), F.col("doc_id"))
+        come = saved(come.where(F.col("rank") <= more), "come")
+        free = max(0, min(more, k - kept))  # those that come before k are in send nothing out
+        lowest = ranking.first_rows(inside, more, [("score", False), ("doc_id", False)])
+        if free:  # and are in the pool at once
+            lowest = ranking.first_rows(saved(lowest.unionByName(come.where(F.col("rank") <= free).select("doc_id", "score")), "pool"), more, [("score", False), ("doc_id", False)])
+        go = global_rank(lowest, *low).select(F.col("doc_id").alias("o"), F.col("score").alias("os"), (F.col("rank") - 1 + free).alias("t"))
+        # t rows have gone when the t-th after the free ones has come: is it lower than the next to go?
+        both = come.join(go, F.col("rank") == F.col("t"))
+        cross = both.where((F.col("rank") > free) & (F.col("score") < F.col("os"))).agg(F.min("rank")).head()[0] or more
+        gone = go.where(F.col("t") < cross).select(F.col("o").alias("doc_id"))
+        stay = come.where((F.col("rank") < cross) | (F.col("rank") == more)).select("doc_id", "score")
+        inside = saved(inside.unionByName(stay).join(gone, "doc_id", "left_anti"), "kept")
+        kept = min(k, kept + more) if kept < k else kept
+    if inside is None:
         return scored
-    total = sum(len(rows) for _, rows in added)
-    lowest = [(r["score"], r["doc_id"]) for r in scored.where("keep").orderBy("score", "doc_id").limit(total).collect()]
-    kept_count = scored.where("keep").count()
-    out: set = set()
-    new: list[tuple] = []
-    for _, rows in added:
-        for r in rows:
-            if kept_count >= k:
-                pool = sorted(lowest + new)
-                score, key = pool[0]
-                out.add(key)
-                (lowest if (score, key) in lowest else new).remove((score, key))
-                kept_count -= 1
-            new.append((r["score"], r["doc_id"]))
-            kept_count += 1
-    into = {key for _, key in new}
-    change = scored.sparkSession.createDataFrame([(key, True) for key in into] + [(key, False) for key in out - into], f"__id {dict(scored.dtypes)['doc_id']}, __keep boolean")
-    return scored.join(F.broadcast(change), F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.coalesce("__keep", "keep")).drop("__id", "__keep")
+    ids = inside.select(F.col("doc_id").alias("__id")).distinct()
+    return scored.drop("keep").join(ids, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id")
 
 
 def select_v3(scored: DataFrame, rate: float = 0.85, bin_col: str = "length_bin", top_fraction: float = 0.72, temperature: float = 0.2, seed: int = 0, rebalance: bool = True) -> DataFrame:
     """scored with keep: the best by score, the rest of the quota drawn softly, then the weak rebalance by length."""
     k = keep_count(scored.count(), rate)
     top = max(1, min(k, round(k * top_fraction)))
-    best = saved(scored.orderBy(F.desc("score"), "doc_id").limit(top).select("doc_id"), "best")
+    best = saved(ranking.first_rows(scored, top, [("score", True), ("doc_id", False)]).select("doc_id"), "best")
     soft = soft_sample(scored.join(best, "doc_id", "left_anti"), k - top, temperature, seed)
     chosen = best.unionByName(soft).select(F.col("doc_id").alias("__id"))
     out = saved(scored.join(chosen, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id"), "v3")
@@ -434,9 +470,8 @@ def local_top_fraction(scored: DataFrame, rate: float, ties: str = "first") -> D
     if ties not in ("first", "largest"):
         raise ValueError("ties are kept by the first or the largest id")
     k = max(1, int(scored.count() * rate))
-    order = F.col("doc_id") if ties == "first" else F.desc("doc_id")
-    best = scored.select("doc_id", "score").orderBy(F.desc("score"), order).limit(k).select(F.col("doc_id").alias("__id"))
-    return scored.join(best, F.col("doc_id") == F.col("__id"), "left").withColumn("keep", F.col("__id").isNotNull()).drop("__id")
+    scored = saved(scored, "scored")
+    return scored.withColumn("keep", ranking.within(scored, k, [("score", True), ("doc_id", ties == "largest")]))
 
 
 def random_matched(df: DataFrame, tokens: str, target: int, seed: int = 42, match: str = "token_budget", documents: int | None = None) -> DataFrame:
@@ -448,7 +483,8 @@ def random_matched(df: DataFrame, tokens: str, target: int, seed: int = 42, matc
     if match == "token_budget":
         chosen = first_fit(rows, "n", target, "h")
     elif match == "document_count":
-        chosen = rows.orderBy("h").limit(documents or 0).select("doc_id")
+        rows = saved(rows, "hashed")
+        chosen = ranking.first_rows(rows, documents or 0, [("h", False)]).select("doc_id").distinct()
     else:
         raise ValueError(f"unknown match mode: {match}")
     keep = F.col("__id").isNotNull()

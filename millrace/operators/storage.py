@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def saved(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write df and read it back: cuts the lineage, and outlives lost executors."""
+def saved(df: DataFrame, kind: str = "table", by: str | None = None) -> DataFrame:
+    """Write df and read it back: cuts the lineage, and outlives lost executors. With by, in a folder for each value."""
     path = f"{shared_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas
 from ..functions import textexpr as X
-from . import scoring, select
+from . import ranking, scoring, select
 from .storage import saved
 
 PARTS = ("utility", "risk", "diversity", "shift", "cost")
@@ -65,15 +65,16 @@ def scores(df: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     return p.withColumn("urd_score", F.expr(formulas.spark(formulas.URD_FIXED))).select("doc_id", "source", "n_words", *_SCORE.values(), "urd_score")
 
 
-def _decisions(rows: DataFrame, rate: float | None, mode: str, order: list, budget: int | None, max_risk: float) -> DataFrame:
+def _decisions(rows: DataFrame, rate: float | None, mode: str, order: ranking.Order, budget: int | None, max_risk: float) -> DataFrame:
     k = select.keep_count(rows.count(), rate)
-    allowed = rows.where(F.col("risk_score") <= max_risk)
+    allowed = rows.where(F.col("risk_score") <= max_risk).withColumn("id_text", F.col("doc_id").cast("string"))
     if budget is None:
-        chosen = allowed.orderBy(*order).limit(k).select("doc_id")
+        chosen = ranking.first_rows(allowed, k, order)
     else:
-        ranked = select.global_rank(allowed, *order)
-        chosen = select.first_fit(ranked, "n_words", budget, "rank").join(ranked, "doc_id").orderBy("rank").limit(k).select("doc_id")
-    chosen = chosen.select(F.col("doc_id").alias("__id"))
+        ranked = saved(select.global_rank(allowed, *ranking.sort_columns(order)), "ranked")
+        taken = saved(select.first_fit(ranked, "n_words", budget, "rank").join(ranked.select("doc_id", "rank"), "doc_id"), "taken")
+        chosen = ranking.first_rows(taken, k, [("rank", False)])
+    chosen = chosen.select(F.col("doc_id").alias("__id")).distinct()
     keep = F.col("__id").isNotNull()
     return rows.join(chosen, F.col("doc_id") == F.col("__id"), "left").select(
         "doc_id", keep.alias("keep"), F.col("urd_score").alias("score"), F.when(keep, f"urd_{mode}_selected").otherwise(f"urd_{mode}_rejected_by_rank_risk_or_budget").alias("reason")
@@ -82,11 +83,11 @@ def _decisions(rows: DataFrame, rate: float | None, mode: str, order: list, budg
 
 def select_fixed(df: DataFrame, rate: float | None = None, budget: int | None = None, max_risk: float = 1.0, disabled: tuple[str, ...] = ()) -> DataFrame:
     """Decisions by the weighted score, of equal ones the least id as a string, within rate, risk and token budget."""
-    return _decisions(saved(scores(df, disabled), "urd"), rate, "fixed_weight", [F.desc("urd_score"), F.col("doc_id").cast("string")], budget, max_risk)
+    return _decisions(saved(scores(df, disabled), "urd"), rate, "fixed_weight", [("urd_score", True), ("id_text", False)], budget, max_risk)
 
 
 def select_pareto(df: DataFrame, rate: float | None = None, budget: int | None = None, max_risk: float = 1.0) -> DataFrame:
     """Decisions by Pareto layer, then by the weighted score. Scores count to 9 places, so that no order of a sum decides."""
     rows = saved(scores(df).withColumns({c: F.round(c, 9) for c in (*_SCORE.values(), "urd_score")}), "urd")
     ranks = select.pareto_layers(rows, ["utility_score", "diversity_score"], ["risk_score", "shift_penalty", "cost_score"])
-    return _decisions(saved(rows.join(ranks, "doc_id"), "urd"), rate, "pareto", [F.col("pareto_rank"), F.desc("urd_score"), F.col("doc_id").cast("string")], budget, max_risk)
+    return _decisions(saved(rows.join(ranks, "doc_id"), "urd"), rate, "pareto", [("pareto_rank", False), ("urd_score", True), ("id_text", False)], budget, max_risk)
