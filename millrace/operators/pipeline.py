@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
@@ -65,12 +65,26 @@ EXTRA = {
 }
 
 
-def noise(df: DataFrame, families: set[str] | None = None) -> DataFrame:
+def noise_counts(df: DataFrame, families: set[str] | None = None, intensity: float = 1.0) -> DataFrame:
+    """(family, n): how often noise() puts each family in, of those that are on and come at least once."""
+    if intensity <= 0:
+        return df.limit(0).select(F.lit("").alias("family"), F.lit(0).cast("long").alias("n"))
+    i = F.col("doc_id")
+    hits = {name: i % every == rest for name, (every, rest, _, _) in NOISE.items()} | {name: i % every == 0 for name, (every, *_) in EXTRA.items()}
+    hits |= {"ocr_corruption": i % 9 == 0, "exact_duplicates": i % 5 == 0, "near_duplicates": i % 8 == 0}
+    each = [F.struct(F.lit(name).alias("family"), F.count_if(hit).alias("n")) for name, hit in hits.items() if families is None or name in families]
+    if not each:
+        return noise_counts(df, intensity=0)
+    return df.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*").where("n > 0")
+
+
+def noise(df: DataFrame, families: set[str] | None = None, intensity: float = 1.0) -> DataFrame:
     """(doc_id, kind, text): documents with controlled noise by their id, and the rows that it adds.
 
-    families chooses among NOISE, EXTRA, "ocr_corruption", "exact_duplicates" and "near_duplicates"; none is all.
-    Rows are in no order: shuffle by a hash where one is needed.
+    families chooses among NOISE, EXTRA, "ocr_corruption", "exact_duplicates" and "near_duplicates"; none is all. Without
+    intensity there is no noise. Rows are in no order: shuffle by a hash where one is needed.
     """
+    families = families if intensity > 0 else set()
     on = lambda name: families is None or name in families
     i = F.col("doc_id")
     base = df.select("doc_id", X.text().alias("text"))
@@ -227,12 +241,45 @@ def order_report(df: DataFrame, names: tuple[str, ...] = tuple(ORDERS), threshol
     return rows.withColumns({"steps": steps[F.col("pipeline_order")], "retention": F.col("documents") / max(1, df.count())})
 
 
-def sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.55, 0.58, 0.65, 0.7, 0.75, 0.8)) -> DataFrame:
-    """(threshold, kept, tokens, mean_score) in one pass over the scores."""
-    s = scoring.hdqs(df).select("score", "n_tok")
-    each = s.select("score", "n_tok", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
-    hit = F.col("score") >= F.col("threshold")
-    return each.groupBy("threshold").agg(F.count_if(hit).alias("kept"), F.coalesce(F.sum(F.when(hit, F.col("n_tok"))), F.lit(0)).alias("tokens"), F.coalesce(F.avg(F.when(hit, F.col("score"))), F.lit(0.0)).alias("mean_score"))
+# fixed values: what the first score is cut by
+THRESHOLDS, RATIOS = (0.74, 0.76, 0.78, 0.80, 0.82, 0.84, 0.86), (0.25, 0.50, 0.75)
+#: Weights that differ from the score's own in each named set, and what a hit of personal data costs.
+WEIGHT_SETS = {
+    "balanced_default": {},
+    "privacy_heavy": {"pii_density_penalty": 2.0, "url_html_noise_penalty": 1.4},
+    "anti_repetition_heavy": {"repetition_penalty": 2.0, "ngram_repetition_penalty": 1.6},
+    "diversity_heavy": {"lexical_diversity": 1.8, "token_entropy": 1.4},
+}
+HIT_COST = 0.02
+
+
+def sweep(df: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, ratios: tuple[float, ...] = RATIOS, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(weights, kind, cut, documents, characters, mean_score, pii_hits, objective, best) of every cut by the first score.
+
+    A cut is a least score (kind threshold) or a share of the documents (kind ratio, of equal scores the least ids). The
+    objective is mean score times share kept, less a price for hits of personal data; best is the threshold with the
+    greatest, the first of equals. weights: sets of weights that replace some of the score's own; all of WEIGHT_SETS by default.
+    """
+    sets = WEIGHT_SETS if weights is None else weights
+    if unknown := {k for w in sets.values() for k in w} - set(formulas.WEIGHTS["hdqs"]):
+        raise ValueError(f"unknown weights: {sorted(unknown)}")
+    s = scoring.hdqs(df)
+    named = {n: F.round(F.expr(formulas.spark(formulas.weighted(formulas.WEIGHTS["hdqs"] | w, "h_"))), 9) for n, w in sets.items()}
+    rows = s.select("doc_id", F.col("n_len").cast("long").alias("n"), (F.col("q_email") + F.col("q_phone") + F.col("q_id")).alias("hits"), *[c.alias(f"s{k}") for k, c in enumerate(named.values())])
+    rows = select.saved(rows, "sweep")
+    count, sums = rows.count(), lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast("long")
+    cuts, figures = [], []
+    for k, name in enumerate(sets):
+        score = F.col(f"s{k}")
+        for kind, at, hit in [("threshold", t, score >= t) for t in thresholds] + [("ratio", r, ranking.within(rows, select.keep_count(count, r) if count else 0, [(f"s{k}", True), ("doc_id", False)])) for r in ratios]:
+            cuts.append((name, kind, at))
+            figures.append(F.struct(F.count_if(hit).alias("documents"), sums(hit, F.col("n")).alias("characters"), F.coalesce(F.avg(F.when(hit, score)), F.lit(0.0)).alias("mean_score"), sums(hit, F.col("hits")).alias("pii_hits")))
+    tags = [F.struct(F.lit(n).alias("weights"), F.lit(kind).alias("kind"), F.lit(at).alias("cut"), f.alias("f")) for (n, kind, at), f in zip(cuts, figures)]
+    out = rows.agg(F.array(*tags).alias("x")).select(F.explode("x").alias("x")).select("x.weights", "x.kind", "x.cut", "x.f.*")
+    objective = F.col("mean_score") * F.col("documents") / F.lit(max(1, count)) - HIT_COST * F.col("pii_hits")
+    out = out.withColumn("objective", F.round(objective, 9))
+    first = F.row_number().over(Window.partitionBy("weights", "kind").orderBy(F.desc("objective"), "cut"))  # a few rows each
+    return out.withColumn("best", (F.col("kind") == "threshold") & (first == 1))
 
 
 # fixed values: the baselines by name, and what they rank by
@@ -287,18 +334,38 @@ def equal_budget(df: DataFrame, variant: str, gap: int = 2) -> DataFrame:
     return rows.select(variant, "doc_id", F.greatest(F.lit(0), F.least("n", F.lit(budget) - (F.col("start") - F.col("__begin")))).cast("long").alias("take"))
 
 
+def canary_values(df: DataFrame) -> DataFrame:
+    """(value) of all canaries that noise() puts into documents: three in every seventh."""
+    every, rest, _, _ = NOISE["pii_canaries"]
+    i = F.col("doc_id")
+    forms = [F.format_string("editor%d@example.org", i), F.format_string("+1 412 555 %04d", i + 1000), F.format_string("ID-13-%04d", i)]
+    return df.where(i % every == rest).select(F.explode(F.array(*forms)).alias("value"))
+
+
 def canaries(raw: DataFrame, processed: DataFrame, values: DataFrame) -> DataFrame:
-    """One row: how many of the canary values (value) are in the raw and the processed texts, and recall and exposure.
+    """One row: how many of the canaries (value) stand in the raw and in the processed texts, and how well they were removed.
 
-    A canary is found by its token between white space, with marks trimmed.
+    A canary is found wherever its characters stand in one text. Each placeholder beyond the canaries removed is a side
+    effect; precision and false positives count those. Repeated values count as often as they come.
     """
-    def found(df: DataFrame) -> DataFrame:
-        tokens = df.select(F.explode(X.words(X.text())).alias("t")).select(F.regexp_replace("t", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "").alias("value")).distinct()
-        return values.join(tokens, "value", "left_semi")
-
-    before, after = found(raw).agg(F.count("*").alias("before")), found(processed).agg(F.count("*").alias("after"))
-    both = values.agg(F.count("*").alias("canaries")).join(before).join(after)  # one row each
-    return both.select("canaries", F.col("before").alias("detected_before"), F.col("after").alias("residual_after"), ((F.col("before") - F.col("after")) / F.greatest(F.lit(1), "before")).alias("recall"), F.log2((F.col("before") + 1) / (F.col("after") + 1)).alias("exposure_bits"))
+    items = select.saved(values.select(F.col("value").alias("text")).withColumn("item_id", F.sha2("text", 256)), "canaries")
+    different = items.dropDuplicates(["item_id"])
+
+    def found(df: DataFrame, name: str) -> DataFrame:
+        hits = dedup.containment(df, different).select("item_id").distinct()
+        return items.join(hits, "item_id", "left_semi").agg(F.count("*").alias(name))
+
+    marks = [F.regexp_count(X.text(), F.lit(mark)) for mark in ("<EMAIL>", "<PHONE>", "<ID>")]
+    placed = processed.agg(F.coalesce(F.sum(sum(marks[1:], marks[0])), F.lit(0)).cast("long").alias("placeholders"))
+    one = items.agg(F.count("*").alias("canaries")).join(found(raw, "detected_before")).join(found(processed, "residual_after")).join(placed)  # a row each
+    one = one.withColumn("removed", F.col("detected_before") - F.col("residual_after")).withColumn("side_effects", F.greatest(F.lit(0), F.col("placeholders") - F.col("removed")))
+    share = lambda a, b: F.col(a) / F.greatest(F.lit(1), b)
+    return one.select(
+        "canaries", "detected_before", "residual_after", "placeholders", "side_effects",
+        share("removed", "detected_before").alias("recall"), share("removed", F.col("removed") + F.col("side_effects")).alias("precision"), share("side_effects", F.col("placeholders")).alias("false_positive_rate"),
+        F.log2((F.col("detected_before") + 1) / (F.col("residual_after") + 1)).alias("exposure_bits"),
+        F.when(F.col("residual_after") == 0, "no_residual_synthetic_canary_values").otherwise("residual_synthetic_canary_values_detected").alias("status"),
+    )
 
 
 def training_blocks(df: DataFrame, context: int = 64, stride: int = 64) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.formulas import duckdb
 from ..operators import analysis, dedup, evaluation, filters, index, ml, pipeline, reports, scoring, select, urd
 from ..operators.storage import shared_dir
 from .oracle import ENTROPY, on_profile
-from .registry import _BIN_SQL, _BINS_SQL, _BUDGET, _CI_SQL, _FOLDED, _HDQS_SCORE, _LOCAL_SQL, _NORM, _PAIRED, _SPLIT_SQL, _TOK, _URD_SQL, _W, _add, _docs, _events, _on_docs, _pairs_sql, _r, _rounded, _split, _table, _words
+from .registry import _BIN_SQL, _BINS_SQL, _BUDGET, _CI_SQL, _FOLDED, _HDQS_SCORE, _LOCAL_SQL, _NORM, _PAIRED, _REDACT_SQL, _SPLIT_SQL, _TOK, _URD_SQL, _W, _add, _docs, _events, _on_docs, _pairs_sql, _r, _rounded, _split, _table, _words
 
 # --- greedy walks
 
@@ -192,6 +192,28 @@ def _noise_sql() -> str:
 
 _add("noise_injection", _on_docs(lambda df: pipeline.noise(df).select("doc_id", "kind", F.sha2("text", 256).alias("text_sha256"))), _noise_sql())
 
+_add("noise_counts", _on_docs(lambda df: pipeline.noise_counts(df)), "SELECT * FROM (SELECT f AS family, (SELECT count(*) FROM documents WHERE doc_id % e = r) AS n FROM (VALUES ('html_boilerplate', 3, 0), ('url_spam', 4, 0), ('pii_canaries', 7, 0), ('ocr_corruption', 9, 0), ('mojibake', 10, 0), ('repeated_ngrams', 11, 0), ('mixed_language', 13, 0), ('excessive_symbols', 6, 0), ('navigation_bars', 4, 1), ('footer_copyright', 5, 2), ('seo_keyword_stuffing', 6, 2), ('ad_blocks', 7, 3), ('cookie_banners', 8, 3), ('malformed_html', 9, 4), ('boilerplate_templates', 10, 4), ('multilingual_fragments', 11, 5), ('encoding_artifacts', 12, 5), ('exact_duplicates', 5, 0), ('near_duplicates', 8, 0), ('low_information_templates', 8, 0), ('generated_repetition', 12, 0), ('low_information_pages', 14, 0), ('repeated_template_pages', 15, 0)) t(f, e, r)) WHERE n > 0")
+
+
+def _canaries(df):
+    raw = pipeline.noise(df).where("kind = 'document'").select("doc_id", "text")
+    done = raw.select("doc_id", pipeline.redact(X.text()).alias("text"))
+    return _rounded(pipeline.canaries(raw, done, pipeline.canary_values(df)), "recall", "precision", "false_positive_rate", "exposure_bits")
+
+
+_add(
+    "canary_redaction",
+    _on_docs(_canaries),
+    _noise_sql().rsplit(" SELECT i AS doc_id", 1)[0]
+    + f""", raw AS (SELECT text FROM b{_noise_sql().count(" AS (SELECT i, ")}), done AS (SELECT {_REDACT_SQL} AS text FROM raw),
+v AS (SELECT unnest(['editor' || doc_id || '@example.org', '+1 412 555 ' || printf('%04d', doc_id + 1000), 'ID-13-' || printf('%04d', doc_id)]) AS value FROM documents WHERE doc_id % 7 = 0),
+c AS (SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM raw WHERE contains(text, value))) AS b, count(*) FILTER (EXISTS (SELECT 1 FROM done WHERE contains(text, value))) AS a FROM v),
+m AS (SELECT sum((length(text) - length(replace(replace(replace(text, '<EMAIL>', '123456'), '<PHONE>', '123456'), '<ID>', '123'))))::BIGINT AS k FROM done),
+x AS (SELECT *, b - a AS removed, greatest(0, k - (b - a)) AS side FROM c, m)
+SELECT n AS canaries, b AS detected_before, a AS residual_after, k AS placeholders, side AS side_effects, round(removed / greatest(1, b), 6) AS recall, round(removed / greatest(1, removed + side), 6) AS precision,
+  round(side / greatest(1, k), 6) AS false_positive_rate, round(log2((b + 1) / (a + 1)), 6) AS exposure_bits, CASE WHEN a = 0 THEN 'no_residual_synthetic_canary_values' ELSE 'residual_synthetic_canary_values_detected' END AS status FROM x""",
+)
+
 # --- splits and the kept index
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -418,7 +420,30 @@ _add("bootstrap_ci", lambda spark, d: _rounded(analysis.bootstrap_mean(_events(s
 
 # --- pipelines
 
-_add("hdqs_sweep", _on_docs(lambda df: _rounded(pipeline.sweep(df), "mean_score")), on_profile(f"SELECT t AS threshold, count(*) FILTER (s >= t) AS kept, coalesce(sum(n_tok) FILTER (s >= t), 0)::BIGINT AS tokens, round(coalesce(avg(s) FILTER (s >= t), 0), 6) AS mean_score FROM (SELECT {_HDQS_SCORE} AS s, n_tok FROM q) CROSS JOIN (SELECT unnest([0.5, 0.55, 0.58, 0.65, 0.7, 0.75, 0.8]::DOUBLE[]) AS t) GROUP BY t", ENTROPY))
+def _sweep_sql() -> str:
+    """Every set of weights, cut by threshold and by share: the lists are written out here, apart from the code's."""
+    own = "1.0 * h_lexical_diversity + 1.0 * h_char_entropy + 0.8 * h_token_entropy + 1.3 * h_repetition_penalty + 1.0 * h_ngram_repetition_penalty + 1.2 * h_pii_density_penalty + 1.0 * h_url_html_noise_penalty + 1.0 * h_non_linguistic_symbol_penalty + 0.8 * h_length_prior + 0.7 * h_language_consistency"
+    sets = {
+        "balanced_default": (own, 9.8),
+        "privacy_heavy": (own.replace("1.2 * h_pii", "2.0 * h_pii").replace("1.0 * h_url", "1.4 * h_url"), 11.0),
+        "anti_repetition_heavy": (own.replace("1.3 * h_rep", "2.0 * h_rep").replace("1.0 * h_ngram", "1.6 * h_ngram"), 11.1),
+        "diversity_heavy": (own.replace("1.0 * h_lex", "1.8 * h_lex").replace("0.8 * h_tok", "1.4 * h_tok"), 11.2),
+    }
+    typed = lambda sums: re.sub(r"([0-9.]+) \*", r"\1::DOUBLE *", sums)
+    scores = ", ".join(f"{{weights: '{name}', s: round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({typed(sums)}) / {total}::DOUBLE)), 9)}}" for name, (sums, total) in sets.items())
+    return on_profile(
+        f"""SELECT weights, kind, cut, documents, characters, round(mean_score, 6) AS mean_score, pii_hits, round(objective, 6) AS objective, kind = 'threshold' AND row_number() OVER (PARTITION BY weights, kind ORDER BY objective DESC, cut) = 1 AS best FROM (
+  SELECT *, round(mean_score * documents / (SELECT count(*) FROM q) - 0.02 * pii_hits, 9) AS objective FROM (
+    SELECT weights, kind, cut, count(*) FILTER (hit) AS documents, coalesce(sum(n) FILTER (hit), 0)::BIGINT AS characters, coalesce(avg(s) FILTER (hit), 0) AS mean_score, coalesce(sum(hits) FILTER (hit), 0)::BIGINT AS pii_hits FROM (
+      SELECT *, CASE WHEN kind = 'threshold' THEN s >= cut ELSE r <= ceil((SELECT count(*) FROM q) * cut) END AS hit FROM (
+        SELECT weights, s, n, hits, row_number() OVER (PARTITION BY weights ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, n_len AS n, q_email + q_phone + q_id AS hits, unnest([{scores}], recursive := true) FROM q)
+      ) CROSS JOIN (SELECT 'threshold' AS kind, unnest([0.74, 0.76, 0.78, 0.80, 0.82, 0.84, 0.86]::DOUBLE[]) AS cut UNION ALL SELECT 'ratio', unnest([0.25, 0.50, 0.75]::DOUBLE[])))
+    GROUP BY ALL))""",
+        ENTROPY,
+    )
+
+
+_add("hdqs_sweep", _on_docs(lambda df: _rounded(pipeline.sweep(df), "mean_score", "objective")), _sweep_sql())
 _add("ablation_variants", _on_docs(lambda df: _rounded(pipeline.compared(pipeline.variants(df)), "mean_hdqs")))
 _add("pipeline_orders", _on_docs(lambda df: _rounded(pipeline.order_report(df), "mean_hdqs", "retention")))
 _add(

@@ -88,6 +88,29 @@ def test_noise_and_canaries(spark):
     raw = noisy.where("kind = 'document'")
     row = pipeline.canaries(raw, raw.withColumn("text", pipeline.redact(F.col("text"))), values).first()
     assert row["detected_before"] == 2 and row["residual_after"] == 0 and row["recall"] == 1.0
+    assert pipeline.noise(df, intensity=0).count() == 30 and pipeline.noise_counts(df, intensity=0).count() == 0
+    counts = {r["family"]: r["n"] for r in pipeline.noise_counts(df).collect()}
+    assert counts["html_boilerplate"] == 10 and counts["pii_canaries"] == 5 and counts["near_duplicates"] == noisy.where("kind = 'near_duplicates'").count()
+
+
+def test_canaries_are_found_wherever_they_stand(spark):
+    """By hand: of four values three are there; one is left; four placeholders, two of them for no canary."""
+    raw = spark.createDataFrame([(1, "mail a@b.org, (+1 412 555 1000)xID-13-0007x other@c.org other@d.org"), (2, None)], "doc_id long, text string")
+    done = spark.createDataFrame([(1, "mail <EMAIL>, (<PHONE>)xID-13-0007x <EMAIL> <EMAIL>")], "doc_id long, text string")
+    values = spark.createDataFrame([("a@b.org",), ("+1 412 555 1000",), ("ID-13-0007",), ("not there",)], "value string")
+    row = pipeline.canaries(raw, done, values).first()
+    assert [row[c] for c in ("canaries", "detected_before", "residual_after", "placeholders", "side_effects")] == [4, 3, 1, 4, 2]
+    assert (row["recall"], row["precision"], row["false_positive_rate"], row["exposure_bits"]) == (2 / 3, 0.5, 0.5, 1.0) and row["status"].startswith("residual")
+
+
+def test_sweep(spark):
+    df = spark.createDataFrame([(k, " ".join(f"word{j * (k + 1) % (k + 2)}" for j in range(20)) + (" a@b.org" if k % 4 == 0 else "")) for k in range(12)], "doc_id long, text string")
+    rows = pipeline.sweep(df).collect()
+    assert len(rows) == 4 * (7 + 3) and {r["cut"] for r in rows if r["kind"] == "threshold"} == {0.74, 0.76, 0.78, 0.80, 0.82, 0.84, 0.86}
+    assert {r["cut"]: r["documents"] for r in rows if r["kind"] == "ratio"} == {0.25: 3, 0.5: 6, 0.75: 9}
+    best = [r for r in rows if r["best"]]
+    assert len(best) == 4 and all(b["objective"] == max(r["objective"] for r in rows if r["weights"] == b["weights"] and r["kind"] == "threshold") for b in best)
+    assert pipeline.sweep(df.limit(0)).count() == 40
 
 
 def test_bpe(spark):
