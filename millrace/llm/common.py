@@ -88,6 +88,14 @@ def shown_id(column: Column) -> Column:
     return F.when(column != NO_ID, column)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A beginning that no column of df has, whatever their case: for columns that are added for a while."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

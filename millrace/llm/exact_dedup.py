@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, saved
+from .common import lower_ascii, own_prefix, saved
 
 BLOCK = 2048
 NO_ID = -(2**63)
@@ -104,17 +104,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """df without the rows that exact_dedup drops, its own columns only; one of repeated rows stays, with its values.
 
-    The join is on (id, text hash), which an id names uniquely here but for repeated rows.
+    The join is on (id, text hash). An id may come with several texts; each is judged on its own. Other columns may have
+    any names.
     """
     docs = identities(df, id_col, text_col, **how)
     docs = saved(docs, "identity")
     groups = saved(docs.groupBy("n", "name").agg(F.max("kid").alias("top")), "groups")
-    stay = docs.join(groups, ["n", "name"]).where("kid = top").select(F.col("kid").alias("__kid"), F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    own = own_prefix(df)
+    kid, row, copies, n = (own + c for c in ("kid", "row", "copies", "n"))
+    stay = docs.join(groups, ["n", "name"]).where("kid = top").select(F.col("kid").alias(kid), F.col("row").alias(row), F.col("copies").alias(copies))
     normalise = how.get("normalise", lower_ascii)
-    keyed = df.withColumns({"__kid": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__row": F.xxhash64(normalise(F.coalesce(F.col(text_col), F.lit(""))))})
-    found = keyed.join(stay, ["__kid", "__row"])
-    once = found.where("__copies > 1").withColumn("__n", F.row_number().over(Window.partitionBy("__kid", "__row").orderBy(text_col))).where("__n = 1").drop("__n")
-    return found.where("__copies = 1").unionByName(once).select(*df.columns)
+    keyed = df.withColumns({kid: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), row: F.xxhash64(normalise(F.coalesce(F.col(text_col), F.lit(""))))})
+    found = keyed.join(stay, [kid, row])
+    once = found.where(F.col(copies) > 1).withColumn(n, F.row_number().over(Window.partitionBy(kid, row).orderBy(text_col))).where(F.col(n) == 1).drop(n)
+    return found.where(F.col(copies) == 1).unionByName(once).select(*df.columns)
 
 
 def query(spark, sf_dir):

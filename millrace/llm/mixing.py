@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import own_prefix, saved
 
 SEED = "mix-1"
 #: Of the default targets: shares are raised to this power, then normalised.
@@ -83,17 +83,18 @@ def rates(df: DataFrame, source_col: str = "source", text_col: str = "text", tar
     return out.withColumn("counts", F.when(F.col("rate") > TERMS / 4, poisson_window(F.col("rate"))).otherwise(low)).select("source", "chars", "rate", "counts.first", "counts.cdf")
 
 
-def _replicated(df: DataFrame, id_col: str, source_col: str, text_col: str, targets: dict[str, float] | None, total: float, seed: str, most: float | None) -> DataFrame:
-    """df with __copies, __copy and __key, a row for each copy."""
-    per = rates(df, source_col, text_col, targets, total, most).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf"))
+def _replicated(df: DataFrame, id_col: str, source_col: str, text_col: str, targets: dict[str, float] | None, total: float, seed: str, most: float | None) -> tuple[DataFrame, str]:
+    """df with copies, copy and key, a row for each copy; these names have the prefix that comes with it."""
+    own = own_prefix(df)
+    per = rates(df, source_col, text_col, targets, total, most)
     # written: Spark then knows how small it is, and where it isn't can split a large source's rows in the join
-    per = saved(per, "rates")
-    u = uniform(seed, F.col(id_col))
-    counted = df.join(per, F.col(source_col).eqNullSafe(F.col("__source")), "left").withColumn("__u", u)
-    counted = counted.withColumn("__copies", F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-    each = counted.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-    key = F.substring(F.sha2(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy")), 256), 1, 16)
-    return each.select(*df.columns, "__copies", "__copy", key.alias("__key"))
+    per = saved(per.select(*[F.col(c).alias(own + c) for c in ("source", "rate", "first", "cdf")]), "rates")
+    c = {name: F.col(own + name) for name in ("source", "first", "u", "copies", "copy")}
+    counted = df.join(per, F.col(source_col).eqNullSafe(c["source"]), "left").withColumn(own + "u", uniform(seed, F.col(id_col)))
+    counted = counted.withColumn(own + "copies", c["first"] + F.size(F.filter(own + "cdf", lambda x: x <= c["u"])))
+    each = counted.where(c["copies"] > 0).withColumn(own + "copy", F.explode(F.sequence(F.lit(0).cast("long"), c["copies"] - 1)))
+    key = F.substring(F.sha2(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), c["copy"]), 256), 1, 16)
+    return each.select(*df.columns, own + "copies", own + "copy", key.alias(own + "key")), own
 
 
 def mix(
@@ -112,9 +113,9 @@ def mix(
     replicated like others; a table without any characters gives no rows. Columns of df with one of the three names give
     way to them; mixed() keeps them.
     """
-    new = {"copies": "__copies", "copy": "__copy", "shuffle_key": "__key"}
-    each = _replicated(df, id_col, source_col, text_col, targets, total, seed, most)
-    each = each.select(*[c for c in df.columns if c.lower() not in new], *[F.col(own).alias(name) for name, own in new.items()])
+    each, own = _replicated(df, id_col, source_col, text_col, targets, total, seed, most)
+    new = {"copies": own + "copies", "copy": own + "copy", "shuffle_key": own + "key"}
+    each = each.select(*[c for c in df.columns if c.lower() not in new], *[F.col(c).alias(name) for name, c in new.items()])
     return each.orderBy("shuffle_key")
 
 
@@ -129,7 +130,8 @@ def mixed(
     most: float | None = None,
 ) -> DataFrame:
     """The rows of mix() with df's own columns and values only, whatever their names."""
-    return _replicated(df, id_col, source_col, text_col, targets, total, seed, most).orderBy("__key").select(*df.columns)
+    each, own = _replicated(df, id_col, source_col, text_col, targets, total, seed, most)
+    return each.orderBy(own + "key").select(*df.columns)
 
 
 def query(spark, sf_dir):

@@ -37,8 +37,8 @@ LEAST = 12
 #: A document is kept if it is good with at least this probability.
 KEEP = 0.5
 
-#: Tokens whose features a task remembers.
-CACHE = 1_000_000
+#: Tokens whose features a task remembers: some 20 MB.
+CACHE = 1 << 17
 
 _MARKS = frozenset("#$%&*+=<>@^_|~\\/!")
 _WORD = re.compile(r"[^\W_]+")

@@ -16,18 +16,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, shown_id, whole_id
+from .common import own_prefix, saved, scratch, shown_id, whole_id
 
 WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints in a block that is sent to a task, at most, and in a tile that is compared at once.
-BLOCK = 16_384
+#: Fingerprints in a block that is sent to a task, at most, and in a tile that is compared at once. A block is sent once for
+#: each other block that it is compared with: bytes grow with the square of the fingerprints only beyond 16 blocks, and then
+#: by 1 / BLOCK; two blocks are some 17 thousand million pairs, 20 to 40 seconds.
+BLOCK = 131_072
 TILE = 512
 #: Numbers of a fingerprint that are compared of all pairs; those after them only of pairs that these don't rule out.
 LEAD = 2
-#: Pairs of fingerprints that a task compares, on average.
-TASK = 200_000_000
 #: Links that a task takes in to contract them.
 PART = 1_000_000
 
@@ -173,13 +173,14 @@ def links(x: np.ndarray, y: np.ndarray | None, radius: int, tile: int = TILE) ->
 def _blocks(distinct: DataFrame, n: int, block: int) -> DataFrame:
     """(block, keys, fps, lo, hi): the fingerprints in order of the counts of their first halves, in blocks."""
     names = [c for c in distinct.columns if c != "key"]
+    first = names[0] if names else "key"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        got = [(b["key"].to_numpy(), np.stack([b[c].to_numpy() for c in names], axis=1)) for b in batches]
+        got = [(b["key"].to_numpy(), np.stack([b[c].to_numpy() for c in names or ["key"]], axis=1)) for b in batches]
         keys = np.concatenate([np.zeros(0, dtype=np.int64), *[k for k, _ in got]])
-        fps = np.concatenate([np.zeros((0, len(names)), dtype=np.int64), *[f for _, f in got]]).view(np.uint64)
+        fps = np.concatenate([np.zeros((0, max(1, len(names))), dtype=np.int64), *[f for _, f in got]]).view(np.uint64)
         counts = _halves(fps)
         order = np.lexsort((keys, counts[:, 1], counts[:, 0]))
         keys, fps, counts = keys[order], fps[order], counts[order]
@@ -187,41 +188,40 @@ def _blocks(distinct: DataFrame, n: int, block: int) -> DataFrame:
         rows = []
         for k in range(0, len(fps), block):
             c = counts[k : k + block]
-            rows.append((part * 2**20 + k // block, keys[k : k + block].tobytes(), fps[k : k + block].tobytes(), c.min(axis=0).tolist(), c.max(axis=0).tolist()))
+            rows.append((part * 2**20 + k // block, keys[k : k + block].tobytes(), fps[k : k + block].tobytes() if names else b"", c.min(axis=0).tolist(), c.max(axis=0).tolist()))
         yield pd.DataFrame(rows, columns=["block", "keys", "fps", "lo", "hi"])
 
-    top, low = F.bit_count(F.shiftrightunsigned(names[0], 32)), F.bit_count(F.col(names[0]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    top, low = F.bit_count(F.shiftrightunsigned(first, 32)), F.bit_count(F.col(first).bitwiseAND(F.lit(0xFFFFFFFF)))
     return distinct.repartitionByRange(max(1, -(-n // block)), top, low, "key").mapInPandas(run, "block long, keys binary, fps binary, lo array<int>, hi array<int>")
 
 
 def forest(distinct: DataFrame, radius: int = RADIUS, first: int | None = None, block: int = BLOCK) -> DataFrame:
     """(u, v): a forest for each pair of blocks, u and v keys of linked fingerprints.
 
-    distinct: (key, one column or more of 64-bit numbers, the fingerprint), a row for each key. first: bits that the first
+    distinct: (key, one column or more of 64-bit numbers, the fingerprint; none if the key is it), a row for each key. first: bits that the first
     LEAD numbers of a link differ in at most; the radius where they are all there is.
     """
     first = radius if first is None else first
-    words = len(distinct.columns) - 1
+    words = max(1, len(distinct.columns) - 1)
     n = distinct.count()
     # more blocks than tasks can run at once, so that a small table isn't compared by one of them
     blocks = saved(_blocks(distinct, n, max(1024, min(block, n // 16))), "blocks")
-    boxes = blocks.select("block", "lo", "hi", (F.octet_length("keys") / 8).cast("long").alias("size"))
-    other = boxes.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("size").alias("size2"))
+    boxes = blocks.select("block", "lo", "hi")
+    other = boxes.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     # blocks meet by the counts of their first halves, those of one widened by the radius
     reach = boxes.withColumn("cell", F.explode(F.expr(f"sequence(lo[0] - {first}, hi[0] + {first})")))
     cells = other.withColumn("cell", F.explode(F.expr("sequence(lo2[0], hi2[0])")))
     gap = F.expr("greatest(0, lo[0] - hi2[0], lo2[0] - hi[0]) + greatest(0, lo[1] - hi2[1], lo2[1] - hi[1])")
-    pairs = reach.join(cells, "cell").where((F.col("other") >= F.col("block")) & (gap <= first)).select("block", "other", (F.col("size") * F.col("size2")).alias("work"))
+    pairs = reach.join(cells, "cell").where((F.col("other") >= F.col("block")) & (gap <= first)).select("block", "other")
     pairs = saved(pairs.distinct(), "pairs")
     sent = pairs.join(blocks.select("block", "keys", "fps"), "block").join(blocks.select(F.col("block").alias("other"), F.col("keys").alias("keys2"), F.col("fps").alias("fps2")), "other")
-    work = pairs.agg(F.sum("work")).head()[0] or 0
-    sent = sent.select("block", "other", "keys", "keys2", "fps", "fps2").repartition(min(100_000, work // TASK + 1), "block", "other")
+    sent = sent.select("block", "other", "keys", "keys2", "fps", "fps2").repartition(min(100_000, 2 * pairs.count() + 1), "block", "other")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = lambda fps: np.frombuffer(fps, dtype=np.uint64).reshape(-1, words)
         for b in batches:
             for p, q, k, k2, x, y in zip(b["block"], b["other"], b["keys"], b["keys2"], b["fps"], b["fps2"]):
-                child, root = linked(rows(x), None if p == q else rows(y), radius, first)
+                child, root = linked(rows(x or k), None if p == q else rows(y or k2), radius, first)
                 keys = np.frombuffer(k if p == q else k + k2, dtype=np.int64)
                 yield pd.DataFrame({"u": keys[child], "v": keys[root]})
 
@@ -290,7 +290,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     docs = saved(fingerprints(df, id_col, text_col, words), "simhash")
     with scratch(df.sparkSession) as keep:
         distinct = saved(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-        roots = components(forest(distinct.select(F.col("fp").alias("key"), "fp"), radius))
+        roots = components(forest(distinct.select(F.col("fp").alias("key")), radius))
         named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
         groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
         by_fp = keep(named.join(groups, "root").select("fp", "component_id"), "components")
@@ -299,7 +299,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 #: For dropping near copies: words in a shingle, the least Jaccard similarity of a link's shingle sets, numbers of 64 bits in
 #: a fingerprint; documents of a component that are verified against each other at once; texts that are hashed at once.
-COPY_WORDS, SIMILARITY, NUMBERS, CHUNK, TEXTS = 5, 0.8, 4, 256, 256
+COPY_WORDS, SIMILARITY, NUMBERS, CHUNK, TEXTS = 5, 0.8, 4, 256, 64
 
 
 def radii(similarity: float, numbers: int = NUMBERS) -> tuple[int, int]:
@@ -338,16 +338,16 @@ def sketch(sets: list[np.ndarray], numbers: int = NUMBERS) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, words: int = COPY_WORDS, numbers: int = NUMBERS) -> DataFrame:
-    """(id, f0, f1, ...): the SimHash of a text's different shingles, of so many numbers. rows: (id, text), without nulls."""
+    """(id, row, f0, f1, ...): the SimHash of a text's different shingles, of so many numbers. rows: (id, row, text), without nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), TEXTS):
                 part = b.iloc[k : k + TEXTS]
                 found = sketch([shingle_set(t, words) for t in part["text"]], numbers).view(np.int64)
-                yield pd.DataFrame({"id": part["id"].to_numpy()} | {f"f{j}": found[:, j] for j in range(numbers)})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "row": part["row"].to_numpy()} | {f"f{j}": found[:, j] for j in range(numbers)})
 
-    return rows.mapInPandas(run, "id long, " + ", ".join(f"f{j} long" for j in range(numbers)))
+    return rows.mapInPandas(run, "id long, row long, " + ", ".join(f"f{j} long" for j in range(numbers)))
 
 
 def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -384,7 +384,9 @@ def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radius:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of every document that is linked to others, written: root is the least id of its group. A null text is empty.
+    """(id, row, root, stays) of every document that is linked to others, written: root is the least id of its group, and
+    stays tells the document that stands for the group. A null text is empty. A document is an id with a text, whose hash is
+    row: an id may come with several texts, the one with the least hash being first; repeated rows are one document.
 
     A link is a pair whose sets of shingles have at least the similarity. Candidates are components by fingerprints of the
     different shingles, wide enough that hardly a link is past the radius and hardly an unrelated pair within it (radii()
@@ -398,18 +400,20 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def _near_groups(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
     radius, first = radii(similarity)
-    docs = saved(sketches(rows, words), "simhash")
-    numbers = [c for c in docs.columns if c != "id"]
-    # a row for each fingerprint; its least id stands for it
-    distinct = saved(docs.groupBy(*numbers).agg(F.min("id").alias("key")).select("key", *numbers), "distinct")
+    # documents by number, in the order of id and row: a number is what the graph is made of
+    docs = sketches(rows, words).dropDuplicates(["id", "row"]).orderBy("id", "row").withColumn("doc", F.monotonically_increasing_id())
+    docs = saved(docs, "simhash")
+    numbers = [c for c in docs.columns if c not in ("id", "row", "doc")]
+    # a row for each fingerprint; its least document stands for it
+    distinct = saved(docs.groupBy(*numbers).agg(F.min("doc").alias("key")).select("key", *numbers), "distinct")
     roots = saved(components(forest(distinct, radius, first)), "roots")
     parts = distinct.join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("part"), *numbers)
-    # an id has one text here but for repeated rows, which are linked to each other anyway
-    placed = saved(docs.join(parts, numbers).select("id", *numbers, "part").dropDuplicates(["id"]), "placed")
+    placed = saved(docs.join(parts, numbers).select("doc", "id", "row", "part"), "placed")
     sizes = placed.groupBy("part").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    candidates = saved(placed.join(saved(sizes, "sizes"), "part").select("id", "part", "chunks"), "candidates")
+    candidates = saved(placed.join(saved(sizes, "sizes"), "part").select("doc", "id", "row", "part", "chunks"), "candidates")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -418,26 +422,32 @@ def _near_groups(df: DataFrame, id_col: str, text_col: str, words: int, similari
                 found = [shingle_set(t, words) for t in part.pop("text")]
                 yield part.assign(fps=[f.tobytes() for f in sketch(found)], shingles=[x.tobytes() for x in found])
 
-    sets = candidates.join(rows, "id").dropDuplicates(["id"]).mapInPandas(shingled, "id long, part long, chunks int, fps binary, shingles binary")
-    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("part", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "id", "fps", "shingles")
+    texts = candidates.join(rows, ["id", "row"]).dropDuplicates(["id", "row"]).select("doc", "part", "chunks", "text")
+    sets = texts.mapInPandas(shingled, "doc long, part long, chunks int, fps binary, shingles binary")
+    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("part", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "doc", "fps", "shingles")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id").reset_index(drop=True)
+        group = group.sort_values("doc").reset_index(drop=True)
         left = (group["chunk"] == group["p"]).to_numpy()
         fps = np.stack([np.frombuffer(x, dtype=np.uint64) for x in group["fps"]])
         links_ = verified(fps, [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]], left, radius, similarity)
-        ids = group["id"].to_numpy()
+        ids = group["doc"].to_numpy()
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links_], columns=["u", "v"]).astype("int64")
 
-    return components(dealt.groupBy("part", "p", "q").applyInPandas(verify, "u long, v long")).select(F.col("node").alias("id"), "root")
+    found = components(dealt.groupBy("part", "p", "q").applyInPandas(verify, "u long, v long"))
+    found = saved(candidates.join(found, F.col("doc") == F.col("node")).select("doc", "id", "row", F.col("root").alias("first")), "linked")
+    roots = found.where("doc = first").select("first", F.col("id").alias("root"))
+    return found.join(roots, "first").select("id", "row", "root", (F.col("doc") == F.col("first")).alias("stays"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df without the documents that a group's least id stands for. Rows with a null id all stay; repeated rows too,
-    unless their group has a lesser id."""
-    drop = near_groups(df, id_col, text_col, **how).where("id <> root").select(F.col("id").alias("__drop"))
-    return df.join(drop, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+    """df without the documents that another one of their group stands for, that of the least id (of equal ids, of the
+    least text hash). Rows with a null id all stay; repeated rows do so together. Other columns may have any names."""
+    own = own_prefix(df)
+    drop = near_groups(df, id_col, text_col, **how).where("NOT stays").select(F.col("id").alias(own + "id"), F.col("row").alias(own + "row"))
+    same = (F.col(id_col).cast("long") == F.col(own + "id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(own + "row"))
+    return df.join(drop, same, "left_anti")
 
 
 def query(spark, sf_dir):

@@ -333,6 +333,31 @@ def test_keep_one(spark, docs, empty):
     assert kept.where("doc_id is null").count() == sum(i is None for i, _ in ROWS)
 
 
+def test_repeated_ids_are_judged_by_text(spark):
+    """The same rows stay whatever the partitioning; an unlike text of a repeated id is never lost."""
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join(rng.choice([f"w{k}" for k in range(900)], 120)) for _ in range(3))
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, c), (3, c), (None, a), (4, None), (5, ""), (4, c)]
+    want = {3: [(None, a), (0, a), (1, b), (3, c), (3, c), (4, None)]}
+    for parts in (1, 2, 3, 5, 8):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, F.rand(parts))
+        got = sorted(map(tuple, simhash.keep_one(df).collect()), key=repr)
+        assert got == sorted(want[3], key=repr)
+
+
+@pytest.mark.parametrize("names", [("__kid", "__row", "__copies", "__n", "__id", "__drop"), ("__Copies", "__copy", "__u", "__key", "__rate", "__source"), ("___first", "__cdf", "__", "doc", "part", "chunk")])
+def test_columns_of_any_name_keep_their_values(spark, names):
+    rows = [(1, "some text here", "s"), (2, "some text here", "s"), (2, "some text here", "s"), (3, "Some other text", "t"), (None, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = plain.withColumns({n: F.concat_ws("/", F.lit(n), F.coalesce("text", F.lit("-"))) for n in names})
+    for op in (exact_dedup.keep_first, simhash.keep_one, mixing.mixed):
+        got = op(df)
+        assert got.columns == df.columns
+        kept = got.collect()
+        assert sorted(map(repr, (tuple(r)[:3] for r in kept))) == sorted(map(repr, map(tuple, op(plain).collect())))
+        assert all(r[n] == f"{n}/{r['text'] if r['text'] is not None else '-'}" for r in kept for n in names)
+
+
 def test_near_groups_is_exact(spark):
     """Pairs of a similarity of just 0.8, and repeated lines, whatever the distance of their fingerprints."""
     rng = np.random.default_rng(5)
