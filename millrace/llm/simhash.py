@@ -28,6 +28,8 @@ BLOCK = 131_072
 TILE = 512
 #: Numbers of a fingerprint that are compared of all pairs; those after them only of pairs that these don't rule out.
 LEAD = 2
+#: Pairs of fingerprints that a task compares at least, on average.
+TASK = 200_000_000
 #: Links that a task takes in to contract them.
 PART = 1_000_000
 
@@ -206,16 +208,17 @@ def forest(distinct: DataFrame, radius: int = RADIUS, first: int | None = None,
     n = distinct.count()
     # more blocks than tasks can run at once, so that a small table isn't compared by one of them
     blocks = saved(_blocks(distinct, n, max(1024, min(block, n // 16))), "blocks")
-    boxes = blocks.select("block", "lo", "hi")
-    other = boxes.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    boxes = blocks.select("block", "lo", "hi", (F.octet_length("keys") / 8).cast("long").alias("size"))
+    other = boxes.select(F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("size").alias("size2"))
     # blocks meet by the counts of their first halves, those of one widened by the radius
     reach = boxes.withColumn("cell", F.explode(F.expr(f"sequence(lo[0] - {first}, hi[0] + {first})")))
     cells = other.withColumn("cell", F.explode(F.expr("sequence(lo2[0], hi2[0])")))
     gap = F.expr("greatest(0, lo[0] - hi2[0], lo2[0] - hi[0]) + greatest(0, lo[1] - hi2[1], lo2[1] - hi[1])")
-    pairs = reach.join(cells, "cell").where((F.col("other") >= F.col("block")) & (gap <= first)).select("block", "other")
+    pairs = reach.join(cells, "cell").where((F.col("other") >= F.col("block")) & (gap <= first)).select("block", "other", (F.col("size") * F.col("size2")).alias("work"))
     pairs = saved(pairs.distinct(), "pairs")
     sent = pairs.join(blocks.select("block", "keys", "fps"), "block").join(blocks.select(F.col("block").alias("other"), F.col("keys").alias("keys2"), F.col("fps").alias("fps2")), "other")
-    sent = sent.select("block", "other", "keys", "keys2", "fps", "fps2").repartition(min(100_000, 2 * pairs.count() + 1), "block", "other")
+    met, work = pairs.agg(F.count("*"), F.coalesce(F.sum("work"), F.lit(0))).head()
+    sent = sent.select("block", "other", "keys", "keys2", "fps", "fps2").repartition(max(1, min(100_000, met, work // TASK + 1)), "block", "other")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = lambda fps: np.frombuffer(fps, dtype=np.uint64).reshape(-1, words)
