@@ -185,10 +185,13 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", bin
         return a, b, [(n / a + m / b + n * m / a / b)] * (a * b)
 
     plan = Plan(spark, keys, work, cut, bins)
-    hot, salt = F.col("hot").isNotNull(), (F.rand(13) * 2**30).cast("int")
+    hot = F.col("hot").isNotNull()
     parts = []
     for k, x in enumerate(rows):
-        found = x.where("key IS NOT NULL").join(plan.hot_table, F.col("key") == F.col("hot"), "left").withColumn("salt", salt)
+        found = x.where("key IS NOT NULL").join(plan.hot_table, F.col("key") == F.col("hot"), "left")
+        # blocks of a hot key are drawn, as its rows may all be equal; and written, so that a task that runs again draws none anew
+        drawn = saved(found.where(hot).withColumn("salt", (F.rand(13) * 2**30).cast("int")), "salted")
+        found = drawn.unionByName(found.where(~hot).withColumn("salt", F.lit(0)))
         mine, others = (F.col("a"), F.col("b")) if k == 0 else (F.col("b"), F.col("a"))
         block, each = F.pmod("salt", mine), F.sequence(F.lit(0), F.when(F.col("met"), others - 1).otherwise(0))
         grid = F.transform(each, lambda j: F.col("first") + (block * F.col("b") + j if k == 0 else j * F.col("b") + block))  # noqa: B023

@@ -36,9 +36,11 @@ from .common import saved, shown_id, whole_id
 #: Share of a host's pages, and pages at least, that have a template's tokens.
 SHARE = 0.8
 LEAST = 5
-#: Share of a host's own text that the core has; of text in links that makes a slot furniture; of the core's text that a slot
-#: at page level needs to be content.
-CORE, LINKED, HEAVY = 0.6, 0.5, 0.25
+#: Share of a host's own text that the core has; of text in links that makes a slot furniture; of the core's share of text
+#: that no other page of any host has, below which a slot at page level is.
+CORE, LINKED, SINGLE = 0.6, 0.5, 0.5
+#: Characters a page has in a slot at page level, on average, below which it is a label ("Written by ...") and no sentence.
+LABEL = 20
 #: Open elements, and steps of a path, that are told apart; deeper ones count as their parents.
 DEEP, STEPS = 256, 40
 
@@ -51,6 +53,8 @@ BLOCK = frozenset(
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3".split())
+#: What an article's text stands in, without an element of its own around it.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Elements that come in numbers, so that their places among each other say nothing.
 SERIAL = frozenset("p li tr td th dt dd hr".split())
 #: Elements whose classes and ids often name the page.
@@ -300,11 +304,19 @@ def key_of(block: Block) -> str:
     return block.key[: len(block.key) - len(block.text)] + xxhash.xxh64_hexdigest(block.key.encode("utf-8", "surrogatepass"))
 
 
+def marks(host: str, text: str) -> tuple[int, int]:
+    """Hashes, not 0, of a text alone, and of its first three words on its host."""
+    import xxhash
+
+    one = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 or 1
+    return one(text), one("\n".join([host or "", *text.split(" ", 3)[:3]]))
+
+
 def extract(page: str, template: Template = Template(), known: dict | None = None) -> str:
     """The main text of a page, given its host's template: all that is neither furniture nor template."""
     blocks = [b for b in parse(page, template, known)[0] if not b.furniture]
     if template.texts:
-        own = [key_of(b) not in template.texts for b in blocks]
+        own = _flowing(blocks, [key_of(b) not in template.texts for b in blocks], template)
         place = next((p for p in ("article", "main") if any(b.place == p for b in blocks)), None)
         inside = [b.place == place for b in blocks]
         if not any(x and y for x, y in zip(own, inside)):
@@ -315,6 +327,28 @@ def extract(page: str, template: Template = Template(), known: dict | None = Non
     return "\n".join(b.text for b in blocks)
 
 
+def _flowing(blocks: list[Block], own: list[bool], template: Template) -> list[bool]:
+    """own, with the repeated paragraphs and headings that are part of the core's flow.
+
+    Those stand in the core itself, between blocks of the page's own in it, and either have no class or share it with one of
+    these. What a host repeats in an element that holds nothing else, or around the article, is furniture.
+    """
+    core = max(template.core, key=lambda p: p.count("/"), default=None)
+    if core is None or all(own):
+        return own
+    paths = [b.key[: len(b.key) - len(b.text) - 1] for b in blocks]
+    mine = [k for k, (p, o) in enumerate(zip(paths, own)) if o and (p == core or _within(p, core))]
+    if not mine:
+        return own
+    shared = {paths[k] for k in mine}
+
+    def flows(k: int) -> bool:
+        around, _, leaf = paths[k].rpartition("/")
+        return mine[0] < k < mine[-1] and around == core and leaf.split("~")[0].split(".")[0] in FLOW and ("." not in leaf or paths[k] in shared)
+
+    return [o or flows(k) for k, o in enumerate(own)]
+
+
 def _within(path: str, around: str) -> bool:
     return path.startswith(around) and path[len(around) : len(around) + 1] in ("/", "#")
 
@@ -322,8 +356,12 @@ def _within(path: str, around: str) -> bool:
 def judged(tokens: pd.DataFrame) -> Template:
     """The template of a host from the tokens of its valid classes: (token, pages, n, chars, linked, hinted), sums of pages.
 
-    n: how often; hinted: of these, where names say furniture.
+    n: how often; hinted: of these, where names say furniture. Tokens that begin with # are paths, with the characters of
+    texts right in them that several pages have.
     """
+    repeats = tokens["token"].str.startswith("#")
+    again, tokens = tokens[repeats], tokens[~repeats]
+    again = list(zip(again["token"].str[1:], again["chars"]))
     is_text = tokens["token"].str.contains("#", regex=False)
     texts = tokens[is_text]
     once = tokens[~is_text & (tokens["n"] == tokens["pages"])].set_index("token")
@@ -336,6 +374,8 @@ def judged(tokens: pd.DataFrame) -> Template:
         return Template(frozenset(texts["token"]))
     core = max((p for p in own if own[p] >= CORE * most), key=lambda p: (p.count("/"), own[p], p))
     chain = [p for p in own if p == core or _within(core, p)]
+    copied = lambda path: sum(c for p, c in again if p == path or _within(p, path)) / max(1, once.at[path, "chars"])
+    usual = copied(core)
     furniture = []
     for path, e in once.iterrows():
         beside = path != core and path not in chain and not any(p not in chain and _within(path, p) for p in own)
@@ -346,7 +386,9 @@ def judged(tokens: pd.DataFrame) -> Template:
             furniture.append(path)
         elif name in HEADINGS or _within(path, core):
             continue
-        elif own[path] < HEAVY * own[core] and around.rpartition("/")[2] in ("", "html", "body") or 2 * e["hinted"] >= e["n"]:
+        elif 2 * e["hinted"] >= e["n"]:
+            furniture.append(path)
+        elif around.rpartition("/")[2] in ("", "html", "body") and (e["chars"] < LABEL * e["n"] or 1 - copied(path) < SINGLE * (1 - usual)):
             furniture.append(path)
     return Template(frozenset(texts["token"]), frozenset(furniture), frozenset(chain))
 
@@ -367,23 +409,37 @@ def valid_tokens(pages: DataFrame) -> DataFrame:
                 for x in blocks:
                     s = seen.setdefault(key_of(x), [0, 0, 0, 0])
                     s[0], s[1] = s[0] + 1, s[1] + len(x.text)
-                rows.append((host, "", key, 1, 0, 0, 0))
-                rows += [(host, token, key, *s) for token, s in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "id", "n", "chars", "linked", "hinted"])
+                bodies = {key_of(x): marks(host, x.text) for x in blocks}
+                rows.append((host, "", key, 1, 0, 0, 0, 0, 0))
+                rows += [(host, token, key, *s, *bodies.get(token, (0, 0))) for token, s in seen.items()]
+            yield pd.DataFrame(rows, columns=["host", "token", "id", "n", "chars", "linked", "hinted", "body", "lead"])
 
-    seen = pages.mapInPandas(run, "host string, token string, id long, n long, chars long, linked long, hinted long")
+    seen = pages.mapInPandas(run, "host string, token string, id long, n long, chars long, linked long, hinted long, body long, lead long")
     h = F.xxhash64("id", "n")
-    sums = [F.sum(c).alias(c) for c in ("n", "chars", "linked", "hinted")]
+    sums = [F.sum(c).alias(c) for c in ("n", "chars", "linked", "hinted")] + [F.max(c).alias(c) for c in ("body", "lead")]
     vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), *sums)
-    # written, as it is used twice; rare tokens are most of all and needed by nobody
-    vectors = saved(vectors.where((F.col("pages") >= LEAST) | (F.col("token") == "")), "vectors")
+    vectors = saved(vectors, "vectors")  # written, as it is used four times
     of_host = vectors.where("token = ''").select(F.col("host").alias("of"), F.col("pages").alias("all"))
     often = vectors.where("token <> ''").join(of_host, F.col("host") == F.col("of")).where((F.col("pages") >= LEAST) & (F.col("pages") >= SHARE * F.col("all")))
     cols = ["token", "n", "chars", "linked", "hinted"]
     classes = often.groupBy("host", "pages", "low", "high").agg(
         F.count("*").alias("size"), F.max(~F.col("token").contains("#")).alias("tagged"), F.collect_list(F.struct(*cols)).alias("tokens")
     )  # no more tokens than SHARE allows a page to have
-    return classes.where("size >= 2 and tagged").select("host", "pages", F.explode("tokens").alias("t")).select("host", "pages", "t.*")
+    valid = classes.where("size >= 2 and tagged").select("host", "pages", F.explode("tokens").alias("t")).select("host", "pages", "t.*")
+    return valid.select("host", "token", "pages", "n", "chars", "linked", "hinted").unionByName(_repeats(vectors))
+
+
+def _repeats(vectors: DataFrame) -> DataFrame:
+    """Of each path of a host what stands right in it that isn't a page's own, as tokens that begin with #: texts that several
+    pages have, of this host or others, and texts whose first words LEAST pages of the host have. There are as many as paths."""
+    texts = vectors.where("body <> 0").select("host", F.concat(F.lit("#"), F.substring_index("token", "#", 1)).alias("token"), "pages", "n", "chars", "linked", "hinted", "low", "body", "lead")
+    pages, apart = F.sum("pages"), F.min("low") != F.max("low")  # the same text twice on a page doesn't count
+    bodies = texts.groupBy("body").agg((apart | (F.max("pages") > 1)).alias("more")).where("more").select(F.col("body").alias("b"))
+    leads = texts.groupBy("lead").agg(((pages >= LEAST) & (apart | (F.max("pages") > 1))).alias("more")).where("more").select(F.col("lead").alias("l"))
+    bodies, leads = saved(bodies, "several"), saved(leads, "several")
+    found = texts.join(bodies, F.col("body") == F.col("b"), "left").join(leads, F.col("lead") == F.col("l"), "left").where("b IS NOT NULL OR l IS NOT NULL")
+    cols = [F.sum(c).alias(c) for c in ("n", "chars", "linked", "hinted")]
+    return found.groupBy("host", "token").agg(F.lit(0).cast("long").alias("pages"), *cols).select("host", "token", "pages", "n", "chars", "linked", "hinted")
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each line of each document: id, section (from 0), start and n_chars (code points), n_tokens, n_crossing.
 
     n_crossing: those of its tokens that reach into other sections. A null or empty text has one section without tokens;
-    an empty line within a text has its line break. Repeated rows and null ids give rows like others.
+    an empty line within a text has its line break. Repeated rows and null ids give rows like others; an empty table gives none.
     """
     path = path or default_path()
 

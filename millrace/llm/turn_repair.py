@@ -32,6 +32,8 @@ RETAIN_TRUNCATED, REROLE, DELETE, INSERT = 5, 1, 2, 5
 START, SYSTEM, USER, ASSISTANT = range(4)
 FINE, BLANK, DUPLICATE, TRUNCATED, GONE = range(5)
 NEVER = 1 << 40
+#: Rows that a task hands on at once, about.
+TOGETHER = 4096
 #: What an insert leads to from each state; inserts between a state and a retained role, and after the last.
 INSERTED = (USER, USER, ASSISTANT, USER)
 GAP = tuple(tuple(NEVER if x is None else INSERT * x for x in row) for row in ((None, 0, 0, 1), (None, None, 0, 1), (None, None, 1, 0), (None, None, 0, 1)))
@@ -188,9 +190,9 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[bo
 def _faults(run: pa.RecordBatch) -> np.ndarray:
     """Faults of a conversation's sorted turns: of rows equal to the one before them too."""
     fault = run.column("fault").to_numpy().copy()
-    if run.num_rows > 1:
-        same = np.ones(run.num_rows - 1, dtype=bool)
-        for c in ("turn", "role", "sha"):
+    turn = run.column("turn").to_numpy()
+    if (same := turn[1:] == turn[:-1]).any():
+        for c in ("role", "sha"):
             x = run.column(c)
             same &= pc.equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
         fault[1:][same & ((fault[1:] == FINE) | (fault[1:] == TRUNCATED))] = DUPLICATE
@@ -213,6 +215,21 @@ def _spread(choice: str, there: np.ndarray, n: int) -> list[str]:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Choices of the conversations that lie within this range; the first and the last one may go on in others."""
     place, begun = TaskContext.get().partitionId() << 40, False
+    runs: list[pa.RecordBatch] = []
+    new: list[list] = [[], [], [], []]  # fault, edge, choice, tail of the rows of runs
+
+    def whole() -> pa.RecordBatch:
+        nonlocal place
+        rows = pa.Table.from_batches(runs).combine_chunks()
+        at = np.arange(place, place + rows.num_rows)
+        place += rows.num_rows
+        fault, edge, choice, tail = (pa.array(c, t) for c, t in zip(new, (pa.int32(), pa.bool_(), pa.string(), pa.string())))
+        out = [rows.column(c).combine_chunks() for c in ("conv", "turn", "role", "code")] + [fault, rows.column("text").combine_chunks(), pa.array(at), edge, choice, tail]
+        runs.clear()
+        for c in new:
+            c.clear()
+        return pa.RecordBatch.from_arrays(out, ["conv", "turn", "role", "code", "fault", "text", "place", "edge", "choice", "tail"])
+
     for last, run in _runs(batches, ["conv"]):
         n, fault = run.num_rows, _faults(run)
         edge, begun = last or not begun, True
@@ -222,9 +239,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, faults, there = _lists(run, fault)
             text, _, tail[-1] = choose(codes, faults, to_go(codes, faults, END), START, True)
             choice = _spread(text, there, n)
-        out = [run.column(c) for c in ("conv", "turn", "role", "code")] + [pa.array(fault), run.column("text"), pa.array(np.arange(place, place + n)), pa.array([edge] * n), pa.array(choice, pa.string()), pa.array(tail)]
-        place += n
-        yield pa.RecordBatch.from_arrays(out, ["conv", "turn", "role", "code", "fault", "text", "place", "edge", "choice", "tail"])
+        runs.append(run)
+        for c, x in zip(new, (fault.tolist(), [edge] * n, choice, tail)):
+            c.extend(x)
+        if len(new[0]) >= TOGETHER:
+            yield whole()
+    if runs:
+        yield whole()
 
 
 def _matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,8 @@ def parse_records(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, **how) -> DataFrame:
     """Write the archive of pages to the shared folder, read it back, and describe each record by what was read.
 
-    payload_bytes and payload_digest come from the stored payload, for a revisit from that of its response.
+    payload_bytes and payload_digest come from the stored payload, for a revisit from that of its response. Nulls, ids that
+    come again and empty tables are as in write_archive(): a row for each row of pages, none for none.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

@@ -198,6 +198,35 @@ def test_slots_decide_on_the_given_pages(spark):
     assert alone == 0  # the elements alone don't tell
 
 
+def test_a_standfirst_is_text_however_short(spark):
+    """A page-level element of twelve words beside one of three hundred: nothing but its size speaks against it."""
+    def page(k):
+        lead = " ".join(f"lead{k}w{j}" for j in range(11)) + f" end{k}."
+        body = "".join(f"<p>{' '.join(f'word{k}n{j}m{i}' for i in range(30))}.</p>" for j in range(10))
+        return f'<html><body><div class="x"><a href=/>home {k}</a></div><div class="abstract">{lead}</div><div class="content">{body}</div></body></html>'
+
+    got = {r["page_id"]: r["text"] for r in H.extract_text(spark.createDataFrame(host_rows(300, 10, page), SCHEMA)).collect()}
+    for k in range(10):
+        lines = got[300 + k].split("\n")
+        assert len(lines) == 11 and lines[0].endswith(f"end{k}.") and "home" not in got[300 + k]
+
+
+def test_repeated_text_in_the_flow_of_an_article_is_text(spark):
+    """A heading and a credit that every article has stay; what stands in an element of its own, or around it, goes."""
+    def page(k):
+        first, second = (" ".join(f"word{k}p{j}n{i}" for i in range(40)) for j in range(2))
+        return (
+            "<html><body><div>Read by a million people every single day.</div><div>"
+            f"<h1>Title {k}</h1><p>{first}.</p><h2>Background</h2><p>Reporting by the city desk.</p><div>Share this with all your friends now.</div><p>{second}.</p></div>"
+            "<div>All rights of this text are reserved by us.</div></body></html>"
+        )
+
+    got = {r["page_id"]: r["text"] for r in H.extract_text(spark.createDataFrame(host_rows(400, 8, page), SCHEMA)).collect()}
+    for k in range(8):
+        lines = got[400 + k].split("\n")
+        assert lines[0] == f"Title {k}" and lines[2:4] == ["Background", "Reporting by the city desk."] and len(lines) == 5
+
+
 def test_classes_against_brute_force(spark):
     import random
 
@@ -209,6 +238,17 @@ def test_classes_against_brute_force(spark):
             body = "".join(p.format(rng.randint(0, 3)) for p in parts if rng.random() < 0.9)
             rows.append((f"h{host}", 100 * host + k, f"<html><body>{body}</body></html>"))
     got = {(r["host"], r["token"], r["pages"], r["n"], r["chars"]) for r in H.valid_tokens(spark.createDataFrame(rows, "host string, id long, body string")).collect()}
+    got, again = {r for r in got if r[1][:1] != "#"}, {r for r in got if r[1][:1] == "#"}
+    holders, leads, sizes = {}, {}, Counter()
+    for h, key, body in rows:
+        for b in H.parse(body)[0]:
+            holders.setdefault(b.text, set()).add((h, key))
+            leads.setdefault((h, *b.text.split(" ", 3)[:3]), set()).add(key)
+    for h, key, body in rows:
+        for b in H.parse(body)[0]:
+            if len(holders[b.text]) > 1 or len(leads[h, *b.text.split(" ", 3)[:3]]) >= H.LEAST:
+                sizes[h, "#" + b.key[: len(b.key) - len(b.text) - 1]] += len(b.text)
+    assert {(r[0], r[1], r[4]) for r in again} == {(*k, n) for k, n in sizes.items()}
     want = set()
     for host in {r[0] for r in rows}:
         of_page = {}
