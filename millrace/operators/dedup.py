@@ -28,11 +28,11 @@ def sha1_clusters(df: DataFrame) -> DataFrame:
     return rows.join(first, "h").where("doc_id <> representative").select("representative", F.col("doc_id").alias("member"))
 
 
-def shingles(df: DataFrame, size: int = 3, toks: Column | None = None, whole_short: bool = True) -> DataFrame:
-    """(doc_id, shingles): different hashed shingles of size tokens; a shorter text is one shingle."""
-    rows = df.select("doc_id", (X.tokens(X.text()) if toks is None else toks).alias("t"))
+def shingles(df: DataFrame, size: int = 3, toks: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns to keep, shingles): different hashed shingles of size tokens; a shorter text is one shingle."""
+    rows = df.select("doc_id", *keep, (X.tokens(X.text()) if toks is None else toks).alias("t"))
     grams = F.transform(F.sequence(F.lit(0), F.size("t") - size), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("t", i + k) for k in range(size)])))
-    return rows.select("doc_id", F.when(F.size("t") < size, F.array(F.xxhash64(F.concat_ws(" ", "t")))).otherwise(F.array_distinct(grams)).alias("shingles"))
+    return rows.select("doc_id", *keep, F.when(F.size("t") < size, F.array(F.xxhash64(F.concat_ws(" ", "t")))).otherwise(F.array_distinct(grams)).alias("shingles"))
 
 
 def folded_words() -> Column:
@@ -91,6 +91,11 @@ def jaccard_classes(df: DataFrame, threshold: float = 0.82, size: int = 3) -> tu
     key = [F.xxhash64("shingles").alias("h"), F.size("shingles").alias("k")]  # equal sets meet by hash and size, and are compared
     sets = saved(sh.groupBy(*key, "shingles").agg(F.min("doc_id").alias("lead")), "sets")
     member = sh.select("*", *key).join(sets.select("h", "k", F.col("shingles").alias("same"), "lead"), ["h", "k"]).where("shingles = same").select("doc_id", "lead")
+    return member, similar(sets, threshold)
+
+
+def similar(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of rows (lead, shingles) whose sets reach the Jaccard similarity, exactly."""
     n = sets.select("lead", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
     # prefix filter: two sets of similarity t share one of the rarest n - ceil(t n) + 1 values of each
     df_ = n.groupBy("v").agg(F.count("*").alias("c"))
@@ -101,8 +106,7 @@ def jaccard_classes(df: DataFrame, threshold: float = 0.82, size: int = 3) -> tu
     x, y = sets.select("lead", F.col("shingles").alias("x")), sets.select(F.col("lead").alias("other"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similarity = (common / (F.size("x") + F.size("y") - common)).alias("similarity")
-    close = pairs.join(x, "lead").join(y, "other").select(F.col("lead").alias("a"), F.col("other").alias("b"), similarity).where(F.col("similarity") >= threshold)
-    return member, close
+    return pairs.join(x, "lead").join(y, "other").select(F.col("lead").alias("a"), F.col("other").alias("b"), similarity).where(F.col("similarity") >= threshold)
 
 
 def jaccard_pairs(df: DataFrame, threshold: float = 0.82, size: int = 3) -> DataFrame:
@@ -193,6 +197,22 @@ def id_conflicts(df: DataFrame) -> DataFrame:
     return df.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
 
 
+def split_token_pairs(df: DataFrame, split: str = "split", threshold: float = 0.98, words: int = 40) -> DataFrame:
+    """(a, b, similarity, a_split, b_split): documents of different splits with nearly the same set of words, all such pairs.
+
+    Documents of no more than so many words don't count. Of those with equal sets in a split the least id stands for all.
+    Sets are joined by their rarest words: of 100 words two are enough at 0.98.
+    """
+    rows = df.where(F.size(folded_words()) > words)
+    found = shingles(rows, 1, folded_words(), keep=(split,))
+    leads = found.groupBy(F.array_sort("shingles").alias("shingles"), split).agg(F.min("doc_id").alias("lead"))
+    leads = saved(leads, "leads")
+    named = leads.select(F.col("lead"), F.col(split).alias("s"))
+    pairs = similar(leads.select("lead", "shingles"), threshold)
+    pairs = pairs.join(named.select(F.col("lead").alias("a"), F.col("s").alias("a_split")), "a").join(named.select(F.col("lead").alias("b"), F.col("s").alias("b_split")), "b")
+    return pairs.where(~F.col("a_split").eqNullSafe(F.col("b_split"))).select("a", "b", "similarity", "a_split", "b_split")
+
+
 def split_near_pairs(df: DataFrame, split: str = "split", threshold: float = 0.9) -> DataFrame:
     """(a, b, similarity, a_split, b_split): near-duplicate pairs of different splits, copies by the first of their set in each.
 

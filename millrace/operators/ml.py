@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import saved
+
 
 def _vectors(df: DataFrame, col: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
@@ -54,32 +57,82 @@ def anomaly(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumn("log_density", sum(terms, F.lit(0.0)))
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding", block: int = 1000) -> DataFrame:
+def _tiles(df: DataFrame, id_col: str, col: str, size: int) -> DataFrame:
+    """(tile, ids, vectors): rows of a table in tiles of at most so many, as bytes of longs and doubles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def tile(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal n
+            n += 1
+            return pd.DataFrame({"tile": [part + n], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(rows["v"].to_numpy()).astype(float).tobytes()]})
+
+        for b in batches:
+            held = pd.concat([held, b], ignore_index=True) if len(held) else b
+            while len(held) >= size:
+                yield tile(held[:size])
+                held = held[size:].reset_index(drop=True)
+        if len(held):
+            yield tile(held)
+
+    rows = df.where(F.col(id_col).isNotNull() & F.col(col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"))
+    return saved(rows.mapInPandas(run, "tile long, ids binary, vectors binary"), "tiles")
+
+
+def _closest(k: int):
+    """Running k nearest of each tile of queries, over the tiles that a task has of the table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, q, best_d, best_n = None, None, None, None, None
+
+        def done() -> pd.DataFrame:
+            real = np.isfinite(best_d)
+            return pd.DataFrame({"query": np.repeat(ids, best_d.shape[1])[real.ravel()], "neighbour": best_n[real], "distance": best_d[real]})
+
+        for b in batches:
+            for tile, qi, qv, ni, nv in zip(b["q_tile"], b["q_ids"], b["q_vectors"], b["ids"], b["vectors"]):
+                if tile != now:
+                    if now is not None:
+                        yield done()
+                    now, ids = tile, np.frombuffer(qi, dtype=np.int64)
+                    q = np.frombuffer(qv).reshape(len(ids), -1)
+                    best_d, best_n = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+                other = np.frombuffer(ni, dtype=np.int64)
+                v = np.frombuffer(nv).reshape(len(other), -1)
+                d = np.empty((len(ids), len(other)))
+                for i, x in enumerate(q):  # differences, not products: equal distances must be equal numbers
+                    d[i] = np.sqrt(((x - v) ** 2).sum(axis=1))
+                d[ids[:, None] == other] = np.inf
+                d, n = np.concatenate([best_d, d], axis=1), np.concatenate([best_n, np.broadcast_to(other, d.shape)], axis=1)
+                order = np.lexsort((n, d), axis=1)[:, :k]
+                best_d, best_n = np.take_along_axis(d, order, axis=1), np.take_along_axis(n, order, axis=1)
+        if now is not None:
+            yield done()
+
+    return run
+
+
+#: Vectors of a tile; tiles of queries that a tile of the table is sent to at once.
+TILE, TOGETHER = 1024, 4
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding", tile: int = TILE) -> DataFrame:
     """(query, neighbour, rank, distance): the k nearest rows of df to each query, by Euclidean distance; equal ones by id.
 
-    Queries go in blocks, each broadcast to a pass over df; a task hands on k candidates for each query.
+    Both tables are cut into written tiles; a tile of the table is sent to each group of tiles of queries, and a task keeps
+    the k nearest of a tile of queries while tiles pass by. Nothing goes through the driver, so queries may be as many as
+    rows. A query isn't its own neighbour. Vectors must be of one length; rows with a null id or vector don't count.
     """
-    q = [(r[0], np.array(r[1], dtype=float)) for r in queries.select(id_col, col).collect()]  # the query set is the caller's
-    out = None
-    for at in range(0, len(q), block):
-        ids, m = np.array([x[0] for x in q[at : at + block]]), np.stack([x[1] for x in q[at : at + block]])
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                v = np.stack(b["v"].to_numpy()).astype(float)
-                d = np.sqrt(((m[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)) if len(v) * len(m) * m.shape[1] < 5e7 else np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for x in m])
-                key = b["id"].to_numpy()
-                for i, row in enumerate(d):
-                    row = np.where(key == ids[i], np.inf, row)
-                    best = np.lexsort((key, row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    yield pd.DataFrame({"query": ids[i], "neighbour": key[best], "distance": row[best]})
-
-        near = df.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v")).mapInPandas(run, "query long, neighbour long, distance double")
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        return queries.select(F.col(id_col).alias("query"), F.col(id_col).alias("neighbour"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
-    best = out.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("b"))
+    spark = df.sparkSession
+    q, t = _tiles(queries, id_col, col, tile), _tiles(df, id_col, col, tile)
+    groups, parts = max(1, -(-q.count() // TOGETHER)), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q = q.select(F.pmod(F.xxhash64("tile"), F.lit(groups)).alias("g"), F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    t = t.withColumn("h", F.pmod(F.xxhash64("tile"), F.lit(parts))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = t.join(q, "g").repartition(F.col("q_tile"), F.col("h")).sortWithinPartitions("q_tile", "tile")
+    out = met.select("q_tile", "q_ids", "q_vectors", "ids", "vectors").mapInPandas(_closest(k), "query long, neighbour long, distance double")
+    # at most k rows of each part of the table
+    best = out.groupBy("query").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "neighbour"))), 1, k).alias("b"))
     return best.select("query", F.posexplode("b").alias("p", "x")).select("query", "x.neighbour", (F.col("p") + 1).alias("rank"), "x.distance")
 
 

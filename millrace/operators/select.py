@@ -140,8 +140,8 @@ def token_target_split(df: DataFrame, tokens: str, targets: dict[str, int], orde
     return rows.withColumn("split", split).drop("__before", "total")
 
 
-#: Parts whose fronts one task merges, and layers that a round settles.
-FAN, LAYERS = 16, 16
+#: Parts whose fronts one task merges.
+FAN = 16
 
 
 def _first_layers(df: DataFrame, maximise: list[str], minimise: list[str], most: int) -> DataFrame:
@@ -197,16 +197,100 @@ def layers(v: np.ndarray, most: int | None = None) -> np.ndarray:
     return rank
 
 
-def pareto_layers(df: DataFrame, maximise: list[str], minimise: list[str]) -> DataFrame:
-    """(doc_id, pareto_rank), peeled LAYERS fronts at a time."""
-    rest = saved(df.select("doc_id", *maximise, *minimise), "pareto")
-    out, k = None, 0
-    while not rest.isEmpty():
-        found = saved(_first_layers(rest, maximise, minimise, LAYERS).select("doc_id", (F.col("__layer") + k).alias("pareto_rank")), "front")
-        out = found if out is None else out.unionByName(found)
-        rest = saved(rest.join(found, "doc_id", "left_anti"), "pareto")
-        k += LAYERS
-    return out if out is not None else rest.select("doc_id", F.lit(0).alias("pareto_rank"))
+#: Different rows of objectives that are ranked at once, about; fewer than this many are one task's work.
+BLOCK = 1 << 15
+
+
+def _above(v: np.ndarray, rank: np.ndarray, x: np.ndarray, least: np.ndarray, tile: int = 512) -> np.ndarray:
+    """least, raised to 1 + the highest rank of the rows of v that dominate each row of x.
+
+    Rows of v that are under the least of x in any objective can't dominate one of them. The others are looked through from
+    the highest rank down, and a row of x is done once what is left can't raise it.
+    """
+    use = (v >= x.min(axis=0)).all(axis=1) & (rank + 1 > least.min())
+    v, rank = v[use], rank[use]
+    order = np.argsort(-rank, kind="stable")
+    v, rank, least = v[order], rank[order], least.copy()
+    open_ = np.arange(len(x))
+    for k in range(0, len(v), tile):
+        open_ = open_[least[open_] < rank[k] + 1]
+        if not len(open_):
+            break
+        w, r = v[k : k + tile], rank[k : k + tile]
+        for at in range(0, len(open_), 4096):
+            i = open_[at : at + 4096]
+            some = np.ones((len(i), len(w)), dtype=bool)
+            more = np.zeros_like(some)
+            for c in range(v.shape[1]):
+                some &= w[:, c] >= x[i, c, None]
+                more |= w[:, c] > x[i, c, None]
+            hit = some & more
+            least[i] = np.maximum(least[i], np.where(hit, r + 1, 0).max(axis=1))
+    return least
+
+
+def _ranked(x: np.ndarray, least: np.ndarray, tile: int = 256) -> np.ndarray:
+    """Ranks of rows in an order in which nothing is dominated by what comes later, given what earlier rows make them at least."""
+    rank = least.copy()
+    for k in range(0, len(x), tile):
+        rows = slice(k, k + tile)
+        rank[rows] = _above(x[:k], rank[:k], x[rows], rank[rows]) if k else rank[rows]
+        for i in range(k + 1, min(k + tile, len(x))):
+            w = x[k:i]
+            hit = (w >= x[i]).all(axis=1) & (w > x[i]).any(axis=1)
+            if hit.any():
+                rank[i] = max(rank[i], int(rank[k:i][hit].max()) + 1)
+    return rank
+
+
+def pareto_layers(df: DataFrame, maximise: list[str], minimise: list[str], block: int = BLOCK) -> DataFrame:
+    """(doc_id, pareto_rank): the layer of each row, from 0. A null objective is worse than any value.
+
+    A row's layer is one more than the highest of those that dominate it, and what dominates it has a greater sum of
+    objectives (or an equal one, and a greater first objective that differs). So the different rows are cut into ranges of
+    that order, of about block rows, and settled one range after the other: all ranges before it are compared with a range
+    in parallel, each task by its own rows; one task then settles the range by itself. A range is all that a task or a
+    broadcast holds besides its input. Comparisons grow with the square of the rows, as far as ranks don't rule them out.
+    """
+    spark, names = df.sparkSession, [f"m{k}" for k in range(len(maximise) + len(minimise))]
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) for c in maximise] + [F.coalesce(-F.col(c).cast("double"), F.lit(float("-inf"))) for c in minimise]
+    rows = saved(df.select("doc_id", *[(v + 0.0).alias(n) for v, n in zip(values, names)]), "objectives")
+    different = saved(rows.select(*names).distinct().withColumn("total", sum((F.col(n) for n in names[1:]), F.col(names[0]))), "objectives")
+    parts = max(1, -(-different.count() // block))
+    order = [F.desc(c) for c in ("total", *names)]
+    ranges = saved(different.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranges", "part")
+    fields = ", ".join(f"{n} double" for n in names)
+    done = None
+
+    def raised(now: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            least = np.zeros(len(now), dtype=np.int64)
+            for b in batches:
+                least = _above(b[names].to_numpy(), b["pareto_rank"].to_numpy(), now, least)
+            at = np.flatnonzero(least)
+            yield pd.DataFrame({"at": at, "least": least[at]})
+
+        return run
+
+    def settled(now: np.ndarray, at: np.ndarray, least: np.ndarray):
+        def run(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            start = np.zeros(len(now), dtype=np.int64)
+            start[at] = least
+            yield pd.DataFrame(now, columns=names).assign(pareto_rank=_ranked(now, start).astype(np.int32))
+
+        return run
+
+    for part in range(parts):
+        now = ranges.where(F.col("part") == part).orderBy(*order).select(*names).toPandas().to_numpy()  # about block rows
+        if not len(now):
+            continue
+        raises = done.mapInPandas(raised(now), "at long, least long").groupBy("at").agg(F.max("least").alias("least")).toPandas() if done is not None else pd.DataFrame({"at": [], "least": []})
+        at, least = (raises[c].to_numpy().astype(np.int64) for c in ("at", "least"))
+        found = saved(spark.range(0, 1, 1, 1).mapInPandas(settled(now, at, least), f"{fields}, pareto_rank int"), "front")
+        done = found if done is None else done.unionByName(found)
+    if done is None:
+        return rows.select("doc_id", F.lit(0).alias("pareto_rank"))
+    return rows.join(done, names).select("doc_id", "pareto_rank")
 
 
 def curriculum_interleave(scored: DataFrame) -> DataFrame:

@@ -46,6 +46,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of what stands in a folder; none where there is no such folder."""
+    fs, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def marked(spark: SparkSession, path: str) -> None:
+    """Make an empty file, at once: it is there or it isn't."""
+    fs, at = _at(spark, path)
+    fs.mkdirs(at.getParent())
+    fs.createNewFile(at)
+
+
 def replace(spark: SparkSession, path: str, by: str) -> None:
     """Rename path to by, in place of what stands there."""
     fs, at = _at(spark, path)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +37,47 @@ def novelty(df: DataFrame) -> DataFrame:
     return rows.join(per, "s").select("doc_id", (F.lit(1.0) if n < 2 else 1 - F.col("x") / (n - 1)).alias("novelty"))
 
 
-def scores(df: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, n_words, the five scores, urd_score). Corpus statistics are a few numbers, or joins."""
+#: Permutations of the estimate of novelty.
+PERMUTATIONS = 256
+
+
+def novelty_error(permutations: int = PERMUTATIONS, miss: float = 0.01) -> float:
+    """An error that novelty_estimate() exceeds with at most the probability of miss, for each document (Hoeffding)."""
+    return math.sqrt(math.log(2 / miss) / (2 * permutations))
+
+
+def novelty_estimate(df: DataFrame, permutations: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
+    """(doc_id, novelty): novelty() within novelty_error(), in time and bytes in proportion to the rows.
+
+    Two sets have the same least value under a random permutation with a probability that is their similarity. So how many
+    others have a document's value, counted once for each permutation and value over the whole table, averages to its
+    similarity to all others: no pair is ever made. Values that one document has alone are not sent back.
+    """
+    rng = np.random.default_rng(seed)
+    times, plus = (rng.integers(0, 2**63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for s in b["s"]:
+                h = np.asarray(s, dtype=np.int64).view(np.uint64)
+                out.append(((h[:, None] ^ (h[:, None] >> np.uint64(29))) * times + plus).min(axis=0).view(np.int64) if len(h) else np.full(permutations, -1))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "sig": out})
+
+    sets = df.select("doc_id", F.array_distinct(F.transform(X.tokens(X.text()), lambda t: F.xxhash64(t))).alias("s"))
+    sig = saved(sets.mapInPandas(signed, f"doc_id {dict(df.dtypes)['doc_id']}, sig array<bigint>"), "signatures")
+    n = sig.count()
+    each = sig.select("doc_id", F.posexplode("sig").alias("p", "v"))
+    shared = saved(each.groupBy("p", "v").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    mean = each.join(shared, ["p", "v"]).groupBy("doc_id").agg((F.sum(F.col("c") - 1) / F.lit(float(permutations * max(1, n - 1)))).alias("m"))
+    return sig.select("doc_id").join(mean, "doc_id", "left").select("doc_id", (1 - F.coalesce("m", F.lit(0.0))).alias("novelty"))
+
+
+def scores(df: DataFrame, disabled: tuple[str, ...] = (), permutations: int | None = None) -> DataFrame:
+    """(doc_id, source, n_words, the five scores, urd_score). Corpus statistics are a few numbers, or joins.
+
+    With permutations novelty is estimated by so many, as it must be for more than some 100,000 documents.
+    """
     p = X.with_entropies(X.with_ratios(X.profile(df)))
     p = saved(p.withColumns({"norm": F.sha2(X.normalise(X.text()), 256), "boilerplate_hint": F.when(F.greatest(*[X.fold(X.text()).contains(t) for t in X.BOILERPLATE]), 1.0).otherwise(0.0)}).drop("text"), "profile")
     counts = saved(scoring.token_counts(df), "tokens")
@@ -42,7 +86,7 @@ def scores(df: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     rare = p.select("doc_id", F.explode(F.array_distinct("toks")).alias("token")).join(counts.where("c <= 1"), "token").groupBy("doc_id").agg(F.count("*").alias("n_rare"))
     copies = p.groupBy("norm").agg(F.count("*").alias("n_norm"))
     per_source = p.where("source <> ''").groupBy("source").agg(F.count("*").alias("n_source"))
-    p = p.join(rare, "doc_id", "left").join(copies, "norm").join(per_source, "source", "left").join(novelty(df), "doc_id")
+    p = p.join(rare, "doc_id", "left").join(copies, "norm").join(per_source, "source", "left").join(novelty_estimate(df, permutations) if permutations else novelty(df), "doc_id")
     ln2 = 0.6931471805599453
     p = p.withColumns(
         {

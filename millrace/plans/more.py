@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import counters, formulas
 from ..functions import textexpr as X
 from ..functions.formulas import duckdb
-from ..operators import analysis, dedup, evaluation, filters, index, ml, pipeline, reports, scoring, select, urd
+from ..operators import analysis, dedup, evaluation, filters, index, matrix, ml, pipeline, reports, scoring, select, urd
 from ..operators.storage import shared_dir
 from .oracle import ENTROPY, on_profile
 from .registry import _BIN_SQL, _BINS_SQL, _BUDGET, _CI_SQL, _FOLDED, _HDQS_SCORE, _LOCAL_SQL, _NORM, _PAIRED, _REDACT_SQL, _SPLIT_SQL, _TOK, _URD_SQL, _W, _add, _docs, _events, _on_docs, _pairs_sql, _r, _rounded, _split, _table, _words
@@ -214,6 +214,27 @@ SELECT n AS canaries, b AS detected_before, a AS residual_after, k AS placeholde
   round(side / greatest(1, k), 6) AS false_positive_rate, round(log2((b + 1) / (a + 1)), 6) AS exposure_bits, CASE WHEN a = 0 THEN 'no_residual_synthetic_canary_values' ELSE 'residual_synthetic_canary_values_detected' END AS status FROM x""",
 )
 
+# --- methods over data sets: the languages, one that isn't there, and one that something else stands in for
+
+
+def _matrix(spark, d):
+    df = _docs(spark, d)
+    missing = lambda: spark.read.parquet(f"{d}/no-such-table.parquet")
+    sets = {lang: matrix.Dataset(lambda lang=lang: df.where(F.col("lang") == lang)) for lang in ("de", "en", "es", "fr")}
+    sets |= {"gone": matrix.Dataset(missing), "replaced": matrix.Dataset(missing, lambda: df.where("lang = 'en'")), "remote": matrix.Dataset(missing, lambda: df, optional=True)}
+    methods = {"raw": lambda x: x, "length_filter": lambda x: pipeline.kept(x, filters.length_filter(x, 32, 2048))}
+    return _rounded(matrix.run(spark, sets, methods, "full").drop("note"), "retention")
+
+
+_add(
+    "dataset_matrix",
+    _matrix,
+    f"""WITH k AS (SELECT unnest(['de', 'en', 'es', 'fr', 'replaced']) AS dataset), m AS (SELECT unnest(['raw', 'length_filter']) AS method), d AS (SELECT lang, length(coalesce(text, ''))::BIGINT AS n, {_W} BETWEEN 32 AND 2048 AS fits FROM documents),
+s AS (SELECT dataset, method, count(lang) FILTER (method = 'raw' OR fits) AS documents, coalesce(sum(n) FILTER (method = 'raw' OR fits), 0)::BIGINT AS characters, coalesce(sum(n), 0) AS every FROM k CROSS JOIN m LEFT JOIN d ON lang = CASE dataset WHEN 'replaced' THEN 'en' ELSE dataset END GROUP BY ALL)
+SELECT dataset, 'ok' AS status, dataset = 'replaced' AS used_fallback, method, documents, characters, round(characters / greatest(1, every), 6) AS retention FROM s
+UNION ALL SELECT 'gone', 'error', false, NULL, NULL, NULL, NULL UNION ALL SELECT 'remote', 'fallback_recorded', true, NULL, NULL, NULL, NULL""",
+)
+
 # --- splits and the kept index
 
 
@@ -229,6 +250,15 @@ def _indexed(spark, d):
 from .registry import _SQL as _ORACLES  # noqa: E402
 
 _add("minhash_index_clusters", _indexed, _ORACLES["dup_components"])
+_add(
+    "split_token_pairs",
+    _on_docs(lambda df: _rounded(dedup.split_token_pairs(df.withColumn("split", _split())), "similarity")),
+    f"""WITH t AS (SELECT doc_id, {_FOLDED} AS w, {_SPLIT_SQL} AS split FROM documents), d AS (SELECT doc_id, split, list_sort(list_distinct(w)) AS s FROM t WHERE len(w) > 40),
+l AS (SELECT min(doc_id) AS id, split, s FROM d GROUP BY split, s), v AS (SELECT id, split, len(s) AS n, unnest(s) AS v FROM l),
+j AS (SELECT x.id AS a, y.id AS b, x.split AS a_split, y.split AS b_split, x.n AS n, y.n AS m, count(*) AS k FROM v x JOIN v y ON x.v = y.v AND x.id < y.id AND x.split <> y.split AND least(x.n, y.n) >= 0.98::DOUBLE * greatest(x.n, y.n) - 1e-9::DOUBLE GROUP BY ALL)
+SELECT a, b, round(k / (n + m - k), 6) AS similarity, a_split, b_split FROM j WHERE k / (n + m - k) >= 0.98::DOUBLE""",
+)
+_add("novelty_estimate", _on_docs(lambda df: _rounded(urd.novelty_estimate(df), "novelty")))
 _add(
     "split_near_pairs",
     _on_docs(lambda df: _rounded(dedup.split_near_pairs(df.withColumn("split", _split())), "similarity")),

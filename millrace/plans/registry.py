@@ -510,6 +510,14 @@ _add(
     "turn_overlap",
     lambda spark, d: _rounded(_turns(spark, d).select("conv_id", "turn", evaluation.lcs_f1(F.col("text"), F.col("next")).alias("lcs_f1")), "lcs_f1"),
 )
+_add(
+    "turn_paraphrase",
+    lambda spark, d: _rounded(_turns(spark, d).select("conv_id", "turn", *[c.alias(n) for n, c in evaluation.paraphrase(F.col("text"), F.col("next")).items()]), "jaccard"),
+    """WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\p{Z}]+'), lambda v: v <> '')) AS x, list_distinct(list_filter(string_split_regex(lower(coalesce(next, '')), '[\\s\\p{Z}]+'), lambda v: v <> '')) AS y FROM t WHERE next IS NOT NULL),
+n AS (SELECT *, len(list_intersect(x, y)) AS k FROM w)
+SELECT conv_id, turn, round(k / greatest(1, len(x) + len(y) - k), 6) AS jaccard, abs(len(x) - len(y))::INT AS size_difference, k = len(x) + len(y) - k AS same_words FROM n""",
+)
 _add(
     "component_means",
     _on_docs(lambda df: _rounded(scoring.components(df).groupBy("source").agg(*[F.avg(f"h_{k}").alias(k) for k in formulas.HDQS]), *formulas.HDQS)),

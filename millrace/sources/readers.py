@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import textexpr as X
+from ..operators.storage import saved
 
 RECORD = T.StructType(
     [
@@ -77,13 +78,56 @@ def text_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("pos").alias("chunk"), F.col("col").alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str, compression: str | None = None) -> DataFrame:
+    """(path, block, line, value): the lines of text files, with their numbers from 0 in each file.
+
+    Spark cuts files into byte ranges, whose lines begin with the first that starts in them, on any path it can open; a gzip
+    file is one range. Lines are numbered within a range by the order in which its task reads them; what a range adds is the
+    number of lines in the ranges before it, a count for each. So a file is read by as many tasks as it has ranges, twice.
+    """
+    df = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    df = df.withColumn("at", F.monotonically_increasing_id())
+    blocks = saved(df.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")), "blocks")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")  # a row for each range
+    starts = saved(blocks.select("path", "block", (before - F.col("first")).alias("shift")), "blocks")
+    return df.join(starts, ["path", "block"]).select("path", "block", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def json_shards(spark: SparkSession, path: str, text_field: str = "text", source: str = "", split: str = "train") -> DataFrame:
+    """(doc_id, text, source, split, path, line) of lines of JSON, plain or gzip, by byte ranges on any path that Spark can open.
+
+    Blank lines are skipped; a malformed line, or one without the text field, is an error that names file and line (from 1).
+    A row without doc_id or id gets file name and line.
+    """
+    lines = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("line", F.col("line") + 1)
+    fields = {c: F.get_json_object("value", f"$.{c}") for c in dict.fromkeys((text_field, "doc_id", "id", "source", "split"))}
+    keys = F.json_object_keys("value")
+    where = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" of "), "path")
+    bad = F.when(F.try_parse_json("value").isNull() | keys.isNull(), F.concat(where, F.lit(": malformed"))).when(~F.array_contains(keys, text_field), F.concat(where, F.lit(f": no field {text_field}")))
+    text = F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(F.coalesce(fields[text_field], F.lit("")))
+    name = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.col("line").cast("string"))
+    given = lambda c, other: F.coalesce(F.when(fields[c] != "", fields[c]), F.lit(other))
+    return lines.select(F.coalesce(fields["doc_id"], fields["id"], name).alias("doc_id"), text.alias("text"), given("source", source).alias("source"), given("split", split).alias("split"), "path", "line")
+
+
+#: A line that begins an article, with its title.
+_HEADING = r"^ ?= ([^=].*?) =[ \t]*$"
+
+
 def wikitext(spark: SparkSession, path: str) -> DataFrame:
-    """(path, article, title, text): articles begin with a line "= Title ="; what comes before the first is left out."""
-    df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    parts = F.regexp_extract_all(F.concat(F.lit("\n"), "value"), F.lit(r"(?s)\n ?= ([^=\n][^\n]*?) =[ \t]*(?=\n|$)(.*?)(?=\n ?= [^=\n][^\n]*? =[ \t]*(?:\n|$)|$)"), F.lit(0))
-    rows = df.select("path", F.posexplode(parts).alias("article", "body"))
-    title = F.regexp_extract("body", r"\n ?= ([^=\n][^\n]*?) =", 1)
-    return rows.select("path", "article", title.alias("title"), X.strip(F.regexp_replace("body", r"^\n ?= [^\n]*", "")).alias("text"))
+    """(path, article, title, text): articles begin with a line "= Title ="; what comes before the first is left out.
+
+    Files are read by byte ranges. Which article a line belongs to is the number of headings in the ranges before its own,
+    and among the lines of its range up to it; so an article may go on over any number of ranges.
+    """
+    lines = saved(numbered_lines(spark, path).withColumn("title", F.regexp_extract("value", _HEADING, 1)), "lines")
+    heads = lines.groupBy("path", "block").agg(F.count_if(F.col("title") != "").alias("n"))
+    before = heads.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))  # a row for each range
+    within = F.count_if(F.col("title") != "").over(Window.partitionBy("path", "block").orderBy("line"))
+    rows = lines.withColumn("within", within).join(saved(before, "headings"), ["path", "block"]).withColumn("article", F.col("before") + F.col("within") - 1)
+    body = F.array_sort(F.collect_list(F.struct("line", F.when(F.col("title") == "", F.col("value")).alias("value"))))
+    articles = rows.where("article >= 0").groupBy("path", "article").agg(F.max("title").alias("title"), F.array_join(F.transform(body, lambda x: x["value"]), "\n").alias("text"))
+    return articles.select("path", F.col("article").cast("int").alias("article"), "title", X.strip(F.col("text")).alias("text"))
 
 
 #: Corpora by name: the field that holds the text, and the source's name.

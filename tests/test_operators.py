@@ -186,6 +186,99 @@ def test_incremental_index(spark, tmp_path):
         MinHashIndex(spark, str(tmp_path / "index"), bands=8)
 
 
+def test_copies_cost_a_row_each(spark, tmp_path):
+    """300 and 300 copies of a text and of one near to it: a set for each, and one link between them."""
+    from millrace.operators.index import MinHashIndex
+
+    base = [f"w{k}" for k in range(60)]
+    index = MinHashIndex(spark, str(tmp_path / "index"))
+    assert index.add(frame(spark, [(k, " ".join(base)) for k in range(300)])) == 300
+    assert index.add(frame(spark, [(1000 + k, " ".join(base if k % 2 else [*base, "end"])) for k in range(300)])) == 300
+    assert index.links().count() == 1 and index._table("sets").count() == 2 and index.documents().count() == 600
+    assert {r["representative"] for r in index.clusters().collect()} == {"0"}
+    assert index.confirmed(frame(spark, [(1, " ".join(base))])).count() == 2
+
+
+def test_index_on_a_stream_that_is_killed(spark, tmp_path, monkeypatch):
+    """A stream that dies in each of its steps and is started again gives the clusters of one that doesn't."""
+    import json
+
+    from millrace.operators import index as I
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(12):
+        words = [f"t{k}w{j}" for j in range(50)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(words)]
+    order = rng.permutation(len(texts))
+    source = tmp_path / "in"
+    source.mkdir()
+    for f in range(3):
+        (source / f"{f}.json").write_text("".join(json.dumps({"doc_id": int(k), "text": texts[k]}) + "\n" for k in order[f::3]))
+    schema = "doc_id long, text string"
+    whole = I.MinHashIndex(spark, str(tmp_path / "whole"))
+    whole.add(spark.read.schema(schema).json(str(source)))
+    want = {r["doc_id"]: r["representative"] for r in whole.clusters().collect()}
+    assert len(set(want.values())) == 12
+
+    index = I.MinHashIndex(spark, str(tmp_path / "index"))
+    fail, mark = [0], I.marked
+
+    def dying(spark, path):
+        fail[0] += 1
+        if fail[0] == 2:  # all tables of the batch are written, its marker is not
+            raise OSError("killed")
+        mark(spark, path)
+        if fail[0] == 3:  # the marker stands, the stream doesn't know
+            raise OSError("killed")
+
+    monkeypatch.setattr(I, "marked", dying)
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            index.add_files(str(source), schema, str(tmp_path / "checkpoint"))
+        assert len(index.batches()) in (1, 2)
+    assert index.add_files(str(source), schema, str(tmp_path / "checkpoint")) == 2
+    assert {r["doc_id"]: r["representative"] for r in index.clusters().collect()} == want and len(index.batches()) == 3
+    assert index.documents().count() == len(texts) and index.links().count() <= index._table("sets").count()
+
+
+def test_layers_in_five_objectives(spark):
+    """Ranges of 90 rows against peeling; a third of the rows are equal, some objectives are null, and no task has all rows."""
+    rng = np.random.default_rng(8)
+    v = np.round(rng.random((600, 5)) ** 2, 2)
+    v[::3] = v[0]
+    rows = [(k, *[None if rng.random() < 0.01 else float(x) for x in v[k]]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, a double, b double, c double, d double, e double").repartition(7)
+    worst = np.array([[-np.inf if x is None else (x if j < 2 else -x) for j, x in enumerate(r[1:])] for r in rows])
+    want = select.layers(worst)
+    got = {r["doc_id"]: r["pareto_rank"] for r in select.pareto_layers(df, ["a", "b"], ["c", "d", "e"], 90).collect()}
+    assert got == {k: int(want[k]) for k in range(600)} and max(got.values()) > 3
+    assert select.pareto_layers(df.limit(0), ["a"], ["b"]).count() == 0
+
+
+def test_matrix_modes(spark):
+    from millrace.operators import matrix
+
+    df = frame(spark, [(1, "abcd"), (2, "ab")])
+    broken = lambda: spark.read.parquet("/no/such/table")
+    sets = {"a": matrix.Dataset(lambda: df), "b": matrix.Dataset(broken), "c": matrix.Dataset(lambda: df), "r": matrix.Dataset(broken, lambda: df, True)}
+    methods = {"one": lambda x: x.where("doc_id = 1"), "bad": lambda x: x.where("no_such_column")}
+    rows = matrix.run(spark, sets, {"one": methods["one"]}, "full").collect()
+    assert [(r["dataset"], r["status"], r["documents"], r["retention"]) for r in rows] == [("a", "ok", 1, 4 / 6), ("b", "error", None, None), ("c", "ok", 1, 4 / 6), ("r", "fallback_recorded", None, None)]
+    assert [r["status"] for r in matrix.run(spark, sets, methods, "quick").collect()] == ["error", "error"]
+    assert [(r["status"], r["used_fallback"]) for r in matrix.run(spark, sets, methods, "full", dry_run=True).collect()] == [("dry_run", False), ("error", False), ("dry_run", False), ("dry_run", True)]
+    with pytest.raises(ValueError):
+        matrix.run(spark, sets, methods, "other")
+
+
+def test_split_token_pairs(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, words, "a"), (2, words[:99], "b"), (3, words[:97], "b"), (4, words, "b"), (5, words[:39], "a"), (6, words[:39], "b"), (7, words[::-1], "a"), (8, None, None), (9, [*words, "x"], None)]
+    df = spark.createDataFrame([(i, " ".join(t) if t else None, s) for i, t, s in rows], "doc_id long, text string, split string")
+    got = {(r["a"], r["b"]): (round(r["similarity"], 4), r["a_split"], r["b_split"]) for r in dedup.split_token_pairs(df).collect()}
+    assert got == {(1, 2): (0.99, "a", "b"), (1, 4): (1.0, "a", "b"), (1, 9): (0.9901, "a", None), (2, 9): (0.9802, "b", None), (4, 9): (0.9901, "b", None)}
+
+
 def test_layers_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(k, *[float(x) for x in rng.integers(0, 6, 3)]) for k in range(400)]
@@ -196,7 +289,8 @@ def test_layers_against_brute_force(spark):
         rank |= {k: len(set(rank.values())) for k in front}
         left = {k: v for k, v in left.items() if k not in front}
     want, k = {}, sorted(set(rank.values()))
-    assert {r["doc_id"]: r["pareto_rank"] for r in select.pareto_layers(df.repartition(40), ["a", "b"], ["c"]).collect()} == {i: k.index(x) for i, x in rank.items()}
+    for block in (1000, 37):
+        assert {r["doc_id"]: r["pareto_rank"] for r in select.pareto_layers(df.repartition(40), ["a", "b"], ["c"], block).collect()} == {i: k.index(x) for i, x in rank.items()}
     assert {r["doc_id"] for r in select.pareto_front(df.repartition(40), ["a", "b"], ["c"]).collect()} == {i for i, x in rank.items() if x == 0}
     assert not want
 

@@ -64,3 +64,78 @@ def test_neighbours_and_fit(spark):
 def test_agreement(spark):
     df = spark.createDataFrame([("a b c d", "a c d e"), ("", None), ("x", "y")], "s string, t string")
     assert [round(r[0], 6) for r in df.select(evaluation.lcs_f1(F.col("s"), F.col("t"))).collect()] == [0.75, 1.0, 0.0]
+    got = df.select(*[c.alias(n) for n, c in evaluation.paraphrase(F.col("s"), F.col("t")).items()]).collect()
+    assert [tuple(r) for r in got] == [(0.6, 0, False), (0.0, 0, True), (0.0, 0, False)]
+
+
+def slow_lcs(s, t):
+    row = [0] * (len(t) + 1)
+    for w in s:
+        last = 0
+        for k, v in enumerate(t, 1):
+            keep, row[k] = row[k], last + 1 if w == v else max(row[k], row[k - 1])
+            last = keep
+    return row[-1]
+
+
+def test_bit_parallel_lcs():
+    import random
+    import time
+
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert evaluation.lcs_length(a, b) == slow_lcs(a, b)
+    a, b = ([rng.choice("xyz") + str(rng.randint(0, 300)) for _ in range(20000)] for _ in range(2))
+    began = time.time()
+    assert 0 < evaluation.lcs_length(a, b) < 20000 and evaluation.lcs_length(a, a) == 20000
+    assert time.time() - began < 2
+
+
+def test_turn_overlap_on_the_given_turns(spark):
+    from millrace.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want = {}
+    for a, b in zip(rows, rows[1:]):
+        if a["conv_id"] == b["conv_id"]:
+            s, t = (a["text"] or "").casefold().split(), (b["text"] or "").casefold().split()
+            want[a["conv_id"], a["turn"]] = round(1.0 if not s and not t else 2 * slow_lcs(s, t) / (len(s) + len(t)), 6)
+    assert {(r["conv_id"], r["turn"]): r["lcs_f1"] for r in registry.queries()["turn_overlap"](spark, sf).collect()} == want
+
+
+def test_neighbours_of_many_queries(spark):
+    """A query set as large as the table, in tiles of seven: equal to all distances; ties by id, repeated and null rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 4, (120, 3)).astype(float)
+    rows = [(k, [float(x) for x in v[k]]) for k in range(120)] + [(None, [0.0, 0.0, 0.0]), (500, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in ml.nearest(df, df, 4, tile=7).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["distance"], r["neighbour"])
+    for k in range(120):
+        want = sorted((float(np.sqrt(((v[k] - v[j]) ** 2).sum())), j) for j in range(120) if j != k)[:4]
+        assert [got[k][i] for i in range(1, 5)] == want
+    assert len(got) == 120 and ml.nearest(df, df.limit(0), 3).count() == 0
+
+
+def test_novelty_estimate(spark):
+    from millrace.operators import urd
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    exact = {r["doc_id"]: r["novelty"] for r in urd.novelty(df).collect()}
+    errors = {}
+    for n in (64, 256):
+        got = {r["doc_id"]: r["novelty"] for r in urd.novelty_estimate(df, n).collect()}
+        assert got.keys() == exact.keys()
+        errors[n] = max(abs(got[k] - exact[k]) for k in exact)
+        assert errors[n] < urd.novelty_error(n)
+    assert errors[256] < 0.02
+    plan = urd.novelty_estimate(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # no join of documents with documents
+    one = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["novelty"] for r in urd.novelty_estimate(one).collect()} == {1: 0.5, 2: 0.5, 3: 1.0}
+    assert urd.novelty_estimate(one.limit(1)).first()["novelty"] == 1.0

@@ -168,3 +168,107 @@ def test_merges_of_many_words(spark):
     got = tokenizers.bpe_encode(df, merges).where("doc_id = 2").select(tokenizers.bpe_decode("pieces")).first()[0]
     assert got == "lownewestnewest"
     assert tokenizers.bpe_merges_by_first(df, 1) == [("l", "o")]
+
+
+@pytest.fixture()
+def small_ranges(spark):
+    """Files are cut into ranges of some hundred bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "300b", "spark.sql.files.openCostInBytes": "1b", "spark.sql.files.minPartitionNum": "1"}
+    was = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lines_are_numbered_over_ranges(spark, tmp_path, small_ranges):
+    texts = {f"{name}.txt": [f"{name} line {k} " + "x" * (k * 7 % 90) if k % 5 else "" for k in range(n)] for name, n in (("a", 120), ("b", 1), ("c", 62))}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if name == "a.txt" else ""))
+    rows = readers.numbered_lines(spark, str(tmp_path)).collect()
+    assert len({(r["path"], r["block"]) for r in rows}) > 10
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["path"], r["line"])):
+        got.setdefault(r["path"].rpartition("/")[2], []).append((r["line"], r["value"]))
+    assert got == {name: list(enumerate(lines)) for name, lines in texts.items() if any(lines)}
+
+
+def test_articles_go_on_over_ranges(spark, tmp_path, small_ranges):
+    lines, want = ["before any article"], []
+    for k in range(9):
+        body = [f" = = Section {j} = = " if j % 7 == 3 else f"text {k} {j} " + "w" * 40 for j in range(k * 5)]
+        lines += [f" = Title {k} = ", *body]
+        want.append((k, f"Title {k}", "\n".join(body).strip()))
+    (tmp_path / "w.txt").write_text("\n".join(lines) + "\n")
+    got = readers.wikitext(spark, str(tmp_path)).orderBy("article").collect()
+    assert [(r["article"], r["title"], r["text"]) for r in got] == want
+
+
+def test_json_shards(spark, tmp_path, small_ranges):
+    import gzip
+
+    good = [json.dumps({"id": k, "text": f"text {k}", "source": "s"} if k % 2 else {"text": None if k == 4 else "é" * k}) for k in range(60)]
+    (tmp_path / "a.jsonl").write_text("\n".join([*good[:30], "", *good[30:]]))
+    with gzip.open(tmp_path / "b.jsonl.gz", "wt") as f:
+        f.write(json.dumps({"doc_id": "z", "text": "zipped"}))
+    rows = {r["doc_id"]: r for r in readers.json_shards(spark, str(tmp_path), source="own").collect()}
+    assert len(rows) == 61 and rows["z"]["text"] == "zipped" and rows["z"]["source"] == "own" and rows["1"]["source"] == "s"
+    assert rows["a.jsonl:5"]["text"] == "" and rows["a.jsonl:1"]["line"] == 1 and rows["59"]["line"] == 61 and rows["a.jsonl:60"]["text"] == "é" * 58
+    for bad in ("{broken", "[1, 2]", '{"other": 1}'):
+        (tmp_path / "c.jsonl").write_text('{"text": "fine"}\n' * 20 + bad)
+        with pytest.raises(Exception, match="line 21 of .*c.jsonl"):
+            readers.json_shards(spark, str(tmp_path / "c.jsonl")).collect()
+
+
+def test_two_pass_sampler(spark, tmp_path):
+    import hashlib
+
+    from millrace.sources import sampler
+
+    texts = {str(k): " ".join(["w"] * (k % 17)) for k in range(200)}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id string, text string")
+    df.repartitionByRange(8, "doc_id").write.parquet(str(tmp_path / "corpus"))
+    one = sampler.TwoPassSampler(spark, str(tmp_path / "index"), str(tmp_path / "corpus"))
+    sized = {k: len(t.split()) for k, t in texts.items() if t}
+    assert one.build() == {"documents": len(sized), "tokens": sum(sized.values()), "reused_index": 0}
+    assert one.build()["reused_index"] == 1
+    left, want = 60, set()
+    for k in sorted(sized, key=lambda k: hashlib.sha256(f"42:{k}".encode()).hexdigest()):
+        if sized[k] <= left:
+            left -= sized[k]
+            want.add(k)
+    chosen = one.chosen(60)
+    records = one.records(chosen)
+    assert {r["doc_id"]: r["text"] for r in records.collect()} == {k: texts[k] for k in want}
+    few = one.records(chosen.limit(1))
+    read = lambda df: sum("/corpus/" in f for f in df.inputFiles())
+    assert read(few) == 1 < read(spark.read.parquet(str(tmp_path / "corpus")))  # only its file is read
+    spark.createDataFrame([("new", "document")], "doc_id string, text string").write.mode("append").parquet(str(tmp_path / "corpus"))
+    with pytest.raises(ValueError):
+        one.build()
+    with pytest.raises(ValueError):
+        one.chosen(0)
+
+
+def test_buffered_shuffle(spark):
+    from millrace.sources import sampler
+
+    df = spark.range(500).withColumnRenamed("id", "doc_id").repartition(7)
+    got = [r["doc_id"] for r in sampler.buffered_shuffle(df, 50, "doc_id").collect()]
+    assert sorted(got) == list(range(500)) and got != list(range(500))
+    assert max(abs(place - k) for place, k in enumerate(got)) < 50
+    assert got == [r["doc_id"] for r in sampler.buffered_shuffle(df.repartition(3), 50, "doc_id").collect()]
+    assert [r["doc_id"] for r in sampler.buffered_shuffle(df, 1, "doc_id").collect()] == list(range(500))
+
+
+def test_batches_are_verified(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        lines(tmp_path / f"in/{k}.json", [{"doc_id": k * 10 + j, "text": f"t{j}"} for j in range(4)])
+        incremental.run(spark, str(tmp_path / "in"), spark.createDataFrame([], "doc_id long, text string").schema, str(tmp_path / "out"), lambda b, _: b.where("doc_id <> 3"), {"v": 1})
+    out = str(tmp_path / "out")
+    rows = {r["batch"]: (r["rows_in"], r["rows_out"]) for r in incremental.manifest(spark, out).collect()}
+    assert rows == {0: (4, 3), 1: (4, 4)} and incremental.verify(spark, out) == []
+    spark.createDataFrame([(99, "more")], "doc_id long, text string").write.mode("append").parquet(f"{out}/data/batch=1")
+    assert incremental.verify(spark, out) == [1]
