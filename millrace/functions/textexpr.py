@@ -36,6 +36,12 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Common elements of two arrays of different elements, as a share of all; of two empty ones 0."""
+    both = F.size(F.array_intersect(a, b))
+    return both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both)
+
+
 def normalise(x: Column) -> Column:
     return F.trim(F.regexp_replace(fold(x), r"\s+", " "))
 

@@ -178,6 +178,7 @@ BOOTSTRAPS = {
     "inclusive": (200, lambda n: (int(0.025 * (n - 1)), int(0.975 * (n - 1))), "null"),
     "registry": (500, lambda n: (int(0.025 * n), int(0.975 * n) - 1), "null"),
     "methods": (1000, lambda n: (int(0.025 * (n - 1)), int(0.975 * (n - 1))), "itself"),
+    "runs": (1000, lambda n: (int(0.025 * (n - 1)), int(0.975 * (n - 1))), "itself, or zero"),
 }
 
 
@@ -211,6 +212,6 @@ def bootstrap_mean(df: DataFrame, group: str, value: str, key: list[str], kind:
     means = rows.mapInPandas(run, f"`{group}` {kind_}, b int, x double, w double").groupBy(group, "b").agg((F.sum("x") / F.greatest(F.lit(1.0), F.sum("w"))).alias("m"))
     ordered = means.groupBy(group).agg(F.array_sort(F.collect_list("m")).alias("m"))  # samples numbers
     out = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(ordered, group, "left")
-    alone = F.col("mean") if single == "itself" else F.lit(None).cast("double")
+    alone = {"itself": F.col("mean"), "null": F.lit(None).cast("double"), "itself, or zero": F.coalesce("mean", F.lit(0.0))}[single]
     bound = lambda at: F.when(F.col("n") > 1, F.get("m", F.lit(at))).otherwise(alone)
     return out.select(group, "n", "mean", bound(low).alias("ci_low"), bound(high).alias("ci_high"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +43,32 @@ def folded_words() -> Column:
     return X.words(X.fold(X.text()))
 
 
+def minima(permutations: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from 64-bit hashes to their least values under so many permutations: odd multiples, shifted."""
+    rng = np.random.default_rng(seed)
+    times, plus = (rng.integers(0, 2**63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def least(hashes: np.ndarray) -> np.ndarray:
+        h = np.asarray(hashes, dtype=np.int64).view(np.uint64)
+        h = h ^ h >> np.uint64(29)
+        out = np.full(permutations, 2**64 - 1, dtype=np.uint64)
+        for k in range(0, len(h), 2048):
+            np.minimum(out, (h[k : k + 2048, None] * times + plus).min(axis=0), out=out)
+        return out.view(np.int64)
+
+    return least
+
+
 def signature(sh: Column, permutations: int = PERMUTATIONS, seed: int = SEED) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.array_min(F.transform(sh, lambda v: F.xxhash64(v, p + seed))))
+    """Least values of hashed shingles under each permutation, a batch of rows at a time."""
+    least = minima(permutations, seed)
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sets in batches:
+            yield pd.Series([least(x) for x in sets])
+
+    return run(sh)
 
 
 def bands_of(sig: str, permutations: int, bands: int) -> Column:

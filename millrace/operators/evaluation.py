@@ -115,5 +115,5 @@ def lcs_f1(a: Column, b: Column) -> Column:
 def paraphrase(a: Column, b: Column) -> dict[str, Column]:
     """Columns of two texts' different words in lower case: jaccard, the difference of their numbers, and whether they are equal."""
     x, y = (F.array_distinct(X.words(F.lower(F.coalesce(c, F.lit(""))))) for c in (a, b))
-    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    return {"jaccard": both / F.greatest(F.lit(1), either), "size_difference": F.abs(F.size(x) - F.size(y)), "same_words": both == either}
+    same = F.array_sort(x) == F.array_sort(y)
+    return {"jaccard": X.jaccard(x, y), "size_difference": F.abs(F.size(x) - F.size(y)), "same_words": same}

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import textexpr as X
 from . import dedup
-from .storage import children, exists, guard, marked, saved
+from .storage import children, guard, marked, saved
 
 _TABLES = {
     "members": "doc_id string, split string, text_hash string, set string",

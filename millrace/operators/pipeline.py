@@ -368,8 +368,8 @@ def canaries(raw: DataFrame, processed: DataFrame, values: DataFrame) -> DataFra
     )
 
 
-def training_blocks(df: DataFrame, context: int = 64, stride: int = 64) -> DataFrame:
-    """(doc_id, block, tokens): runs of context + 1 tokens; what doesn't fill a block is left out."""
+def training_blocks(df: DataFrame, context: int = 64, stride: int = 1) -> DataFrame:
+    """(doc_id, block, tokens): runs of context + 1 tokens, one from every place by default; none from where they don't fit."""
     t = X.tokens(X.text())
     rows = df.select("doc_id", t.alias("t")).where(F.size("t") > context)
     starts = F.sequence(F.lit(0), F.size("t") - context - 1, F.lit(stride))

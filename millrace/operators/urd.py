@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas
 from ..functions import textexpr as X
-from . import ranking, scoring, select
+from . import dedup, ranking, scoring, select
 from .storage import saved
 
 PARTS = ("utility", "risk", "diversity", "shift", "cost")
@@ -53,19 +50,8 @@ def novelty_estimate(df: DataFrame, permutations: int = PERMUTATIONS, seed: int
     others have a document's value, counted once for each permutation and value over the whole table, averages to its
     similarity to all others: no pair is ever made. Values that one document has alone are not sent back.
     """
-    rng = np.random.default_rng(seed)
-    times, plus = (rng.integers(0, 2**63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for s in b["s"]:
-                h = np.asarray(s, dtype=np.int64).view(np.uint64)
-                out.append(((h[:, None] ^ (h[:, None] >> np.uint64(29))) * times + plus).min(axis=0).view(np.int64) if len(h) else np.full(permutations, -1))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "sig": out})
-
-    sets = df.select("doc_id", F.array_distinct(F.transform(X.tokens(X.text()), lambda t: F.xxhash64(t))).alias("s"))
-    sig = saved(sets.mapInPandas(signed, f"doc_id {dict(df.dtypes)['doc_id']}, sig array<bigint>"), "signatures")
+    sets = F.array_distinct(F.transform(X.tokens(X.text()), lambda t: F.xxhash64(t)))
+    sig = saved(df.select("doc_id", dedup.signature(sets, permutations, seed).alias("sig")), "signatures")
     n = sig.count()
     each = sig.select("doc_id", F.posexplode("sig").alias("p", "v"))
     shared = saved(each.groupBy("p", "v").agg(F.count("*").alias("c")).where("c > 1"), "shared")

@@ -12,7 +12,7 @@ from ..functions.formulas import duckdb
 from ..operators import analysis, dedup, evaluation, filters, index, matrix, ml, pipeline, reports, scoring, select, urd
 from ..operators.storage import shared_dir
 from .oracle import ENTROPY, on_profile
-from .registry import _BIN_SQL, _BINS_SQL, _BUDGET, _CI_SQL, _FOLDED, _HDQS_SCORE, _LOCAL_SQL, _NORM, _PAIRED, _REDACT_SQL, _SPLIT_SQL, _TOK, _URD_SQL, _W, _add, _docs, _events, _on_docs, _pairs_sql, _r, _rounded, _split, _table, _words
+from .registry import _BIN_SQL, _BINS_SQL, _BUDGET, _FOLDED, _HDQS_SCORE, _LOCAL_SQL, _NORM, _PAIRED, _REDACT_SQL, _SPLIT_SQL, _TOK, _URD_SQL, _W, _add, _docs, _events, _on_docs, _pairs_sql, _r, _rounded, _split, _table, _words
 
 # --- greedy walks
 
@@ -450,7 +450,39 @@ _add(
     "logistic_accuracy",
     lambda spark, d: _rounded(ml.classifier_accuracy(_table(spark, d, "embeddings").withColumn("label", (F.col("label") % 2).cast("double")), "embedding", "label"), "accuracy"),
 )
-_add("multivariate_fit", _on_docs(lambda df: _rounded(ml.linear_model(X.profile(df), ["n_tok", "n_lines"], "n_len"), "value")))
+_add(
+    "multivariate_fit",
+    _on_docs(lambda df: ml.linear_model(X.profile(df), ["n_tok", "n_lines"], "n_len").withColumn("value", F.round("value", 4))),
+    # the normal equations of two variables
+    on_profile(
+        "SELECT unnest(['intercept', 'n_tok', 'n_lines']) AS term, round(unnest([my - b1 * m1 - b2 * m2, b1, b2]), 4) AS value FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM ("
+        "SELECT avg(n_len) AS my, avg(n_tok) AS m1, avg(n_lines) AS m2, var_pop(n_tok) AS v1, var_pop(n_lines) AS v2, covar_pop(n_tok, n_lines) AS c12, covar_pop(n_tok, n_len) AS c1, covar_pop(n_lines, n_len) AS c2 FROM r))"
+    ),
+)
+_add(
+    "scaling_fit",
+    _on_docs(lambda df: _rounded(ml.linear_fit(X.profile(df).where("n_tok > 0"), "n_tok", "n_len", logs=True), "slope", "intercept", "r2")),
+    on_profile("SELECT round(regr_slope(ln(n_len), ln(n_tok)), 6) AS slope, round(regr_intercept(ln(n_len), ln(n_tok)), 6) AS intercept, round(regr_r2(ln(n_len), ln(n_tok)), 6) AS r2 FROM r WHERE n_tok > 0"),
+)
+_MORE = {"optional_lm_surprisal": 0.5, "duplicate_cluster_penalty": 0.9}
+
+
+def _optional(df):
+    """The first score with a loss of a language model and a penalty of clusters, here made from the ids."""
+    i = F.col("doc_id")
+    df = df.withColumns({"loss": F.when(i % 3 != 0, (i % 7) / 2.0), "copied": F.when(i % 5 == 0, 0.25)})
+    return _rounded(scoring.hdqs(df, surprisal="loss", duplicate="copied", more=_MORE).select("doc_id", "score"), "score")
+
+
+_add(
+    "hdqs_optional_components",
+    _on_docs(_optional),
+    on_profile(
+        f"SELECT doc_id, round({duckdb(formulas.weighted(formulas.WEIGHTS['hdqs'] | _MORE, 'h_'))}, 6) AS score FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN 1 / (1 + (doc_id % 7) / 2.0::DOUBLE) ELSE 1.0::DOUBLE END AS h_optional_lm_surprisal, CASE WHEN doc_id % 5 = 0 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS h_duplicate_cluster_penalty FROM q)",
+        ENTROPY,
+    ),
+)
+_add("factorisation", lambda spark, d: ml.factorise(_events(spark, d).where("value IS NOT NULL").groupBy("user_id", F.pmod(F.xxhash64("event_type"), F.lit(1000)).cast("int").alias("item")).agg(F.avg("value").alias("rating")).withColumn("user_id", F.col("user_id").cast("int")), "user_id", "item", "rating").select("user_id", "item", F.col("prediction").isNotNull().alias("predicted")))
 _add("method_summary", lambda spark, d: _rounded(analysis.method_summary(_events(spark, d), "event_type", "value"), "mean", "std"), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
 _add(
     "token_counters",

@@ -458,8 +458,8 @@ _add(
 )
 _add(
     "training_blocks",
-    _on_docs(lambda df: pipeline.training_blocks(df).select("doc_id", "block", F.concat_ws(" ", "tokens").alias("tokens"))),
-    f"WITH t AS (SELECT doc_id, {_TOK} AS k FROM documents), b AS (SELECT doc_id, k, unnest(range(0, (len(k) - 65) // 64 + 1)) AS block FROM t WHERE len(k) > 64) SELECT doc_id, block::INT AS block, array_to_string(k[block * 64 + 1:block * 64 + 65], ' ') AS tokens FROM b",
+    _on_docs(lambda df: pipeline.training_blocks(df).select("doc_id", "block", F.md5(F.concat_ws(" ", "tokens")).alias("tokens_md5"))),
+    f"WITH t AS (SELECT doc_id, {_TOK} AS k FROM documents), b AS (SELECT doc_id, k, unnest(range(0, len(k) - 64)) AS block FROM t WHERE len(k) > 64) SELECT doc_id, block::INT AS block, md5(array_to_string(k[block + 1:block + 65], ' ')) AS tokens_md5 FROM b",
 )
 _add(
     "cooccurrence_ppmi",
@@ -514,7 +514,7 @@ _add(
     "turn_paraphrase",
     lambda spark, d: _rounded(_turns(spark, d).select("conv_id", "turn", *[c.alias(n) for n, c in evaluation.paraphrase(F.col("text"), F.col("next")).items()]), "jaccard"),
     """WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
-w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\p{Z}]+'), lambda v: v <> '')) AS x, list_distinct(list_filter(string_split_regex(lower(coalesce(next, '')), '[\\s\\p{Z}]+'), lambda v: v <> '')) AS y FROM t WHERE next IS NOT NULL),
+w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda v: v <> '')) AS x, list_distinct(list_filter(string_split_regex(lower(coalesce(next, '')), '\\s+'), lambda v: v <> '')) AS y FROM t WHERE next IS NOT NULL),
 n AS (SELECT *, len(list_intersect(x, y)) AS k FROM w)
 SELECT conv_id, turn, round(k / greatest(1, len(x) + len(y) - k), 6) AS jaccard, abs(len(x) - len(y))::INT AS size_difference, k = len(x) + len(y) - k AS same_words FROM n""",
 )
