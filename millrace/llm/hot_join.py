@@ -105,7 +105,7 @@ def partner_folds(rows: DataFrame) -> DataFrame:
     def cut(left: int, right: int, share: float) -> tuple[int, int, list[float]]:
         each = [left * (1.0 + min(right, STRIPS)), right * (1.0 + min(left, STRIPS))]
         a, b = (math.ceil(w / share) for w in each)
-        return a, b, [each[0] / a] * a + [each[1] / b] * b
+        return a, b, [w / n for w, n in zip(each, (a, b)) for _ in range(n)]  # a side without rows has no blocks
 
     plan = Plan(spark, keys, work, cut, bins)
     found = here.join(plan.hot_table, F.col("key") == F.col("hot"), "left")
