@@ -7,8 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import counts, tokenizers
 from millrace.functions import textexpr as X
-from millrace.functions import tokenizers
 from millrace.operators import filters, pipeline, scoring
 
 TEXTS = [
@@ -122,3 +122,15 @@ def test_bpe(spark):
     vocabulary = tokenizers.characters(df)
     ids = df.where("doc_id = 1").select(tokenizers.character_ids(F.col("text"), vocabulary)).first()[0]
     assert "".join(vocabulary[k] for k in ids) == "low low low lower lowest"
+
+
+def test_one_worker_counts_characters_and_runs(spark):
+    plan = scoring.components(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_batches_are_decoded_by_slices():
+    import pyarrow as pa
+
+    parts = list(counts._parts(pa.array(["x" * 300_000] * 9 + ["y"])))
+    assert [len(p) for p in parts] == [4, 4, 2]
