@@ -416,3 +416,16 @@ def test_scores_by_hand(spark):
     assert abs(more["score"] - (h["score"] * sum(weights) + 2 * 0.5) / (sum(weights) + 2)) < 1e-9
     local = scoring.local_scores(frame(spark, [(1, "casino https://x.org kill kill")])).first()
     assert abs(local["local_risk"] - (0.05 * 2 + 0.02)) < 1e-12 and abs(local["local_diversity"] - 3 / 4) < 1e-12 and abs(local["local_utility"] - math.log(5) / math.log(2049)) < 1e-12
+
+
+def test_ablation_measures_texts_once(spark):
+    from millrace.operators import pipeline
+
+    near = " ".join(BASE)
+    texts = [(1, near), (2, near + " x"), (3, near + " x"), (4, "<b>" + near + "</b> see https://a.example/b"), (5, "mail a@b.org now please or call"), (6, None), (7, near + " a@b.org"), (8, "one two"), (8, near)]
+    df = frame(spark, texts)
+    names = ("raw_noisy_baseline", "near_dedup_only", "full_pipeline", "length_matched_baseline")
+    rows = lambda x: sorted((r[0], *r[1:5], round(r[5], 9)) for r in x.collect())
+    got = pipeline.ablation(df, names, threshold=0.5)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got) == rows(pipeline.compared(pipeline.variants(df, names, threshold=0.5)))
