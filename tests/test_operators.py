@@ -429,3 +429,24 @@ def test_ablation_measures_texts_once(spark):
     got = pipeline.ablation(df, names, threshold=0.5)
     assert "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert rows(got) == rows(pipeline.compared(pipeline.variants(df, names, threshold=0.5)))
+
+
+def test_novelty_writes_no_pairs(spark, monkeypatch):
+    """Tiles smaller than the table, and common words of all texts: each set is handed on once for each group, no pair is."""
+    rng = np.random.default_rng(1)
+    texts = [(k, " ".join(["all", "have", *(f"w{x}" for x in rng.zipf(1.5, 20) % 50)]) if k % 7 else "") for k in range(60)]
+    monkeypatch.setattr(urd, "TILE", 8)
+    got = urd.novelty(frame(spark, texts))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[1]
+    sets = {k: set(t.split()) for k, t in texts}
+    for k, v in got.collect():
+        others = [1.0 if sets[k] == s else len(sets[k] & s) / len(sets[k] | s) for o, s in sets.items() if o != k]
+        assert abs(v - (1 - sum(others) / len(others))) < 1e-9
+
+
+def test_common_counts_by_matrices_and_by_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(urd, "CELLS", 16)
+    left, right = ([np.unique(rng.zipf(1.2, 30) % 400) for _ in range(40)] for _ in range(2))
+    got = urd._common(np.concatenate(left), np.array([len(x) for x in left]), np.concatenate(right), np.array([len(x) for x in right]))
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
