@@ -450,3 +450,13 @@ def test_common_counts_by_matrices_and_by_pairs(monkeypatch):
     left, right = ([np.unique(rng.zipf(1.2, 30) % 400) for _ in range(40)] for _ in range(2))
     got = urd._common(np.concatenate(left), np.array([len(x) for x in left]), np.concatenate(right), np.array([len(x) for x in right]))
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
+def test_containment_of_many_items_with_common_words(spark):
+    """Numbers share the run between their first and last word; short items are parts of words. No item meets all texts."""
+    texts = [(k, f"call +1 412 555 {1000 + k}. or mail xeditor{k}@example.orgy, see ID-13-{k:04d}; ab cd") for k in range(30)] + [(99, "412 555 é" + "q" * 50), (98, None), (97, "412 555")]
+    items = [(f"p{k}", f"+1 412 555 {1000 + k}") for k in range(40)] + [(f"e{k}", f"editor{k}@example.org") for k in range(40)] + [(f"i{k}", f"ID-13-{k:04d}") for k in range(40)]
+    items += [("two", "b c"), ("space", " ab"), ("three", "1 412 5"), ("four", "13-0001; ab c"), ("none", "412  555"), ("é", "é")]
+    got = dedup.containment(frame(spark, texts), spark.createDataFrame(items, "item_id string, text string"))
+    assert "contains" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().lower().split("\n") if "join cross" in x or "join inner, contains" in x)
+    assert {tuple(r) for r in got.collect()} == {(i, k) for i, x in items for k, t in texts if x in (t or "")}
