@@ -1,12 +1,13 @@
 """Dedup, selection and statistics on small cases whose answers are known."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import analysis, dedup, select, urd
+from millrace.operators import analysis, dedup, select, storage, urd
 
 
 def frame(spark, texts):
@@ -295,6 +296,19 @@ def test_layers_against_brute_force(spark):
     assert not want
 
 
+def test_farthest_first_writes_sets_once(spark, monkeypatch):
+    # one set of 2,000 words a row and a round for each two choices: rounds must not write the sets again, nor leave tables
+    texts = [" ".join(f"w{(k * 7919 + j * (k + 1)) % 100003}" for j in range(2000)) for k in range(40)]
+    monkeypatch.setattr(select, "SETTLED", 2)
+    kinds = []
+    monkeypatch.setattr(select, "saved", lambda df, kind, **more: kinds.append((kind, df.columns)) or storage.saved(df, kind, **more))
+    gone = []
+    monkeypatch.setattr(select, "forget", lambda df: gone.append(df.inputFiles()) or storage.forget(df))
+    assert select.farthest_first(frame(spark, list(enumerate(texts))), 0.4).where("keep").count() == 16
+    assert [c for c in kinds if "s" in c[1]] == [("sets", ["doc_id", "s"])]
+    assert len(gone) == 8 and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for files in gone for f in files)
+
+
 def test_farthest_first_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(6)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, int(rng.integers(0, 12)))) for _ in range(120)]
