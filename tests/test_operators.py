@@ -326,6 +326,34 @@ def test_farthest_first_against_brute_force(spark, monkeypatch):
         assert all(abs(got[i]["score"] - min(1.0, d[i])) < 1e-12 for i in range(120))
 
 
+@pytest.mark.parametrize("few", [1 << 19, 3])
+def test_jaccard_pairs_write_sets_that_meet_only(spark, monkeypatch, few):
+    """All similar pairs are found by parts of the sets, and whole sets are made for documents that meet another one."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 9 if k % 4 else 400, int(rng.integers(5, 60)))]
+        texts.append(base)
+        for j in range(k % 3):
+            texts.append([*base[: -1 - 2 * j], f"x{j}", *base[len(base) - 2 * j :]])
+    texts += [[f"alone{k}_{j}" for j in range(30)] for k in range(40)]
+    sets = [{tuple(x[j : j + 3]) for j in range(max(1, len(x) - 2))} for x in texts]
+    jac = lambda a, b: len(a & b) / len(a | b)
+    written = {}
+    monkeypatch.setattr(dedup, "saved", lambda df, kind="table", **more: written.setdefault(kind, storage.saved(df, kind, **more)))
+    monkeypatch.setattr(dedup, "FEW", few)
+    for threshold in (0.5, 0.82):
+        written.clear()
+        first = {}
+        for k, s in enumerate(sets):
+            first.setdefault(frozenset(s), k)
+        want = {(a, b): jac(sets[a], sets[b]) for a in first.values() for b in first.values() if a < b and jac(sets[a], sets[b]) >= threshold}
+        want |= {(first[frozenset(s)], k): 1.0 for k, s in enumerate(sets) if first[frozenset(s)] != k}
+        got = {(r["a"], r["b"]): r["similarity"] for r in dedup.jaccard_pairs(frame(spark, [(k, " ".join(x)) for k, x in enumerate(texts)]), threshold).collect()}
+        assert got == want and len(want) > 20
+        assert "shingles" not in written["heads"].columns and written["sets"].where("id >= 120").isEmpty() and written["sets"].count() < len(texts)
+
+
 def test_copies_cost_their_number(spark):
     """A group of copies is one set: pairs of its least id with each other, not of all with all."""
     near = " ".join([*BASE, "end"])
