@@ -354,6 +354,34 @@ def test_jaccard_pairs_write_sets_that_meet_only(spark, monkeypatch, few):
         assert "shingles" not in written["heads"].columns and written["sets"].where("id >= 120").isEmpty() and written["sets"].count() < len(texts)
 
 
+def test_banded_sets_stay_where_they_are(spark, monkeypatch, tmp_path):
+    """By bands only names and keys are handed on; sets are written for documents in a pair, and once by the index."""
+    from millrace.operators import index
+
+    texts = [" ".join(f"w{k}_{j}" for j in range(40)) for k in range(30)]
+    texts += [texts[0] + " end", texts[1], texts[1] + " end"]
+    df = frame(spark, list(enumerate(texts))).withColumn("split", F.when(F.col("doc_id") < 30, "a").otherwise("b"))
+    written = []
+
+    def saved(table, kind="table", **more):
+        out = storage.saved(table, kind, **more)
+        if "shingles" in out.columns:
+            written.append((kind, out.count()))
+        return out
+
+    monkeypatch.setattr(dedup, "saved", saved)
+    got = {(r["a"], r["b"], r["a_split"], r["b_split"]) for r in dedup.split_near_pairs(df).collect()}
+    assert got == {("0", "30", "a", "b"), ("1", "31", "a", "b"), ("1", "32", "a", "b")}
+    assert written == [("sets", 4)]
+    monkeypatch.setattr(index, "saved", saved)
+    written.clear()
+    kept = index.MinHashIndex(spark, str(tmp_path / "index"))
+    assert kept.add(df, "split") == 33
+    assert written == [("prepared", 33)] and kept._table("sets").count() == 32
+    found = {r["doc_id"]: r["representative"] for r in kept.clusters().collect()}
+    assert {k: v for k, v in found.items() if k != v} == {"30": "0", "31": "1", "32": "1"}
+
+
 def test_copies_cost_their_number(spark):
     """A group of copies is one set: pairs of its least id with each other, not of all with all."""
     near = " ".join([*BASE, "end"])
