@@ -134,3 +134,27 @@ def test_batches_are_decoded_by_slices():
 
     parts = list(counts._parts(pa.array(["x" * 300_000] * 9 + ["y"])))
     assert [len(p) for p in parts] == [4, 4, 2]
+
+
+def test_cooccurrence_counts_pairs_once(spark):
+    """Against brute force; where keys clash, tokens are keys. Only keys, not tokens, are counted, and a pair with its reverse."""
+    texts = ["a b a a c", "c c", "b", "", None, "x a b x a b a", "é ß A B"]
+    n = Counter()
+    for t in texts:
+        k = toks(t or "")
+        for d in (1, 2):
+            for x, y in zip(k, k[d:]):
+                n[x, y] += 1
+                n[y, x] += 1
+    one = Counter()
+    for (x, _), c in n.items():
+        one[x] += c
+    want = {(x, y): (c, round(max(0.0, math.log2(c * sum(n.values()) / (one[x] * one[y]))), 6)) for (x, y), c in n.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for key in (F.xxhash64, lambda c: F.xxhash64(c) % 2):
+        found = pipeline.cooccurrence(df, key=key)
+        rows = found.collect()
+        assert len(rows) == len(want) and {(r["a"], r["b"]): (r["n"], round(r["ppmi"], 6)) for r in rows} == want
+    plan = pipeline.cooccurrence(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and plan.count("Aggregate [") == 1
+    assert pipeline.cooccurrence(df.limit(0)).count() == 0
