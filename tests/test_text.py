@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import counts, tokenizers
 from millrace.functions import textexpr as X
-from millrace.operators import filters, pipeline, scoring
+from millrace.operators import filters, pipeline, scoring, select
 
 TEXTS = [
     "", " ", "Straße STRASSE", "été ½ Ⅷ x_1 中文 emoji 😀!", "a\x01b", "The the THE cat. Sat on the mat, and it is the end!", "one\ntwo\n  two \r\n\n one", "mail a.b+c@d-e.org or call +1 412 555 1234 now ID-12-3456",
@@ -158,3 +158,51 @@ def test_cooccurrence_counts_pairs_once(spark):
     plan = pipeline.cooccurrence(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 0 and plan.count("Aggregate [") == 1
     assert pipeline.cooccurrence(df.limit(0)).count() == 0
+
+
+def test_runs_by_sorting_are_those_of_each_text():
+    """A slice of texts against one text at a time, also where numbers of runs don't fit; no text becomes tokens in Python."""
+    import pyarrow as pa
+
+    texts = ["", "a", "a a", "a b a b a", "", " ".join(f"w{k * k % 97}" for k in range(500)), "b a"]
+    want = [counts.count_runs(t.split(" ") if t else []) for t in texts]
+    assert counts.batch_runs(pa.array(texts)).tolist() == [list(map(float, w)) for w in want]
+    assert counts.batch_runs(pa.array(["", ""])).tolist() == [[0.0] * 3] * 2 and len(counts.batch_runs(pa.array([], pa.string()))) == 0
+    long = " ".join(map(str, range(2**21)))
+    assert counts.batch_runs(pa.array(["x x", long])).tolist() == [[0.0, 1.0, 0.0], [21.0, 2**21 - 1, 2**21 - 2]]
+
+
+def test_characters_by_their_kinds():
+    """Rare and far apart code points take another way than texts of common ones."""
+    for t in ["", "a,b.c! (d) [e]", "\U0001f600", "中文 a1\x01\u2019", "x" * 5000 + "中", "é\n\t;"]:
+        c = {k: v[0] for k, v in counts.count_characters([t]).items()}
+        assert list(c) == list(counts.CHARACTERS)
+        assert c["n_punct"] == sum(x in ".,;:!?\"'()[]{}" for x in t) and c["n_alpha"] == sum(x.isalpha() for x in t) and c["n_cjk"] == sum("一" <= x <= "鿿" for x in t)
+        assert c["n_char_kinds"] == len(set(t)) and abs(c["char_entropy_bits"] - entropy(t)) < 1e-9
+
+
+def test_baseline_suite_reads_texts_once(spark):
+    """Scores of all baselines come from one pass; ties of the most frequent tokens are looked up alone, of equal ones the first."""
+    df = spark.createDataFrame([(k, f"w{k % 7} the cat w{k} and the {'dog' * (k % 3)} w{k + 1}. Sat, on the mat{k % 5}!") for k in range(60)] + [(60, None), (61, "")], "doc_id long, text string")
+    profiles, plain = [], X.profile
+    try:
+        X.profile = lambda *a, **b: profiles.append(1) or plain(*a, **b)
+        rows = {r["name"]: r for r in pipeline.baseline_suite(df).collect()}
+    finally:
+        X.profile = plain
+    assert len(profiles) == 1 and set(rows) == set(pipeline.BASELINES)
+    assert rows["raw"]["output_documents"] == 62 and rows["dedup_only"]["output_documents"] == 61
+    for name, off in (("hdqspp_v2", "hdqspp_v2"), ("hdqspp_v2_no_token_frequency", "v2_without_token_frequency_preservation")):
+        assert rows[name]["output_documents"] == select.select_v2_variant(df, off).where("keep").count()
+    assert rows["hdqspp_v3"]["output_documents"] == select.select_v3_variant(df, seed=13).where("keep").count()
+    seen = Counter(t for k in df.orderBy("doc_id").collect() for t in toks(k["text"] or ""))
+    order = [t for t, _ in sorted(seen.items(), key=lambda x: -x[1])]  # stable: first to occur
+    some = scoring.FEW
+    try:
+        for scoring.FEW in (some, 2):
+            for top in (1, 3, 9, 40, 1000):
+                assert set(scoring.frequent_tokens(df, top)) == set(order[:top])
+    finally:
+        scoring.FEW = some
+    sizes = sorted(len(toks(r["text"] or "")) for r in df.collect())
+    assert scoring._order_statistics(scoring._lengths(df), lambda n: list(range(n))) == sizes
