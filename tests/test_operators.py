@@ -530,3 +530,28 @@ def test_containment_of_many_items_with_common_words(spark):
     got = dedup.containment(frame(spark, texts), spark.createDataFrame(items, "item_id string, text string"))
     assert "contains" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().lower().split("\n") if "join cross" in x or "join inner, contains" in x)
     assert {tuple(r) for r in got.collect()} == {(i, k) for i, x in items for k, t in texts if x in (t or "")}
+
+
+def test_frontier_of_empty_texts(spark, tmp_path):
+    # symbols of an empty text are nothing of nothing: an error for Spark, the greatest share for the SQL
+    import duckdb
+
+    from millrace.plans import registry
+
+    def both(texts):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows.repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(r[0] for r in con.execute(registry.oracle_sql()["pareto_frontier"]).fetchall())
+        assert sorted(r["doc_id"] for r in registry.queries()["pareto_frontier"](spark, str(tmp_path)).collect()) == want
+        return want
+
+    assert both(["", "one two three", "one two two!", None, "", "!!!", "one one one one one"]) == [1, 3, 6]
+    assert both(["", ""]) == [0, 1]
+
+
+def test_layers_of_sums_that_round_alike():
+    # 1e9 + 1e-9 is 1e9: the dominated row has the same sum and comes first
+    assert select.layers(np.array([[1e9, 0.0], [1e9, 1e-9]])).tolist() == [1, 0]
+    assert select.layers(np.array([[1.0, -np.inf], [2.0, -np.inf]])).tolist() == [1, 0]
