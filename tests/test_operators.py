@@ -555,3 +555,22 @@ def test_layers_of_sums_that_round_alike():
     # 1e9 + 1e-9 is 1e9: the dominated row has the same sum and comes first
     assert select.layers(np.array([[1e9, 0.0], [1e9, 1e-9]])).tolist() == [1, 0]
     assert select.layers(np.array([[1.0, -np.inf], [2.0, -np.inf]])).tolist() == [1, 0]
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_similarities_index_a_tile_once(monkeypatch, own):
+    """Each tile is put in order of its values once, however many others it is compared with; some sets are empty, some are copies."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.zipf(1.3, rng.integers(0, 40)) % 300) << 40 | 7 for _ in range(70)]
+    g, w = [0] * 70 if own else [3] * 33 + [5] * 37, rng.integers(1, 4, 70)
+    made, index = [], urd._Tile
+    monkeypatch.setattr(urd, "_Tile", lambda *a: made.append(1) or index(*a))
+    monkeypatch.setattr(urd, "TILE", 8)
+    table = pa.table({"own": [own] * 70, "g": pa.array(g, pa.int32()), "h": [str(k) for k in range(70)], "w": w, "v": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))})
+    got = urd._similarities(table)["x"].to_pylist()
+    j = np.array([[float(a is b) or len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b))) for b in sets] for a in sets])
+    meet = np.array([[own or a != b for b in g] for a in g])
+    assert np.allclose(got, (j * meet) @ w, rtol=0, atol=1e-12)
+    assert len(made) == (9 if own else 5 + 5)
