@@ -574,3 +574,35 @@ def test_similarities_index_a_tile_once(monkeypatch, own):
     meet = np.array([[own or a != b for b in g] for a in g])
     assert np.allclose(got, (j * meet) @ w, rtol=0, atol=1e-12)
     assert len(made) == (9 if own else 5 + 5)
+
+
+def test_containment_leaves_texts_alone_that_can_hold_nothing(spark, monkeypatch):
+    """Of 205 texts two have the beginning of an item; only those are written, and no runs of the others' words are sent."""
+    written = {}
+
+    def noted(df, kind="table", by=None):
+        written[kind] = storage.saved(df, kind, by)
+        return written[kind]
+
+    monkeypatch.setattr(dedup, "saved", noted)
+    texts = [(k, f"many words {k} of a text without any") for k in range(200)] + [(300, "so +1 412 555 1003 it is"), (301, "xeditor7@example.orgy"), (302, "edit this"), (303, "call +1 412\n555 1003"), (304, None)]
+    items = spark.createDataFrame([("p", "+1 412 555 1003"), ("q", "+1 412 555 1004"), ("e", "editor7@example.org")] + [(f"x{k}", f"editor{k}@example.org") for k in range(100, 200)], "item_id string, text string")
+    got = dedup.containment(frame(spark, texts), items)
+    assert {tuple(r) for r in got.collect()} == {("p", 300), ("e", 301)}
+    assert sorted(r["doc_id"] for r in written["holding"].collect()) == [300, 301]  # by the first eight characters
+    many = spark.createDataFrame([(chr(0x4E00 + k), chr(0x4E00 + k) + " of a") for k in range(100)] + [("w", "words 7 of a t")], "item_id string, text string")
+    written.clear()
+    assert [tuple(r) for r in dedup.containment(frame(spark, texts), many).collect()] == [("w", 7)] and "holding" not in written  # they begin in too many ways
+    assert dedup.containment(frame(spark, texts), items.limit(0)).collect() == []
+
+
+def test_redaction_of_texts_that_need_none(spark):
+    from millrace.functions import textexpr as X
+    from millrace.operators import pipeline
+
+    texts = ["a@b.org, +1 412 555 1003 and ID-13-0001", "ID-13-0001@x.org 12345678901", "none", "@", "1", "ID-", "", None, "5ID-11-1111 x@y.z ID-11-1111"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", X.EMAIL, "<EMAIL>"), X.PHONE, "<PHONE>"), X.ID, "<ID>")
+    assert all(r["a"] == r["b"] for r in df.select(pipeline.redact(F.col("text")).alias("a"), plain.alias("b")).collect())
+    plan = df.select(pipeline.redact(pipeline.clean(F.col("text"))).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https?") == 1  # what it is made of stands there once
