@@ -606,3 +606,20 @@ def test_redaction_of_texts_that_need_none(spark):
     assert all(r["a"] == r["b"] for r in df.select(pipeline.redact(F.col("text")).alias("a"), plain.alias("b")).collect())
     plan = df.select(pipeline.redact(pipeline.clean(F.col("text"))).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("https?") == 1  # what it is made of stands there once
+
+
+def test_shingles_of_a_batch(spark):
+    """Equal sets have equal names, similar ones the values in common that their runs of words are; no run is a string any more."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    texts = [(1, "a b c d e"), (2, "b c d e f"), (3, "a b c d e a b c"), (4, "c d e a b c d"), (5, ""), (6, None), (7, "a"), (8, "a b"), (9, "b a"), (10, "A, b: c!")] + [(20 + k, "w " * k) for k in range(600)]
+    df = dedup._sets(frame(spark, texts).coalesce(1), 3)
+    assert "ArrowEvalPython" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and "concat_ws" not in plan
+    got = {r["doc_id"]: (r["shingles"], bytes(r["set"])) for r in df.collect()}
+    for k, t in texts:
+        words = (t or "").lower().replace(",", "").replace(":", "").replace("!", "").split()
+        assert got[k][0] == sorted(got[k][0]) and len(got[k][0]) == max(1, len({tuple(words[i : i + 3]) for i in range(len(words) - 2)}))
+    assert got[5] == got[6] == got[20] and got[3] == got[4] and len({got[k][1] for k in (1, 2, 3, 5, 7, 8, 9, 10)}) == 8
+    assert len(set(got[1][0]) & set(got[2][0])) == 2 and got[10][0][0] in got[1][0] and got[23] == got[619]
+    member, close = dedup.jaccard_classes(spark.createDataFrame([], StructType([StructField("doc_id", LongType())])).withColumn("text", F.lit("x")))
+    assert member.count() == close.count() == 0
