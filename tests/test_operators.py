@@ -623,3 +623,19 @@ def test_shingles_of_a_batch(spark):
     assert len(set(got[1][0]) & set(got[2][0])) == 2 and got[10][0][0] in got[1][0] and got[23] == got[619]
     member, close = dedup.jaccard_classes(spark.createDataFrame([], StructType([StructField("doc_id", LongType())])).withColumn("text", F.lit("x")))
     assert member.count() == close.count() == 0
+
+
+def test_rows_are_compared_with_choices_by_tiles(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.zipf(1.3, rng.integers(0, 30)) % 200) << 33 for _ in range(50)]
+    monkeypatch.setattr(urd, "TILE", 8)
+    chosen = [(0.5 + k / 100, k, sets[k]) for k in range(20)]
+    rows = {"doc_id": list(range(5, 50)), "s": pa.array([s.tolist() for s in sets[5:]], pa.list_(pa.int64())), "d": [2.0] * 40 + [0.01] * 5, "keep": [True] * 3 + [False] * 42}
+    got = pa.Table.from_batches(select._nearer(chosen)(iter([pa.RecordBatch.from_pydict(rows)]))).to_pylist()
+    far = lambda a, b: 1 - (len(np.intersect1d(a, b)) / len(np.union1d(a, b)) if len(a) or len(b) else 1.0)
+    for r, d in zip(got, rows["d"]):
+        k = r["doc_id"]
+        want = 2.0 if k < 8 else 0.5 + k / 100 if k < 20 else min(d, *(far(sets[k], s) for _, _, s in chosen))
+        assert (r["d"], r["keep"]) == (want, k < 20)
