@@ -206,3 +206,13 @@ def test_baseline_suite_reads_texts_once(spark):
         scoring.FEW = some
     sizes = sorted(len(toks(r["text"] or "")) for r in df.collect())
     assert scoring._order_statistics(scoring._lengths(df), lambda n: list(range(n))) == sizes
+
+
+def test_lines_are_stripped_where_they_have_to_be(spark):
+    texts = ["", None, "a", " a", "a ", " a b　\n\n \t\n c", "a\r\nb \rc\x0bd\x85e  f ", "\n", "x\ty", "é ", "\U0001f600 \n \U0001f600"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    plain = F.filter(F.transform(F.split("text", "\\r\\n|[\\n\\r\\x0B\\f\\x85  ]"), X.strip), lambda t: t != "")
+    rows = df.select(X.lines(F.col("text")).alias("a"), plain.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and rows[5]["a"] == ["a b", "c"]
+    plan = df.select(X.lines(F.col("text")).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan.split("regexp_replace")[0]  # most lines are left as they are
